@@ -27,6 +27,8 @@ BLOCK = 8
 #: Bytes of an index that is broadcast at once; a larger benchmark is indexed in shards of that size, one after another.
 INDEX_BYTES = 32 << 20
 _PIECE = 256 << 10
+#: Words that an answer is compared by at least, in runs of three.
+ANSWER_WORDS = 8
 
 
 @dataclass
@@ -78,12 +80,11 @@ def build(items: list[tuple[int, str]], stats: tuple[int, float, dict[int, int]]
         impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
         question, answer = split_item(text)
         # short answers say little by themselves: with the words before them
-        tail = _hashes(answer)
-        tail = tail if len(tail) >= n else words[-min(len(words), n) :]
+        tail = words[-min(len(words), max(len(_hashes(answer)), ANSWER_WORDS)) :]
         head = _hashes(question)
         rows.append((terms, impact / impact.sum()))
         questions.append(_grams(head if len(head) else words, n))
-        answers.append(_grams(tail, n))
+        answers.append(_grams(tail, min(n, 3)))
         ids.append(item_id)
         most = max(most, len(words))
     terms = np.unique(np.concatenate([t for t, _ in rows])) if rows else np.zeros(0, np.uint64)

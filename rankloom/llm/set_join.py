@@ -6,8 +6,8 @@ must share one of) in lists ordered by set size and position. Relations between
 * index level: within a list, entries are grouped in blocks by position; a probe skips each block whose largest remaining
   length can't reach the overlap it needs;
 * answer level: every entry is first compared with one representative of its list only. What links to the same representative
-  is one component, so its members derive each other's answers from that and are never compared; only entries of different
-  components go on to be probed block by block.
+  is one component, so its members derive each other's answers from that and are never compared. In a second round one entry
+  of each component meets the list's first, and only entries of different components go on to be probed block by block.
 
 No pair is lost: a pair that links shares an index shingle, and it is either inside one component or probed.
 """
@@ -45,6 +45,11 @@ def _pair_needed(a, b, t: int):
     return (t * (a + b) + 99 + t) // (100 + t)
 
 
+def _may_link(size, pos, size2, pos2, t: int):
+    """Whether two sets with their first common shingle at these positions can share as much as they need."""
+    return np.minimum(size - pos, size2 - pos2) >= _pair_needed(size, size2, t)
+
+
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,17 +158,10 @@ def _lists(index: DataFrame, t: int) -> DataFrame:
                 continue
             first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             size, pos = place >> 32, place & 0xFFFFFFFF
-            head = np.repeat(first, np.diff(np.append(first, len(token))))
-            # where a list's sizes differ too much, a new representative is taken on the way
-            for a in np.unique(head[size[head] < _needed(size, t)]):
-                e = np.searchsorted(first, a, side="right")
-                b, r = (first[e] if e < len(first) else len(token)), a
-                for i in range(a, b):
-                    if size[r] < _needed(size[i], t):
-                        r = i
-                    head[i] = r
-            best = 1 + np.minimum(size - pos, size[head] - pos[head]) - 1
-            rep = np.where(best >= _pair_needed(size, size[head], t), sid[head], sid)
+            # the set that has fewest rarer shingles of its own is the one that most others derive from
+            run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(token))))
+            head = np.lexsort((sid, pos, run))[first][run]
+            rep = np.where(_may_link(size, pos, size[head], pos[head], t), sid[head], sid)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, place, sid, rep)], names=["token", "place", "sid", "rep"])
 
     spread = index.repartition("token").sortWithinPartitions("token", "place", "sid")
@@ -171,8 +169,34 @@ def _lists(index: DataFrame, t: int) -> DataFrame:
     return spread.mapInArrow(lead, "token bigint, place bigint, sid bigint, rep bigint")
 
 
+def _stars_of_components(lists: DataFrame, t: int) -> DataFrame:
+    """Pairs (u > v): in each list, one entry of every component against one of the first entry's component."""
+
+    def star(batches):
+        for starts, c in sorted_runs(batches, "token"):
+            size, pos = c["place"] >> 32, c["place"] & 0xFFFFFFFF
+            run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            order = np.lexsort((c["sid"], pos, c["comp"], run))
+            r, k = run[order], c["comp"][order]
+            entry = order[np.concatenate(([True], (r[1:] != r[:-1]) | (k[1:] != k[:-1])))]  # the first of each component
+            entry = entry[np.lexsort((c["sid"][entry], pos[entry], run[entry]))]
+            r = run[entry]
+            lead = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+            head = entry[np.repeat(lead, np.diff(np.append(lead, len(r))))]
+            ok = (head != entry) & (c["rep"][entry] != c["sid"][head]) & _may_link(size[entry], pos[entry], size[head], pos[head], t)
+            u, v = c["sid"][entry][ok], c["sid"][head][ok]
+            if len(u):
+                pairs = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v))), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+
+    return lists.mapInArrow(star, "u bigint, v bigint").distinct()
+
+
 def _probe(lists: DataFrame, t: int) -> DataFrame:
-    """Pairs of different components (u > v) within each list that size and position leave possible."""
+    """Pairs of different components (u > v) within each list that size and position leave possible.
+
+    lists: sorted by token within partitions.
+    """
 
     def probe(batches):
         for starts, c in sorted_runs(batches, "token"):
@@ -199,11 +223,10 @@ def _probe(lists: DataFrame, t: int) -> DataFrame:
                             us.append(np.full(int(ok.sum()), sid[i]))
             if us:
                 u, v = np.concatenate(us), np.concatenate(vs)
-                u, v = np.maximum(u, v), np.minimum(u, v)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                pairs = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v))), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
 
-    spread = lists.repartition("token").sortWithinPartitions("token", "place", "sid")
-    return spread.mapInArrow(probe, "u bigint, v bigint").distinct()
+    return lists.mapInArrow(probe, "u bigint, v bigint").distinct()
 
 
 def _verified(docs: DataFrame, chosen: DataFrame, edges: DataFrame, k: int, t: int) -> DataFrame:
@@ -255,12 +278,25 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
         stars = lists.filter("rep <> sid").select(F.col("sid").alias("u"), F.col("rep").alias("v")).distinct()
         links = write_shared(_verified(docs, classes.select("sid", "doc_id"), stars, k, percent), "links")
         comps = write_shared(connected_components(links), "comps")
-        tagged = lists.join(comps, lists.sid == comps.node, "left").select("token", "place", "sid", "rep", F.coalesce("comp", "sid").alias("comp"))
-        more = write_shared(_probe(tagged, percent), "pairs")
-        if not more.isEmpty():
-            found = _verified(docs, classes.select("sid", "doc_id"), more, k, percent)
-            bridges = comps.select(F.col("node").alias("u"), F.col("comp").alias("v"))
-            comps = connected_components(found.union(bridges.filter("u <> v")))
+        representatives = classes.select("sid", "doc_id")
+
+        def tagged(comps: DataFrame) -> DataFrame:
+            """Lists that still have entries of two components or more, with these."""
+            rows = lists.join(comps, lists.sid == comps.node, "left").select("token", "place", "sid", "rep", F.coalesce("comp", "sid").alias("comp"))
+            mixed = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
+            return rows.join(mixed, "token").repartition("token").sortWithinPartitions("token", "place", "sid")
+
+        tried = None
+        for round_ in (1, 2):
+            # one entry for each component first: what links merges, and is not probed pair by pair
+            pairs = _stars_of_components(tagged(comps), percent) if round_ == 1 else _probe(tagged(comps), percent)
+            if tried is not None:
+                pairs = pairs.join(tried, ["u", "v"], "left_anti")
+            pairs = write_shared(pairs, "pairs")
+            if not pairs.isEmpty():
+                bridges = comps.filter("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v"))
+                comps = write_shared(connected_components(_verified(docs, representatives, pairs, k, percent).union(bridges)), "comps")
+            tried = pairs
         members = classes.join(comps, classes.sid == comps.node, "left").withColumn("comp", F.coalesce("comp", "sid"))
         heads = members.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
         answers = members.join(heads, "comp").select("sid", "component_id", "class_rows")
