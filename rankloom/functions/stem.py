@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import PandasUDFType
 
 _V = r"(?:[aeiou]|(?<=[^aeiou])y)"
 
@@ -30,6 +33,10 @@ def stem(word: str | None) -> str | None:
     return w[:-1] + "i" if w.endswith("y") and re.search(_V, w[:-1]) else w
 
 
-@F.pandas_udf("array<string>")
-def stems(words):
-    return words.map(lambda x: None if x is None else [stem(t) for t in x])
+def stems(words: Column) -> Column:
+    """Stems of an array of words."""
+
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: None if x is None else [stem(t) for t in x])
+
+    return F.pandas_udf(run, "array<string>", functionType=PandasUDFType.SCALAR)(words)

@@ -29,9 +29,9 @@ def best_epochs(validation: DataFrame, test: DataFrame) -> DataFrame:
     """(setting, epoch, err_val, err_test, best) from (setting, epoch, err): each setting's epoch with the largest err on validation (the first on ties; 0 or less never wins), looked up on test."""
     w = Window.partitionBy("setting").orderBy(F.desc("err"), "epoch")
     chosen = validation.filter("err > 0").withColumn("n", F.row_number().over(w)).filter("n = 1").select("setting", "epoch", F.col("err").alias("err_val"))
-    top = chosen.agg(F.max(F.struct("err_val", (-F.hash("setting")).alias("h"))).alias("m"), F.max("err_val").alias("top"))
-    rows = chosen.join(test.select("setting", "epoch", F.col("err").alias("err_test")), ["setting", "epoch"], "left")
-    return rows.crossJoin(F.broadcast(top.select("top"))).select("setting", "epoch", "err_val", "err_test", (F.col("err_val") == F.col("top")).alias("best"))
+    top = F.max("err_val").over(Window.partitionBy())  # a row for each setting
+    rows = chosen.withColumn("best", F.col("err_val") == top).join(test.select("setting", "epoch", F.col("err").alias("err_test")), ["setting", "epoch"], "left")
+    return rows.select("setting", "epoch", "err_val", "err_test", "best")
 
 
 def common_epochs(a: DataFrame, b: DataFrame) -> DataFrame:

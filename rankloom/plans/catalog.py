@@ -1,11 +1,492 @@
-"""All queries of the engine and the SQL that they are held against."""
+"""All queries of the engine over the driver's tables, and the SQL that they are held against."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import arrays as A
+from ..functions import stem as S
+from ..functions import text as T
+from ..operators import analytics, graded, measures, preferences, representatives
+from ..operators.ranked import ranked
+from ..sources import trec_text
+from ..streaming import monitor
+from .views import semantic, table, view, with_views
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _register(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *keys: str) -> DataFrame:
+    """All columns but the keys as doubles with six places."""
+    return df.select(*(F.col(c) if c in keys else F.round(F.col(c).cast("double"), 6).alias(c) for c in df.columns))
+
+
+# --- measures of the ranked list -----------------------------------------------------------------------------------------------
+
+
+def _ranked_sql(level: int = 1, judged_only: bool = False, top: int | None = None, run: str = "run") -> str:
+    judged = "j as (select qid, docno, row_number() over (partition by qid order by rank) as rank, rel from j0 where rel >= 0)" if judged_only else "j as (select * from j0)"
+    w = "over (partition by qid order by rank rows unbounded preceding)"
+    return f"""rk as (select qid, docno, row_number() over (partition by qid order by sim desc, docno desc) as rank from {run}),
+j0 as (select rk.qid, rk.docno, rk.rank, case when q.rel is null then -1 when q.rel < 0 then -2 else q.rel end as rel from rk left join qrels q on rk.qid = q.qid and rk.docno = q.docno {f"where rank <= {top}" if top else ""}),
+{judged},
+st as (select qid, sum(case when rel >= {level} then 1 else 0 end)::bigint as num_rel, sum(case when rel >= 0 and rel < {level} then 1 else 0 end)::bigint as num_nonrel, sum(case when rel > 0 then 1 else 0 end)::bigint as num_gain from qrels group by qid),
+r as (select j.*, count(*) over (partition by qid) as num_ret, sum(case when rel >= {level} then 1 else 0 end) {w} as cumrel,
+ sum(case when rel >= 0 and rel < {level} then 1 else 0 end) {w} as cumnonrel, sum(case when rel = -2 then 1 else 0 end) {w} as cumunj from j),
+rs as (select * from r join st using (qid))"""
+
+
+_IDEAL_SQL = """i0 as (select qid, rel, row_number() over (partition by qid order by rel desc, docno desc) as pos from qrels where rel > 0),
+ideal as (select qid, pos, rel::double as ideal, coalesce(lead(rel) over (partition by qid order by pos), 0)::double as ideal_next, sum(rel * ln(2) / ln(pos + 1)) over w as ideal_dcg, sum(greatest(rel, 1)) over w as ideal_cost
+ from i0 window w as (partition by qid order by pos rows unbounded preceding))"""
+
+
+def _measure_sql(families: list[str], level: int = 1, complete: bool = False, **options) -> str:
+    exprs = {k: v for f in families for k, v in measures.FAMILIES[f](level).items()}
+    ctes, source = _ranked_sql(level, **options), "rs"
+    if "gains" in families:
+        cuts = ", ".join(f"max(case when pos <= {k} then ideal_dcg end) as ideal_{k}" for k in measures.CUTOFFS)
+        ctes += f",\n{_IDEAL_SQL},\ntot as (select qid, max(ideal_dcg) as ideal_total, {cuts} from ideal group by qid),\nrg as (select * from rs left join tot using (qid))"
+        source = "rg"
+    if "relative_gains" in families:
+        ctes += f""",\n{_IDEAL_SQL},
+nn as (select qid, max(num_ret) as n from rs group by qid),
+tot as (select qid, max(ideal_dcg) as ideal_total, max(ideal_cost) as all_cost, sum(ideal) as ideal_gain, max(pos) as last, sum(case when ideal <> ideal_next then 1 else 0 end) as edges, sum(case when ideal <> ideal_next and pos > n then 1 / ideal_dcg end) as late from ideal join nn using (qid) group by qid),
+gg as (select *, greatest(rel, 0)::double as gain from rs),
+gd as (select *, sum(gain * ln(2) / ln(rank + 1)) over w as dcg, sum(gain) over w as cumgain from gg window w as (partition by qid order by rank rows unbounded preceding)),
+rg as (select gd.*, i.ideal, i.ideal_next, tot.*exclude(qid), coalesce(i.ideal_dcg, ideal_total) as idcg, coalesce(i.ideal_cost, all_cost + rank - last)::double as cost from gd left join ideal i on gd.qid = i.qid and gd.rank = i.pos left join tot on gd.qid = tot.qid)"""
+        source = "rg"
+    cols = ", ".join(f"round(coalesce({v}, 0)::double, 6) as {k}" for k, v in exprs.items())
+    sql = f"{ctes}\nselect qid, {cols} from {source} group by qid, num_ret, num_rel, num_nonrel, num_gain"
+    if complete:
+        cols = ", ".join(f"coalesce({k}, {'-11.512925' if k.startswith('gm_') else '0.0'}) as {k}" for k in exprs)
+        body = sql[len(ctes) :]
+        sql = f"{ctes},\nv as ({body})\nselect t.qid, {cols} from (select distinct qid from qrels) t left join v on t.qid = v.qid"
+    return with_views(sql, "run", "baseline", "qrels")
+
+
+def _measure_query(families: list[str], level: int = 1, complete: bool = False, run: str = "run", **options) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        values = measures.evaluate(view(spark, sf_dir, run), view(spark, sf_dir, "qrels"), families, level=level, complete=complete, **options)
+        return rounded(values, "qid")
+
+    return query
+
+
+def _measures(name: str, families: list[str], **options) -> None:
+    _QUERIES[name] = _measure_query(families, **options)
+    _SQL[name] = _measure_sql(families, **options)
+
+
+_measures("measures_official", ["counts", "average", "sets"])
+_measures("measures_cutoffs", ["cutoffs"])
+_measures("measures_interpolated", ["interpolated"])
+_measures("measures_rprec_mult", ["multiples"])
+_measures("measures_ndcg", ["gains"])
+_measures("measures_relative_gain", ["relative_gains"])
+_measures("measures_level_2", ["counts", "average", "cutoffs"], level=2)
+_measures("measures_judged_only", ["counts", "average"], judged_only=True)
+_measures("measures_top_100", ["counts", "average", "gains"], top=100)
+_measures("measures_complete", ["average"], complete=True, top=50)
+_measures("measures_tied_run", ["counts", "average", "cutoffs"], run="baseline")
+
+_LONG = "unpivot (select * from v) on columns(* exclude (qid)) into name measure value value"
+
+
+@_register("measures_summary", None)
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = measures.evaluate(view(spark, sf_dir, "run"), view(spark, sf_dir, "qrels"), ["counts", "average", "cutoffs"])
+    return rounded(measures.summarise(values), "measure", "qid")
+
+
+def _summary_sql() -> str:
+    exprs = {k: v for f in ("counts", "average", "cutoffs") for k, v in measures.FAMILIES[f](1).items()}
+    cols = ", ".join(f"coalesce({v}, 0)::double as {k}" for k, v in exprs.items())
+    each = " union all ".join(
+        f"select '{k}' as measure, 'all' as qid, round({'sum' if k in measures.SUMMED else 'avg'}({k}), 6) as value from v" if not k.startswith("gm_") else f"select '{k}', 'all', round(exp(avg({k})), 6) from v" for k in exprs
+    )
+    return with_views(f"{_ranked_sql()},\nv as (select qid, {cols} from rs group by qid, num_ret, num_rel, num_nonrel, num_gain)\n{each} union all select 'num_q', 'all', count(*)::double from v", "run", "qrels")
+
+
+_SQL["measures_summary"] = _summary_sql()
+
+
+@_register("relstring", with_views(_ranked_sql() + "\nselect qid, string_agg(case when rel > 9 then '>' when rel = -1 then '-' when rel = -2 then '.' else rel::varchar end, '' order by rank) as relstring from rs where rank <= 10 group by qid", "run", "qrels"))
+def _relstring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.relevance_string(view(spark, sf_dir, "run"), view(spark, sf_dir, "qrels"))
+
+
+@_register("ranked_list", with_views(_ranked_sql() + "\nselect qid, docno, rank::bigint as rank, rel::bigint as rel, cumrel::bigint as cumrel from rs", "run", "qrels"))
+def _ranked_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(view(spark, sf_dir, "run"), view(spark, sf_dir, "qrels")).select("qid", "docno", "rank", F.col("rel").cast("bigint").alias("rel"), F.col("cumrel").cast("bigint").alias("cumrel"))
+
+
+def _avgjg_sql() -> str:
+    exprs = {k: v for f in ("average", "multiples") for k, v in measures.FAMILIES[f](1).items()}
+    inner = _ranked_sql(run="runjg").replace("qrels", "qj")
+    cols = ", ".join(f"coalesce({v}, 0)::double as {k}" for k, v in exprs.items())
+    outer = ", ".join(f"round(avg({k}), 6) as {k}_avgjg" for k in exprs)
+    head = "runjg as (select concat(r.qid, '|', g.jg) as qid, r.docno, r.sim from run r join (select distinct qid, jg from qrels_jg) g using (qid)),\nqj as (select concat(qid, '|', jg) as qid, docno, rel from qrels_jg),\n"
+    return with_views(f"{head}{inner},\nv as (select qid, {cols} from rs group by qid, num_ret, num_rel, num_nonrel, num_gain)\nselect split_part(qid, '|', 1)::bigint as qid, {outer} from v group by 1", "run", "qrels_jg")
+
+
+@_register("measures_judgment_groups", _avgjg_sql())
+def _avgjg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(measures.by_group(view(spark, sf_dir, "run"), view(spark, sf_dir, "qrels_jg"), ["average", "multiples"]), "qid")
+
+
+@_register(
+    "z_scores",
+    with_views(
+        f"""{_ranked_sql()},
+v as (select qid, {measures.average(1)['map']} as map, {measures.at_cutoffs(1)['P_10']} as p10 from rs group by qid, num_ret, num_rel, num_nonrel, num_gain),
+l as (select 'map' as measure, qid, coalesce(map, 0) as value from v union all select 'P_10', qid, coalesce(p10, 0) from v),
+z as (select qid, 'map' as measure, 0.2 as mean, case when qid % 2 = 0 then 0.1 else 0.0 end as stddev from (select distinct qid from qrels) where qid % 7 <> 0)
+select l.measure, l.qid::varchar as qid, round(case when mean is null then -1000000.0 when stddev = 0 then case when value = mean then 0.0 else -1000000.0 end else (value - mean) / nullif(stddev, 0) end::double, 6) as value from l left join z on l.qid = z.qid and l.measure = z.measure""",
+        "run", "qrels",
+    ),
+)
+def _z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qrels = view(spark, sf_dir, "qrels")
+    values = measures.evaluate(view(spark, sf_dir, "run"), qrels, ["average", "cutoffs"]).select("qid", "map", "P_10")
+    reference = qrels.select("qid").distinct().filter("qid % 7 <> 0").select(F.col("qid").cast("string").alias("qid"), F.lit("map").alias("measure"), F.lit(0.2).alias("mean"), F.when(F.col("qid") % 2 == 0, 0.1).otherwise(0.0).alias("stddev"))
+    return rounded(measures.z_scores(measures.long_form(values), reference), "measure", "qid")
+
+
+# --- graded evaluation ---------------------------------------------------------------------------------------------------------
+
+
+def _graded_sql(run: str, p: str) -> str:
+    """CTE {p}v (qid, ndcg, err)."""
+    grade = "((pow(2, coalesce(rel, 0)) - 1) / 16)"
+    return f"""{p}t as (select * from (select qid, docno, row_number() over (partition by qid order by sim desc, docno desc) as rank from {run}) x left join (select qid, docno, rel from qrels where rel > 0) q using (qid, docno) where rank <= 20),
+{p}b as (select qid, sum((pow(2, rel) - 1) * ln(2) / ln(pos + 1)) as ideal from (select qid, rel, row_number() over (partition by qid order by rel desc, docno) as pos from qrels where rel > 0) x where pos <= 20 group by qid),
+{p}w as (select qid, rank, rel, {grade} as g, coalesce(exp(sum(ln(1 - {grade})) over (partition by qid order by rank rows between unbounded preceding and 1 preceding)), 1) as d from {p}t),
+{p}v as (select qid, sum((pow(2, coalesce(rel, 0)) - 1) * ln(2) / ln(rank + 1)) / max(ideal) as ndcg, sum(g * d / rank) as err from {p}w join {p}b using (qid) group by qid)"""
+
+
+@_register("graded_report", with_views(_graded_sql("run", "ga") + "\nselect 'run' as runid, qid::varchar as topic, round(ndcg, 6) as ndcg, round(err, 6) as err from gav union all select 'run', 'amean', round(avg(ndcg), 6), round(avg(err), 6) from gav", "run", "qrels"))
+def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(graded.report(graded.graded_measures(view(spark, sf_dir, "run"), view(spark, sf_dir, "qrels")), "run"), "runid", "topic")
+
+
+@_register(
+    "graded_risk",
+    with_views(
+        f"""{_graded_sql('run', 'ga')},
+{_graded_sql('baseline', 'gb')},
+d as (select q.qid, coalesce(gav.ndcg, 0) - coalesce(gbv.ndcg, 0) as n, coalesce(gav.err, 0) - coalesce(gbv.err, 0) as e from (select distinct qid from qrels where rel > 0) q left join gav using (qid) left join gbv on q.qid = gbv.qid)
+select qid, round(case when n < 0 then n * 6 else n end, 6) as ndcg, round(case when e < 0 then e * 6 else e end, 6) as err from d""",
+        "run", "baseline", "qrels",
+    ),
+)
+def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qrels = view(spark, sf_dir, "qrels")
+    a, b = (graded.graded_measures(view(spark, sf_dir, r), qrels) for r in ("run", "baseline"))
+    return rounded(graded.risk(a, b, 5.0, qrels.filter("rel > 0")), "qid")
+
+
+# --- preferences ---------------------------------------------------------------------------------------------------------------
+
+_PREF_SQL = """rk as (select qid, docno, row_number() over (partition by qid order by sim desc, docno) as rank from run),
+pl as (select qid, docno, row_number() over (partition by qid order by rank nulls last, docno) - 1 as place, count(rank) over (partition by qid) as k from (select distinct qid, docno from prefs) p left join rk using (qid, docno) where qid in (select qid from run)),
+d0 as (select distinct a.qid, a.jg, a.docno as better, b.docno as worse from prefs a join prefs b on a.qid = b.qid and a.jg = b.jg and a.jsg = b.jsg and a.level > b.level),
+e as (select * from d0),
+ar as (select e.*, x.place as i, y.place as j, x.k, case when greatest(x.place, y.place) < x.k then 'ret' when least(x.place, y.place) < x.k then 'imp' else 'none' end as area, case when x.place < y.place and x.place < x.k then 1 else 0 end as ful
+ from e join pl x on e.qid = x.qid and e.better = x.docno join pl y on e.qid = y.qid and e.worse = y.docno)"""
+
+
+@_register(
+    "preferences",
+    with_views(
+        _PREF_SQL
+        + """,
+t as (select qid, count(*)::double as prefs_num_prefs_poss, sum(case when area <> 'none' then ful else 0 end)::double as prefs_num_prefs_ful, sum(case when area = 'ret' then ful else 0 end)::double as prefs_num_prefs_ful_ret,
+ coalesce(sum(ful) / count(*), 0) as prefs_simp, coalesce(sum(ful) filter (where area = 'ret') / nullif(count(*) filter (where area = 'ret'), 0), 0) as prefs_simp_ret, coalesce(sum(ful) filter (where area <> 'none') / nullif(count(*) filter (where area <> 'none'), 0), 0) as prefs_simp_imp from ar group by qid),
+p0 as (select qid, least(better, worse) as x, greatest(better, worse) as y, area, avg(ful) as s from ar group by all),
+p as (select qid, avg(s) as prefs_pair, coalesce(avg(s) filter (where area = 'ret'), 0) as prefs_pair_ret, coalesce(avg(s) filter (where area <> 'none'), 0) as prefs_pair_imp from p0 group by qid),
+g0 as (select qid, jg, avg(ful) as a, coalesce(avg(ful) filter (where area = 'ret'), 0) as r, coalesce(avg(ful) filter (where area <> 'none'), 0) as i from ar group by qid, jg),
+g as (select qid, sum(a) as a, sum(r) as r, sum(i) as i from g0 group by qid),
+n as (select qid, count(distinct jg) as jgs from prefs where qid in (select qid from run) group by qid)
+select n.qid, coalesce(prefs_num_prefs_poss, 0) as prefs_num_prefs_poss, coalesce(prefs_num_prefs_ful, 0) as prefs_num_prefs_ful, coalesce(prefs_num_prefs_ful_ret, 0) as prefs_num_prefs_ful_ret,
+ round(coalesce(prefs_simp, 0), 6) as prefs_simp, round(coalesce(prefs_simp_ret, 0), 6) as prefs_simp_ret, round(coalesce(prefs_simp_imp, 0), 6) as prefs_simp_imp,
+ round(coalesce(prefs_pair, 0), 6) as prefs_pair, round(coalesce(prefs_pair_ret, 0), 6) as prefs_pair_ret, round(coalesce(prefs_pair_imp, 0), 6) as prefs_pair_imp,
+ round(coalesce(a, 0) / jgs, 6) as prefs_avgjg, round(coalesce(r, 0) / jgs, 6) as prefs_avgjg_ret, round(coalesce(i, 0) / jgs, 6) as prefs_avgjg_imp
+from n left join t on n.qid = t.qid left join p on n.qid = p.qid left join g on n.qid = g.qid""",
+        "run", "prefs",
+    ).replace("e as (select * from d0)", "e as (with recursive c as (select * from d0 union select c.qid, c.jg, c.better, d.worse from c join d0 d on c.qid = d.qid and c.jg = d.jg and c.worse = d.better) select * from c)"),
+)
+def _preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(preferences.preference_measures(view(spark, sf_dir, "run"), view(spark, sf_dir, "prefs")), "qid")
+
+
+@_register("preferences_balanced")
+def _balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(preferences.balanced(view(spark, sf_dir, "run"), view(spark, sf_dir, "prefs")), "qid")
+
+
+# --- experiment analytics ------------------------------------------------------------------------------------------------------
+
+_EPOCHS = "select user_id % 5 as setting, dayofmonth(ts) as epoch, round(avg(value), 9) as err from events where user_id % 2 = {0} group by all"
+
+
+@_register(
+    "model_selection",
+    f"""with val as ({_EPOCHS.format(0)}), test as ({_EPOCHS.format(1)}),
+c as (select setting, epoch, err as err_val from (select *, row_number() over (partition by setting order by err desc, epoch) as n from val where err > 0) x where n = 1)
+select c.setting, c.epoch::bigint as epoch, round(err_val, 6) as err_val, round(t.err, 6) as err_test, err_val = (select max(err_val) from c) as best from c left join test t using (setting, epoch)""",
+)
+def _model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    parts = [e.filter(F.col("user_id") % 2 == k).groupBy((F.col("user_id") % 5).alias("setting"), F.dayofmonth("ts").alias("epoch")).agg(F.round(F.avg("value"), 9).alias("err")) for k in (0, 1)]
+    best = analytics.best_epochs(*parts)
+    return best.select("setting", F.col("epoch").cast("bigint").alias("epoch"), F.round("err_val", 6).alias("err_val"), F.round("err_test", 6).alias("err_test"), "best")
+
+
+@_register("common_epochs", f"with val as ({_EPOCHS.format(0)}), test as ({_EPOCHS.format(1)}) select epoch::bigint as epoch from val intersect select epoch::bigint from test")
+def _common_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 2).alias("k"), F.dayofmonth("ts").cast("bigint").alias("epoch"))
+    return analytics.common_epochs(e.filter("k = 0"), e.filter("k = 1"))
+
+
+@_register(
+    "rescored_run",
+    with_views(
+        """p as (select * from baseline where qid % 4 <> 0),
+s as (select r.qid, r.docno, case when r.qid in (select qid from p) then coalesce(p.sim::double, '-infinity'::double) else r.sim::double end as sim from run r left join p on r.qid = p.qid and r.docno = p.docno),
+k as (select qid, docno, row_number() over (partition by qid order by sim desc, docno) as rank, sim from s)
+select qid, docno, rank::bigint as rank, round(case when isinf(sim) then -1e9 else sim end, 4) as sim from k""",
+        "run", "baseline",
+    ),
+)
+def _rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = analytics.rescore(view(spark, sf_dir, "run"), view(spark, sf_dir, "baseline").filter("qid % 4 <> 0"))
+    return out.withColumn("sim", F.round(F.when(F.col("sim") == float("-inf"), -1e9).otherwise(F.col("sim")), 4))
+
+
+_MEANS = "select concat('run', l_suppkey % 12) as run, avg(l_discount) as mean, avg(l_tax) * 1.2 as rr_mean from lineitem group by 1"
+
+
+def _means(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    m = table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("run"), F.col("l_suppkey") % 12).alias("run")).agg(F.round(F.avg("l_discount"), 9).alias("mean"), F.round(F.avg("l_tax") * 1.2, 9).alias("rr_mean"))
+    return m.select("run", "mean"), m.select("run", F.col("rr_mean").alias("mean"))
+
+
+_RANKS = f"""with m as (select run, round(mean, 9) as mean, round(rr_mean, 9) as rr_mean from ({_MEANS})),
+k as (select *, row_number() over (order by mean desc, run) as rank from m),
+t as (select k.run, k.mean, k.rank, k.rr_mean, 1 + (select count(*) from k o where o.run <> k.run and (o.mean > k.rr_mean or (o.mean = k.rr_mean and o.run < k.run))) as rr_rank from k)"""
+
+
+@_register("rank_of_runs", _RANKS + " select run, round(mean, 6) as mean, rank::double as rank, round(rr_mean, 6) as rr_mean, rr_rank::double as rr_rank from t")
+def _rank_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(analytics.rank_of_runs(*_means(spark, sf_dir)), "run")
+
+
+@_register("improvements", _RANKS + " select count(*)::double as n, count(*) filter (where rr_rank < rank)::double as improved, round(avg((rr_mean - mean) / mean * 100), 6) as mean_change, round(median((rr_mean - mean) / mean * 100), 6) as median_change from t")
+def _improvements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(analytics.improvements(analytics.rank_of_runs(*_means(spark, sf_dir))))
+
+
+@_register("improvement_curve", _RANKS + " select row_number() over (order by mean desc, run)::double as position, run, round((rr_mean - mean) / mean * 100, 6) as change from t")
+def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(analytics.improvement_curve(analytics.rank_of_runs(*_means(spark, sf_dir))), "run")
+
+
+@_register(
+    "document_pairs",
+    with_views(
+        """x as (select q.qid, q.rel, r.sim from (select *, row_number() over (partition by qid order by docno) as n from qrels where rel >= 0) q join run r using (qid, docno) where n <= 60)
+select a.qid, concat(a.rel, '-', b.rel) as pair, count(*)::double as n, round(avg(case when a.sim < b.sim then 1 else 0 end), 6) as accuracy from x a join x b on a.qid = b.qid and a.rel < b.rel group by 1, 2""",
+        "run", "qrels",
+    ),
+)
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    pool = view(spark, sf_dir, "qrels").filter("rel >= 0").withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("docno"))).filter("n <= 60")
+    return rounded(analytics.document_pairs(pool, view(spark, sf_dir, "run")), "qid", "pair")
+
+
+@_register(
+    "paired_t",
+    with_views(_graded_sql("run", "ga") + ",\n" + _graded_sql("baseline", "gb") + "\nselect count(*)::double as n, round(avg(gav.ndcg - gbv.ndcg), 6) as mean_difference, round(avg(gav.ndcg - gbv.ndcg) / (stddev_samp(gav.ndcg - gbv.ndcg) / sqrt(count(*))), 4) as t from gav join gbv using (qid)", "run", "baseline", "qrels"),
+)
+def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qrels = view(spark, sf_dir, "qrels")
+    a, b = (graded.graded_measures(view(spark, sf_dir, r), qrels) for r in ("run", "baseline"))
+    return rounded(analytics.paired_t(a, b, "ndcg").drop("p")).withColumn("t", F.round("t", 4))
+
+
+@_register("class_priors", "with c as (select quality as label, doc_id % 10 as qid, count(*) as n from labels group by 1, 2) select label, qid, n::double as n, round(n / sum(n) over (partition by label), 6) as p_qid, round(sum(n) over (partition by label) / sum(n) over (), 6) as p_label from c")
+def _priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(analytics.class_priors(table(spark, sf_dir, "labels").select(F.col("quality").alias("label"), (F.col("doc_id") % 10).alias("qid"))), "label", "qid")
+
+
+@_register("topic_years", "select distinct c_custkey % 300 + 1 as qid, concat('wt', lpad(((c_custkey % 300) // 50 + 9)::varchar, 2, '0')) as year, case when c_custkey % 300 + 1 <= 200 then '2009' else '2012' end as collection from customer")
+def _years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 300 + 1).alias("qid")).distinct()
+    return q.select("qid", analytics.year_of(F.col("qid")).alias("year"), analytics.collection_of(F.col("qid")).alias("collection"))
+
+
+@_register("run_lines", with_views("k as (select *, row_number() over (partition by qid order by sim desc, docno) as rank from run) select concat(qid, ' Q0 ', docno, ' ', rank) as line from k", "run"))
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trec_text.run_lines(view(spark, sf_dir, "run"), "rankloom").select(F.regexp_extract("value", r"^(\S+ Q0 \S+ \d+)", 1).alias("line"))
+
+
+# --- text ----------------------------------------------------------------------------------------------------------------------
+
+
+@_register("strip_tags", "select page_id, regexp_replace(html, '<[^>]*>', '', 'g') as text from pages")
+def _strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.strip_tags(F.col("html")).alias("text"))
+
+
+_TOKENS_SQL = "list_filter(string_split_regex(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}.'']', ' ', 'g'), '\\.([^ ])', ' \\1', 'g'), ' +'), lambda t: t <> '')"
+
+
+@_register("tokens", f"select doc_id, len(list_filter({_TOKENS_SQL}, lambda t: regexp_matches(t, '[\\p{{L}}\\p{{Nd}}]')))::bigint as n_tokens from documents")
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(T.tokens(F.col("text")), lambda t: t.rlike(r"[\p{L}\p{Nd}]"))).cast("bigint").alias("n_tokens"))
+
+
+@_register("content_tokens")
+def _content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.content_tokens(F.col("text")).alias("tokens"))
+
+
+@_register("stems")
+def _stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", S.stems(T.tokens(F.col("text"))).alias("stems"))
+
+
+@_register("sentence_counts")
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("n_sentences"))
+
+
+@_register("title_and_body")
+def _title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.title_and_body(F.col("html")).alias("x")).select("page_id", "x.*")
+
+
+@_register("query_terms", "select item_id, list_filter(string_split(regexp_replace(lower(regexp_replace(text, '<[^>]*>', '', 'g')), '''s', '', 'g'), ' '), lambda t: t <> '') as terms from benchmark")
+def _query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", T.query_terms(F.col("text")).alias("terms"))
+
+
+@_register("query_chunks", "select item_id, list_filter(list_transform(regexp_split_to_array(text, '[ /,!\\-:'']'), lambda t: lower(trim(t))), lambda t: t <> '' and t <> 's' and t not in (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")) as chunks from benchmark")
+def _query_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", T.query_chunks(F.col("text")).alias("chunks"))
+
+
+@_register("filtered_urls", "select p.page_id, url, f.qid from pages p join (select l_orderkey as page_id, l_suppkey % 50 as qid from lineitem group by all) f on p.page_id = f.page_id where f.qid > 0")
+def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("docid"), (F.col("l_suppkey") % 50).alias("qid")).distinct()
+    from ..sources.warc import for_topics
+
+    return for_topics(table(spark, sf_dir, "pages").select(F.col("page_id").alias("docid"), "url"), wanted).select(F.col("docid").alias("page_id"), "url", "qid")
+
+
+@_register("sparse_vectors")
+def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = F.map_from_entries(F.transform("embedding", lambda v, i: F.struct(i, v.cast("double"))))
+    return table(spark, sf_dir, "embeddings").select("vec_id", T.sparse_vector(entries).alias("vector"))
+
+
+# --- arrays and matrices -------------------------------------------------------------------------------------------------------
+
+
+@_register("clamped_cosine", "select a.vec_id as a, b.vec_id as b, round(case when c < 0.1 then 0 else c end, 6) as cosine from (select a.vec_id, b.vec_id as bid, least(greatest(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 0), 1) as c from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id) x join embeddings a on x.vec_id = a.vec_id join embeddings b on x.bid = b.vec_id")
+def _cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    a, b = e.alias("a"), e.alias("b")
+    rows = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
+    return rows.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(A.clamped_cosine(F.col("a.embedding"), F.col("b.embedding"), 0.1), 6).alias("cosine"))
+
+
+@_register("k_max", "select vec_id, list_transform(list_sort(embedding, 'desc')[1:3], lambda v: round(v::double, 6)) as top from embeddings")
+def _k_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(A.k_max(F.col("embedding"), 3), lambda v: F.round(v.cast("double"), 6)).alias("top"))
+
+
+@_register("padded", "select vec_id, list_transform(list_concat(embedding, list_transform(range(0, 6), lambda i: 0.0::float)), lambda v: round(v::double, 6)) as padded from embeddings")
+def _padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(A.pad(F.col("embedding"), 70), lambda v: F.round(v.cast("double"), 6)).alias("padded"))
+
+
+@_register("absolute_max", "select vec_id, list(i order by i) as positions from (select vec_id, i - 1 as i, row_number() over (partition by vec_id order by v desc, i) as n from (select vec_id, unnest(embedding) as v, unnest(range(1, len(embedding) + 1)) as i from embeddings)) where n <= 8 group by vec_id")
+def _absolute_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(A.absolute_max(F.col("embedding"), 8), lambda i: i.cast("bigint")).alias("positions"))
+
+
+@_register("slide_positions")
+def _slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("embedding")
+    df = table(spark, sf_dir, "embeddings").select("vec_id", e, A.max_slide(e, 9, 3).alias("maxslide"))
+    return df.select("vec_id", "maxslide", A.strides(e, 9, 3).alias("strides"), A.separated(F.col("maxslide"), 9).alias("maxslidesep"))
+
+
+@_register("binarised", "select vec_id, list_transform(embedding, lambda v: case when v >= 0.999 then 1.0 else round(v::double, 6) end) as v from embeddings")
+def _binarised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", A.binarise(F.transform("embedding", lambda v: F.when(v >= 0.999, F.lit(1.0)).otherwise(F.round(v.cast("double"), 6)))).alias("v"))
+
+
+@_register("softmax", "select vec_id, list_transform(embedding, lambda v: round(exp(v::double) / list_sum(list_transform(embedding, lambda x: exp(x::double))), 6)) as p from embeddings")
+def _softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.transform("embedding", lambda v: v.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(A.softmax(e), lambda v: F.round(v, 6)).alias("p"))
+
+
+@_register("representatives")
+def _representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "embeddings").select(F.col("label").cast("bigint").alias("grp"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return representatives.representatives(points, 5, 0.1)
+
+
+@_register("semantic_measures", """with q as (select vec_id as qid, embedding as q, label as ql from embeddings where vec_id < 20),
+x as (select qid, concat('V', vec_id) as docno, list_sum(list_transform(range(1, 65), lambda i: embedding[i]::double * q[i]::double))::float as sim, (label = ql)::int as rel from embeddings e join q on true where vec_id >= 20),
+k as (select *, row_number() over (partition by qid order by sim desc, docno desc) as rank from x)
+select qid, round(sum(case when rank <= 10 then rel else 0 end) / 10.0, 6) as P_10, round(coalesce(1 / min(case when rel = 1 then rank end), 0)::double, 6) as recip_rank from k group by qid""")
+def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(measures.evaluate(*semantic(spark, sf_dir), ["average", "cutoffs"]).select("qid", "P_10", "recip_rank"), "qid")
+
+
+@_register("scored_matrices")
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    rows = [F.transform(F.slice("embedding", 1 + 16 * i, 16), lambda v: v.cast("float")) for i in range(4)]
+    pairs = e.select(F.col("label").cast("bigint").alias("qid"), F.concat(F.lit("V"), "vec_id").alias("docno"), F.array(*rows).alias("matrix"), F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")).alias("idf"))
+    return representatives.score(pairs, representatives.scorer_weights())
+
+
+@_register("training_pairs")
+def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return representatives.training_pairs(view(spark, sf_dir, "qrels").filter("rel >= 0").select("qid", "docno", analytics.remap(F.col("rel")).alias("label")), 2048)
+
+
+@_register("event_windows", "select time_bucket(interval 1 hour, ts) as start, event_type, count(*)::bigint as n, round(sum(value), 4) as total from events group by 1, 2")
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.windowed(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
