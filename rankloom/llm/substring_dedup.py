@@ -27,10 +27,10 @@ from .streams import sorted_runs
 
 GRAM = 32
 #: Longest piece of a text whose windows are chosen at once, and contexts of a name that one task ranks.
-PIECE = 4 << 20
+PIECE = 2 << 20
 CLASS = 20_000
 #: Anchors of a task among which equal spans are settled before the shuffle.
-HELD = 1_000_000
+HELD = 500_000
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -92,6 +92,8 @@ def _ranked_spans(texts: DataFrame, length: int) -> DataFrame:
             on, done = new, more
             cols = [np.concatenate([x[on], x[done]]) for x in (name, span, tid, lo, hi)]
             kind = np.concatenate([kind[on], np.ones(int(done.sum()), np.int8)])
+            # what is settled only passes through the shuffle, spread evenly
+            cols[0][int(on.sum()) :] = H.mix(cols[2][int(on.sum()) :].view(np.uint64) + cols[3][int(on.sum()) :].astype(np.uint64)).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (cols[0], cols[1], cols[2], cols[3].astype(np.int32), cols[4].astype(np.int32), kind)], names=["name", "span", "tid", "lo", "hi", "kind"])
 
         for b in batches:
