@@ -96,9 +96,12 @@ def _decoded(f, at: int, size: int) -> tuple[dict[str, str], bytes, int] | None:
             return None
         pos += len(block)
         if header is None:
-            if len(out) >= 5 and out[:5] != b"WARC/" or len(out) > 1 << 20:
+            if len(out) >= 5 and out[:5] != b"WARC/":
                 return None
-            if (end := out.find(b"\r\n\r\n")) >= 0:
+            end = out.find(b"\r\n\r\n", 0, 1 << 20)
+            if end < 0 and len(out) > 1 << 20:
+                return None
+            if end >= 0:
                 lines = out[:end].decode("utf-8", "replace").split("\r\n")
                 header = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
                 if not header.get("content-length", "").isdigit():
