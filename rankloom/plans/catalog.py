@@ -12,7 +12,7 @@ from ..functions import stem as S
 from ..functions import text as T
 from ..operators import analytics, graded, measures, preferences, representatives
 from ..operators.ranked import ranked
-from ..sources import trec_text
+from ..sources import run_files
 from ..streaming import monitor
 from .views import semantic, table, view, with_views
 
@@ -345,7 +345,7 @@ def _years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("run_lines", with_views("k as (select *, row_number() over (partition by qid order by sim desc, docno) as rank from run) select concat(qid, ' Q0 ', docno, ' ', rank) as line from k", "run"))
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trec_text.run_lines(view(spark, sf_dir, "run"), "rankloom").select(F.regexp_extract("value", r"^(\S+ Q0 \S+ \d+)", 1).alias("line"))
+    return run_files.run_lines(view(spark, sf_dir, "run"), "rankloom").select(F.regexp_extract("value", r"^(\S+ Q0 \S+ \d+)", 1).alias("line"))
 
 
 # --- text ----------------------------------------------------------------------------------------------------------------------

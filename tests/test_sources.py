@@ -3,29 +3,29 @@ import gzip
 import pytest
 
 from rankloom.plans import settings
-from rankloom.sources import trec_text, warc
+from rankloom.sources import run_files, warc
 
 
 def test_run_and_qrels(spark, tmp_path):
     (tmp_path / "run").write_text("1 Q0 a 9 2.5 x junk more\n\n1 Q0 b 3 3.5 last\n")
-    rows = trec_text.read_run(spark, str(tmp_path / "run")).collect()
+    rows = run_files.read_run(spark, str(tmp_path / "run")).collect()
     assert {(r.docno, r.sim, r.run_id) for r in rows} == {("a", 2.5, "last"), ("b", 3.5, "last")}
     (tmp_path / "qrels").write_text("1 0 a 1\n1\t0  b 0\n")
-    assert trec_text.read_qrels(spark, str(tmp_path / "qrels")).count() == 2
+    assert run_files.read_qrels(spark, str(tmp_path / "qrels")).count() == 2
     (tmp_path / "bad").write_text("1 0 a\n")
     with pytest.raises(Exception, match="malformed"):
-        trec_text.read_qrels(spark, str(tmp_path / "bad")).collect()
+        run_files.read_qrels(spark, str(tmp_path / "bad")).collect()
 
 
 def test_run_round_trip(spark, tmp_path):
     run = spark.createDataFrame([("1", "a", 1.5), ("1", "b", 2.5)], "qid string, docno string, sim double")
-    trec_text.write_run(run, str(tmp_path / "out"), "me")
-    assert {(r.docno, r["rank"]) for r in trec_text.read_run(spark, str(tmp_path / "out")).collect()} == {("b", 1), ("a", 2)}
+    run_files.write_run(run, str(tmp_path / "out"), "me")
+    assert {(r.docno, r["rank"]) for r in run_files.read_run(spark, str(tmp_path / "out")).collect()} == {("b", 1), ("a", 2)}
 
 
 def test_topics(spark, tmp_path):
     (tmp_path / "t.xml").write_text('<webtrack><topic number="3" type="x"><query>obama family tree</query><description>Find it.</description></topic></webtrack>')
-    assert tuple(trec_text.read_topics(spark, str(tmp_path / "t.xml")).first()) == (3, "obama family tree", "Find it.")
+    assert tuple(run_files.read_topics(spark, str(tmp_path / "t.xml")).first()) == (3, "obama family tree", "Find it.")
 
 
 def test_warc(spark, tmp_path):
