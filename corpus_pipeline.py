@@ -46,7 +46,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: The near-duplicate, decontamination and secret stages are not expressible in SQL; the tests hold run() against brute force.
+#: The near-duplicate, decontamination and secret stages are not expressible in SQL; the tests hold their operators against brute force.
 ORACLE_SQL = None
 
 
