@@ -5,9 +5,10 @@ must share one of) in lists ordered by set size and position. Relations between
 
 * index level: within a list, entries are grouped in blocks by position; a probe skips each block whose largest remaining
   length can't reach the overlap it needs;
-* answer level: every entry is first compared with one representative of its list only. What links to the same representative
-  is one component, so its members derive each other's answers from that and are never compared. In a second round one entry
-  of each component meets the list's first, and only entries of different components go on to be probed block by block.
+* answer level: every list proposes its set with fewest shingles of its own as a representative, and every set is first compared
+  only with the one that most of its lists propose. What links to the same representative is one component, so its members
+  derive each other's answers from that and are never compared. In a second round one entry of each component meets the
+  list's representative, and only entries of different components go on to be probed block by block.
 
 No pair is lost: a pair that links shares an index shingle, and it is either inside one component or probed.
 """
@@ -34,6 +35,8 @@ COUNTED = 0.5
 #: Entries of a list that one position block covers, and sets that meet their representative in one group.
 BLOCK = 16
 GROUP = 512
+#: Bits of a place below the set's size: the position, above it how many shingles are the set's own (so many at most).
+OWN_BITS, POS_BITS = 5, 28
 
 
 def _needed(size, t: int):
@@ -50,6 +53,11 @@ def _may_link(size, pos, size2, pos2, t: int):
     return np.minimum(size - pos, size2 - pos2) >= _pair_needed(size, size2, t)
 
 
+def _fields(place):
+    """Size, own shingles and position of a place."""
+    return place >> (OWN_BITS + POS_BITS), (place >> POS_BITS) & ((1 << OWN_BITS) - 1), place & ((1 << POS_BITS) - 1)
+
+
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,7 +123,7 @@ def _hot_shingles(docs: DataFrame, k: int, total: int) -> np.ndarray:
 
 
 def _index(docs: DataFrame, k: int, t: int, hot: np.ndarray) -> DataFrame:
-    """(token, place, sid): place is the set's size << 32 and the token's position in it."""
+    """(token, place, sid): place holds the set's size, how many counted shingles aren't frequent, and the token's position."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def scan(batches):
@@ -132,11 +140,12 @@ def _index(docs: DataFrame, k: int, t: int, hot: np.ndarray) -> DataFrame:
                 key = low >> np.uint64(24)
                 at = np.searchsorted(hot, key)
                 common = hot[np.minimum(at, len(hot) - 1)] == key if len(hot) else np.zeros(len(key), bool)
+                own = min(int((~common).sum()), (1 << OWN_BITS) - 1)
                 if common[:take].any():
                     # all that isn't frequent by hash, then the frequent ones by hash
                     s = np.concatenate([low[~common], s[len(low) :], low[common]])
                 tokens.append(s[:take].view(np.int64))
-                places.append((len(s) << 32) + np.arange(take, dtype=np.int64))
+                places.append((((len(s) << OWN_BITS) + own) << POS_BITS) + np.arange(take, dtype=np.int64))
                 sids.append(np.full(take, sid, np.int64))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, places, sids)], names=["token", "place", "sid"])
@@ -145,7 +154,7 @@ def _index(docs: DataFrame, k: int, t: int, hot: np.ndarray) -> DataFrame:
 
 
 def _lists(index: DataFrame, t: int) -> DataFrame:
-    """Entries of lists with two sets or more, each with the representative that it meets first (its own sid: none)."""
+    """Entries of lists with two sets or more, each with the representative that its list proposes (its own sid: none)."""
 
     def lead(batches):
         for starts, c in sorted_runs(batches, "token"):
@@ -157,10 +166,10 @@ def _lists(index: DataFrame, t: int) -> DataFrame:
             if not len(token):
                 continue
             first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-            size, pos = place >> 32, place & 0xFFFFFFFF
-            # the set that has fewest rarer shingles of its own is the one that most others derive from
+            size, own, pos = _fields(place)
+            # the set that has fewest shingles of its own is the one that most others derive from, in all lists alike
             run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(token))))
-            head = np.lexsort((sid, pos, run))[first][run]
+            head = np.lexsort((sid, own, run))[first][run]
             rep = np.where(_may_link(size, pos, size[head], pos[head], t), sid[head], sid)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, place, sid, rep)], names=["token", "place", "sid", "rep"])
 
@@ -169,21 +178,28 @@ def _lists(index: DataFrame, t: int) -> DataFrame:
     return spread.mapInArrow(lead, "token bigint, place bigint, sid bigint, rep bigint")
 
 
+def _stars(lists: DataFrame) -> DataFrame:
+    """Pairs (u > v) of a set and the representative that most of its lists propose: one pair a set at most."""
+    votes = lists.filter("rep <> sid").groupBy("sid", "rep").count()
+    chosen = votes.groupBy("sid").agg(F.max(F.struct("count", "rep"))["rep"].alias("rep"))
+    return chosen.select(F.greatest("sid", "rep").alias("u"), F.least("sid", "rep").alias("v"), "sid", "rep")
+
+
 def _stars_of_components(lists: DataFrame, t: int) -> DataFrame:
-    """Pairs (u > v): in each list, one entry of every component against one of the first entry's component."""
+    """Pairs (u > v): in each list, one entry of every component against the list's representative."""
 
     def star(batches):
         for starts, c in sorted_runs(batches, "token"):
-            size, pos = c["place"] >> 32, c["place"] & 0xFFFFFFFF
+            size, own, pos = _fields(c["place"])
             run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-            order = np.lexsort((c["sid"], pos, c["comp"], run))
+            order = np.lexsort((c["sid"], own, c["comp"], run))
             r, k = run[order], c["comp"][order]
             entry = order[np.concatenate(([True], (r[1:] != r[:-1]) | (k[1:] != k[:-1])))]  # the first of each component
-            entry = entry[np.lexsort((c["sid"][entry], pos[entry], run[entry]))]
+            entry = entry[np.lexsort((c["sid"][entry], own[entry], run[entry]))]
             r = run[entry]
             lead = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
             head = entry[np.repeat(lead, np.diff(np.append(lead, len(r))))]
-            ok = (head != entry) & (c["rep"][entry] != c["sid"][head]) & _may_link(size[entry], pos[entry], size[head], pos[head], t)
+            ok = (head != entry) & _may_link(size[entry], pos[entry], size[head], pos[head], t)
             u, v = c["sid"][entry][ok], c["sid"][head][ok]
             if len(u):
                 pairs = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v))), axis=1)
@@ -200,15 +216,15 @@ def _probe(lists: DataFrame, t: int) -> DataFrame:
 
     def probe(batches):
         for starts, c in sorted_runs(batches, "token"):
-            size, pos = c["place"] >> 32, c["place"] & 0xFFFFFFFF
+            size, _, pos = _fields(c["place"])
             us, vs = [], []
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 comp = c["comp"][a:b]
                 if (comp == comp[0]).all():
                     continue  # one component: every answer follows from the representative's
-                z, left, sid, rep = size[a:b], size[a:b] - pos[a:b], c["sid"][a:b], c["rep"][a:b]
+                z, left, sid = size[a:b], size[a:b] - pos[a:b], c["sid"][a:b]
                 order = np.lexsort((z, pos[a:b] // BLOCK))
-                z, left, sid, rep, comp = z[order], left[order], sid[order], rep[order], comp[order]
+                z, left, sid, comp = z[order], left[order], sid[order], comp[order]
                 block = np.flatnonzero(np.concatenate(([True], np.diff(pos[a:b][order] // BLOCK) > 0)))
                 most, least = np.maximum.reduceat(left, block), np.minimum.reduceat(z, block)
                 ends = np.append(block[1:], len(z))
@@ -217,7 +233,7 @@ def _probe(lists: DataFrame, t: int) -> DataFrame:
                         s = slice(max(block[j], i + 1), ends[j])
                         if s.start >= s.stop:
                             continue
-                        ok = (np.minimum(left[i], left[s]) >= _pair_needed(z[i], z[s], t)) & (comp[s] != comp[i]) & (rep[s] != sid[i]) & (rep[i] != sid[s])
+                        ok = (np.minimum(left[i], left[s]) >= _pair_needed(z[i], z[s], t)) & (comp[s] != comp[i])
                         if ok.any():
                             vs.append(sid[s][ok])
                             us.append(np.full(int(ok.sum()), sid[i]))
@@ -275,28 +291,27 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     total = signatures.agg(F.sum("n_shingles")).first()[0] or 0
     if total:
         lists = write_shared(_lists(_index(docs, k, percent, _hot_shingles(docs, k, total)), percent), "lists")
-        stars = lists.filter("rep <> sid").select(F.col("sid").alias("u"), F.col("rep").alias("v")).distinct()
-        links = write_shared(_verified(docs, classes.select("sid", "doc_id"), stars, k, percent), "links")
+        stars = write_shared(_stars(lists), "stars")
+        spokes = stars.select(F.col("sid").alias("u"), F.col("rep").alias("v"))
+        links = write_shared(_verified(docs, classes.select("sid", "doc_id"), spokes, k, percent), "links")
         comps = write_shared(connected_components(links), "comps")
         representatives = classes.select("sid", "doc_id")
 
         def tagged(comps: DataFrame) -> DataFrame:
             """Lists that still have entries of two components or more, with these."""
-            rows = lists.join(comps, lists.sid == comps.node, "left").select("token", "place", "sid", "rep", F.coalesce("comp", "sid").alias("comp"))
+            rows = lists.join(comps, lists.sid == comps.node, "left").select("token", "place", "sid", F.coalesce("comp", "sid").alias("comp"))
             mixed = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
             return rows.join(mixed, "token").repartition("token").sortWithinPartitions("token", "place", "sid")
 
-        tried = None
+        tried = stars.select("u", "v")
         for round_ in (1, 2):
             # one entry for each component first: what links merges, and is not probed pair by pair
             pairs = _stars_of_components(tagged(comps), percent) if round_ == 1 else _probe(tagged(comps), percent)
-            if tried is not None:
-                pairs = pairs.join(tried, ["u", "v"], "left_anti")
-            pairs = write_shared(pairs, "pairs")
+            pairs = write_shared(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
             if not pairs.isEmpty():
                 bridges = comps.filter("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v"))
                 comps = write_shared(connected_components(_verified(docs, representatives, pairs, k, percent).union(bridges)), "comps")
-            tried = pairs
+            tried = tried.union(pairs)
         members = classes.join(comps, classes.sid == comps.node, "left").withColumn("comp", F.coalesce("comp", "sid"))
         heads = members.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
         answers = members.join(heads, "comp").select("sid", "component_id", "class_rows")
