@@ -8,7 +8,9 @@ must share one of) in lists ordered by set size and position. Relations between
 * answer level: every list proposes its set with fewest shingles of its own as a representative, and every set is first compared
   only with the one that most of its lists propose. What links to the same representative is one component, so its members
   derive each other's answers from that and are never compared. In a second round one entry of each component meets the
-  list's representative, and only entries of different components go on to be probed block by block.
+  list's representative, and only entries of different components go on to be probed block by block. Each carries a sketch of
+  its set there: one parity bit for each of SKETCH_BITS buckets of shingles. Two sets differ in at least as many shingles as their
+  sketches in bits, so pairs that must differ in too many are dropped inside the list and never become rows.
 
 No pair is lost: a pair that links shares an index shingle, and it is either inside one component or probed.
 """
@@ -37,6 +39,8 @@ BLOCK = 16
 GROUP = 512
 #: Bits of a place below the set's size: the position, above it how many shingles are the set's own (so many at most).
 OWN_BITS, POS_BITS = 5, 28
+#: Bits of a sketch. It tells most pairs of up to some 3,000 shingles apart; larger sets are compared as texts more often.
+SKETCH_BITS = 2048
 
 
 def _needed(size, t: int):
@@ -208,8 +212,29 @@ def _stars_of_components(lists: DataFrame, t: int) -> DataFrame:
     return lists.mapInArrow(star, "u bigint, v bigint").distinct()
 
 
+def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of docs, thinned out to about those with a doc_id in ids."""
+    present = id_filter(ids.select("doc_id").distinct(), "doc_id")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("text").isNotNull()).filter(present(F.col("doc_id")))
+
+
+def _sketches(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+    """(sid, sketch) of the sets of chosen (sid, doc_id), and maybe of others."""
+
+    def scan(batches):
+        for b in batches:
+            sids, sketches = [], []
+            for _, s in H.shingle_sets(b["text"], k):
+                bucket = (s * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - int(np.log2(SKETCH_BITS)))
+                sids.append(H.set_id(s))
+                sketches.append(np.packbits(np.bincount(bucket.astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sketches, pa.binary())], names=["sid", "sketch"])
+
+    return _rows_of(docs, chosen).select("text").mapInArrow(scan, "sid bigint, sketch binary").dropDuplicates(["sid"])
+
+
 def _probe(lists: DataFrame, t: int) -> DataFrame:
-    """Pairs of different components (u > v) within each list that size and position leave possible.
+    """Pairs of different components (u > v) within each list that size, position and sketch leave possible.
 
     lists: sorted by token within partitions.
     """
@@ -223,8 +248,9 @@ def _probe(lists: DataFrame, t: int) -> DataFrame:
                 if (comp == comp[0]).all():
                     continue  # one component: every answer follows from the representative's
                 z, left, sid = size[a:b], size[a:b] - pos[a:b], c["sid"][a:b]
+                bits = np.frombuffer(b"".join(c["sketch"][a:b]), np.uint64).reshape(b - a, -1)
                 order = np.lexsort((z, pos[a:b] // BLOCK))
-                z, left, sid, comp = z[order], left[order], sid[order], comp[order]
+                z, left, sid, comp, bits = z[order], left[order], sid[order], comp[order], bits[order]
                 block = np.flatnonzero(np.concatenate(([True], np.diff(pos[a:b][order] // BLOCK) > 0)))
                 most, least = np.maximum.reduceat(left, block), np.minimum.reduceat(z, block)
                 ends = np.append(block[1:], len(z))
@@ -233,10 +259,12 @@ def _probe(lists: DataFrame, t: int) -> DataFrame:
                         s = slice(max(block[j], i + 1), ends[j])
                         if s.start >= s.stop:
                             continue
-                        ok = (np.minimum(left[i], left[s]) >= _pair_needed(z[i], z[s], t)) & (comp[s] != comp[i])
-                        if ok.any():
+                        needed = _pair_needed(z[i], z[s], t)
+                        ok = np.flatnonzero((np.minimum(left[i], left[s]) >= needed) & (comp[s] != comp[i]))
+                        ok = ok[np.bitwise_count(bits[s][ok] ^ bits[i]).sum(axis=1, dtype=np.int64) <= (z[i] + z[s] - 2 * needed)[ok]]
+                        if len(ok):
                             vs.append(sid[s][ok])
-                            us.append(np.full(int(ok.sum()), sid[i]))
+                            us.append(np.full(len(ok), sid[i]))
             if us:
                 u, v = np.concatenate(us), np.concatenate(vs)
                 pairs = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v))), axis=1)
@@ -251,9 +279,7 @@ def _verified(docs: DataFrame, chosen: DataFrame, edges: DataFrame, k: int, t: i
     followers = edges.join(spread, "v").select(F.col("u").alias("sid"), F.col("v").alias("key"), F.pmod(F.xxhash64("u"), F.col("groups")).cast("int").alias("salt"), F.lit(1).alias("role"))
     leaders = spread.select(F.col("v").alias("sid"), F.col("v").alias("key"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(0).alias("role"))
     wanted = write_shared(followers.union(leaders).join(chosen, "sid"), "wanted")
-    present = id_filter(wanted.select("doc_id").distinct(), "doc_id")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("text").isNotNull())
-    rows = texts.filter(present(F.col("doc_id"))).join(wanted.withColumnRenamed("doc_id", "chosen_id"), F.col("doc_id").eqNullSafe(F.col("chosen_id")))
+    rows = _rows_of(docs, wanted).join(wanted.withColumnRenamed("doc_id", "chosen_id"), F.col("doc_id").eqNullSafe(F.col("chosen_id")))
 
     def verify(batches):
         key = leader = None
@@ -301,12 +327,20 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
             """Lists that still have entries of two components or more, with these."""
             rows = lists.join(comps, lists.sid == comps.node, "left").select("token", "place", "sid", F.coalesce("comp", "sid").alias("comp"))
             mixed = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
-            return rows.join(mixed, "token").repartition("token").sortWithinPartitions("token", "place", "sid")
+            return rows.join(mixed, "token")
+
+        def by_token(rows: DataFrame) -> DataFrame:
+            return rows.repartition("token").sortWithinPartitions("token", "place", "sid")
 
         tried = stars.select("u", "v")
         for round_ in (1, 2):
             # one entry for each component first: what links merges, and is not probed pair by pair
-            pairs = _stars_of_components(tagged(comps), percent) if round_ == 1 else _probe(tagged(comps), percent)
+            if round_ == 1:
+                pairs = _stars_of_components(by_token(tagged(comps)), percent)
+            else:
+                mixed = write_shared(tagged(comps), "mixed")
+                met = mixed.select("sid").distinct().join(representatives, "sid")
+                pairs = _probe(by_token(mixed.join(_sketches(docs, met, k), "sid")), percent)
             pairs = write_shared(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
             if not pairs.isEmpty():
                 bridges = comps.filter("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v"))
