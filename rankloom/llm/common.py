@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,18 +44,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_filter(ids: DataFrame, column: str) -> Column:
-    """A test on a bigint column that is true for every value in ids (and for few or, past the size bound, many others).
+def id_bitmap(ids: DataFrame, column: str) -> tuple[Broadcast, Callable[[Column], Column]]:
+    """A broadcast bitmap of 64-bit words with the bits of all values in ids set, and the expression of a bigint column's bit.
 
-    Built as a bitmap of at most MAX_FILTER_BITS bits whatever the number of ids, so it may be broadcast. It only thins out
-    what a following exact join has to shuffle. Nulls pass.
+    It has at most MAX_FILTER_BITS bits whatever the number of ids, so it may be broadcast. It only thins out what a
+    following exact join has to shuffle.
     """
     spark = ids.sparkSession
     n = ids.count()
     bits = 1 << int(np.clip(np.ceil(np.log2(max(n, 1) * 16)), 10, np.log2(MAX_FILTER_BITS)))
-    slot = F.xxhash64(F.col(column).cast("bigint")).bitwiseAND(F.lit(bits - 1))
+
+    def slot(value: Column) -> Column:
+        return F.xxhash64(value.cast("bigint")).bitwiseAND(F.lit(bits - 1))
+
     words = (
-        ids.select(slot.alias("slot"))
+        ids.select(slot(F.col(column)).alias("slot"))
         .groupBy(F.shiftright("slot", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
         .toArrow()
@@ -61,13 +66,21 @@ def id_filter(ids: DataFrame, column: str) -> Column:
     bitmap = np.zeros(bits // 64, dtype=np.int64)
     if words.num_rows:
         bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
-    shared = spark.sparkContext.broadcast(bitmap)
+    return spark.sparkContext.broadcast(bitmap), slot
+
+
+def in_bitmap(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bitmap[slots >> 6] >> (slots & 63)) & 1 == 1
+
+
+def id_filter(ids: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test on a bigint column by id_bitmap: true for every value in ids (and for few or, past the size bound, many others)."""
+    shared, slot = id_bitmap(ids, column)
 
     @F.pandas_udf("boolean")
     def present(slots):
         import pandas as pd
 
-        s = slots.to_numpy(dtype=np.int64)
-        return pd.Series((shared.value[s >> 6] >> (s & 63)) & 1 == 1)
+        return pd.Series(in_bitmap(shared.value, slots.to_numpy(dtype=np.int64)))
 
-    return lambda value: present(F.xxhash64(value.cast("bigint")).bitwiseAND(F.lit(bits - 1)))  # type: ignore[return-value]
+    return lambda value: present(slot(value))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import id_filter, write_shared
+from .common import id_bitmap, id_filter, in_bitmap, write_shared
 from .graph import connected_components
 from .streams import sorted_runs
 
@@ -212,25 +212,25 @@ def _stars_of_components(lists: DataFrame, t: int) -> DataFrame:
     return lists.mapInArrow(star, "u bigint, v bigint").distinct()
 
 
-def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of docs, thinned out to about those with a doc_id in ids."""
-    present = id_filter(ids.select("doc_id").distinct(), "doc_id")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("text").isNotNull()).filter(present(F.col("doc_id")))
-
-
 def _sketches(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
-    """(sid, sketch) of the sets of chosen (sid, doc_id), and maybe of others."""
+    """(sid, sketch) of the sets of chosen (sid, doc_id), and maybe of others.
+
+    The ids are tested where the texts are cut: a Python test in the plan would cost each task a second Python process.
+    """
+    shared, slot = id_bitmap(chosen.select("doc_id").distinct(), "doc_id")
 
     def scan(batches):
         for b in batches:
             sids, sketches = [], []
-            for _, s in H.shingle_sets(b["text"], k):
+            met = b["text"].filter(pa.array(in_bitmap(shared.value, b["slot"].to_numpy())))
+            for _, s in H.shingle_sets(met, k):
                 bucket = (s * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - int(np.log2(SKETCH_BITS)))
                 sids.append(H.set_id(s))
                 sketches.append(np.packbits(np.bincount(bucket.astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sketches, pa.binary())], names=["sid", "sketch"])
 
-    return _rows_of(docs, chosen).select("text").mapInArrow(scan, "sid bigint, sketch binary").dropDuplicates(["sid"])
+    texts = docs.filter(F.col("text").isNotNull()).select(slot(F.col("doc_id")).alias("slot"), "text")
+    return texts.mapInArrow(scan, "sid bigint, sketch binary").dropDuplicates(["sid"])
 
 
 def _probe(lists: DataFrame, t: int) -> DataFrame:
@@ -279,7 +279,9 @@ def _verified(docs: DataFrame, chosen: DataFrame, edges: DataFrame, k: int, t: i
     followers = edges.join(spread, "v").select(F.col("u").alias("sid"), F.col("v").alias("key"), F.pmod(F.xxhash64("u"), F.col("groups")).cast("int").alias("salt"), F.lit(1).alias("role"))
     leaders = spread.select(F.col("v").alias("sid"), F.col("v").alias("key"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(0).alias("role"))
     wanted = write_shared(followers.union(leaders).join(chosen, "sid"), "wanted")
-    rows = _rows_of(docs, wanted).join(wanted.withColumnRenamed("doc_id", "chosen_id"), F.col("doc_id").eqNullSafe(F.col("chosen_id")))
+    present = id_filter(wanted.select("doc_id").distinct(), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("text").isNotNull())
+    rows = texts.filter(present(F.col("doc_id"))).join(wanted.withColumnRenamed("doc_id", "chosen_id"), F.col("doc_id").eqNullSafe(F.col("chosen_id")))
 
     def verify(batches):
         key = leader = None
