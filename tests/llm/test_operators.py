@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from rankloom.llm import decontamination, hashing, html_density, kneser_ney, oracles, packing, quality_rules, secrets, sentence_spans, set_join, substring_dedup, warc_archive
+from rankloom.llm import decontamination, graph, hashing, html_density, kneser_ney, oracles, packing, quality_rules, secrets, sentence_spans, set_join, substring_dedup, warc_archive
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -60,6 +60,19 @@ def components(rows, k, percent):
     return collections.Counter((d, len(sets[i]), low[top(i)]) for i, (d, _) in enumerate(rows))
 
 
+def test_connected_components(spark):
+    """A path, a star around its largest node, a clique, a tree and loops, with repeated edges."""
+    path = [(i, i + 1) for i in range(0, 40)]
+    star = [(200, i) for i in range(100, 130)]
+    clique = list(itertools.combinations(range(-310, -300), 2))
+    tree = [(400 + i, 400 + i // 2) for i in range(2, 60)]
+    edges = path + star + clique * 2 + tree + [(7, 7)]
+    low = {i: 0 for i in range(41)} | {i: 100 for i in (*range(100, 130), 200)} | {i: -310 for i in range(-310, -300)} | {i: 401 for i in range(401, 460)}
+    found = graph.connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()
+    assert sorted((r.node, r.comp) for r in found) == sorted(low.items())
+    assert graph.connected_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
 def test_jaccard_components(spark, k, percent):
     rng = np.random.default_rng(3)
