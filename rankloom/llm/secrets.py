@@ -2,7 +2,8 @@
 
 Each text is scanned as it stands. Then its encoded layers (percent encoding, Unicode and character escapes, base64, compressed data)
 are unwrapped one after another until nothing new comes up; every layer is scanned again, and what is found is mapped back to
-the code points of the original text that encode it. A layer that was seen before is not opened twice, so cycles end.
+the code points of the original text that encode it. A layer that was seen before at the same place is not opened twice, so cycles end;
+equal layers at several places are each mapped.
 """
 
 from __future__ import annotations
@@ -57,6 +58,13 @@ class Layer:
     def ranges(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         return (np.arange(a, b), np.arange(a + 1, b + 1)) if self.start is None else (self.start[a:b], self.stop[a:b])
 
+    def key(self) -> bytes:
+        """A digest of the text and of the place of each character."""
+        h = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        for places in self.ranges(0, len(self.text)):
+            h.update(np.ascontiguousarray(places, np.int64))
+        return h.digest()
+
 
 def _inflated(data: bytes, limit: int) -> bytes | None:
     try:
@@ -150,13 +158,13 @@ def _unbase64(layer: Layer, limit: int) -> Iterator[Layer]:
 def find(text: str, limit: int = 16 << 20) -> tuple[list[Span], list[Span]]:
     """(spans of the base rules on the text itself, spans of all layers), both sorted; limit bounds an inflated layer's bytes."""
     base = matches(text)
-    found, seen, work = set(base), {text}, deque([Layer(text)])
+    found, seen, work = set(base), set(), deque([Layer(text)])
     while work:
         layer = work.popleft()
         for inner in (*_unpercent(layer, limit), *_unescape(layer), *_unbase64(layer, limit)):
-            if not inner.text or inner.text in seen:
+            if not inner.text or (key := inner.key()) in seen:
                 continue
-            seen.add(inner.text)
+            seen.add(key)
             for a, kind, b in matches(inner.text):
                 x, y = inner.place(a, b)
                 found.add((x, kind, y))

@@ -185,6 +185,22 @@ def test_secrets_layers(spark):
     assert by_id[100].text == "my [assign] and [access]" and by_id[100].n_chars == 24 and by_id[1].text is None and clean.count() == len(rows)
 
 
+def test_secrets_at_every_place():
+    plain = base64.b64encode(b"password=hunter22").decode().rstrip("=")
+    packed = base64.b64encode(gzip.compress(b"password=hunter22", mtime=0)).decode()
+    percent = "%70assword=hunter22"
+    for block in (plain, packed):
+        text = f"a {block} b {block} c {block}"
+        places = [m.start() for m in re.finditer(re.escape(block), text)]
+        spans = secrets.find(text)[1]
+        assert len(spans) == 3 and [a for a, _, _ in spans] == places
+        assert secrets.redacted(text, spans).count("[assign]") == 3 and "a [assign]" in secrets.redacted(text, spans)
+    text = f"{plain} and {packed} and {percent}"  # several encodings of one text
+    assert [a for a, _, _ in secrets.find(text)[1]] == [0, text.index(packed), text.index(percent)]
+    nested = base64.b64encode(f"x {plain} y {plain}".encode()).decode()
+    assert len(secrets.find(f"{nested} {nested}")[1]) == 4
+
+
 def test_html_density(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     expected = {}
