@@ -3,18 +3,19 @@
 Each text is scanned as it stands. Then its encoded layers (percent encoding, Unicode and character escapes, base64, compressed data)
 are unwrapped one after another until nothing new comes up; every layer is scanned again, and what is found is mapped back to
 the code points of the original text that encode it. A layer that was seen before at the same place is not opened twice, so cycles end;
-equal layers at several places are each mapped.
+equal layers at several places are each mapped. Compressed data is read whole, all its members, in pieces; base64 that is wrapped over lines is
+joined first.
 """
 
 from __future__ import annotations
 
 import base64
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,13 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: base64 over several lines; each line is a _RUN.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)++={0,2}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Behind these no match and no encoded run goes on: a character that none of them has, or a blank between two words.
+_CUT = re.compile(r"[^A-Za-z0-9+/_.=:\"'%\\&#;{}\s-]|(?<=[A-Za-z0-9.]) (?=[A-Za-z])")
+#: Inflated text without such a place is held back up to so many characters, then parted with an overlap of _OVERLAP.
+_HELD, _OVERLAP = 16 << 20, 1 << 16
 
 Span = tuple[int, int, int]
 
@@ -66,26 +74,60 @@ class Layer:
         return h.digest()
 
 
-def _inflated(data: bytes, limit: int) -> bytes | None:
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(47).decompress(data, limit)
-        if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-            return zlib.decompressobj().decompress(data, limit)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, limit)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, limit)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        pass
+def _opener(data: bytes):
+    """A decompressor for the stream that data begins with, if it begins with one."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(47)
+    if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
     return None
 
 
-def _whole(layer: Layer, a: int, b: int, data: bytes) -> Layer:
-    """Inflated data: every character stands for the whole range."""
-    text = data.decode("utf-8", "replace")
+def _inflated(data: bytes, limit: int) -> Iterator[bytes]:
+    """The whole of the compressed streams that data begins with, in pieces of up to limit bytes; a broken stream up to where it breaks."""
+    while (stream := _opener(data)) is not None:
+        try:
+            while True:
+                piece = stream.decompress(data, limit)
+                if piece:
+                    yield piece
+                data = getattr(stream, "unconsumed_tail", b"")
+                if stream.eof or not piece and not data:
+                    break
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            return
+        if not stream.eof:
+            return
+        data = stream.unused_data.lstrip(b"\0")  # xz and gzip files may be padded
+
+
+def _texts(pieces: Iterator[bytes]) -> Iterator[str]:
+    """The pieces' text, cut only where nothing that is looked for goes on."""
+    decoder, held = codecs.getincrementaldecoder("utf-8")("replace"), ""
+    for piece in pieces:
+        old, held = len(held), held + decoder.decode(piece)
+        # what was held back before has no place to cut but maybe at its end
+        cuts = [m.end() for m in _CUT.finditer(held, max(0, old - 1))]
+        if cuts:
+            yield held[: cuts[-1]]
+            held = held[cuts[-1] :]
+        elif len(held) > _HELD:
+            yield held
+            held = held[-_OVERLAP:]
+    held += decoder.decode(b"", True)
+    if held:
+        yield held
+
+
+def _whole(layer: Layer, a: int, b: int, data: bytes, limit: int) -> Iterator[Layer]:
+    """Inflated data, if data is compressed: every character stands for the whole range."""
     x, y = layer.place(a, b)
-    return Layer(text, np.full(len(text), x), np.full(len(text), y))
+    for text in _texts(_inflated(data, limit)):
+        yield Layer(text, np.broadcast_to(np.int64(x), len(text)), np.broadcast_to(np.int64(y), len(text)))
 
 
 def _replaced(layer: Layer, pieces: list[tuple[int, int, str]]) -> Layer:
@@ -110,8 +152,7 @@ def _unpercent(layer: Layer, limit: int) -> Iterator[Layer]:
     pieces = []
     for m in _PERCENT.finditer(layer.text):
         data = bytes.fromhex(m[0].replace("%", ""))
-        if (inner := _inflated(data, limit)) is not None:
-            yield _whole(layer, m.start(), m.end(), inner)
+        yield from _whole(layer, m.start(), m.end(), data, limit)
         at = m.start()
         for c in data.decode("utf-8", "replace"):  # one piece for each character keeps places exact
             n = 3 * (len(c.encode()) if c != "\ufffd" else 1)
@@ -133,42 +174,105 @@ def _unescape(layer: Layer) -> Iterator[Layer]:
         yield _replaced(layer, pieces)
 
 
+def _lines(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Ranges of the lines of each base64 block that is wrapped: a first line, lines of one length, and a last one that may be shorter.
+
+    The first line may be longer or shorter than the others, so where lengths change, blocks begin with either line.
+    """
+    if "\n" not in text:
+        return
+    for m in _WRAPPED.finditer(text):
+        runs = [r.span() for r in _RUN.finditer(text, m.start(), m.end())]
+        size = [b - a for a, b in runs]
+        for i in range(len(runs) - 1):
+            if i and size[i] == size[i - 1]:
+                continue
+            j = i + 1
+            while j < len(runs) and size[j] == size[i + 1]:
+                j += 1
+            full = j
+            if j < len(runs) and size[j] < size[i + 1]:
+                j += 1
+            yield [*runs[i : j - 1], (runs[j - 1][0], m.end() if j == len(runs) else runs[j - 1][1])]
+            if j > full and full > i + 1:  # the short line may be a word that follows
+                yield runs[i:full]
+
+
 def _unbase64(layer: Layer, limit: int) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
+    inside: list[tuple[int, int]] = []
+    for lines in _lines(layer.text):
+        data = _bytes("".join(layer.text[a:b] for a, b in lines))
+        if data is None or inside and inside[-1][0] == lines[0][0] and inside[-1][1] >= lines[-1][1]:
             continue
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-        if (inner := _inflated(data, limit)) is not None:
-            yield _whole(layer, m.start(), m.end(), inner)
+        s, e = (np.concatenate(x) for x in zip(*(layer.ranges(a, b) for a, b in lines), strict=True))
+        if _opener(data) is None:
+            yield from _plain(data, s, e)
             continue
-        try:
-            text = data.decode("utf-8")
-        except UnicodeDecodeError:
+        first = True
+        for inner in _whole(layer, lines[0][0], lines[-1][1], data, limit):
+            if first:
+                first = False
+                inside.append((lines[0][0], lines[-1][1]))
+            yield inner
+    at = 0
+    inside.sort()
+    for m in _BASE64.finditer(layer.text):
+        while at < len(inside) and inside[at][1] <= m.start():
+            at += 1
+        if at < len(inside) and inside[at][0] <= m.start():  # a line of compressed data is no layer by itself
             continue
-        if sum(c.isprintable() or c in "\t\r\n" for c in text) < 0.9 * len(text):
+        if (data := _bytes(m[0])) is None:
             continue
-        at = np.concatenate(([0], np.cumsum([len(c.encode()) for c in text]))) if not text.isascii() else np.arange(len(text) + 1)
-        s, e = layer.ranges(m.start(), m.end())
-        first = at[:-1] * 4 // 3
-        last = np.minimum(-(-at[1:] * 4 // 3), len(s)) - 1
-        yield Layer(text, s[first], e[last])
+        opened = False
+        for inner in _whole(layer, m.start(), m.end(), data, limit):
+            opened = True
+            yield inner
+        if not opened:
+            yield from _plain(data, *layer.ranges(m.start(), m.end()))
+
 
+def _bytes(run: str) -> bytes | None:
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    return None if len(body) % 4 == 1 else base64.b64decode(body + "=" * (-len(body) % 4))
 
-def find(text: str, limit: int = 16 << 20) -> tuple[list[Span], list[Span]]:
-    """(spans of the base rules on the text itself, spans of all layers), both sorted; limit bounds an inflated layer's bytes."""
+
+def _plain(data: bytes, s: np.ndarray, e: np.ndarray) -> Iterator[Layer]:
+    """Decoded base64 as a text, if it is one; s and e are the places of the base64 characters."""
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return
+    if sum(c.isprintable() or c in "\t\r\n" for c in text) < 0.9 * len(text):
+        return
+    at = np.concatenate(([0], np.cumsum([len(c.encode()) for c in text]))) if not text.isascii() else np.arange(len(text) + 1)
+    first = at[:-1] * 4 // 3
+    last = np.minimum(-(-at[1:] * 4 // 3), len(s)) - 1
+    yield Layer(text, s[first], e[last])
+
+
+def _layers(layer: Layer, limit: int) -> Iterator[Layer]:
+    yield from _unpercent(layer, limit)
+    yield from _unescape(layer)
+    yield from _unbase64(layer, limit)
+
+
+def find(text: str, limit: int = 1 << 20) -> tuple[list[Span], list[Span]]:
+    """(spans of the base rules on the text itself, spans of all layers), both sorted; inflated data is read whole, in pieces of limit bytes."""
     base = matches(text)
-    found, seen, work = set(base), set(), deque([Layer(text)])
+    found, seen = set(base), set()
+    work = [_layers(Layer(text), limit)]  # depth first, so that only a piece of each level is held
     while work:
-        layer = work.popleft()
-        for inner in (*_unpercent(layer, limit), *_unescape(layer), *_unbase64(layer, limit)):
-            if not inner.text or (key := inner.key()) in seen:
-                continue
-            seen.add(key)
-            for a, kind, b in matches(inner.text):
-                x, y = inner.place(a, b)
-                found.add((x, kind, y))
-            work.append(inner)
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
+            continue
+        if not inner.text or (key := inner.key()) in seen:
+            continue
+        seen.add(key)
+        for a, kind, b in matches(inner.text):
+            x, y = inner.place(a, b)
+            found.add((x, kind, y))
+        work.append(_layers(inner, limit))
     return base, sorted(found)
 
 

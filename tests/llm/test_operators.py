@@ -1,13 +1,16 @@
 """The corpus operators against brute force, and their edge cases."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
 import html
 import itertools
+import lzma
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -201,6 +204,39 @@ def test_secrets_at_every_place():
     assert len(secrets.find(f"{nested} {nested}")[1]) == 4
 
 
+def test_secrets_in_whole_streams():
+    rng = np.random.default_rng(3)
+    filler = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 3000))
+    text = f"{filler} password=hunter22, {filler}"
+    streams = [gzip.compress(text.encode(), mtime=0), zlib.compress(text.encode()), bz2.compress(text.encode()), lzma.compress(text.encode())]
+    streams += [f(b"first member, ") + f(b"password=hunter22") for f in (gzip.compress, bz2.compress, lzma.compress)]
+    for data in streams:
+        block = base64.b64encode(data).decode()
+        spans = [(2, 0, 2 + len(block))]
+        assert secrets.find(f"a {block} z", limit=1000)[1] == secrets.find(f"a {block} z")[1] == spans
+        for width in (64, 76):
+            for newline in ("\n", "\r\n", "\n    "):
+                lines = newline.join(block[i : i + width] for i in range(0, len(block), width))
+                assert secrets.find(f"a {lines}\nthe end")[1][0] == (2, 0, 2 + len(lines)), (width, newline)
+    behind = gzip.compress(b"x, " * (6 << 20) + b"password=hunter22", mtime=0)  # past 16 MB
+    assert len(secrets.find(base64.b64encode(behind).decode())[1]) == 1
+    for limit in range(1, 40):  # wherever a piece ends
+        block = base64.b64encode(gzip.compress(b"one, two password: token: abcdef, secret = abcdef123, end", mtime=0)).decode()
+        assert secrets.find(block, limit)[1] == [(0, 0, len(block))]
+        block = base64.b64encode(gzip.compress(b"one, two password: token: abcdef, end", mtime=0)).decode()
+        assert secrets.find(block, limit)[1] == []
+
+
+def test_secrets_over_wrapped_lines():
+    block = base64.b64encode(b"x" * 30 + b" and then password=hunter22hunter22, and more of it").decode()
+    for width in (64, 56):
+        lines = "\n".join(block[i : i + width] for i in range(0, len(block), width))
+        spans = secrets.find(f"data: {lines}\n")[1]
+        at = 40 * 4 // 3
+        assert any(a == 6 + at and b >= 6 + width for a, _, b in spans), (width, spans)
+        assert "[assign]" in secrets.redacted(lines, secrets.find(lines)[1])
+
+
 def test_html_density(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     expected = {}
