@@ -1,6 +1,6 @@
 """Removal of sentences in spans that repeat an earlier one, over sliding runs of sentences.
 
-Every run of several consecutive sentences is hashed. Equal hashes meet in one aggregation that keeps the first place of each, with map-side
+Every run of several consecutive sentences is hashed, and every shorter run that holds enough words. Equal hashes meet in one aggregation that keeps the first place of each, with map-side
 combining, so a run that a third of all documents share is no hot key; a join with the repeated hashes then marks all runs that are
 not the first. Texts meet their marks in a last join.
 """
@@ -20,37 +20,47 @@ def _sentences(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), END), lambda s: s != "")
 
 
-def spans(docs: DataFrame, run: int) -> DataFrame:
-    """(doc_id, tid, at, h1, h2) of every run of sentences; case and white space don't count."""
-    rows = docs.select("doc_id", "tid", F.transform(_sentences(F.col("text")), lambda s: F.xxhash64(F.lower(F.regexp_replace(s, r"\s+", " ")))).alias("s"))
-    rows = rows.filter(F.size("s") >= run)
-    parts = ", ".join(f"s[i + {j}]" for j in range(run))
-    hashes = F.expr(f"transform(sequence(0, size(s) - {run}), i -> struct(i as at, xxhash64({parts}) as h1, hash({parts}) as h2))")
-    return rows.select("doc_id", "tid", F.explode(hashes).alias("x")).select("doc_id", "tid", "x.at", "x.h1", "x.h2")
+def hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, tid, s) of every row: the hash h and the number of words w of each sentence; case and white space don't count."""
+    plain = F.transform(_sentences(F.col("text")), lambda s: F.trim(F.lower(F.regexp_replace(s, r"\s+", " "))))
+    words = "cast(length(x) - length(replace(x, ' ', '')) + 1 as int)"
+    return docs.select("doc_id", "tid", plain.alias("p")).select("doc_id", "tid", F.expr(f"transform(p, x -> struct(xxhash64(x) as h, {words} as w))").alias("s"))
 
 
-def remove_repeats(docs: DataFrame, run: int = 3) -> DataFrame:
-    """(doc_id, text, n_sentences, n_removed) for every row of docs (doc_id, text): text without the sentences of any run of `run` sentences that occurs
+def spans(rows: DataFrame, run: int, words: int) -> DataFrame:
+    """(doc_id, tid, at, n, h1, h2) of every run of n = `run` sentences, and of every shorter one that has `words` words or more."""
+    kinds = []
+    for n in range(1, run + 1):
+        parts = ", ".join(f"s[i + {j}].h" for j in range(n))
+        starts = f"sequence(0, size(s) - {n})"
+        if n < run:
+            starts = f"filter({starts}, i -> {' + '.join(f's[i + {j}].w' for j in range(n))} >= {words})"
+        kinds.append(f"if(size(s) >= {n}, transform({starts}, i -> struct(i as at, {n} as n, xxhash64({parts}) as h1, hash({parts}) as h2)), array())")
+    return rows.select("doc_id", "tid", F.explode(F.expr(f"concat({', '.join(kinds)})")).alias("x")).select("doc_id", "tid", "x.at", "x.n", "x.h1", "x.h2")
+
+
+def remove_repeats(docs: DataFrame, run: int = 3, words: int = 50) -> DataFrame:
+    """(doc_id, text, n_sentences, n_removed) for every row of docs (doc_id, text): text without the sentences of any run that occurs
     earlier, in a smaller doc_id (nulls first) or before in the same text.
 
     A text from which nothing is removed stays as it is; otherwise what is left is joined by single spaces. Null texts stay null.
-    Fewer than `run` sentences are never removed. Rows that repeat a doc_id are told apart by their text; rows that repeat both count as one place, so none of them is the
+    A run has `run` sentences, or fewer with at least `words` words together, so every repeated passage of whole sentences with that many words goes. Rows that repeat a doc_id are told apart by their text; rows that repeat both count as one place, so none of them is the
     other's copy. Other columns are ignored. Runs are compared by 96 bits of hashes.
     """
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"))
-    found = spans(source, run)
+    found = spans(write_shared(hashed(source), "sentences"), run, words)
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.col("tid"), F.col("at"))
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = write_shared(first.select("h1", "h2", "first"), "first")
     # the hashes that repeat are sent against a bitmap of bounded size, so that most runs need no shuffle
     repeated = id_filter(first.select("h1"), "h1")
     later = found.filter(repeated(F.col("h1"))).join(first, ["h1", "h2"]).filter(place != F.col("first"))
-    marks = write_shared(later.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set("at")).alias("at")), "marks")
+    marks = write_shared(later.groupBy("doc_id", "tid").agg(F.collect_set(F.col("at").cast("bigint") * (run + 1) + F.col("n")).alias("at")), "marks")
     texts = source.join(marks.select(F.col("doc_id").alias("mark_id"), F.col("tid").alias("mark_tid"), "at"), F.col("doc_id").eqNullSafe(F.col("mark_id")) & (F.col("tid") == F.col("mark_tid")), "left")
     texts = texts.withColumn("s", _sentences(F.col("text")))
-    # sentence i goes if a marked run starts in (i - run, i]
-    gone = " or ".join(f"array_contains(at, i - {j})" for j in range(run))
-    texts = texts.withColumn("kept", F.expr(f"if(at is null, s, filter(s, (x, i) -> not ({gone})))"))
+    # a mark stands for the sentences of its run
+    texts = texts.withColumn("at", F.expr(f"array_distinct(flatten(transform(at, x -> sequence(cast(x div {run + 1} as int), cast(x div {run + 1} + x % {run + 1} - 1 as int)))))"))
+    texts = texts.withColumn("kept", F.expr("if(at is null, s, filter(s, (x, i) -> not array_contains(at, i)))"))
     return texts.select(
         "doc_id",
         F.when(F.col("at").isNull(), F.col("text")).otherwise(F.array_join("kept", " ")).alias("text"),

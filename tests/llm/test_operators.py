@@ -349,6 +349,21 @@ def test_sentence_spans(spark):
     assert found[1].text is None and sentence_spans.remove_repeats(frame(spark, ODD)).count() == len(ODD)
 
 
+def test_sentence_spans_of_few_long_sentences(spark):
+    long = [" ".join(f"w{k}x{i}" for i in range(60)) + "." for k in range(3)]
+    half = [" ".join(f"h{k}x{i}" for i in range(30)) + "." for k in range(4)]
+    short = "Only a few words."
+    rows = [
+        (1, f"{long[0]} {short}"), (2, f"Before. {long[0].upper()} After."),  # one sentence
+        (3, f"{half[0]} {half[1]}"), (4, f"{half[0]} {half[1]}"), (5, f"{half[1]} {short} {half[0]}"),  # a whole text of two; its halves are too short
+        (6, f"{long[1]} {short} x"), (7, f"{long[1]} {short} y"),  # a long one with a short one behind it: two that hold enough words
+        (8, f"{long[2]} {long[2]}"), (9, short), (10, short),
+    ]
+    found = {r.doc_id: r for r in sentence_spans.remove_repeats(frame(spark, rows)).collect()}
+    assert {i: r.n_removed for i, r in found.items()} == {1: 0, 2: 1, 3: 0, 4: 2, 5: 0, 6: 0, 7: 2, 8: 1, 9: 0, 10: 0}
+    assert found[2].text == "Before. After." and found[4].text == "" and found[7].text == "y" and found[8].text == long[2]
+
+
 def test_kneser_ney(spark):
     texts = spark.createDataFrame([(r.text,) for r in small(spark).limit(80).collect()], "text string")
     model = kneser_ney.train(texts)
