@@ -13,9 +13,9 @@ from rankloom.llm.common import shared_path, table, write_shared
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of documents that the quality rules keep."""
-    judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
-    kept = write_shared(judged.groupBy(F.col("doc_id").alias("kept_id")).agg(F.min("kept").alias("kept")).filter("kept").select("kept_id"), "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"), keyed=True)
+    kept = write_shared(judged.filter("kept").select(F.col("row_key").alias("kept_key")).distinct(), "kept")
+    return docs.join(kept, quality_rules.row_key() == F.col("kept_key"), "left_semi")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -209,8 +209,9 @@ def _searcher(shared, threshold: float, n: int, overlap: float):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id has no leak; those with a null doc_id stay only if no leak has a null doc_id."""
+    """The rows of docs whose text has no leak; every row is told by its text, whatever its doc_id."""
     from .common import write_shared
 
-    leaks = write_shared(contaminated(docs, benchmark).select(F.col("doc_id").alias("leak_id")).distinct(), "leaks")
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti")
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    leaks = write_shared(contaminated(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("leak_key")).distinct(), "leaks")
+    return docs.join(leaks, key == F.col("leak_key"), "left_anti")

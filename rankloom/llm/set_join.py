@@ -360,13 +360,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
 
 
 def one_per_component(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of docs that hold the smallest doc_id of their component, with all columns of docs.
+    """The row of docs with the smallest doc_id (nulls last) of each component, with all columns of docs.
 
-    Rows that repeat both doc_id and text are kept once. Rows with a null doc_id are kept.
+    Rows are told apart by doc_id and text; rows that repeat both are kept once. Rows without any shingle are kept.
     """
-    found = jaccard_components(docs, k, percent)
-    kept = write_shared(found.filter("doc_id <=> component_id").groupBy("doc_id").count(), "kept")
-    rows = docs.join(kept.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    if kept.filter("count > 1 and doc_id is not null").isEmpty():
-        return rows
-    return rows.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(rows.filter("doc_id is null"))
+    doc_id = F.col("doc_id").cast("bigint")
+    key = F.xxhash64(doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), F.col("text").isNull(), F.coalesce(F.col("text"), F.lit("")))
+    found = jaccard_components(docs.select(key.alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    rows = docs.select(key.alias("row_key"), doc_id.alias("doc_id")).groupBy("row_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "row_key", "n")).alias("low")
+    kept = write_shared(found.join(rows, "row_key").groupBy("component_id").agg(low).select(F.col("low.row_key").alias("kept_key"), F.col("low.n").alias("n")), "kept")
+    heads = docs.withColumn("row_key", key).join(kept.select("kept_key"), F.col("row_key") == F.col("kept_key"), "left_semi")
+    if not kept.filter("n > 1").isEmpty():
+        heads = heads.dropDuplicates(["row_key"])
+    return heads.drop("row_key")

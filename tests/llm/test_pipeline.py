@@ -23,3 +23,23 @@ def test_stages_keep_columns_and_clean_documents(spark):
         before = after
     packed = corpus_pipeline.STAGES[-1][1](spark, before, SMALL)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in before.collect()}
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    def words(seed, n=80):
+        return " ".join(f"{'abcdefghij'[(seed * 7 + i) % 10]}w{seed}x{i}" for i in range(n))
+
+    leak = spark.read.parquet(f"{SMALL}/benchmark.parquet").filter("item_id is not null and trim(text) <> ''").orderBy("item_id").first().text
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+    def frame(rows):
+        return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+
+    def left(stage, rows):
+        return sorted(r.text for r in dict(corpus_pipeline.STAGES)[stage](spark, frame(rows), SMALL).collect())
+
+    clean = [words(1), words(2), words(3)]
+    assert left("quality_rules", [(None, clean[0]), (None, "too short"), (7, clean[1]), (7, "short"), (8, "short")]) == sorted(clean[:2])
+    assert left("decontamination", [(None, clean[0]), (None, leak), (7, clean[1]), (7, leak)]) == sorted(clean[:2])
+    rows = [(1, clean[0]), (None, clean[0] + " end"), (None, clean[1]), (5, clean[2]), (5, clean[0] + " tail"), (5, clean[2])]
+    assert left("jaccard_join", rows) == sorted(clean)
