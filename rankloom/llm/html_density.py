@@ -29,6 +29,8 @@ _NO_CONTENT = re.compile(
     r"comment|comments|commentlist|disqus\w*|replies|respond|cookie\w*|consent\w*|gdpr|notice\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscribe\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|widget\w*|pagination|pager|skip|toolbar|search|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.I,
 )
+#: Names that say what a page's layout has or lacks, not what the element holds.
+_LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:no|has|with|without)[_-][^\s_-]+", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table article section div main body html td th blockquote".split())
@@ -37,10 +39,10 @@ _HOLDERS = frozenset("html body article section main div td center blockquote".s
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "drop", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool, named: bool = False):
+        self.tag, self.parent, self.drop, self.named = tag, parent, drop, named
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -59,8 +61,6 @@ def _boilerplate(tag: str, attributes: str, parent: Node) -> bool:
         return False
     for name, *values in _ATTR.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
-        if name in ("class", "id") and tag not in ("p", "b", "i", "em", "strong", "span", "h1", "h2") and _NO_CONTENT.search(value):
-            return True
         if name == "role" and value.lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -68,6 +68,29 @@ def _boilerplate(tag: str, attributes: str, parent: Node) -> bool:
     return False
 
 
+def _named(tag: str, attributes: str) -> bool:
+    """Whether class or id sound like boilerplate."""
+    if not attributes or tag in ("body", "html", "article", "main", "p", "b", "i", "em", "strong", "span", "h1", "h2"):
+        return False
+    return any(name.lower() in ("class", "id") and _NO_CONTENT.search(_LAYOUT.sub("", next((v for v in values if v), ""))) for name, *values in _ATTR.findall(attributes))
+
+
+def drop_named(root: Node) -> None:
+    """Drops what sounds like boilerplate, but nothing that holds half of the page's text or more: that is left to density.
+
+    On a page of a line or two an advert may hold half; there it goes if the page marks an article besides.
+    """
+    chars: dict[int, int] = {}
+    nodes = _order(root)
+    for n in reversed(nodes):
+        chars[id(n)] = sum(len(p.strip()) if isinstance(p, str) else chars.get(id(p), 0) for p in n.parts)
+    marked = [n for n in nodes if n.tag in ("article", "main") and chars[id(n)]]
+    for n in nodes:
+        if n.named:
+            size = chars[id(n)]
+            n.drop = n.drop or 2 * size < chars[id(root)] or size < 200 and bool(marked) and not any(id(m) in {id(x) for x in _order(n)} for m in marked)
+
+
 def parse(page: str) -> Node:
     """A tree of elements and texts; unclosed elements end with what holds them, stray end tags are passed over."""
     root = Node("html", None, False)
@@ -108,7 +131,7 @@ def parse(page: str) -> Node:
             if above is not None and above.tag in _CLOSES[tag]:
                 node = above.parent or root
         attributes = m[3] if m[3] is not None else m[6] or ""
-        child = Node(tag, node, _boilerplate(tag, attributes, node))
+        child = Node(tag, node, _boilerplate(tag, attributes, node), _named(tag, attributes))
         node.parts.append(child)
         if tag in _RAW:
             end = _RAW[tag].search(page, at)
@@ -173,6 +196,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    drop_named(root)
     nodes = measure(root)
     holders = [n for n in nodes if n.tag in _HOLDERS and n.chars]
     if not holders:

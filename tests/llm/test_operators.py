@@ -255,6 +255,13 @@ def test_html_density(spark):
     assert len(found) == 7 and all(r.n_chars == len(r.text) for r in found)
 
 
+def test_html_names_do_not_drop_main_text():
+    para = "A long enough paragraph of plain text that tells the story and goes on. " * 4
+    for name in ("no-sidebar", "content with-sidebar", "main-content no-comments", "has-footer", "elementor-widget", "search results"):
+        page = f"<html><body><div class=menu><a href=x>Home</a></div><div class='{name}'><p>{para}</p><p>{para}</p></div><div class=comments><p>{para}</p></div></body></html>"
+        assert html_density.main_text(page) == " ".join(f"{para} {para}".split()), name
+
+
 def test_warc_round_trip(spark):
     big = "".join(map(chr, np.random.default_rng(1).integers(32, 0x2FF, 3_000_000)))
     rows = [(5, "http://x/a b", "<p>é</p>"), (3, "u", "<p>é</p>"), (3, "u", "<p>é</p>"), (7, None, None), (8, "u", ""), (9, "u", big), (10, "u", "z" * (17 << 20)), (None, "u", "<p>é</p>"), (None, "u", "only")]
