@@ -44,21 +44,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_bitmap(ids: DataFrame, column: str) -> tuple[Broadcast, Callable[[Column], Column]]:
-    """A broadcast bitmap of 64-bit words with the bits of all values in ids set, and the expression of a bigint column's bit.
+def key_bitmap(keys: DataFrame, column: str) -> tuple[Broadcast, np.int64]:
+    """A broadcast bitmap of 64-bit words with the bits of all values in keys set, and the mask that makes a value its bit's number.
 
-    It has at most MAX_FILTER_BITS bits whatever the number of ids, so it may be broadcast. It only thins out what a
+    The values are hashes. It has at most MAX_FILTER_BITS bits whatever the number of keys, so it may be broadcast. It only thins out what a
     following exact join has to shuffle.
     """
-    spark = ids.sparkSession
-    n = ids.count()
+    spark = keys.sparkSession
+    n = keys.count()
     bits = 1 << int(np.clip(np.ceil(np.log2(max(n, 1) * 16)), 10, np.log2(MAX_FILTER_BITS)))
-
-    def slot(value: Column) -> Column:
-        return F.xxhash64(value.cast("bigint")).bitwiseAND(F.lit(bits - 1))
-
     words = (
-        ids.select(slot(F.col(column)).alias("slot"))
+        keys.select(F.col(column).bitwiseAND(F.lit(bits - 1)).alias("slot"))
         .groupBy(F.shiftright("slot", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
         .toArrow()
@@ -66,7 +62,13 @@ def id_bitmap(ids: DataFrame, column: str) -> tuple[Broadcast, Callable[[Column]
     bitmap = np.zeros(bits // 64, dtype=np.int64)
     if words.num_rows:
         bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return spark.sparkContext.broadcast(bitmap), slot
+    return spark.sparkContext.broadcast(bitmap), np.int64(bits - 1)
+
+
+def id_bitmap(ids: DataFrame, column: str) -> tuple[Broadcast, Callable[[Column], Column]]:
+    """key_bitmap of the hashes of any bigint column, and the expression of a value's bit."""
+    shared, mask = key_bitmap(ids.select(F.xxhash64(F.col(column).cast("bigint")).alias("slot")), "slot")
+    return shared, lambda value: F.xxhash64(value.cast("bigint")).bitwiseAND(F.lit(int(mask)))
 
 
 def in_bitmap(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
@@ -84,3 +86,16 @@ def id_filter(ids: DataFrame, column: str) -> Callable[[Column], Column]:
         return pd.Series(in_bitmap(shared.value, slots.to_numpy(dtype=np.int64)))
 
     return lambda value: present(slot(value))
+
+
+def hash_filter(keys: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test on a column of 64-bit hashes by key_bitmap: true for every value in keys (and for few or, past the size bound, many others)."""
+    shared, mask = key_bitmap(keys, column)
+
+    @F.pandas_udf("boolean")
+    def present(values):
+        import pandas as pd
+
+        return pd.Series(in_bitmap(shared.value, values.to_numpy(dtype=np.int64) & mask))
+
+    return present

@@ -63,21 +63,16 @@ class Risk:
         return self.delta / ((len(self.strata) + 1) * sum(len(r.cutoffs) for r in self.rules))
 
 
-def row_key() -> Column:
-    """What a row's verdict hangs on: its text and language."""
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("lang"), F.lit("")))
-
-
-def base_columns(docs: DataFrame, keyed: bool = False) -> DataFrame:
-    """(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) of every row, and its row_key if keyed; a null text has no words.
+def base_columns(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) of every row, and the struct `row` of all its columns if carry; a null text has no words.
 
     Words in repeated windows: the hashes of all three-word windows; if they are all distinct, none. Otherwise the windows whose hash is
     among the repeated ones, found by membership while those are few, by sorting (hash, place) when they are many. Each such
     window covers up to three words, fewer if the next one begins before. Windows are compared by 64-bit hashes.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = ["row_key"] * keyed
-    df = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang"), text.alias("t"), *[row_key().alias(k) for k in key])
+    key = ["row"] * carry
+    df = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang"), text.alias("t"), *[F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(k) for k in key])
     df = df.withColumn("w", F.filter(F.split("t", GAP), lambda x: x != ""))
     df = df.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.select(
@@ -145,14 +140,14 @@ def stratum(risk: Risk) -> Column:
     return F.when(F.col("lang").isin(*risk.strata), F.col("lang")).otherwise(F.lit("other"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), keyed: bool = False) -> DataFrame:  # noqa: B008
-    """Base columns of every row of docs (doc_id, text, lang), row_key if keyed, and kept: false if base_failed, else whether no rule of its stratum rejects it.
+def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), carry: bool = False) -> DataFrame:  # noqa: B008
+    """Base columns of every row of docs (doc_id, text, lang), the struct `row` of all columns of docs if carry, and kept: false if base_failed, else whether no rule of its stratum rejects it.
 
     labels (doc_id, quality, toxic): documents with quality 1 and not toxic (on each of their rows) that pass the base are the
     holdout. Languages outside risk.strata and null ones share the stratum "other". Null or empty texts fail the base. Repeated rows are judged each by
     itself. Without labels only the base decides. Other columns of either table are ignored.
     """
-    base = write_shared(base_columns(docs, keyed).withColumn("stratum", stratum(risk)), "base")
+    base = write_shared(base_columns(docs, carry).withColumn("stratum", stratum(risk)), "base")
     trusted = labels.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
     cut = thresholds(base.filter("not base_failed").join(trusted, "doc_id", "left_semi"), risk)
     failed = F.lit(False)
@@ -160,4 +155,4 @@ def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), keyed: bool =
         failed = failed | F.coalesce(r.fails(F.col(f"c_{r.name}")), F.lit(False))
     # at most len(risk.strata) + 1 rows are broadcast
     rows = base.join(F.broadcast(cut), "stratum", "left")
-    return rows.select("doc_id", *["row_key"] * keyed, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.when(F.col("base_failed"), True).otherwise(failed)).alias("kept"))
+    return rows.select("doc_id", *["row"] * carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.when(F.col("base_failed"), True).otherwise(failed)).alias("kept"))

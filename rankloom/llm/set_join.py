@@ -21,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import id_bitmap, id_filter, in_bitmap, write_shared
+from .common import hash_filter, in_bitmap, key_bitmap, write_shared
 from .graph import connected_components
 from .streams import sorted_runs
 
@@ -37,12 +37,19 @@ COUNTED = 0.5
 #: Entries of a list that one position block covers, and sets that meet their representative in one group.
 BLOCK = 16
 GROUP = 512
+#: Entries of a list that each entry is compared with, by size and position, to see whether it may have a partner at all.
+NEAR = 8
 #: Bits of a place below the set's size: the position, above it how many shingles are the set's own (so many at most).
 OWN_BITS, POS_BITS = 5, 28
 #: Bits of a sketch. It tells most pairs of up to some 3,000 shingles apart; larger sets are compared as texts more often.
 SKETCH_BITS = 2048
 
 
+def _tid() -> Column:
+    """A text's identity, by which one row of each class is found again."""
+    return F.xxhash64(F.col("text"))
+
+
 def _needed(size, t: int):
     """The overlap that a set of this size has with any partner, at least."""
     return (t * size + 99) // 100
@@ -57,6 +64,34 @@ def _may_link(size, pos, size2, pos2, t: int):
     return np.minimum(size - pos, size2 - pos2) >= _pair_needed(size, size2, t)
 
 
+def _partnered(run, size, pos, t: int, comp=None) -> np.ndarray:
+    """Which entries of lists may link with another of their list (of another component).
+
+    run: the list of each entry; entries are sorted by size within it. Each entry meets its next NEAR ones by size and position; in lists longer
+    than that, the nearest sizes above and below decide for what is left. No pair that may link is lost.
+    """
+    n = len(run)
+    keep = np.zeros(n, bool)
+    for s in range(1, min(NEAR, n - 1) + 1 if n else 0):
+        ok = (run[s:] == run[:-s]) & _may_link(size[s:], pos[s:], size[:-s], pos[:-s], t)
+        if comp is not None:
+            ok &= comp[s:] != comp[:-s]
+        keep[s:] |= ok
+        keep[:-s] |= ok
+    if n > NEAR:
+        starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+        lengths = np.diff(np.append(starts, n))
+        long = np.repeat(lengths > NEAR, lengths)
+        for flip in (False, True):
+            r, z = (x[::-1] if flip else x for x in (run, size))
+            other = np.ones(n, bool) if comp is None else np.concatenate(([True], (comp[::-1] if flip else comp)[1:] != (comp[::-1] if flip else comp)[:-1]))
+            other |= np.concatenate(([True], r[1:] != r[:-1]))
+            near = np.maximum.accumulate(np.where(other, np.arange(n) - 1, -1))  # the nearest entry before that is another component's
+            ok = (near >= 0) & (r[near] == r) & (np.minimum(z[near], z) >= _needed(np.maximum(z[near], z), t))
+            keep |= (ok[::-1] if flip else ok) & long
+    return keep
+
+
 def _fields(place):
     """Size, own shingles and position of a place."""
     return place >> (OWN_BITS + POS_BITS), (place >> POS_BITS) & ((1 << OWN_BITS) - 1), place & ((1 << POS_BITS) - 1)
@@ -68,9 +103,9 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
             n, sid = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             for row, s in H.shingle_sets(b["text"], k):
                 n[row], sid[row] = len(s), H.set_id(s)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n), pa.array(sid)], names=["doc_id", "n_shingles", "sid"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["tid"], pa.array(n), pa.array(sid)], names=["doc_id", "tid", "n_shingles", "sid"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(scan, "doc_id bigint, n_shingles bigint, sid bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _tid().alias("tid"), "text").mapInArrow(scan, "doc_id bigint, tid bigint, n_shingles bigint, sid bigint")
 
 
 def _hot_shingles(docs: DataFrame, k: int, total: int) -> np.ndarray:
@@ -158,7 +193,7 @@ def _index(docs: DataFrame, k: int, t: int, hot: np.ndarray) -> DataFrame:
 
 
 def _lists(index: DataFrame, t: int) -> DataFrame:
-    """Entries of lists with two sets or more, each with the representative that its list proposes (its own sid: none)."""
+    """Entries of lists that may link with another of their list, each with the representative that its list proposes (its own sid: none)."""
 
     def lead(batches):
         for starts, c in sorted_runs(batches, "token"):
@@ -167,6 +202,8 @@ def _lists(index: DataFrame, t: int) -> DataFrame:
             lengths = np.add.reduceat(keep, starts[:-1])
             keep &= np.repeat(lengths > 1, np.diff(starts))
             token, place, sid = (c[x][keep] for x in ("token", "place", "sid"))
+            keep = _partnered(token, *_fields(place)[::2], t)
+            token, place, sid = token[keep], place[keep], sid[keep]
             if not len(token):
                 continue
             first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
@@ -212,24 +249,37 @@ def _stars_of_components(lists: DataFrame, t: int) -> DataFrame:
     return lists.mapInArrow(star, "u bigint, v bigint").distinct()
 
 
+def _apart(lists: DataFrame, t: int) -> DataFrame:
+    """The entries of lists that may link with an entry of another component. lists: sorted by token and place within partitions."""
+
+    def keep(batches):
+        for _, c in sorted_runs(batches, "token"):
+            size, _, pos = _fields(c["place"])
+            rows = _partnered(c["token"], size, pos, t, c["comp"])
+            if rows.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[x][rows]) for x in ("token", "place", "sid", "comp")], names=["token", "place", "sid", "comp"])
+
+    return lists.mapInArrow(keep, "token bigint, place bigint, sid bigint, comp bigint")
+
+
 def _sketches(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
-    """(sid, sketch) of the sets of chosen (sid, doc_id), and maybe of others.
+    """(sid, sketch) of the sets of chosen (sid, tid), and maybe of others.
 
-    The ids are tested where the texts are cut: a Python test in the plan would cost each task a second Python process.
+    The texts are tested where they are cut: a Python test in the plan would cost each task a second Python process.
     """
-    shared, slot = id_bitmap(chosen.select("doc_id").distinct(), "doc_id")
+    shared, mask = key_bitmap(chosen, "tid")
 
     def scan(batches):
         for b in batches:
             sids, sketches = [], []
-            met = b["text"].filter(pa.array(in_bitmap(shared.value, b["slot"].to_numpy())))
+            met = b["text"].filter(pa.array(in_bitmap(shared.value, b["tid"].to_numpy() & mask)))
             for _, s in H.shingle_sets(met, k):
                 bucket = (s * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - int(np.log2(SKETCH_BITS)))
                 sids.append(H.set_id(s))
                 sketches.append(np.packbits(np.bincount(bucket.astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sketches, pa.binary())], names=["sid", "sketch"])
 
-    texts = docs.filter(F.col("text").isNotNull()).select(slot(F.col("doc_id")).alias("slot"), "text")
+    texts = docs.filter(F.col("text").isNotNull()).select(_tid().alias("tid"), "text")
     return texts.mapInArrow(scan, "sid bigint, sketch binary").dropDuplicates(["sid"])
 
 
@@ -279,9 +329,11 @@ def _verified(docs: DataFrame, chosen: DataFrame, edges: DataFrame, k: int, t: i
     followers = edges.join(spread, "v").select(F.col("u").alias("sid"), F.col("v").alias("key"), F.pmod(F.xxhash64("u"), F.col("groups")).cast("int").alias("salt"), F.lit(1).alias("role"))
     leaders = spread.select(F.col("v").alias("sid"), F.col("v").alias("key"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(0).alias("role"))
     wanted = write_shared(followers.union(leaders).join(chosen, "sid"), "wanted")
-    present = id_filter(wanted.select("doc_id").distinct(), "doc_id")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("text").isNotNull())
-    rows = texts.filter(present(F.col("doc_id"))).join(wanted.withColumnRenamed("doc_id", "chosen_id"), F.col("doc_id").eqNullSafe(F.col("chosen_id")))
+    present = hash_filter(wanted, "tid")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", _tid().alias("tid")).filter(F.col("text").isNotNull())
+    # by text and id: rows that share an id, or have none, meet only their own text's wanted sets
+    chosen_row = (F.col("tid") == F.col("chosen_tid")) & F.col("doc_id").eqNullSafe(F.col("chosen_id"))
+    rows = texts.filter(present(F.col("tid"))).join(wanted.withColumnsRenamed({"doc_id": "chosen_id", "tid": "chosen_tid"}), chosen_row)
 
     def verify(batches):
         key = leader = None
@@ -315,21 +367,18 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     64-bit hashes.
     """
     signatures = write_shared(_signatures(docs, k), "signatures")
-    classes = signatures.filter("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("class_rows"))
+    classes = signatures.filter("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("low_id"), F.min("tid").alias("tid"), F.min_by("doc_id", "tid").alias("doc_id"), F.count("*").alias("class_rows"))
     total = signatures.agg(F.sum("n_shingles")).first()[0] or 0
     if total:
+        representatives = classes.select("sid", "doc_id", "tid")
         lists = write_shared(_lists(_index(docs, k, percent, _hot_shingles(docs, k, total)), percent), "lists")
         stars = write_shared(_stars(lists), "stars")
         spokes = stars.select(F.col("sid").alias("u"), F.col("rep").alias("v"))
-        links = write_shared(_verified(docs, classes.select("sid", "doc_id"), spokes, k, percent), "links")
+        links = write_shared(_verified(docs, representatives, spokes, k, percent), "links")
         comps = write_shared(connected_components(links), "comps")
-        representatives = classes.select("sid", "doc_id")
 
         def tagged(comps: DataFrame) -> DataFrame:
-            """Lists that still have entries of two components or more, with these."""
-            rows = lists.join(comps, lists.sid == comps.node, "left").select("token", "place", "sid", F.coalesce("comp", "sid").alias("comp"))
-            mixed = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
-            return rows.join(mixed, "token")
+            return lists.join(comps, lists.sid == comps.node, "left").select("token", "place", "sid", F.coalesce("comp", "sid").alias("comp"))
 
         def by_token(rows: DataFrame) -> DataFrame:
             return rows.repartition("token").sortWithinPartitions("token", "place", "sid")
@@ -340,7 +389,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
             if round_ == 1:
                 pairs = _stars_of_components(by_token(tagged(comps)), percent)
             else:
-                mixed = write_shared(tagged(comps), "mixed")
+                mixed = write_shared(_apart(by_token(tagged(comps)), percent), "mixed")
                 met = mixed.select("sid").distinct().join(representatives, "sid")
                 pairs = _probe(by_token(mixed.join(_sketches(docs, met, k), "sid")), percent)
             pairs = write_shared(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
@@ -349,10 +398,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
                 comps = write_shared(connected_components(_verified(docs, representatives, pairs, k, percent).union(bridges)), "comps")
             tried = tried.union(pairs)
         members = classes.join(comps, classes.sid == comps.node, "left").withColumn("comp", F.coalesce("comp", "sid"))
-        heads = members.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+        heads = members.groupBy("comp").agg(F.min("low_id").alias("component_id"))
         answers = members.join(heads, "comp").select("sid", "component_id", "class_rows")
     else:
-        answers = classes.select("sid", F.col("doc_id").alias("component_id"), "class_rows")
+        answers = classes.select("sid", F.col("low_id").alias("component_id"), "class_rows")
     return (
         signatures.join(answers, "sid", "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("class_rows", F.lit(1)).alias("class_rows"))
@@ -360,17 +409,23 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
 
 
 def one_per_component(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """The row of docs with the smallest doc_id (nulls last) of each component, with all columns of docs.
+    """The row of docs with the smallest doc_id (nulls last) of each component, with all columns of docs, whatever their names.
 
-    Rows are told apart by doc_id and text; rows that repeat both are kept once. Rows without any shingle are kept.
+    Rows are told apart by doc_id and text; rows that repeat both are kept once. Rows without any shingle are kept. An empty table stays empty. Texts are
+    shuffled only if they may have to go.
     """
     doc_id = F.col("doc_id").cast("bigint")
     key = F.xxhash64(doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), F.col("text").isNull(), F.coalesce(F.col("text"), F.lit("")))
     found = jaccard_components(docs.select(key.alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("row_key"), "component_id").distinct()
     rows = docs.select(key.alias("row_key"), doc_id.alias("doc_id")).groupBy("row_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    low = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "row_key", "n")).alias("low")
-    kept = write_shared(found.join(rows, "row_key").groupBy("component_id").agg(low).select(F.col("low.row_key").alias("kept_key"), F.col("low.n").alias("n")), "kept")
-    heads = docs.withColumn("row_key", key).join(kept.select("kept_key"), F.col("row_key") == F.col("kept_key"), "left_semi")
-    if not kept.filter("n > 1").isEmpty():
-        heads = heads.dropDuplicates(["row_key"])
-    return heads.drop("row_key")
+    members = write_shared(found.join(rows, "row_key"), "members")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "row_key")).alias("low")
+    kept = members.groupBy("component_id").agg(low).select("component_id", F.col("low.row_key").alias("kept_key"))
+    odd = members.join(kept, "component_id").select(F.col("row_key").alias("odd_key"), (F.col("row_key") == F.col("kept_key")).alias("kept"), "n")
+    odd = write_shared(odd.filter("not kept or n > 1"), "odd")
+    present = hash_filter(odd, "odd_key")
+    source = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("row_key"))
+    maybe = source.filter(present(F.col("row_key"))).join(odd.select("odd_key", "kept"), F.col("row_key") == F.col("odd_key"), "left").filter("coalesce(kept, true)")
+    if not odd.filter("kept").isEmpty():
+        maybe = maybe.dropDuplicates(["row_key"])
+    return source.filter(~present(F.col("row_key"))).select("row").union(maybe.select("row")).select("row.*")

@@ -345,30 +345,69 @@ def test_wand_finds_all_above_threshold(spark):
         assert {(p, i) for p, i, _ in decontamination.retrieve(index, words, starts, starts + 100, threshold)} == expected
 
 
+def sentence_parts(text):
+    """Texts of the sentence parts, each with the white space behind it."""
+    out, part = [], ""
+    for m in re.finditer(r"([^\x20\x09-\x0D]+)([\x20\x09-\x0D]*)", text):
+        part += m[0]
+        if re.search(r"[.!?,;:]['\")\]}]?$", m[1]) or "\n" in m[2]:
+            out, part = [*out, part], ""
+    return [*out, part] if part else out
+
+
+def sentences_by_brute_force(rows, words):
+    """[(doc_id, text, removed)]: every run from each part on, against the first place of an equal one."""
+    order = sorted({(-(1 << 63) if d is None else d, t) for d, t in rows if t}, key=lambda x: x[0])
+    first, gone = {}, collections.defaultdict(set)
+    for d, t in order:
+        p = [[lower(w) for w in WORD.findall(x)] for x in sentence_parts(t)]
+        for i in range(len(p)):
+            for j in range(i, len(p)):
+                run = tuple(w for x in p[i : j + 1] for w in x)
+                if sum(1 + len(w.encode()) // 16 for w in run) >= words:
+                    if first.setdefault(run, (d, t, i)) != (d, t, i):
+                        gone[d, t] |= set(range(i, j + 1))
+                    break
+    out = []
+    for d, t in rows:
+        g = gone[-(1 << 63) if d is None else d, t]
+        out.append((d, t if not g else "".join(x for i, x in enumerate(sentence_parts(t)) if i not in g).rstrip(), len(g)))
+    return collections.Counter(out)
+
+
 def test_sentence_spans(spark):
-    s = [f"Sentence number {i} is here." for i in range(12)]
-    rows = [*ODD, (20, " ".join(s[:8])), (21, " ".join(["Other start.", *s[2:6], "Other end."])), (22, " ".join(s[6:8] + s[10:])), (23, " ".join(s[9:12] + ["Then."] + s[9:12]))]
+    s = [f"Sentence number {i} is (really) here." for i in range(16)]
+    rows = [*ODD, (20, " ".join(s[:8])), (21, " ".join(["Other start.", *s[2:8], "Other end."])), (22, " ".join(s[6:8] + s[10:])), (23, " ".join(s[9:15] + ["Then."] + s[9:15]))]
     found = {r.doc_id: r for r in sentence_spans.remove_repeats(frame(spark, rows)).collect()}
     assert found[20].n_removed == 0 and found[20].text == " ".join(s[:8])
-    assert found[21].text == "Other start. Other end." and found[21].n_removed == 4
+    assert found[21].text == "Other start. Other end." and found[21].n_removed == 6
     assert found[22].n_removed == 0
-    assert found[23].n_removed == 3 and found[23].text == " ".join(s[9:12] + ["Then."])
+    assert found[23].n_removed == 11 and found[23].text == " ".join([s[9], "Then."])
     assert found[1].text is None and sentence_spans.remove_repeats(frame(spark, ODD)).count() == len(ODD)
+    assert sentence_spans.remove_repeats(frame(spark, ODD).limit(0)).count() == 0
 
 
-def test_sentence_spans_of_few_long_sentences(spark):
+def test_sentence_spans_against_brute_force(spark):
     long = [" ".join(f"w{k}x{i}" for i in range(60)) + "." for k in range(3)]
-    half = [" ".join(f"h{k}x{i}" for i in range(30)) + "." for k in range(4)]
-    short = "Only a few words."
     rows = [
-        (1, f"{long[0]} {short}"), (2, f"Before. {long[0].upper()} After."),  # one sentence
-        (3, f"{half[0]} {half[1]}"), (4, f"{half[0]} {half[1]}"), (5, f"{half[1]} {short} {half[0]}"),  # a whole text of two; its halves are too short
-        (6, f"{long[1]} {short} x"), (7, f"{long[1]} {short} y"),  # a long one with a short one behind it: two that hold enough words
-        (8, f"{long[2]} {long[2]}"), (9, short), (10, short),
+        *ODD, (None, "null id here"), (None, long[2] + " a"), (1, f"{long[0]} Only a few."), (2, f"Before. {long[0].upper()} After."), (8, f"{long[2]} {long[2]}"), (9, "Only a few."), (10, "Only a few."),
+        (11, "glued to " + long[1].replace("w1x20", "w1x20,").replace("w1x52", "w1x52;")), (12, "otherwise " + long[1].replace("w1x20", "w1x20,").replace("w1x52", "w1x52;")[:-1] + " and on."),
+        *((100 + r.doc_id, r.text) for r in small(spark).limit(120).collect()),
     ]
-    found = {r.doc_id: r for r in sentence_spans.remove_repeats(frame(spark, rows)).collect()}
-    assert {i: r.n_removed for i, r in found.items()} == {1: 0, 2: 1, 3: 0, 4: 2, 5: 0, 6: 0, 7: 2, 8: 1, 9: 0, 10: 0}
-    assert found[2].text == "Before. After." and found[4].text == "" and found[7].text == "y" and found[8].text == long[2]
+    for words in (30, 8):
+        found = sentence_spans.remove_repeats(frame(spark, rows), words).collect()
+        expected = sentences_by_brute_force(rows, words)
+        assert collections.Counter((r.doc_id, r.text, r.n_removed) for r in found) == expected
+    assert {r.doc_id: r.n_removed for r in sentence_spans.remove_repeats(frame(spark, rows)).collect()}[12] == 1
+
+
+def test_sentence_spans_catch_planted_passages(spark):
+    rng = np.random.default_rng(9)
+    own = lambda seed, n: " ".join(f"{'abcdefgh'[(seed + i) % 8]}{seed}y{i}" + rng.choice(["", "", "", "", "", ",", "."]) for i in range(n))
+    passages = [own(1000 + k, 55) for k in range(40)]
+    rows = [(2 * k + side, f"{own(5000 + 2 * k + side, 40)} tail {p} head {own(7000 + 2 * k + side, 40)}") for k, p in enumerate(passages) for side in (0, 1)]
+    found = {r.doc_id: r.n_removed for r in sentence_spans.remove_repeats(frame(spark, rows)).collect()}
+    assert sum(found[2 * k + 1] > 0 for k in range(40)) >= 38 and not any(found[2 * k] for k in range(40))
 
 
 def test_kneser_ney(spark):
