@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rankloom.llm import decontamination, packing, quality_rules, secrets, set_join
-from rankloom.llm.common import shared_path, table, write_shared
+from rankloom.llm.common import shared_path, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of documents that the quality rules keep."""
-    judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"), keyed=True)
-    kept = write_shared(judged.filter("kept").select(F.col("row_key").alias("kept_key")).distinct(), "kept")
-    return docs.join(kept, quality_rules.row_key() == F.col("kept_key"), "left_semi")
+    """The rows of documents that the quality rules keep; each carries its own verdict, so no text is joined or shuffled.
+
+    Null, empty and short texts go. Every row is judged by its text and language alone: repeated rows stay or go together, null ids count like
+    others, and columns of any name are passed on. An empty table stays empty.
+    """
+    return quality_rules.judge(docs, table(spark, sf_dir, "labels"), carry=True).filter("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
