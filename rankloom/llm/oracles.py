@@ -6,15 +6,8 @@ from .quality_rules import Risk
 
 
 def quality_rules_sql(risk: Risk = Risk()) -> str:  # noqa: B008
-    counts, cells, failed = [], [], []
-    for r in risk.rules:
-        sign = "<" if r.below else ">"
-        for i, c in enumerate(r.cutoffs):
-            counts.append(f"sum(case when {r.value} {sign} {c!r} then 1 else 0 end)::bigint as k_{r.name}_{i}")
-            cells.append(f"{{'rule': '{r.name}', 'i': {i}, 'cutoff': {c!r}::double, 'k': k_{r.name}_{i}}}")
-        failed.append(f"coalesce({r.value} {sign} c_{r.name}, false)")
-    chosen = [f"max_by(cutoff, i) filter (where rule = '{r.name}') as c_{r.name}" for r in risk.rules]
-    p = repr(risk.rate)
+    last, p = len(risk.ladder), repr(risk.alpha)
+    first_step = risk.first_step().replace("D then", "::double then")
     strata = ", ".join(f"'{s}'" for s in risk.strata)
     return f"""
 with d as (select row_number() over () as rid, doc_id, lang, coalesce(text, '') as t from documents),
@@ -27,14 +20,19 @@ cov as (select rid, count(distinct p) as n_repeat_words from (select rid, unnest
 b as (select w.doc_id, len(w.w)::bigint as n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::bigint as word_chars,
       (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
       (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(cov.n_repeat_words, 0)::bigint as n_repeat_words,
-      case when lang in ({strata}) then lang else 'other' end as stratum from w left join cov using (rid)),
-bb as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b),
+      case when lang in ({strata}) then lang else 'other' end as stratum, t from w left join cov using (rid)),
+bf as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b),
+bb as (select *, case when not base_failed then {first_step} end as first_step from bf),
 good as (select doc_id from labels group by doc_id having min(quality) = 1 and coalesce(max(toxic), 0) = 0),
-k as (select stratum, count(*) as n, {", ".join(counts)} from bb where not base_failed and doc_id in (select doc_id from good where doc_id is not null) group by stratum),
-cells as (select stratum, n, unnest([{", ".join(cells)}]) as c from k),
-sums as (select stratum, c.rule as rule, c.i as i, c.cutoff as cutoff, any_value(n) as n, any_value(c.k) as k, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p}))) as tail
-         from cells, lateral (select unnest(range(0, c.k + 1)) as j) group by all),
-cut as (select stratum, {", ".join(chosen)} from sums where k < n * {p} and tail <= {risk.level!r} group by stratum)
+g1 as (select distinct stratum, t, first_step from bb where not base_failed and doc_id in (select doc_id from good where doc_id is not null)),
+g3 as (select stratum, first_step, count(*) as c from g1 group by all),
+k as (select stratum, first_step, (sum(c) over (partition by stratum))::bigint as n, (sum(c) over (partition by stratum order by first_step))::bigint as k from g3),
+zero as (select distinct stratum, -1 as first_step, n, 0::bigint as k from k),
+tests as (select * from zero union all select * from k where first_step < {last}),
+tails as (select stratum, first_step, k, n, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p}))) as tail
+          from tests, lateral (select unnest(range(0, k + 1)) as j) group by all),
+bad as (select stratum, min(first_step) as step from tails where tail > {risk.level!r} or k >= n * {p} group by stratum),
+taken as (select distinct k.stratum, greatest(coalesce(bad.step, {last}), 0) as taken from k left join bad using (stratum))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and not (case when base_failed then true else {" or ".join(failed)} end) as kept
-from bb left join cut using (stratum)"""
+       not base_failed and coalesce(first_step, 0) >= coalesce(taken, 0) as kept
+from bb left join taken using (stratum)"""

@@ -1,9 +1,11 @@
 """Quality rules whose cutoffs come from a labelled holdout, with a guarantee on false rejection.
 
-Every rule rejects a document when one of its ratios lies beyond a cutoff. For each stratum and rule the strictest cutoff is
-taken for which an exact binomial test on the holdout's good documents shows, at a level shared out over all tests (Bonferroni), that the
-rule rejects less than its share of the allowed rate. So, with confidence 1 - delta, no stratum loses more than alpha of its
-good documents to all rules together. A rule without such a cutoff in a stratum rejects nothing there.
+Every rule rejects a document when one of its ratios lies beyond a cutoff. The rules' cutoffs form one ladder from mild to strict: each step
+tightens one rule by one cutoff, and the rules on a step act together with all steps below. In every stratum the steps are tested in that fixed
+order, each by an exact binomial test on the holdout's good documents at level delta / strata, until one fails: the steps before it are taken.
+Testing in a fixed order needs no share of delta for each step, and Bonferroni over the strata makes the guarantee joint: with confidence 1 - delta,
+no stratum loses alpha of its good documents or more to all rules together. A stratum with so few good documents that even a step that rejects
+none of them can't pass (under some 460 by default) has no rule: pooling it with others would give up the guarantee for it.
 
 Everything here is DataFrame expressions.
 """
@@ -12,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import write_shared
@@ -31,9 +33,8 @@ class Rule:
     cutoffs: tuple[float, ...]
     below: bool = False
 
-    def fails(self, cutoff: Column) -> Column:
-        v = F.expr(self.value)
-        return v < cutoff if self.below else v > cutoff
+    def fails(self, cutoff: float) -> str:
+        return f"{self.value} {'<' if self.below else '>'} {cutoff!r}D"
 
 
 RULES = (
@@ -55,16 +56,23 @@ class Risk:
     rules: tuple[Rule, ...] = field(default=RULES)
 
     @property
-    def rate(self) -> float:
-        return self.alpha / len(self.rules)
+    def level(self) -> float:
+        return self.delta / (len(self.strata) + 1)
 
     @property
-    def level(self) -> float:
-        return self.delta / ((len(self.strata) + 1) * sum(len(r.cutoffs) for r in self.rules))
+    def ladder(self) -> list[tuple[Rule, float]]:
+        """The steps: each rule's cutoffs in order, the rules side by side."""
+        steps = [((i + 1) / len(r.cutoffs), j, r, c) for j, r in enumerate(self.rules) for i, c in enumerate(r.cutoffs)]
+        return [(r, c) for _, _, r, c in sorted(steps, key=lambda x: x[:2])]
+
+    def first_step(self) -> str:
+        """SQL over the base columns: the first step that rejects a document, or a number past the last."""
+        tests = [f"case {' '.join(f'when {r.fails(c)} then {i}' for i, (q, c) in enumerate(self.ladder) if q is r)} else {len(self.ladder)} end" for r in self.rules]
+        return f"least({', '.join(tests)})"
 
 
 def base_columns(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) of every row, and the struct `row` of all its columns if carry; a null text has no words.
+    """(doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, text_id) of every row, and the struct `row` of all its columns if carry; a null text has no words.
 
     Words in repeated windows: the hashes of all three-word windows; if they are all distinct, none. Otherwise the windows whose hash is
     among the repeated ones, found by membership while those are few, by sorting (hash, place) when they are many. Each such
@@ -72,11 +80,11 @@ def base_columns(docs: DataFrame, carry: bool = False) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     key = ["row"] * carry
-    df = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang"), text.alias("t"), *[F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(k) for k in key])
+    df = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang"), text.alias("t"), F.xxhash64(text).alias("text_id"), *[F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(k) for k in key])
     df = df.withColumn("w", F.filter(F.split("t", GAP), lambda x: x != ""))
     df = df.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.select(
-        "doc_id", "lang", "w", *key,
+        "doc_id", "lang", "w", "text_id", *key,
         F.size("w").cast("bigint").alias("n_words"),
         F.length(F.regexp_replace("t", GAP, "")).cast("bigint").alias("word_chars"),
         (F.length("t") - F.length(F.regexp_replace("t", "[#*$%&|<>]", ""))).cast("bigint").alias("n_symbols"),
@@ -122,18 +130,20 @@ def binomial_tail(k: Column, n: Column, p: float, terms: int = 20_000) -> Column
     return F.when(k < n * p, mass * (folded["sum"] + rest)).otherwise(1.0)
 
 
-def thresholds(good: DataFrame, risk: Risk) -> DataFrame:
-    """(stratum, c_<rule>...): the strictest cutoff that passes its test, null if none does. At most one row a stratum.
+def steps_taken(good: DataFrame, risk: Risk) -> DataFrame:
+    """(stratum, taken): the number of steps taken, at most one row a stratum.
 
-    good: base columns and stratum of the holdout's good documents. One aggregation counts, for all cutoffs at once, how many each would reject.
+    good: stratum, text_id and first_step of the holdout's good documents; equal texts of a stratum count once, since they are no independent trials
+    (near copies do count each). One aggregation counts the documents of each first step: at most as many rows a stratum as there are steps.
     """
-    tests = [(r, i, c) for r in risk.rules for i, c in enumerate(r.cutoffs)]
-    counts = [F.sum(F.when(r.fails(F.lit(c)), 1).otherwise(0)).cast("bigint").alias(f"k_{r.name}_{i}") for r, i, c in tests]
-    cells = [F.struct(F.lit(r.name).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.col(f"k_{r.name}_{i}").alias("k")) for r, i, c in tests]
-    counted = good.groupBy("stratum").agg(F.count("*").alias("n"), *counts)
-    cells_of = counted.select("stratum", "n", F.explode(F.array(*cells)).alias("cell")).select("stratum", "n", "cell.*")
-    passed = cells_of.filter(binomial_tail(F.col("k"), F.col("n"), risk.rate) <= risk.level)
-    return passed.groupBy("stratum").agg(*(F.max_by(F.when(F.col("rule") == r.name, F.col("cutoff")), F.when(F.col("rule") == r.name, F.col("i"))).alias(f"c_{r.name}") for r in risk.rules))
+    last = len(risk.ladder)
+    counted = good.select("stratum", "text_id", "first_step").distinct().groupBy("stratum", "first_step").agg(F.count("*").alias("c"))
+    whole = Window.partitionBy("stratum")
+    below = whole.orderBy("first_step").rowsBetween(Window.unboundedPreceding, 0)
+    sums = counted.select("stratum", "first_step", F.sum("c").over(whole).alias("n"), F.sum("c").over(below).alias("k"))
+    failed = F.when((F.col("first_step") < last) & (binomial_tail(F.col("k"), F.col("n"), risk.alpha) > risk.level), F.col("first_step"))
+    none = F.max(binomial_tail(F.lit(0), F.col("n"), risk.alpha)) > risk.level
+    return sums.groupBy("stratum").agg(F.when(none, 0).otherwise(F.coalesce(F.min(failed), F.lit(last))).alias("taken"))
 
 
 def stratum(risk: Risk) -> Column:
@@ -147,12 +157,10 @@ def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), carry: bool =
     holdout. Languages outside risk.strata and null ones share the stratum "other". Null or empty texts fail the base. Repeated rows are judged each by
     itself. Without labels only the base decides. Other columns of either table are ignored.
     """
-    base = write_shared(base_columns(docs, carry).withColumn("stratum", stratum(risk)), "base")
+    base = write_shared(base_columns(docs, carry).withColumn("stratum", stratum(risk)).withColumn("first_step", F.when(~F.col("base_failed"), F.expr(risk.first_step()))), "base")
     trusted = labels.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
-    cut = thresholds(base.filter("not base_failed").join(trusted, "doc_id", "left_semi"), risk)
-    failed = F.lit(False)
-    for r in risk.rules:
-        failed = failed | F.coalesce(r.fails(F.col(f"c_{r.name}")), F.lit(False))
+    taken = steps_taken(base.filter("not base_failed").select("doc_id", "stratum", "text_id", "first_step").join(trusted, "doc_id", "left_semi"), risk)
     # at most len(risk.strata) + 1 rows are broadcast
-    rows = base.join(F.broadcast(cut), "stratum", "left")
-    return rows.select("doc_id", *["row"] * carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.when(F.col("base_failed"), True).otherwise(failed)).alias("kept"))
+    rows = base.join(F.broadcast(taken), "stratum", "left")
+    kept = ~F.col("base_failed") & (F.coalesce("first_step", F.lit(0)) >= F.coalesce("taken", F.lit(0)))
+    return rows.select("doc_id", *["row"] * carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))

@@ -154,6 +154,35 @@ def test_quality_base_and_empty_labels(spark, monkeypatch):
     assert quality_rules.judge(docs.limit(0), labels).count() == 0
 
 
+def test_quality_steps_from_labels(spark):
+    """Cutoffs are set by labels, in fixed order, as an exact test in plain Python has them."""
+    rng = np.random.default_rng(4)
+    risk = quality_rules.Risk()
+    text = lambda i, symbols: " ".join(f"word{i}x{j}" for j in range(60)) + " $" * symbols
+    rows = [(i, text(i, int(rng.choice([0, 0, 0, 0, 1]))), "en") for i in range(900)] + [(1000 + i, text(i, 0), "en") for i in range(300)]
+    rows += [(2000 + i, text(i + 5000, 0), "fr") for i in range(100)] + [(3000, text(1, 50), "en"), (3001, text(2, 50), "fr")]
+    docs = spark.createDataFrame([(*r, "s", 1, "clash", 3) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, stratum string, taken int")
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows if r[0] < 3000] + [(3000, 1, 1), (5, 1, 0)], "doc_id bigint, quality int, toxic int")
+    found = {r.doc_id: r for r in quality_rules.judge(docs, labels, carry=True).collect()}
+    steps = [(f.n_symbols / f.n_words, f.word_chars / f.n_words, f.n_dup_lines / f.n_words, f.n_repeat_words / f.n_words) for f in found.values()]
+    good = {(t, s) for (i, t, l), s in zip(rows, [0] * len(rows), strict=True) if l == "en" and i < 3000}
+    value = {"symbols": 0, "long_words": 1, "short_words": 1, "dup_lines": 2, "repeats": 3}
+    by_text = {t: steps[list(found).index(i)] for i, t, l in rows}
+    n, taken = len(good), 0
+    for step in range(len(risk.ladder)):
+        k = sum(any((by_text[t][value[r.name]] < c) if r.below else (by_text[t][value[r.name]] > c) for r, c in risk.ladder[: step + 1]) for t, _ in good)
+        if k >= n * risk.alpha or sum(math.comb(n, i) * risk.alpha**i * (1 - risk.alpha) ** (n - i) for i in range(k + 1)) > risk.level:
+            break
+        taken = step + 1
+    assert 0 < taken < len(risk.ladder)
+    for i, _, lang in rows:
+        v = steps[list(found).index(i)]
+        fails = lang == "en" and any((v[value[r.name]] < c) if r.below else (v[value[r.name]] > c) for r, c in risk.ladder[:taken])
+        assert found[i].kept == (not found[i].base_failed and not fails), (i, v)
+    assert not found[3000].kept and found[3001].kept == (not found[3001].base_failed)  # 100 good documents are too few for a rule
+    assert found[3000].row.stratum == "clash" and found[3000].row.taken == 3
+
+
 def test_binomial_tail(spark):
     from pyspark.sql import functions as F
 
