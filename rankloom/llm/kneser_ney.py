@@ -3,11 +3,12 @@
 The model is one of characters: texts are mapped to an alphabet of 64 signs, and n-grams of up to four are counted over all
 trusted texts. Counts, continuation counts, discounts and context totals are hash-sharded tables, made and joined by Spark. What is
 known of n-grams of four signs can't exceed 64 ** 4 entries however large the corpus, so that is the bound on what scoring broadcasts. Documents are
-scored whole; a document is rejected when its perplexity is beyond its language's quantile among the trusted ones.
+scored whole; a document is rejected when its perplexity is beyond its language's quantile of trusted ones, each scored by a model that wasn't trained on it.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,24 +18,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_filter, write_shared
+from .hashing import mix
 
 ORDER = 4
+#: Languages whose thresholds are broadcast at most; with more, they are joined by language.
+MAX_LANGUAGES = 10_000
 SIGNS = 64
-#: The alphabet. Letters of either case are one sign; 0 is any other sign, 1 a space.
+#: The alphabet. Letters of either case are one sign; 0 is any other sign, 1 white space, and digits of any script are one sign.
 LETTERS = "abcdefghijklmnopqrstuvwxyzéèêëàâäáçñóòôöúùûüíìîïßœ"
 MARKS = ".,;:!?'\"-()"
 
 
+#: Code points that have a row in the table of signs; all beyond are letters.
+TABLED = 0x20000
+
+
 @lru_cache(maxsize=1)
 def _signs() -> np.ndarray:
-    table = np.zeros(0x3000, np.uint8)
-    table[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0xA0]] = 1
+    """The sign of each code point. Letters outside LETTERS, of any script, share the letters' signs by a hash: their texts stay told apart."""
+    table = np.zeros(TABLED + 1, np.uint8)
+    hashed = 2 + (mix(np.arange(TABLED + 1, dtype=np.uint64)) % np.uint64(len(LETTERS))).astype(np.uint8)
+    for i in range(TABLED):
+        kind = unicodedata.category(chr(i))
+        if kind[0] in "LM":
+            table[i] = hashed[ord(low) if len(low := chr(i).lower()) == 1 and ord(low) < TABLED else i]
+        elif kind[0] == "Z" or i in (9, 10, 11, 12, 13):
+            table[i] = 1
+        elif kind[0] == "N":
+            table[i] = len(LETTERS) + 2
     for i, c in enumerate(LETTERS):
         table[ord(c)] = i + 2
         if len(c.upper()) == 1:
             table[ord(c.upper())] = i + 2
-    for c in "0123456789":
-        table[ord(c)] = len(LETTERS) + 2
     for i, c in enumerate(MARKS):
         table[ord(c)] = min(len(LETTERS) + 3 + i, SIGNS - 1)
     return table
@@ -42,8 +57,8 @@ def _signs() -> np.ndarray:
 
 def signs(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    table = _signs()
-    return np.where(points < len(table), table[np.minimum(points, len(table) - 1)], 0).astype(np.int32)
+    far = 2 + (mix(points.astype(np.uint64)) % np.uint64(len(LETTERS))).astype(np.uint8) if len(points) and points.max() >= TABLED else 0
+    return np.where(points < TABLED, _signs()[np.minimum(points, TABLED)], far).astype(np.int32)
 
 
 def grams(text: str) -> np.ndarray:
@@ -87,8 +102,13 @@ def _order(table: DataFrame) -> DataFrame:
 
 
 def train(texts: DataFrame) -> list[tuple[np.ndarray, ...]]:
-    """For orders 1 to ORDER: (gram, plus, context, gamma), by continuation counts below the highest; at most 64 ** 4 entries."""
-    table, out = write_shared(count(texts), "grams"), []
+    """The model of (text) rows."""
+    return modelled(write_shared(count(texts), "grams"))
+
+
+def modelled(table: DataFrame) -> list[tuple[np.ndarray, ...]]:
+    """For orders 1 to ORDER: (gram, plus, context, gamma) of counts (gram, c), by continuation counts below the highest; at most 64 ** 4 entries."""
+    out = []
     for k in range(ORDER, 0, -1):
         t = _order(table).toArrow()
         context, first = np.unique(t["context"].to_numpy(), return_index=True)
@@ -142,22 +162,30 @@ def perplexities(docs: DataFrame, model: list[tuple[np.ndarray, ...]]) -> DataFr
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "doc_id bigint, lang string, n_signs bigint, perplexity double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.25, least: int = 30) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 30) -> DataFrame:
     """(doc_id, lang, n_signs, perplexity, threshold, kept) for every row of docs (doc_id, text, lang).
 
-    Trusted are all documents with quality 1 and not toxic on each of their rows of labels. A language's threshold is slack times the quantile of its
-    trusted documents' perplexities; languages with fewer than `least` of them, and null ones, take that of all. Without any trusted document all are kept. Null and empty texts have no
-    perplexity and are not kept. Repeated rows are judged each; other columns are ignored.
+    Trusted are all documents with quality 1 and not toxic on each of their rows of labels; the model is trained on all of them. For the thresholds they are
+    parted in two halves by a hash of the doc_id, and each half is scored by a model of the other one: a language's threshold is the quantile of these
+    perplexities. Languages with fewer than `least` trusted documents, and null ones, take the largest of the quantile of all and those of the languages that
+    have one. Without any trusted document all with a text are kept. Ties with the threshold are kept. Null and empty texts have no perplexity and are not
+    kept. Repeated rows are judged each; other columns are ignored; an empty table gives an empty one.
     """
-    good = labels.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id")
-    good = write_shared(good, "trusted")
+    good = labels.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null")
+    good = write_shared(good.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half")), "trusted")
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
     present = id_filter(good, "doc_id")
-    model = train(source.filter(present(F.col("doc_id"))).join(good, "doc_id", "left_semi"))
-    scores = write_shared(perplexities(source, model), "scores")
-    trusted = scores.join(good, "doc_id", "left_semi").filter("perplexity is not null")
-    cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * slack
-    overall = trusted.agg(cut.alias("cut")).first()[0]
-    by_lang = trusted.groupBy("lang").agg(cut.alias("threshold"), F.count("*").alias("n")).filter((F.col("n") >= least) & F.col("lang").isNotNull()).select("lang", "threshold")
+    trusted = write_shared(source.filter(present(F.col("doc_id"))).join(good, "doc_id"), "trusted-texts")
+    counts = [write_shared(count(trusted.filter(F.col("half") == h)), "grams") for h in (0, 1)]
+    unseen = [perplexities(trusted.filter(F.col("half") == h), modelled(counts[1 - h])) for h in (0, 1)]
+    unseen = write_shared(unseen[0].union(unseen[1]).filter("perplexity is not null").select("lang", "perplexity"), "unseen")
+    model = modelled(write_shared(counts[0].union(counts[1]).groupBy("gram").agg(F.sum("c").alias("c")), "grams"))
+    cuts = unseen.rollup("lang").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("threshold"), F.count("*").alias("n"), F.grouping("lang").alias("whole"))
+    # a row for each language at most; the number is checked before they are sent to all
+    cuts = write_shared(cuts.filter((F.col("whole") == 1) | (F.col("n") >= least) & F.col("lang").isNotNull()).select("lang", "threshold", "whole"), "cuts")
+    overall = cuts.agg(F.max("threshold")).first()[0]
+    by_lang = cuts.filter("whole = 0").select("lang", "threshold")
+    by_lang = F.broadcast(by_lang) if by_lang.count() <= MAX_LANGUAGES else by_lang
     threshold = F.coalesce("threshold", F.lit(overall if overall is not None else float("inf")))
+    scores = perplexities(source, model)
     return scores.join(by_lang, "lang", "left").select("doc_id", "lang", "n_signs", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(False)).alias("kept"))

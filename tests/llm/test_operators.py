@@ -319,6 +319,19 @@ def test_warc_ranges(tmp_path):
         assert got == [f"<urn:page:{i}>" for i in range(20)]
 
 
+def test_warc_reads_ranges_in_tasks_of_their_own(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, "http://x/" + "long" * (400_000 if i == 7 else 1), rng.bytes(3000).hex()) for i in range(60)]
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id bigint, url string, html string, key string, first int").repartition(1)
+    path = f"file://{tmp_path}/warc"
+    warc_archive.write(pages, path)
+    size = sum(f.stat().st_size for f in (tmp_path / "warc").glob("part-*"))
+    found = warc_archive.read(spark, path, split_bytes=-(-size // 10))
+    assert found.rdd.getNumPartitions() == 10
+    assert {(r.page_id, r.url, bytes(r.payload).decode()) for r in found.collect()} == set(rows)  # a header of 1.6 MB, too
+    assert b"\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n" in warc_archive.record(1, "u", b"", None)
+
+
 def test_packing(spark):
     rng = np.random.default_rng(2)
     for _ in range(20):
@@ -449,6 +462,51 @@ def test_kneser_ney(spark):
     assert {r.gram: r.c for r in kneser_ney.count(texts).collect()} == counts
 
 
+def kneser_ney_by_brute_force(texts, order):
+    """P(sign | context) of an interpolated modified Kneser-Ney model, from dictionaries of tuples."""
+    pad = lambda t: (1,) * (order - 1) + tuple(kneser_ney.signs(t).tolist())
+    counts = collections.Counter(g for t in texts for p in [pad(t)] for g in zip(*(p[i:] for i in range(order)), strict=False))
+    tables = {order: counts}
+    for k in range(order - 1, 0, -1):
+        tables[k] = collections.Counter(g[1:] for g in tables[k + 1])
+    discounts, totals, kinds = {}, {}, {}
+    for k, table in tables.items():
+        n = collections.Counter(table.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        discounts[k] = [0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i] if n[i] else default, 0.05), i) for i, default in ((1, 0.5), (2, 0.75), (3, 0.9))]
+        totals[k], kinds[k] = collections.Counter(), collections.defaultdict(collections.Counter)
+        for g, c in table.items():
+            totals[k][g[:-1]] += c
+            kinds[k][g[:-1]][min(c, 3)] += 1
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / kneser_ney.SIGNS
+        lower = p(g[1:])
+        if not (total := totals[k][g[:-1]]):
+            return lower
+        d = discounts[k]
+        gamma = sum(d[i] * m for i, m in kinds[k][g[:-1]].items()) / total
+        c = tables[k][g]
+        return max(c - d[min(c, 3)], 0) / total + gamma * lower
+
+    return lambda t: math.exp(-sum(math.log(p(pad(t)[i : i + order])) for i in range(len(t))) / len(t))
+
+
+def test_perplexity_against_brute_force(spark):
+    texts = [r.text for r in small(spark).limit(60).collect() if r.text]
+    expected = kneser_ney_by_brute_force(texts, kneser_ney.ORDER)
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    asked = [*texts[:15], "жили-были старик со старухой", "いろはにほへと 散りぬるを", "q", "!!! ### 123", *(r.text for r in small(spark).filter("doc_id > 100").limit(15).collect() if r.text)]
+    found = kneser_ney.perplexities(frame(spark, list(enumerate(asked))), model).collect()
+    assert len(found) == len(asked)
+    for r in found:
+        assert r.perplexity == pytest.approx(expected(asked[r.doc_id]), rel=2e-4)
+    assert len(set(kneser_ney.signs("жили были старик").tolist())) > 6  # letters of any script are told apart
+    assert len(set(kneser_ney.signs("散りぬるを我が世誰ぞ").tolist())) > 5 and kneser_ney.signs("Ж")[0] == kneser_ney.signs("ж")[0]
+
+
 def test_classifier_on_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     held = {r.doc_id: r.quality for r in labels.filter("doc_id % 3 = 0").collect()}
@@ -456,6 +514,9 @@ def test_classifier_on_held_out(spark):
     good, bad = ([kept[d] for d, q in held.items() if q == x] for x in (1, 0))
     assert sum(good) >= 0.9 * len(good) and sum(bad) <= 0.4 * len(bad)
     assert kneser_ney.classify(frame(spark, ODD), labels.limit(0)).count() == len(ODD)
+    assert kneser_ney.classify(frame(spark, ODD).limit(0), labels).count() == 0
+    rows = kneser_ney.classify(frame(spark, ODD).selectExpr("*", "1 as threshold", "2 as perplexity"), labels.limit(0)).collect()
+    assert all(r.kept == (r.perplexity is not None) for r in rows)
 
 
 def test_hashes_agree_with_words():
