@@ -1,11 +1,11 @@
 """Benchmark decontamination: a BM25 index of the test items, queried with every training passage.
 
-Items are the indexed documents, in blocks of similar ids; for each term the index keeps its impact in each item and the largest
-impact in each block. Impacts are divided by the item's score against itself, so one threshold fits all items. Passages are overlapping windows
-of each text, long enough that an item fits into one whole. Retrieval is block-max WAND: the sum of a passage's block maxima bounds
-the score of any item in the block, so blocks whose bound is under the threshold are skipped, and inside the others all scores are
-computed. All items above the threshold are retrieved; each is then verified by the share of its question's and its answer's word
-n-grams that the passage holds.
+Items are the indexed documents, in blocks of similar ids; for each term the index keeps its impact in each item and the largest impact in each block
+that has it, both as sorted (term, item) and (term, block) keys. Impacts are divided by the item's score against itself, so one threshold fits all items.
+Passages are overlapping windows of each text, long enough that an item fits into one whole. Retrieval is block-max WAND: a passage's terms are ordered by
+their largest impact anywhere; up to the pivot they can't reach the threshold together, so only blocks with a term from the pivot on are looked at. Of
+these the sum of block maxima bounds the score of any item inside, blocks under the threshold are skipped, and the items of the others are scored. All items
+above the threshold are retrieved; each is then verified by the share of its question's and its answer's word n-grams that the passage holds.
 """
 
 from __future__ import annotations
@@ -20,36 +20,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
+from .common import hash_filter, write_shared
 
 K1, B = 1.2, 0.75
 #: Items of a block.
 BLOCK = 8
 #: Bytes of an index that is broadcast at once; a larger benchmark is indexed in shards of that size, one after another.
 INDEX_BYTES = 32 << 20
+#: Bytes of index for each byte of text, at most: words of one letter take 2 bytes of text, and 8 for the term, 8 for its largest impact, 16 for a block and
+#: 16 for an item, and 16 in the n-grams of question and answer.
+TEXT_FACTOR = 32
 _PIECE = 256 << 10
-#: Words that an answer is compared by at least, in runs of three.
-ANSWER_WORDS = 8
+#: Words of the n-grams that an answer is compared by; a shorter answer is compared whole.
+ANSWER_GRAM = 3
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[list(b"!\"'()*,-.:;<>?[]_`{}")] = True
 
 
 @dataclass
 class Index:
-    """terms: sorted hashes; rows of block_max and of the postings belong to them."""
+    """terms: sorted hashes, numbered in that order; keys of blocks and items are term * number + block or item, sorted."""
 
     ids: list[int]
     terms: np.ndarray
+    top: np.ndarray
+    block_keys: np.ndarray
     block_max: np.ndarray
-    first: np.ndarray
-    item: np.ndarray
+    item_keys: np.ndarray
     impact: np.ndarray
     question: list[np.ndarray]
     answer: list[np.ndarray]
     words: int
 
+    @property
+    def blocks(self) -> int:
+        return -(-len(self.ids) // BLOCK)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.terms, self.top, self.block_keys, self.block_max, self.item_keys, self.impact, *self.question, *self.answer))
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words without punctuation around them, and the number of words before each row."""
+    starts, ends, before = H.word_spans(data, offsets)
+    for _ in range(3):
+        ends = ends - (_PUNCTUATION[data[ends - 1]] & (ends - starts > 1))
+        starts = starts + (_PUNCTUATION[data[starts]] & (ends - starts > 1))
+    return H.word_hashes(data, starts, ends), before
+
 
 def _hashes(text: str) -> np.ndarray:
     for _, data, offsets in H.chunks(pa.array([text])):
-        starts, ends, _ = H.word_spans(data, offsets)
-        return H.word_hashes(data, starts, ends)
+        return _words(data, offsets)[0]
     return np.zeros(0, np.uint64)
 
 
@@ -66,8 +89,20 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(H.runs_hash(words, min(n, max(len(words), 1)))) if len(words) else np.zeros(0, np.uint64)
 
 
+def frequencies(items: DataFrame) -> DataFrame:
+    """(term, df) over items (text); term is a hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms = [np.unique(_hashes(t)) for t in b["text"].to_pylist()]
+            if terms:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(terms).view(np.int64))], names=["term"])
+
+    return items.select("text").mapInArrow(run, "term bigint").groupBy("term").agg(F.count("*").alias("df"))
+
+
 def build(items: list[tuple[int, str]], stats: tuple[int, float, dict[int, int]], n: int) -> Index:
-    """Index of a shard of items; stats: number of items, mean length and document frequencies of the whole benchmark."""
+    """Index of a shard of items; stats: number of items and mean length of the whole benchmark, and document frequencies there of the shard's terms."""
     total, mean, df = stats
     rows, ids, questions, answers, most = [], [], [], [], 0
     for item_id, text in items:
@@ -78,37 +113,43 @@ def build(items: list[tuple[int, str]], stats: tuple[int, float, dict[int, int]]
         d = np.array([df[t] for t in terms.tolist()], float)
         idf = np.log(1 + (total - d + 0.5) / (d + 0.5))
         impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
-        question, answer = split_item(text)
-        # short answers say little by themselves: with the words before them
-        tail = words[-min(len(words), max(len(_hashes(answer)), ANSWER_WORDS)) :]
-        head = _hashes(question)
+        question, answer = (_hashes(x) for x in split_item(text))
         rows.append((terms, impact / impact.sum()))
-        questions.append(_grams(head if len(head) else words, n))
-        answers.append(_grams(tail, min(n, 3)))
+        questions.append(_grams(question if len(question) else words, n))
+        answers.append(_grams(answer, min(n, ANSWER_GRAM)))
         ids.append(item_id)
         most = max(most, len(words))
+    none = np.zeros(0, np.int64)
     terms = np.unique(np.concatenate([t for t, _ in rows])) if rows else np.zeros(0, np.uint64)
-    blocks = -(-len(rows) // BLOCK)
-    block_max = np.zeros((len(terms) + 1, blocks), np.float32)  # the last row: unknown words
-    at, item, impact = [], [], []
-    for i, (t, x) in enumerate(rows):
-        where = np.searchsorted(terms, t)
-        block_max[where, i // BLOCK] = np.maximum(block_max[where, i // BLOCK], x.astype(np.float32))
-        at.append(where)
-        item.append(np.full(len(t), i))
-        impact.append(x)
-    order = np.argsort(np.concatenate(at), kind="stable") if rows else np.zeros(0, np.int64)
-    flat = np.concatenate(at)[order] if rows else order
-    return Index(ids, terms, block_max, np.searchsorted(flat, np.arange(len(terms) + 2)), np.concatenate(item)[order] if rows else flat, np.concatenate(impact)[order] if rows else flat.astype(float), questions, answers, most)
+    at = np.concatenate([np.searchsorted(terms, t) for t, _ in rows]) if rows else none
+    item = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows]) if rows else none
+    impact = np.concatenate([x for _, x in rows]) if rows else none.astype(float)
+    order = np.lexsort((item, at))
+    at, item, impact = at[order], item[order], impact[order]
+    keys = at * -(-len(rows) // BLOCK) + item // BLOCK
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else none
+    top = np.maximum.reduceat(impact, np.searchsorted(at, np.arange(len(terms)))) if len(terms) else impact
+    return Index(ids, terms, top, keys[first], np.maximum.reduceat(impact, first) if len(first) else impact, at * len(rows) + item, impact, questions, answers, most)
+
+
+def _summed(keys: np.ndarray, values: np.ndarray, terms: np.ndarray, size: int, which: np.ndarray) -> np.ndarray:
+    """For each of which (blocks or items), the sum of the values under (term, it)."""
+    out = np.zeros(len(which))
+    for a in range(0, len(which), 4096):
+        asked = terms[:, None] * size + which[None, a : a + 4096]
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        out[a : a + 4096] = np.where(keys[at] == asked, values[at], 0.0).sum(axis=0)
+    return out
 
 
 def retrieve(index: Index, words: np.ndarray, starts: np.ndarray, stops: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
     """(passage, item, score) of all pairs at or above the threshold; passages are ranges of words."""
-    at = np.minimum(np.searchsorted(index.terms, words), max(len(index.terms) - 1, 0))
-    at = np.where(index.terms[at] == words, at, len(index.terms)) if len(index.terms) else np.zeros(len(words), np.int64)
-    known = at < len(index.terms)
+    if not len(index.terms):
+        return
+    at = np.minimum(np.searchsorted(index.terms, words), len(index.terms) - 1)
+    known = index.terms[at] == words
     before = np.concatenate(([0], np.cumsum(known)))
-    term, position = at[known], np.flatnonzero(known)
+    term = at[known]
     # a passage's distinct known words
     n = before[stops] - before[starts]
     owner = np.repeat(np.arange(len(starts)), n)
@@ -119,22 +160,25 @@ def retrieve(index: Index, words: np.ndarray, starts: np.ndarray, stops: np.ndar
         return
     first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     last = np.append(first[1:], len(owner))
-    # the whole index as one block first: most passages end here
-    top = index.block_max.max(axis=1)
-    open_ = np.add.reduceat(top[term], first) >= threshold - 1e-5
+    # most passages end here: all their terms together can't reach the threshold in any item
+    low = threshold - 1e-9
+    open_ = np.add.reduceat(index.top[term], first) >= low
+    blocks = index.blocks
     for a, b in zip(first[open_], last[open_], strict=True):
         own = term[a:b]
-        bound = index.block_max[own].sum(axis=0)
-        blocks = np.flatnonzero(bound >= threshold - 1e-5)
-        if not len(blocks):
+        own = own[np.argsort(index.top[own], kind="stable")]
+        pivot = int(np.searchsorted(np.cumsum(index.top[own]), low))
+        lists = [index.block_keys[slice(*np.searchsorted(index.block_keys, (t * blocks, (t + 1) * blocks)))] - t * blocks for t in own[pivot:]]
+        near = np.unique(np.concatenate(lists))
+        bound = _summed(index.block_keys, index.block_max, own, blocks, near)
+        near = near[bound >= low]
+        if not len(near):
             continue
-        sizes = index.first[own + 1] - index.first[own]
-        posts = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(index.first[own], sizes)
-        if len(blocks) < index.block_max.shape[1]:
-            posts = posts[np.isin(index.item[posts] // BLOCK, blocks)]
-        score = np.bincount(index.item[posts], index.impact[posts], len(index.ids))
-        for i in np.flatnonzero(score >= threshold):
-            yield int(owner[a]), int(i), float(score[i])
+        items = (near[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        items = items[items < len(index.ids)]
+        score = _summed(index.item_keys, index.impact, own, len(index.ids), items)
+        for i in np.flatnonzero(score >= low):
+            yield int(owner[a]), int(items[i]), float(score[i])
 
 
 def _share(part: np.ndarray, grams: np.ndarray) -> float:
@@ -145,30 +189,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     """(doc_id, item_id, score, question_overlap, answer_overlap), one row for each row of docs and item that its text leaks.
 
     score is the item's BM25 score against the best passage, as a share of its score against itself, and reaches threshold; the passage holds at least overlap of
-    the item's question n-grams and of its answer's. Null or blank texts match nothing, null, blank or repeated items are indexed once or not at all. Repeated rows of docs
-    give repeated results. Other columns of either table are ignored. The benchmark is read in shards of bounded size and each is broadcast.
+    the item's question n-grams and of its answer's (an answer of one or two words must be there as it is; an item without a separate answer has only a question). Words are compared with A-Z
+    lower-cased and without punctuation around them. Of passages of a text that leak an item the best by (score, overlaps) counts; ties give one row. Null or blank texts match nothing, null, blank or
+    repeated items are indexed once or not at all. Repeated rows of docs give repeated results. Empty tables give an empty one. Other columns of either table are ignored. The benchmark is
+    indexed in shards of bounded size; each is broadcast by itself.
     """
     spark = docs.sparkSession
+    shape = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id is not null and trim(text) <> ''").distinct()
-    counted = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    counted = items.agg(F.count("*"), F.sum(F.octet_length("text")), F.avg(words)).first()
     if not counted[0]:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double")
-    shards = max(1, -(-counted[1] * 16 // INDEX_BYTES))
+        return spark.createDataFrame([], shape)
+    shards = max(1, -(-counted[1] * TEXT_FACTOR // INDEX_BYTES))
+    items = write_shared(items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))), "items")
+    df = write_shared(frequencies(items), "frequencies") if shards > 1 else frequencies(items)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     out = None
-    parts = [items.filter(F.pmod("item_id", F.lit(shards)) == s).orderBy("item_id", "text") for s in range(shards)] if shards > 1 else [items.orderBy("item_id", "text")]
-    df: dict[int, int] = {}
-    length = 0
-    for part in parts:  # a shard at a time; the frequencies of the benchmark's terms stay
-        for _, text in part.toLocalIterator():
-            words = _hashes(text)
-            length += len(words)
-            for t in np.unique(words).tolist():
-                df[t] = df.get(t, 0) + 1
-    stats = (counted[0], length / counted[0], df)
-    for part in parts:
-        shared = spark.sparkContext.broadcast(build([tuple(r) for r in part.collect()], stats, n))
-        found = texts.mapInArrow(_searcher(shared, threshold, n, overlap), "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double")
+    for s in range(shards):  # the driver holds one shard's items and their terms' frequencies at a time
+        part = items.filter(F.col("shard") == s)
+        own = {np.uint64(t & (2**64 - 1)).item(): n for t, n in (df if shards == 1 else df.join(frequencies(part).select("term"), "term", "left_semi")).collect()}
+        shared = spark.sparkContext.broadcast(build([tuple(r) for r in part.select("item_id", "text").orderBy("item_id", "text").collect()], (counted[0], counted[2], own), n))
+        found = texts.mapInArrow(_searcher(shared, threshold, n, overlap), shape)
+        if shards > 1:
+            found = write_shared(found, "found")
+            shared.unpersist()
         out = found if out is None else out.union(found)
     return out
 
@@ -181,10 +226,9 @@ def _searcher(shared, threshold: float, n: int, overlap: float):
             rows = []
             ids = b["doc_id"].to_pylist()
             for row0, data, offsets in H.chunks(b["text"], _PIECE):
-                begin, end, before = H.word_spans(data, offsets)
-                if not len(begin):
+                words, before = _words(data, offsets)
+                if not len(words):
                     continue
-                words = H.word_hashes(data, begin, end)
                 count = np.diff(before)
                 windows = np.where(count > 0, np.maximum(1, -(-(count - step) // step)), 0)  # [i * step, (i + 2) * step)
                 owner = np.repeat(np.arange(len(count)), windows)
@@ -209,9 +253,14 @@ def _searcher(shared, threshold: float, n: int, overlap: float):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose text has no leak; every row is told by its text, whatever its doc_id."""
-    from .common import write_shared
+    """The rows of docs whose text has no leak, with all their columns, whatever their names.
 
+    Every row is told by its text, whatever its doc_id: rows with equal texts stay or go together, and null texts stay. Only texts that may have to go are
+    shuffled.
+    """
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     leaks = write_shared(contaminated(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("leak_key")).distinct(), "leaks")
-    return docs.join(leaks, key == F.col("leak_key"), "left_anti")
+    present = hash_filter(leaks, "leak_key")
+    source = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("row_key"))
+    maybe = source.filter(present(F.col("row_key"))).join(leaks, F.col("row_key") == F.col("leak_key"), "left_anti")
+    return source.filter(~present(F.col("row_key"))).select("row").union(maybe.select("row")).select("row.*")

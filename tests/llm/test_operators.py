@@ -369,6 +369,34 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_needs_the_answer(spark):
+    bench = spark.createDataFrame([(1, "What is the capital city of the country that is called France? Answer: Paris", 0), (2, None, 0), (3, " ", 0), (4, "only one sentence of words in this item here", 0)], "item_id bigint, text string, doc_id int")
+    ask = "so the teacher asked what is the capital city of the country that is called France? and nobody knew it "
+    rows = [(1, ask), (2, ask + "until someone said Paris, of course"), (None, ask + '"PARIS".'), (4, None), (5, ""), (6, "x " * 5000 + "Only one sentence of words, in this item here!" + " y" * 5000)]
+    found = decontamination.contaminated(frame(spark, rows), bench).collect()
+    assert sorted((r.doc_id or 0, r.item_id) for r in found) == [(0, 1), (2, 1), (6, 4)]
+    left = decontamination.clean(frame(spark, rows).selectExpr("*", "1 as leak_id", "2 as leak_key", "3 as row"), bench)
+    assert sorted(r.doc_id for r in left.collect()) == [1, 4, 5] and left.columns[-3:] == ["leak_id", "leak_key", "row"]
+    assert decontamination.contaminated(frame(spark, rows[:0]), bench).count() == 0
+
+
+def test_decontamination_in_shards(spark, monkeypatch):
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    docs = small(spark)
+    one = {tuple(r) for r in decontamination.contaminated(docs, bench).collect()}
+    size = sum(len(r.text.encode()) for r in bench.select("text").distinct().collect() if r.text)
+    monkeypatch.setattr(decontamination, "INDEX_BYTES", size * decontamination.TEXT_FACTOR // 3 + 1)
+    assert {(a, b, round(x, 9), y, z) for a, b, x, y, z in map(tuple, decontamination.contaminated(docs, bench).collect())} == {(a, b, round(x, 9), y, z) for a, b, x, y, z in one}
+
+
+def test_index_stays_small():
+    rng = np.random.default_rng(8)
+    items = [(i, " ".join("abcdefghijklmnopqrstuvwxyz"[j] for j in rng.integers(0, 26, 6)) + f" q{i}") for i in range(20_000)]
+    df = collections.Counter(t for _, text in items for t in set(decontamination._hashes(text).tolist()))
+    index = decontamination.build(items, (len(items), 7.0, df), 5)
+    assert index.nbytes <= decontamination.TEXT_FACTOR * sum(len(t) for _, t in items)
+
+
 def test_wand_finds_all_above_threshold(spark):
     texts = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     hashes = [decontamination._hashes(t) for t in texts]
@@ -378,12 +406,11 @@ def test_wand_finds_all_above_threshold(spark):
     starts = np.arange(0, len(words) - 100, 50)
     for threshold in (0.05, 0.2, 0.6):
         expected = set()
+        impacts = {(k // len(texts), k % len(texts)): x for k, x in zip(index.item_keys.tolist(), index.impact.tolist(), strict=True)}
         for p, s in enumerate(starts):
-            at = np.searchsorted(index.terms, np.intersect1d(words[s : s + 100], index.terms))
-            score = np.zeros(len(texts))
-            for t in at:
-                score[index.item[index.first[t] : index.first[t + 1]]] += index.impact[index.first[t] : index.first[t + 1]]
-            expected |= {(p, int(i)) for i in np.flatnonzero(score >= threshold)}
+            own = np.searchsorted(index.terms, np.intersect1d(words[s : s + 100], index.terms)).tolist()
+            score = [sum(impacts.get((t, i), 0.0) for t in own) for i in range(len(texts))]
+            expected |= {(p, i) for i, x in enumerate(score) if x >= threshold}
         assert {(p, i) for p, i, _ in decontamination.retrieve(index, words, starts, starts + 100, threshold)} == expected
 
 
