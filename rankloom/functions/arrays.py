@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def column_max(matrix: Column) -> Column:
     """The largest value of each column."""
-    return F.aggregate(F.slice(matrix, 2, 1_000_000), matrix[0], lambda a, r: F.zip_with(a, r, lambda x, y: F.greatest(x, y)))
+    return F.aggregate(F.slice(matrix, F.lit(2), F.greatest(F.size(matrix) - 1, F.lit(0))), matrix[0], lambda a, r: F.zip_with(a, r, lambda x, y: F.greatest(x, y)))
 
 
 def first_k(n: Column, k: int) -> Column:

@@ -7,11 +7,19 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Judgment labels by name, and what training makes of them.
-GRADES = {"Nav": 4, "HRel": 3, "Rel": 2, "NRel": 1, "Junk": -2}
+#: Judgment labels by name, names by label and year, and what training makes of labels.
+GRADES = {"Nav": 4, "HRel": 2, "Rel": 1, "NRel": 0, "Junk": -2}
+_LATER = {4: "Nav", 3: "HRel", 2: "HRel", 1: "Rel", 0: "NRel", -2: "Junk"}
+GRADES_OF_YEAR = {"wt09": {2: "HRel", 1: "Rel", 0: "NRel"}, "wt10": _LATER, "wt11": {3: "Nav", 2: "HRel", 1: "Rel", 0: "NRel", -2: "Junk"}, "wt12": _LATER, "wt13": _LATER, "wt14": _LATER}
 CANONICAL = {4: 2, 3: 2, 2: 2, 1: 1, 0: 0, -2: 0}
 
 
+def grade_name(label: Column, year: Column) -> Column:
+    """A judgment's name in its year, null if that year has no such label."""
+    names = {f"{y}|{k}": v for y, t in GRADES_OF_YEAR.items() for k, v in t.items()}
+    return F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[F.concat_ws("|", year, label.cast("string"))]
+
+
 def remap(label: Column) -> Column:
     return F.create_map(*(F.lit(x) for kv in CANONICAL.items() for x in kv))[label]
 
@@ -61,16 +69,55 @@ def rank_of_runs(means: DataFrame, reranked: DataFrame) -> DataFrame:
     return above.groupBy("run", "mean", "rank", "rr_mean").agg((F.count("other") + 1).alias("rr_rank"))
 
 
-def document_pairs(labels: DataFrame, scores: DataFrame) -> DataFrame:
-    """(qid, pair, n, accuracy) over pairs of a topic's documents with different labels: right where the higher label has the larger score.
+def document_pairs(labels: DataFrame, scores: DataFrame, known: tuple[int, ...] = (0, 1, 2, 3, 4)) -> DataFrame:
+    """(qid, low, high, n, hits, accuracy) over pairs of a topic's documents with different labels: right where the higher label has the larger score.
 
-    labels (qid, docno, rel >= 0), scores (qid, docno, sim). Pairs with an unscored document don't count.
+    labels (qid, docno, rel), scores (qid, docno, sim). Labels outside known and pairs with an unscored document don't count. No pair is made: the
+    documents of each score are counted by label, and those of lower scores are a running sum, so work and memory are linear in the documents.
     """
-    x = labels.filter("rel >= 0").join(scores.select("qid", "docno", "sim"), ["qid", "docno"])
-    lo, hi = x.alias("lo"), x.alias("hi")
-    rows = lo.join(hi, (F.col("lo.qid") == F.col("hi.qid")) & (F.col("lo.rel") < F.col("hi.rel")))
-    pair = F.concat_ws("-", F.col("lo.rel").cast("string"), F.col("hi.rel").cast("string"))
-    return rows.select(F.col("lo.qid").alias("qid"), pair.alias("pair"), (F.col("lo.sim") < F.col("hi.sim")).cast("int").alias("right")).groupBy("qid", "pair").agg(F.count("*").alias("n"), F.avg("right").alias("accuracy"))
+    x = labels.filter(F.col("rel").isin(*known)).join(scores.select("qid", "docno", "sim"), ["qid", "docno"])
+    at = x.groupBy("qid", "sim").agg(*(F.count_if(F.col("rel") == k).alias(f"c{k}") for k in known))
+    whole = Window.partitionBy("qid")
+    below = whole.orderBy("sim").rowsBetween(Window.unboundedPreceding, -1)
+    at = at.select("*", *(F.coalesce(F.sum(f"c{k}").over(below), F.lit(0)).alias(f"b{k}") for k in known))
+    kinds = [(lo, hi) for i, lo in enumerate(sorted(known)) for hi in sorted(known)[i + 1 :]]
+    sums = at.groupBy("qid").agg(*(F.sum(f"c{k}").alias(f"n{k}") for k in known), *(F.sum(F.col(f"c{hi}") * F.col(f"b{lo}")).alias(f"h{lo}_{hi}") for lo, hi in kinds))
+    rows = sums.select("qid", F.explode(F.array(*(F.struct(F.lit(lo).alias("low"), F.lit(hi).alias("high"), (F.col(f"n{lo}") * F.col(f"n{hi}")).alias("n"), F.col(f"h{lo}_{hi}").alias("hits")) for lo, hi in kinds))).alias("x"))
+    return rows.select("qid", "x.*").filter("n > 0").withColumn("accuracy", F.col("hits") / F.col("n"))
+
+
+def document_pair_report(labels: DataFrame, scores: DataFrame, names: dict[int, str]) -> DataFrame:
+    """(qid, pair, value): the accuracy of each topic by named pair of grades; topic 0 has the mean over topics, topic -1 the number of pairs."""
+    name = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    pairs = document_pairs(labels, scores, tuple(sorted(names))).withColumn("pair", F.concat_ws("-", name[F.col("low")], name[F.col("high")])).filter(name[F.col("low")] != name[F.col("high")])
+    each = pairs.groupBy("qid", "pair").agg(F.sum("n").alias("n"), (F.sum("hits") / F.sum("n")).alias("value"))
+    mean = each.groupBy("pair").agg(F.avg("value").alias("value")).select(F.lit(0).cast("bigint").alias("qid"), "pair", "value")
+    total = each.groupBy("pair").agg(F.sum("n").cast("double").alias("value")).select(F.lit(-1).cast("bigint").alias("qid"), "pair", "value")
+    return each.select(F.col("qid").cast("bigint").alias("qid"), "pair", "value").union(mean).union(total)
+
+
+def epoch_measures(predictions: DataFrame, qrels: DataFrame, families: tuple[str, ...] = ("average", "cutoffs")) -> DataFrame:
+    """(epoch, qid, measure...) of predictions (epoch, qid, docno, sim): every epoch's run against the same judgments, by one ranked list keyed by epoch and topic."""
+    from .measures import evaluate
+
+    key = F.struct("epoch", "qid").alias("qid")
+    judged = qrels.join(predictions.select("epoch", "qid").distinct(), "qid")
+    values = evaluate(predictions.select(key, "docno", "sim"), judged.select(key, "docno", "rel"), families)
+    return values.select("qid.epoch", "qid.qid", *(c for c in values.columns if c != "qid"))
+
+
+def unique_best_epoch(validation: DataFrame, test: DataFrame) -> DataFrame:
+    """(epoch, err_val, err_test) of (epoch, err) tables of one setting: of the epochs that both have, the one with the largest err on validation; the first on ties."""
+    both = validation.select("epoch", F.col("err").alias("err_val")).join(test.select("epoch", F.col("err").alias("err_test")), "epoch")
+    return both.orderBy(F.desc("err_val"), "epoch").limit(1)
+
+
+def baseline_table(baseline: DataFrame, others: DataFrame) -> DataFrame:
+    """(qid, run, value, baseline, change) of (qid, value) and (run, qid, value): each run's value beside the query-likelihood baseline's, topic by topic and,
+    as topic 'all', on average; change is in percent of the baseline's value, null where that is 0."""
+    rows = others.select(F.col("qid").cast("string").alias("qid"), "run", "value").join(baseline.select(F.col("qid").cast("string").alias("qid"), F.col("value").alias("baseline")), "qid")
+    mean = rows.groupBy("run").agg(F.avg("value").alias("value"), F.avg("baseline").alias("baseline")).select(F.lit("all").alias("qid"), "run", "value", "baseline")
+    return rows.union(mean).withColumn("change", (F.col("value") - F.col("baseline")) / F.expr("nullif(baseline, 0)") * 100)
 
 
 def improvements(table: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ def _ranked_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _avgjg_sql() -> str:
-    exprs = {k: v for f in ("average", "multiples") for k, v in measures.FAMILIES[f](1).items()}
+    exprs = {k: v for f in ("average", "cutoffs", "multiples") for k, v in measures.FAMILIES[f](1).items()}
     inner = _ranked_sql(run="runjg").replace("qrels", "qj")
     cols = ", ".join(f"coalesce({v}, 0)::double as {k}" for k, v in exprs.items())
     outer = ", ".join(f"round(avg({k}), 6) as {k}_avgjg" for k in exprs)
@@ -147,7 +147,7 @@ def _avgjg_sql() -> str:
 
 @_register("measures_judgment_groups", _avgjg_sql())
 def _avgjg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(measures.by_group(view(spark, sf_dir, "run"), view(spark, sf_dir, "qrels_jg"), ["average", "multiples"]), "qid")
+    return rounded(measures.by_group(view(spark, sf_dir, "run"), view(spark, sf_dir, "qrels_jg"), ["average", "cutoffs", "multiples"]), "qid")
 
 
 @_register(
@@ -203,8 +203,8 @@ def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- preferences ---------------------------------------------------------------------------------------------------------------
 
-_PREF_SQL = """rk as (select qid, docno, row_number() over (partition by qid order by sim desc, docno) as rank from run),
-pl as (select qid, docno, row_number() over (partition by qid order by rank nulls last, docno) - 1 as place, count(rank) over (partition by qid) as k from (select distinct qid, docno from prefs) p left join rk using (qid, docno) where qid in (select qid from run)),
+_PREF_SQL = """rk as (select qid, docno, row_number() over (partition by qid order by sim desc, docno) as rank from prun),
+pl as (select qid, docno, row_number() over (partition by qid order by rank nulls last, docno) - 1 as place, count(rank) over (partition by qid) as k from (select distinct qid, docno from prefs) p left join rk using (qid, docno) where qid in (select qid from prun)),
 d0 as (select distinct a.qid, a.jg, a.docno as better, b.docno as worse from prefs a join prefs b on a.qid = b.qid and a.jg = b.jg and a.jsg = b.jsg and a.level > b.level),
 e as (select * from d0),
 ar as (select e.*, x.place as i, y.place as j, x.k, case when greatest(x.place, y.place) < x.k then 'ret' when least(x.place, y.place) < x.k then 'imp' else 'none' end as area, case when x.place < y.place and x.place < x.k then 1 else 0 end as ful
@@ -222,22 +222,22 @@ p0 as (select qid, least(better, worse) as x, greatest(better, worse) as y, area
 p as (select qid, avg(s) as prefs_pair, coalesce(avg(s) filter (where area = 'ret'), 0) as prefs_pair_ret, coalesce(avg(s) filter (where area <> 'none'), 0) as prefs_pair_imp from p0 group by qid),
 g0 as (select qid, jg, avg(ful) as a, coalesce(avg(ful) filter (where area = 'ret'), 0) as r, coalesce(avg(ful) filter (where area <> 'none'), 0) as i from ar group by qid, jg),
 g as (select qid, sum(a) as a, sum(r) as r, sum(i) as i from g0 group by qid),
-n as (select qid, count(distinct jg) as jgs from prefs where qid in (select qid from run) group by qid)
+n as (select qid, count(distinct jg) as jgs from prefs where qid in (select qid from prun) group by qid)
 select n.qid, coalesce(prefs_num_prefs_poss, 0) as prefs_num_prefs_poss, coalesce(prefs_num_prefs_ful, 0) as prefs_num_prefs_ful, coalesce(prefs_num_prefs_ful_ret, 0) as prefs_num_prefs_ful_ret,
  round(coalesce(prefs_simp, 0), 6) as prefs_simp, round(coalesce(prefs_simp_ret, 0), 6) as prefs_simp_ret, round(coalesce(prefs_simp_imp, 0), 6) as prefs_simp_imp,
  round(coalesce(prefs_pair, 0), 6) as prefs_pair, round(coalesce(prefs_pair_ret, 0), 6) as prefs_pair_ret, round(coalesce(prefs_pair_imp, 0), 6) as prefs_pair_imp,
  round(coalesce(a, 0) / jgs, 6) as prefs_avgjg, round(coalesce(r, 0) / jgs, 6) as prefs_avgjg_ret, round(coalesce(i, 0) / jgs, 6) as prefs_avgjg_imp
 from n left join t on n.qid = t.qid left join p on n.qid = p.qid left join g on n.qid = g.qid""",
-        "run", "prefs",
+        "prun", "prefs",
     ).replace("e as (select * from d0)", "e as (with recursive c as (select * from d0 union select c.qid, c.jg, c.better, d.worse from c join d0 d on c.qid = d.qid and c.jg = d.jg and c.worse = d.better) select * from c)"),
 )
 def _preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(preferences.preference_measures(view(spark, sf_dir, "run"), view(spark, sf_dir, "prefs")), "qid")
+    return rounded(preferences.preference_measures(view(spark, sf_dir, "prun"), view(spark, sf_dir, "prefs")), "qid")
 
 
 @_register("preferences_balanced")
 def _balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(preferences.balanced(view(spark, sf_dir, "run"), view(spark, sf_dir, "prefs")), "qid")
+    return rounded(preferences.balanced(view(spark, sf_dir, "prun"), view(spark, sf_dir, "prefs")), "qid")
 
 
 # --- experiment analytics ------------------------------------------------------------------------------------------------------
@@ -307,29 +307,43 @@ def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(analytics.improvement_curve(analytics.rank_of_runs(*_means(spark, sf_dir))), "run")
 
 
+_PAIRS_SQL = """x as (select q.qid, q.rel, r.sim from qrels q join run r using (qid, docno) where rel >= 0),
+dp as (select a.qid, a.rel as low, b.rel as high, count(*) as n, sum(case when a.sim < b.sim then 1 else 0 end) as hits from x a join x b on a.qid = b.qid and a.rel < b.rel group by 1, 2, 3)"""
+
+
+@_register("document_pairs", with_views(_PAIRS_SQL + "\nselect qid, concat(low, '-', high) as pair, n::double as n, round(hits / n, 6) as accuracy from dp", "run", "qrels"))
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = analytics.document_pairs(view(spark, sf_dir, "qrels"), view(spark, sf_dir, "run"))
+    return rounded(pairs.select("qid", F.concat_ws("-", F.col("low").cast("string"), F.col("high").cast("string")).alias("pair"), "n", "accuracy"), "qid", "pair")
+
+
 @_register(
-    "document_pairs",
+    "document_pair_report",
     with_views(
-        """x as (select q.qid, q.rel, r.sim from (select *, row_number() over (partition by qid order by docno) as n from qrels where rel >= 0) q join run r using (qid, docno) where n <= 60)
-select a.qid, concat(a.rel, '-', b.rel) as pair, count(*)::double as n, round(avg(case when a.sim < b.sim then 1 else 0 end), 6) as accuracy from x a join x b on a.qid = b.qid and a.rel < b.rel group by 1, 2""",
+        _PAIRS_SQL
+        + """,
+named as (select qid, concat(['NRel', 'Rel', 'HRel', 'Key', 'Nav'][low + 1], '-', ['NRel', 'Rel', 'HRel', 'Key', 'Nav'][high + 1]) as pair, n, hits / n as accuracy from dp)
+select qid, pair, round(accuracy, 6) as value from named union all select 0, pair, round(avg(accuracy), 6) from named group by pair union all select -1, pair, sum(n)::double from named group by pair""".replace("'Key'", "'HRel'").replace("from named group by pair union all select -1", "from named2 group by pair union all select -1").replace("pair, sum(n)::double from named group", "pair, sum(n)::double from named2 group").replace("select qid, pair, round(accuracy, 6) as value from named union", "select qid, pair, round(accuracy, 6) as value from named2 union").replace("\nselect qid, pair, round", ",\nnamed2 as (select qid, pair, sum(n) as n, sum(n * accuracy) / sum(n) as accuracy from named where split_part(pair, '-', 1) <> split_part(pair, '-', 2) group by qid, pair)\nselect qid, pair, round", 1),
         "run", "qrels",
     ),
 )
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    pool = view(spark, sf_dir, "qrels").filter("rel >= 0").withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("docno"))).filter("n <= 60")
-    return rounded(analytics.document_pairs(pool, view(spark, sf_dir, "run")), "qid", "pair")
+def _pair_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(analytics.document_pair_report(view(spark, sf_dir, "qrels"), view(spark, sf_dir, "run"), analytics.GRADES_OF_YEAR["wt12"]), "qid", "pair")
 
 
 @_register(
     "paired_t",
-    with_views(_graded_sql("run", "ga") + ",\n" + _graded_sql("baseline", "gb") + "\nselect count(*)::double as n, round(avg(gav.ndcg - gbv.ndcg), 6) as mean_difference, round(avg(gav.ndcg - gbv.ndcg) / (stddev_samp(gav.ndcg - gbv.ndcg) / sqrt(count(*))), 4) as t from gav join gbv using (qid)", "run", "baseline", "qrels"),
+    with_views(_graded_sql("run", "ga") + ",\n" + _graded_sql("baseline", "gb") + """,
+s as (select count(*)::double as n, avg(gav.ndcg - gbv.ndcg) as d, avg(gav.ndcg - gbv.ndcg) / (stddev_samp(gav.ndcg - gbv.ndcg) / sqrt(count(*))) as t from gav join gbv using (qid)),
+h as (select n, d, t, abs(t) / 20000 as h from s),
+i as (select n, d, t, h, unnest(range(0, 20001)) as i from h),
+f as (select n, d, t, sum((case when i = 0 or i = 20000 then 1 when i % 2 = 1 then 4 else 2 end) * pow(1 + (i * h) * (i * h) / (n - 1), -n / 2)) * max(h) / 3 as area from i group by n, d, t)
+select n, round(d, 6) as mean_difference, round(t, 4) as t, round(1 - 2 * area * exp(lgamma(n / 2) - lgamma((n - 1) / 2)) / sqrt((n - 1) * pi()), 4) as p from f""", "run", "baseline", "qrels"),
 )
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     qrels = view(spark, sf_dir, "qrels")
     a, b = (graded.graded_measures(view(spark, sf_dir, r), qrels) for r in ("run", "baseline"))
-    return rounded(analytics.paired_t(a, b, "ndcg").drop("p")).withColumn("t", F.round("t", 4))
+    return rounded(analytics.paired_t(a, b, "ndcg")).withColumn("t", F.round("t", 4)).withColumn("p", F.round("p", 4))
 
 
 @_register("class_priors", "with c as (select quality as label, doc_id % 10 as qid, count(*) as n from labels group by 1, 2) select label, qid, n::double as n, round(n / sum(n) over (partition by label), 6) as p_qid, round(sum(n) over (partition by label) / sum(n) over (), 6) as p_label from c")
@@ -343,9 +357,11 @@ def _years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("qid", analytics.year_of(F.col("qid")).alias("year"), analytics.collection_of(F.col("qid")).alias("collection"))
 
 
-@_register("run_lines", with_views("k as (select *, row_number() over (partition by qid order by sim desc, docno) as rank from run) select concat(qid, ' Q0 ', docno, ' ', rank) as line from k", "run"))
+@_register("run_lines", with_views("k as (select *, row_number() over (partition by qid order by sim desc, docno) as rank from run) select concat(qid, ' Q0 ', docno, ' ', rank) as line, round(sim::double, 2) as score, 'rankloom' as runid from k", "run"))
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_files.run_lines(view(spark, sf_dir, "run"), "rankloom").select(F.regexp_extract("value", r"^(\S+ Q0 \S+ \d+)", 1).alias("line"))
+    parts = F.split(F.col("value"), r"\s+")
+    lines = run_files.run_lines(view(spark, sf_dir, "run"), "rankloom")
+    return lines.select(F.concat_ws(" ", F.slice(parts, 1, 4)).alias("line"), F.round(parts[4].cast("double"), 2).alias("score"), parts[5].alias("runid"))
 
 
 # --- text ----------------------------------------------------------------------------------------------------------------------
@@ -458,8 +474,8 @@ def _representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return representatives.representatives(points, 5, 0.1)
 
 
-@_register("semantic_measures", """with q as (select vec_id as qid, embedding as q, label as ql from embeddings where vec_id < 20),
-x as (select qid, concat('V', vec_id) as docno, list_sum(list_transform(range(1, 65), lambda i: embedding[i]::double * q[i]::double))::float as sim, (label = ql)::int as rel from embeddings e join q on true where vec_id >= 20),
+@_register("semantic_measures", """with q as (select vec_id as qid, embedding as q, label as ql from embeddings where vec_id % 100 = 0),
+x as (select qid, concat('V', vec_id) as docno, list_sum(list_transform(range(1, 65), lambda i: embedding[i]::double * q[i]::double))::float as sim, (label = ql)::int as rel from embeddings e join q on e.vec_id <> q.qid),
 k as (select *, row_number() over (partition by qid order by sim desc, docno desc) as rank from x)
 select qid, round(sum(case when rank <= 10 then rel else 0 end) / 10.0, 6) as P_10, round(coalesce(1 / min(case when rel = 1 then rank end), 0)::double, 6) as recip_rank from k group by qid""")
 def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,21 +7,35 @@ from pyspark.sql import functions as F
 
 #: One row for each (topic, document): the line items of a supplier group, aggregated since their keys repeat.
 PAIRS = """select l_suppkey % 50 as qid, concat('D', cast(l_orderkey as varchar(20)), '-', cast(l_partkey as varchar(20))) as docno, l_orderkey as okey, l_partkey as pkey,
- cast(max(l_extendedprice) as float) as sim, cast(max(l_discount) as float) as sim2, max(l_linenumber) as line, max(l_linenumber) % 3 as jgn
+ cast(max(l_extendedprice) as float) as sim, cast(max(l_discount) as float) as sim2, max(l_linenumber) as line, max(l_linenumber) % 3 as jgn, max(l_quantity) as qty, max(l_tax) as tax
  from lineitem group by l_suppkey % 50, l_orderkey, l_partkey"""
-RUN = "select qid, docno, sim from pairs where pkey % 5 <> 0"
-BASELINE = "select qid, docno, sim2 as sim from pairs where pkey % 4 <> 0"
-QRELS = "select qid, docno, cast((pkey * 7 + line) % 5 - 1 as int) as rel from pairs where okey % 3 <> 0"
-QRELS_JG = "select qid, concat('g', cast(jgn as varchar(5))) as jg, docno, cast((pkey * 7 + line) % 4 as int) as rel from pairs where okey % 3 <> 0"
-_TAKEN = "select * from (select *, row_number() over (partition by qid, jgn order by docno) as taken from pairs where okey % 3 <> 0 and qid % 3 <> 0) t where taken <= 30"
-PREFS = f"select qid, concat('g', cast(jgn as varchar(5))) as jg, case when jgn = 1 then concat('s', cast(line % 2 as varchar(5))) else 's0' end as jsg, docno, cast((pkey + line) % 4 as int) as level from ({_TAKEN}) c"
+#: A run doesn't retrieve everything and judges don't see everything: small orders aren't retrieved, large ones not by the other run, and untaxed ones aren't judged.
+RUN = "select qid, docno, sim from pairs where qty > 10"
+BASELINE = "select qid, docno, sim2 as sim from pairs where qty < 40"
+QRELS = "select qid, docno, cast((pkey * 7 + line) % 5 - 1 as int) as rel from pairs where tax > 0.02"
+QRELS_JG = "select qid, concat('g', cast(jgn as varchar(5))) as jg, docno, cast((pkey * 7 + line) % 4 as int) as rel from pairs where tax > 0.02"
+#: Preferences are judged part by part, among the orders of a part: some thirty documents a topic, at any scale. Group g1 judges in overlapping sub-groups.
+ORDERED = "select l_partkey as qid, concat('D', cast(l_orderkey as varchar(20))) as docno, cast(max(l_extendedprice) as float) as sim, max(l_linenumber) as line, max(l_quantity) as qty, l_orderkey as okey from lineitem group by l_partkey, l_orderkey"
+PRUN = "select qid, docno, sim from ordered where qty > 10"
+PREFS = """select qid, concat('g', cast(line % 3 as varchar(5))) as jg, 's0' as jsg, docno, cast((okey + line) % 4 as int) as level from ordered where line % 3 <> 1
+ union all select qid, 'g1' as jg, 's0' as jsg, docno, cast(okey % 3 as int) as level from ordered where line % 3 = 1 and qty > 20
+ union all select qid, 'g1' as jg, 's1' as jsg, docno, cast(okey % 3 as int) as level from ordered where line % 3 = 1 and qty < 35"""
 
-VIEWS = {"pairs": PAIRS, "run": RUN, "baseline": BASELINE, "qrels": QRELS, "qrels_jg": QRELS_JG, "prefs": PREFS}
+VIEWS = {"pairs": PAIRS, "run": RUN, "baseline": BASELINE, "qrels": QRELS, "qrels_jg": QRELS_JG, "ordered": ORDERED, "prun": PRUN, "prefs": PREFS}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    pairs = spark.sql(PAIRS.replace("from lineitem", "from {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
-    return spark.sql(VIEWS[name].replace("from pairs", "from {pairs}"), pairs=pairs) if name != "pairs" else pairs
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+
+    def sql(text: str, **tables: DataFrame) -> DataFrame:
+        for t in tables:
+            text = text.replace(f"from {t}", f"from {{{t}}}")
+        return spark.sql(text, **tables)
+
+    if name in ("pairs", "ordered"):
+        return sql(VIEWS[name], lineitem=lineitem)
+    base = "ordered" if name in ("prun", "prefs") else "pairs"
+    return sql(VIEWS[name], **{base: sql(VIEWS[base], lineitem=lineitem)})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,15 +44,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str, *names: str) -> str:
     """sql behind the CTEs of the views it needs; sql may begin with further CTEs, each ended by a comma."""
-    ctes = [f"{n} as ({VIEWS[n]})" for n in ("pairs", *names)]
+    ctes = [f"{n} as ({VIEWS[n]})" for n in ("pairs", "ordered", *names)]
     return "with " + ",\n".join(ctes) + ",\n" + sql
 
 
-def semantic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A run and judgments from embeddings: the first 20 vectors are topics, similarity is the dot product, relevant is an equal label."""
+def semantic(spark: SparkSession, sf_dir: str, block: int = 256) -> tuple[DataFrame, DataFrame]:
+    """A run and judgments from embeddings: vectors whose id is divisible by 100 are topics, set against all others in blocks of topics; similarity is the dot
+    product, relevant is an equal label."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("ql"))
-    pairs = e.filter("vec_id >= 20").join(F.broadcast(q))  # twenty rows
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("ql"), F.expr(f"vec_id div {100 * block}").alias("block"))
+    blocks = q.select("block").distinct()
+    pairs = e.withColumn("blocks", F.lit([r[0] for r in blocks.collect()])).withColumn("block", F.explode("blocks")).join(q, "block").filter("vec_id <> qid")
     dot = F.expr("aggregate(zip_with(embedding, q, (x, y) -> cast(x as double) * cast(y as double)), cast(0 as double), (a, x) -> a + x)")
     rows = pairs.select("qid", F.concat(F.lit("V"), F.col("vec_id")).alias("docno"), dot.alias("sim"), (F.col("label") == F.col("ql")).cast("int").alias("rel"))
     return rows.select("qid", "docno", "sim"), rows.select("qid", "docno", "rel")
