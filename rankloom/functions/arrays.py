@@ -36,6 +36,19 @@ def max_slide(values: Column, k: int, width: int) -> Column:
     return F.slice(F.sort_array(F.aggregate(pairs, F.array().cast("array<int>"), take)), 1, k)
 
 
+def max_slide_old(values: Column, k: int, width: int) -> Column:
+    """Starts of the windows best first, then all of them moved by one, and so on; the first k of these, ascending, with repeats."""
+    starts = F.transform(F.array_sort(F.transform(moving_average(values, width), lambda v, i: F.struct((-v).alias("v"), i.alias("i")))), lambda p: p["i"])
+    moved = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda w: F.transform(starts, lambda i: i + w)))
+    return F.sort_array(F.slice(moved, 1, k))
+
+
+def permuted(values: Column, seed: Column) -> Column:
+    """values in an order that only the seed decides; the same seed gives the same order to arrays of one length."""
+    keyed = F.transform(values, lambda v, i: F.struct(F.xxhash64(seed, i).alias("k"), i.alias("i"), v.alias("v")))
+    return F.transform(F.array_sort(keyed, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(a["i"] - b["i"])), lambda x: x["v"])
+
+
 def strides(values: Column, k: int, width: int) -> Column:
     """Windows best first, their positions appended, those only that end before the last column; may be fewer than k."""
     pairs = F.array_sort(F.transform(moving_average(values, width), lambda v, i: F.struct((-v).alias("v"), i.alias("i"))))

@@ -6,6 +6,7 @@ them is computed by one aggregation. Where a value is undefined (no relevant doc
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
@@ -138,15 +139,17 @@ def with_positions(rows: DataFrame, qrels: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(run: DataFrame, qrels: DataFrame, families: Iterable[str] = ("counts", "average", "cutoffs"), level: int = 1, judged_only: bool = False, top: int | None = None, complete: bool = False) -> DataFrame:
-    """(qid, measure...) for the topics in both inputs; complete adds topics that the run misses, with zeros."""
-    families = list(families)
+def evaluate(run: DataFrame, qrels: DataFrame, families: Iterable[str] = ("counts", "average", "cutoffs"), level: int = 1, judged_only: bool = False, top: int | None = None, complete: bool = False, exprs: dict[str, str] | None = None) -> DataFrame:
+    """(qid, measure...) for the topics in both inputs; complete adds topics that the run misses, with zeros. exprs: expressions by name in place of families."""
+    families = list(families) if exprs is None else []
     rows = ranked(run, qrels, level, judged_only, top)
-    if "gains" in families:
-        rows = with_ideal(rows, qrels)
-    if "relative_gains" in families:
+    exprs = {k: v for f in families for k, v in FAMILIES[f](level).items()} if exprs is None else exprs
+    used = " ".join(exprs.values())
+    cuts = sorted({int(k) for k in re.findall(r"ideal_(\d+)", used)})
+    if "ideal_total" in used or cuts:
+        rows = with_ideal(rows, qrels, cuts)
+    if "idcg" in used or "cumgain" in used:
         rows = with_positions(rows.drop("ideal_total"), qrels)  # it brings its own
-    exprs = {k: v for f in families for k, v in FAMILIES[f](level).items()}
     keys = ["qid", "num_ret", "num_rel", "num_nonrel", "num_gain"]
     out = rows.groupBy(*keys).agg(*(F.expr(f"coalesce({v}, 0)").alias(f"m_{k}") for k, v in exprs.items() if v not in keys))
     out = out.select("qid", *(F.col(v if v in keys else f"m_{k}").alias(k) for k, v in exprs.items()))

@@ -31,11 +31,13 @@ def edges(prefs: DataFrame, max_rounds: int = 32) -> DataFrame:
     direct = a.join(b, on).select("a.qid", "a.jg", F.col("a.docno").alias("better"), F.col("b.docno").alias("worse")).distinct()
     several = prefs.groupBy("qid", "jg").agg(F.countDistinct("jsg").alias("n")).filter("n > 1").select("qid", "jg")
     simple, closed = direct.join(several, ["qid", "jg"], "left_anti"), direct.join(several, ["qid", "jg"], "left_semi").persist()
-    n = closed.count()
+    n, held = closed.count(), closed
     for _ in range(max_rounds if n else 0):
         step = closed.select("qid", "jg", "better", F.col("worse").alias("mid")).join(closed.select("qid", "jg", F.col("better").alias("mid"), "worse"), ["qid", "jg", "mid"])
         closed = closed.union(step.select("qid", "jg", "better", "worse")).distinct().persist()
         before, n = n, closed.count()
+        held.unpersist()
+        held = closed
         if n == before:
             break
     if n and not closed.filter("better = worse").isEmpty():
@@ -77,31 +79,39 @@ def preference_measures(run: DataFrame, prefs: DataFrame) -> DataFrame:
     return out.select("qid", *counts, *shares, *((F.coalesce(f"g{s}", F.lit(0.0)) / F.col("jgs")).alias(f"prefs_avgjg{s}") for s in _IN))
 
 
-def balanced(run: DataFrame, prefs: DataFrame) -> DataFrame:
-    """(qid, prefs_avgjg_Rnonrel): per group as if it had as many non-relevant documents as relevant ones, R.
+def balanced(run: DataFrame, prefs: DataFrame, retrieved: bool = False, pairs: DataFrame | None = None) -> DataFrame:
+    """(qid, prefs_avgjg_Rnonrel): per group as if it had as many non-relevant documents as relevant ones, R; with retrieved, (qid, prefs_avgjg_Rnonrel_ret), where only
+    retrieved documents count on either side.
 
     With R or fewer non-relevant ones, the missing count as fulfilled for every retrieved relevant document. With more, only the first R by place count;
-    in groups of equivalence classes each document of the group, the non-relevant ones and themselves included, is then set against these.
+    in groups of equivalence classes each document of the group, the non-relevant ones and themselves included, is then set against these. (Groups with a partial
+    order take the first as many as the group has relevant ones, retrieved or not.) pairs: areas(run, prefs), where they are at hand.
     """
     p = places(run, prefs)
     docs = prefs.groupBy("qid", "jg", "docno").agg(F.max("level").alias("level")).join(p, ["qid", "docno"])
     shape = prefs.groupBy("qid", "jg").agg(F.countDistinct("jsg").alias("subs"))
     ordinal = F.row_number().over(Window.partitionBy("qid", "jg", (F.col("level") > 0)).orderBy("place"))
     docs = docs.withColumn("ordinal", F.when(F.col("level") <= 0, ordinal))
-    stats = docs.groupBy("qid", "jg").agg(F.count_if(F.col("level") > 0).alias("r"), F.count_if(F.col("level") <= 0).alias("n"), F.count_if((F.col("level") > 0) & (F.col("place") < F.col("k"))).alias("rret")).join(shape, ["qid", "jg"])
-    rows = areas(run, prefs).join(stats, ["qid", "jg"])
+    seen = F.col("place") < F.col("k")
+    counted_docs = seen if retrieved else F.lit(True)
+    stats = docs.groupBy("qid", "jg").agg(
+        F.count_if(F.col("level") > 0).alias("every"), F.count_if((F.col("level") > 0) & counted_docs).alias("r"), F.count_if((F.col("level") <= 0) & counted_docs).alias("n"), F.count_if((F.col("level") > 0) & seen).alias("rret")
+    ).join(shape, ["qid", "jg"])
+    pairs = areas(run, prefs) if pairs is None else pairs
+    rows = (pairs.filter("area = 'ret'") if retrieved else pairs).join(stats, ["qid", "jg"])
     at = docs.select("qid", "jg", F.col("docno").alias("worse"), "level", "ordinal")
     up = docs.select("qid", "jg", F.col("docno").alias("better"), F.col("ordinal").alias("up"))
     rows = rows.join(at, ["qid", "jg", "worse"]).join(up, ["qid", "jg", "better"])
     enough, classes = F.col("r") >= F.col("n"), F.col("subs") == 1
-    kept = enough | (classes & (F.col("level") > 0)) | (~classes & (F.coalesce("ordinal", F.lit(0)) <= F.col("r")) & (F.coalesce("up", F.lit(0)) <= F.col("r")))
+    kept = enough | (classes & (F.col("level") > 0)) | (~classes & (F.coalesce("ordinal", F.lit(0)) <= F.col("every")) & (F.coalesce("up", F.lit(0)) <= F.col("every")))
     counted = rows.filter(kept).select("qid", "jg", F.when(enough, (F.col("area") != "none").cast("int") * F.col("ful")).otherwise(F.col("ful")).alias("ful"))
-    x = docs.alias("x").join(stats, ["qid", "jg"]).filter("r < n and subs = 1").select("qid", "jg", "r", "k", F.col("place").alias("i"))
-    y = docs.filter("level <= 0").select("qid", "jg", F.col("place").alias("j"), F.col("ordinal").alias("o"))
+    x = docs.filter(counted_docs).alias("x").join(stats, ["qid", "jg"]).filter("r < n and subs = 1").select("qid", "jg", "r", "k", F.col("place").alias("i"))
+    y = docs.filter(counted_docs).filter("level <= 0").select("qid", "jg", F.col("place").alias("j"), F.col("ordinal").alias("o"))
     against = x.join(y, ["qid", "jg"]).filter("o <= r").select("qid", "jg", ((F.col("i") < F.col("j")) & (F.col("i") < F.col("k"))).cast("int").alias("ful"))
     sums = counted.union(against).groupBy("qid", "jg").agg(F.sum("ful").alias("ful"), F.count("*").alias("poss"))
+    missing = F.col("r") - F.col("n")
     per = stats.join(sums, ["qid", "jg"], "left").select(
-        "qid", (F.coalesce("ful", F.lit(0)) + F.when(enough, F.col("rret") * (F.col("r") - F.col("n"))).otherwise(0)).alias("ful"), (F.coalesce("poss", F.lit(0)) + F.when(enough, F.col("r") * (F.col("r") - F.col("n"))).otherwise(0)).alias("poss")
+        "qid", (F.coalesce("ful", F.lit(0)) + F.when(enough, F.col("rret") * missing).otherwise(0)).alias("ful"), (F.coalesce("poss", F.lit(0)) + F.when(enough, F.col("every") * missing).otherwise(0)).alias("poss")
     )
     # one group without a possible pair makes the sum undefined, and the topic 0
-    return per.groupBy("qid").agg(F.when(F.min("poss") > 0, F.avg(F.expr("ful / nullif(cast(poss as double), 0)"))).otherwise(0.0).alias("prefs_avgjg_Rnonrel"))
+    return per.groupBy("qid").agg(F.when(F.min("poss") > 0, F.avg(F.expr("ful / nullif(cast(poss as double), 0)"))).otherwise(0.0).alias(f"prefs_avgjg_Rnonrel{'_ret' if retrieved else ''}"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,26 +34,31 @@ def representatives(points: DataFrame, k: int, threshold: float = 0.0) -> DataFr
     return points.groupBy("grp").applyInPandas(run, "grp bigint, step int, id bigint, gain double")
 
 
+def _uniform(draw: str, seed: int) -> Column:
+    """A number in [0, 1) that only the draw's number and the seed decide."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(draw)), F.lit(1 << 52)).cast("double") / float(1 << 52)
+
+
 def training_pairs(labels: DataFrame, n: int, seed: int = 7541) -> DataFrame:
-    """About n pairs (qid, positive, negative) from labels (qid, docno, label >= 0), with replacement.
+    """n draws (draw, qid, label, positive, negative) with replacement from labels (qid, docno, label >= 0); fewer only if positives have no negative.
 
-    A positive is drawn with its label's share of all positives, over the topics by their share of the label; its negative is drawn evenly
-    from the topic's next lower label that has documents. Topics without one give nothing.
+    A positive is drawn with its label's share of all positives, over the topics by their share of the label, evenly within; its negative is drawn evenly
+    from the topic's next lower label that has documents. Draws whose topic has none give nothing. The same seed gives the same pairs.
     """
-    pos = labels.filter("label > 0")
     levels = labels.groupBy("qid", "label").agg(F.count("*").alias("m"))
-    lower = pos.select("qid", "label").distinct().alias("p").join(levels.alias("l"), (F.col("p.qid") == F.col("l.qid")) & (F.col("l.label") < F.col("p.label")))
-    lower = lower.groupBy("p.qid", "p.label").agg(F.max(F.struct("l.label", "m")).alias("x")).select("qid", "label", F.col("x.label").alias("low"), "x.m")
-    total = pos.agg(F.count("*").alias("total"))  # one row
-    # each positive is drawn a Poisson-like number of times with mean n / total
-    mean = F.lit(float(n)) / F.col("total")
-    times = F.floor(mean) + F.when(F.rand(seed) < mean - F.floor(mean), 1).otherwise(0)
-    drawn = pos.join(F.broadcast(total)).withColumn("times", times.cast("int")).filter("times > 0").select("qid", "label", F.col("docno").alias("positive"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("draw"))
-    drawn = drawn.join(lower, ["qid", "label"]).withColumn("pick", (F.floor(F.rand(seed + 1) * F.col("m")) + 1).cast("int"))
-    from pyspark.sql import Window
-
-    numbered = labels.withColumn("pick", F.row_number().over(Window.partitionBy("qid", "label").orderBy("docno"))).select("qid", F.col("label").alias("low"), "pick", F.col("docno").alias("negative"))
-    return drawn.join(numbered, ["qid", "low", "pick"]).select("qid", "label", "positive", "negative")
+    lower = levels.alias("p").join(levels.alias("l"), (F.col("p.qid") == F.col("l.qid")) & (F.col("l.label") < F.col("p.label")))
+    lower = lower.groupBy("p.qid", "p.label").agg(F.max(F.struct("l.label", "l.m")).alias("x")).select("qid", "label", F.col("x.label").alias("low"), F.col("x.m").alias("lows"))
+    # the groups' shares side by side on [0, 1): a row for each topic and label
+    order = Window.orderBy("label", "qid").rowsBetween(Window.unboundedPreceding, 0)
+    shares = levels.filter("label > 0").withColumn("upto", F.sum("m").over(order)).withColumn("total", F.sum("m").over(Window.partitionBy()))
+    shares = shares.select("qid", "label", "m", ((F.col("upto") - F.col("m")) / F.col("total")).alias("a"), (F.col("upto") / F.col("total")).alias("b"))
+    draws = labels.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("u", _uniform("draw", seed))
+    drawn = draws.join(F.broadcast(shares), (F.col("u") >= F.col("a")) & (F.col("u") < F.col("b"))).join(lower, ["qid", "label"])
+    drawn = drawn.withColumn("pick", F.floor(_uniform("draw", seed + 1) * F.col("m")) + 1).withColumn("low_pick", F.floor(_uniform("draw", seed + 2) * F.col("lows")) + 1)
+    numbered = labels.withColumn("pick", F.row_number().over(Window.partitionBy("qid", "label").orderBy("docno")).cast("bigint"))
+    positive = numbered.select("qid", "label", "pick", F.col("docno").alias("positive"))
+    negative = numbered.select("qid", F.col("label").alias("low"), F.col("pick").alias("low_pick"), F.col("docno").alias("negative"))
+    return drawn.join(positive, ["qid", "label", "pick"]).join(negative, ["qid", "low", "low_pick"]).select("draw", "qid", "label", "positive", "negative")
 
 
 def scorer_weights(grams: int = 3, filters: int = 4, kmax: int = 3, dense: int = 8, rows: int = 4, seed: int = 7541) -> dict:

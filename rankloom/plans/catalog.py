@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import stem as S
 from ..functions import text as T
-from ..operators import analytics, graded, measures, preferences, representatives
+from ..operators import analytics, extraction, graded, measures, preferences, report, representatives
 from ..operators.ranked import ranked
 from ..sources import run_files
 from ..streaming import monitor
@@ -168,6 +168,65 @@ def _z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(measures.z_scores(measures.long_form(values), reference), "measure", "qid")
 
 
+# --- reports by measure name; their SQL is written by hand, without the engine's expressions ----------------------------------------
+
+_REPORT = ("official", "ndcg.1=3,2=9,4=4.5", "P.5,7,3", "recall.20,2000", "utility.2,-1,0,0", "success.2,5,20", "set_F.0.5", "11pt_avg..25,.5,.75", "Rprec_mult.5.0,0.2", "infAP", "num_nonrel_judged_ret")
+_HAND_SQL = """k as (select qid, docno, row_number() over (partition by qid order by sim desc, docno desc) as i from run where qid in (select qid from qrels)),
+z as (select k.qid, k.i, q.rel, q.docno is not null as pooled from k left join qrels q using (qid, docno)),
+n as (select qid, count(*) filter (where rel >= 1) as r, count(*) filter (where rel = 0) as nr from qrels group by qid),
+h as (select qid, i, row_number() over (partition by qid order by i) as j from z where rel >= 1),
+pr as (select h.qid, h.i, h.j, h.j / h.i as p, (select count(*) from z where z.qid = h.qid and z.i < h.i and z.rel = 0) as above, (select count(*) from z where z.qid = h.qid and z.i < h.i and z.rel < 0) as unj from h),
+c as (select z.qid, count(*) as ret, count(*) filter (where rel >= 1) as hit, count(*) filter (where rel = 0) as judged_bad from z group by z.qid),
+b as (select c.*, n.r, n.nr from c join n using (qid)),
+xs as (select b.qid, unnest([3, 5, 7, 20, 2000]) as x, b.r from b),
+cut as (select xs.qid, xs.x, any_value(xs.r) as r, count(h.i) as hit from xs left join h on h.qid = xs.qid and h.i <= xs.x group by xs.qid, xs.x),
+points as (select b.qid, unnest(range(0, 21)) / 20 as x, b.r from b),
+ip as (select points.qid, points.x, coalesce(max(pr.p) filter (where pr.j >= floor(points.x * points.r + 0.9)), 0) as v from points left join pr using (qid) group by points.qid, points.x, points.r),
+rm as (select b.qid, m.x, floor(m.x * b.r + 0.9) as t from b, (select unnest([0.2, 5.0]) as x) m),
+rp as (select rm.qid, rm.x, count(h.i) / nullif(any_value(rm.t), 0) as v from rm left join h on h.qid = rm.qid and h.i <= rm.t group by rm.qid, rm.x),
+gain as (select qid, docno, case rel when 1 then 3 when 2 then 9 when 4 then 4.5 when -1 then -1 else rel end::double as g from qrels),
+best as (select qid, sum(g / log2(pos + 1)) as ideal from (select qid, g, row_number() over (partition by qid order by g desc) as pos from gain where g > 0) x group by qid),
+got as (select k.qid, sum(case when g > 0 then g / log2(k.i + 1) else 0 end) as dcg from k left join gain using (qid, docno) group by k.qid),
+apx as (select qid, sum(p) as s, sum(case when above = 0 then 1 else 1 - least(above, r) / least(nr, r)::double end) as bp,
+ sum(case when i = 1 then 1 else 1 / i + (i - 1) / i * ((j - 1 + above + unj) / (i - 1)) * ((j - 1 + 0.00001) / (j - 1 + above + 0.00002)) end) as inf from pr join n using (qid) group by qid),
+t as (select b.qid, b.*exclude(qid), coalesce(s / nullif(r, 0), 0) as ap, coalesce(bp / nullif(r, 0), 0) as bpref, coalesce(inf / nullif(r, 0), 0) as infap, dcg, ideal from b left join apx on b.qid = apx.qid left join got on b.qid = got.qid left join best on b.qid = best.qid),
+w as (
+ select 'num_ret' as measure, qid, ret::double as v from t union all select 'num_rel', qid, r from t union all select 'num_rel_ret', qid, hit from t union all select 'num_nonrel_judged_ret', qid, judged_bad from t
+ union all select 'map', qid, ap from t union all select 'gm_map', qid, ln(greatest(ap, 0.00001)) from t union all select 'bpref', qid, bpref from t union all select 'infAP', qid, infap from t
+ union all select 'Rprec', b.qid, coalesce((select count(*) from h where h.qid = b.qid and h.i <= b.r) / nullif(b.r, 0), 0) from b
+ union all select 'recip_rank', b.qid, coalesce(1 / (select min(i) from h where h.qid = b.qid), 0) from b
+ union all select 'ndcg', qid, coalesce(dcg / nullif(ideal, 0), 0) from t
+ union all select concat('P_', x), qid, hit / x from cut where x in (3, 5, 7)
+ union all select concat('recall_', x), qid, coalesce(hit / nullif(r, 0), 0) from cut where x in (20, 2000)
+ union all select concat('success_', x), b.qid, (select count(*) from h where h.qid = b.qid and h.i <= x) > 0 from b, (select unnest([2, 5, 20]) as x) m
+ union all select 'utility', qid, 2 * hit - (ret - hit) from t
+ union all select 'set_F', qid, coalesce(1.5 * (hit / ret) * (hit / nullif(r, 0)) / nullif(hit / nullif(r, 0) + 0.5 * (hit / ret), 0), 0) from t
+ union all select concat('iprec_at_recall_', printf('%.2f', x)), qid, v from ip where round(x * 20)::int % 2 = 0
+ union all select '11pt_avg', qid, avg(v) from ip where x in (0.25, 0.5, 0.75) group by qid
+ union all select concat('Rprec_mult_', printf('%.2f', x)), qid, coalesce(v, 0) from rp),
+every as (select measure, 'all' as qid, case when measure like 'num_%' then sum(v) when measure like 'gm_%' then exp(avg(v)) else avg(v) end as v from w group by measure)
+select measure, qid::varchar as qid, round(v::double, 6) as value from w union all select measure, qid, round(v, 6) from every union all select 'num_q', 'all', count(*) from b"""
+
+
+@_register("evaluation_report", with_views(_HAND_SQL, "run", "qrels"))
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = report.evaluation(view(spark, sf_dir, "run"), view(spark, sf_dir, "qrels"), _REPORT, per_topic=True)
+    return rounded(out.filter("value is not null").select("measure", "qid", "value"), "measure", "qid")
+
+
+@_register("evaluation_lines")
+def _report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.lines(report.evaluation(view(spark, sf_dir, "run"), view(spark, sf_dir, "qrels"), ["all_trec"], "rankloom", per_topic=True))
+
+
+@_register("single_topic", with_views("""k as (select docno, row_number() over (order by sim desc, docno desc) as i from run where qid = 7),
+h as (select i, row_number() over (order by i) as j from k join qrels q on q.qid = 7 and q.docno = k.docno where rel >= 1)
+select 'map' as measure, '7' as qid, round(sum(j / i) / (select count(*) from qrels where qid = 7 and rel >= 1), 6) as value from h union all select 'P_5', '7', count(*) filter (where i <= 5) / 5 from h""", "run", "qrels"))
+def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = report.evaluation(view(spark, sf_dir, "run"), view(spark, sf_dir, "qrels"), ["map", "P.5"], per_topic=True, only="7")
+    return rounded(out.filter("qid <> 'all'").select("measure", "qid", "value"), "measure", "qid")
+
+
 # --- graded evaluation ---------------------------------------------------------------------------------------------------------
 
 
@@ -237,7 +296,9 @@ def _preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("preferences_balanced")
 def _balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(preferences.balanced(view(spark, sf_dir, "prun"), view(spark, sf_dir, "prefs")), "qid")
+    run, prefs = view(spark, sf_dir, "prun"), view(spark, sf_dir, "prefs")
+    pairs = preferences.areas(run, prefs).persist()
+    return rounded(preferences.balanced(run, prefs, pairs=pairs).join(preferences.balanced(run, prefs, retrieved=True, pairs=pairs), "qid"), "qid")
 
 
 # --- experiment analytics ------------------------------------------------------------------------------------------------------
@@ -264,6 +325,67 @@ def _common_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.common_epochs(e.filter("k = 0"), e.filter("k = 1"))
 
 
+@_register(
+    "epoch_measures",
+    with_views(
+        """e as (select okey % 4 as epoch, qid, docno, sim2 as sim from pairs),
+k as (select epoch, qid, docno, row_number() over (partition by epoch, qid order by sim desc, docno desc) as i from e where qid in (select qid from qrels)),
+h as (select epoch, qid, i, row_number() over (partition by epoch, qid order by i) as j from k join qrels q using (qid, docno) where rel >= 1),
+n as (select qid, count(*) as r from qrels where rel >= 1 group by qid)
+select g.epoch::bigint as epoch, g.qid::bigint as qid, round(coalesce(sum(h.j / h.i) / any_value(r), 0), 6) as map, round(coalesce(count(h.i) filter (where h.i <= 10), 0) / 10, 6) as P_10
+from (select distinct epoch, qid from k) g left join h on g.epoch = h.epoch and g.qid = h.qid left join n on g.qid = n.qid group by g.epoch, g.qid""",
+        "qrels",
+    ),
+)
+def _epoch_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    predictions = view(spark, sf_dir, "pairs").select((F.col("okey") % 4).alias("epoch"), "qid", "docno", F.col("sim2").alias("sim"))
+    out = analytics.epoch_measures(predictions, view(spark, sf_dir, "qrels")).select(F.col("epoch").cast("bigint").alias("epoch"), F.col("qid").cast("bigint").alias("qid"), "map", "P_10")
+    return rounded(out, "epoch", "qid")
+
+
+@_register("unique_best_epoch", f"with val as ({_EPOCHS.format(0)}), test as ({_EPOCHS.format(1)}) select v.epoch::bigint as epoch, round(v.err, 6) as err_val, round(t.err, 6) as err_test from val v join test t on v.epoch = t.epoch and v.setting = 1 and t.setting = 1 order by v.err desc, v.epoch limit 1")
+def _unique_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").filter("user_id % 5 = 1")
+    parts = [e.filter(F.col("user_id") % 2 == k).groupBy(F.dayofmonth("ts").cast("bigint").alias("epoch")).agg(F.round(F.avg("value"), 9).alias("err")) for k in (0, 1)]
+    return rounded(analytics.unique_best_epoch(*parts), "epoch")
+
+
+@_register(
+    "baseline_table",
+    with_views(
+        _graded_sql("run", "ga") + ",\n" + _graded_sql("baseline", "gb")
+        + """,
+x as (select gav.qid::varchar as qid, gav.ndcg as value, gbv.ndcg as baseline from gav join gbv on gav.qid = gbv.qid),
+y as (select * from x union all select 'all', avg(value), avg(baseline) from x)
+select qid, 'run' as run, round(value, 6) as value, round(baseline, 6) as baseline, round((value - baseline) / nullif(baseline, 0) * 100, 4) as change from y""",
+        "run", "baseline", "qrels",
+    ),
+)
+def _baseline_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qrels = view(spark, sf_dir, "qrels")
+    a, b = (graded.graded_measures(view(spark, sf_dir, r), qrels) for r in ("run", "baseline"))
+    out = analytics.baseline_table(b.select("qid", F.col("ndcg").alias("value")), a.select("qid", F.lit("run").alias("run"), F.col("ndcg").alias("value")))
+    return rounded(out, "qid", "run").withColumn("change", F.round("change", 4))
+
+
+@_register("grade_names", "select distinct concat('wt', lpad((9 + l_suppkey % 6)::varchar, 2, '0')) as year, (l_partkey % 5)::int as label, case l_partkey % 5 when 0 then 'NRel' when 1 then 'Rel' when 2 then 'HRel' when 3 then (case l_suppkey % 6 when 0 then null when 2 then 'Nav' else 'HRel' end) else (case when l_suppkey % 6 in (0, 2) then null else 'Nav' end) end as grade from lineitem")
+def _grade_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("wt"), F.lpad((9 + F.col("l_suppkey") % 6).cast("string"), 2, "0")).alias("year"), (F.col("l_partkey") % 5).cast("int").alias("label")).distinct()
+    return rows.withColumn("grade", analytics.grade_name(F.col("label"), F.col("year")))
+
+
+@_register("extraction_counters", "with x as (select url, html as body, case when page_id % 3 = 0 then page_id end as qid from pages), y as (select *, url is null or body is null or octet_length(encode(body)) >= 2048 as bad from x) select unnest(['pages', 'errors', 'qid_pages']) as counter, unnest([count(*), count(*) filter (where bad), count(*) filter (where not bad and qid is not null)]) as value from y")
+def _counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("url", F.col("html").alias("body"), F.when(F.col("page_id") % 3 == 0, F.col("page_id")).alias("qid"))
+    return extraction.counters(pages, 2048)
+
+
+@_register("extracted_pages", "select page_id, octet_length(encode(html))::bigint as n_bytes from pages where html is not null and url is not null and octet_length(encode(html)) < 2048")
+def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extraction.small_bodies(extraction.with_content(table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("body"))), 2048)
+    return pages.select("page_id", F.octet_length("body").cast("bigint").alias("n_bytes"))
+
+
 @_register(
     "rescored_run",
     with_views(
@@ -317,16 +439,16 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pairs.select("qid", F.concat_ws("-", F.col("low").cast("string"), F.col("high").cast("string")).alias("pair"), "n", "accuracy"), "qid", "pair")
 
 
-@_register(
-    "document_pair_report",
-    with_views(
-        _PAIRS_SQL
-        + """,
-named as (select qid, concat(['NRel', 'Rel', 'HRel', 'Key', 'Nav'][low + 1], '-', ['NRel', 'Rel', 'HRel', 'Key', 'Nav'][high + 1]) as pair, n, hits / n as accuracy from dp)
-select qid, pair, round(accuracy, 6) as value from named union all select 0, pair, round(avg(accuracy), 6) from named group by pair union all select -1, pair, sum(n)::double from named group by pair""".replace("'Key'", "'HRel'").replace("from named group by pair union all select -1", "from named2 group by pair union all select -1").replace("pair, sum(n)::double from named group", "pair, sum(n)::double from named2 group").replace("select qid, pair, round(accuracy, 6) as value from named union", "select qid, pair, round(accuracy, 6) as value from named2 union").replace("\nselect qid, pair, round", ",\nnamed2 as (select qid, pair, sum(n) as n, sum(n * accuracy) / sum(n) as accuracy from named where split_part(pair, '-', 1) <> split_part(pair, '-', 2) group by qid, pair)\nselect qid, pair, round", 1),
-        "run", "qrels",
-    ),
-)
+_PAIR_REPORT_SQL = (
+    _PAIRS_SQL
+    + """,
+g as (select unnest([0, 1, 2, 3, 4]) as label, unnest(['NRel', 'Rel', 'HRel', 'HRel', 'Nav']) as grade),
+named as (select qid, concat(l.grade, '-', h.grade) as pair, sum(n) as n, sum(hits) / sum(n) as accuracy from dp join g l on dp.low = l.label join g h on dp.high = h.label where l.grade <> h.grade group by 1, 2)
+select qid, pair, round(accuracy, 6) as value from named union all select 0, pair, round(avg(accuracy), 6) from named group by pair union all select -1, pair, sum(n)::double from named group by pair"""
+)
+
+
+@_register("document_pair_report", with_views(_PAIR_REPORT_SQL, "run", "qrels"))
 def _pair_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(analytics.document_pair_report(view(spark, sf_dir, "qrels"), view(spark, sf_dir, "run"), analytics.GRADES_OF_YEAR["wt12"]), "qid", "pair")
 
@@ -390,7 +512,7 @@ def _stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", S.stems(T.tokens(F.col("text"))).alias("stems"))
 
 
-@_register("sentence_counts")
+@_register("sentence_counts", "select doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: trim(s) <> ''))::bigint as n_sentences from documents")
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("n_sentences"))
 
@@ -457,6 +579,14 @@ def _slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("vec_id", "maxslide", A.strides(e, 9, 3).alias("strides"), A.separated(F.col("maxslide"), 9).alias("maxslidesep"))
 
 
+@_register("max_slide_old", """with v as (select vec_id, unnest(embedding)::double as x, unnest(range(0, 64)) as i from embeddings),
+a as (select p.vec_id, p.i, (p.x + q.x + r.x) / 3 as m from v p join v q on p.vec_id = q.vec_id and q.i = p.i + 1 join v r on p.vec_id = r.vec_id and r.i = p.i + 2),
+o as (select vec_id, i, row_number() over (partition by vec_id order by m desc, i) as n from a), s as (select vec_id, i + w as p, row_number() over (partition by vec_id order by w, n) as k from o, (select unnest([0, 1, 2]) as w) u)
+select vec_id, list(p order by p)::bigint[] as positions from s where k <= 70 group by vec_id""")
+def _max_slide_old(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(A.max_slide_old(F.col("embedding"), 70, 3), lambda i: i.cast("bigint")).alias("positions"))
+
+
 @_register("binarised", "select vec_id, list_transform(embedding, lambda v: case when v >= 0.999 then 1.0 else round(v::double, 6) end) as v from embeddings")
 def _binarised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", A.binarise(F.transform("embedding", lambda v: F.when(v >= 0.999, F.lit(1.0)).otherwise(F.round(v.cast("double"), 6)))).alias("v"))

@@ -57,6 +57,15 @@ def read_graded_qrels(spark: SparkSession, path: str, most: int = 4) -> DataFram
     return _exactly(_fields(spark, path), 4, "qrels").select(F.regexp_replace(f[0], "^.*-", "").alias("qid"), f[2].alias("docno"), rel.alias("rel")).filter("rel > 0")
 
 
+def read_graded_run(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, docno, sim, run_id): six fields a line, the second Q0, the rank a whole number from 0 on and the score a number, else an error; a document twice in a topic is an error."""
+    f = F.col("f")
+    bad = (f[1] != "Q0") | ~f[3].rlike(r"^\d+$") | f[4].try_cast("double").isNull()
+    rows = _exactly(_fields(spark, path), 6, "run").select(F.regexp_replace(f[0], "^.*-", "").alias("qid"), f[2].alias("docno"), F.when(bad, F.raise_error(F.concat(F.lit("malformed run line: "), F.col("value"))).cast("double")).otherwise(f[4].cast("double")).alias("sim"), f[5].alias("run_id"))
+    again = F.count("*").over(Window.partitionBy("qid", "docno")) > 1
+    return rows.withColumn("again", again).withColumn("sim", F.when(F.col("again"), F.raise_error(F.lit("a document is retrieved twice")).cast("double")).otherwise(F.col("sim"))).drop("again")
+
+
 def read_labels(spark: SparkSession, path: str, qids: list[int], include_spam: bool = False) -> DataFrame:
     """(qid, docno, rel) of some topics; negative labels only with include_spam; a later line replaces an earlier one."""
     f = F.col("f")
@@ -123,6 +132,29 @@ def report_lines(report: DataFrame) -> DataFrame:
     return report.select(F.format_string("%s,%s,%.5f,%.5f", "runid", "topic", "ndcg", "err").alias("value"))
 
 
+def reranked_name(name: str) -> str:
+    """The file name of a re-ranked run."""
+    return f"rr_{name.rsplit('/', 1)[-1]}"
+
+
+def write_reranked(run: DataFrame, folder: str, name: str, runid: str, digits: int = 10) -> str:
+    path = f"{folder.rstrip('/')}/{reranked_name(name)}"
+    write_run(run, path, runid, digits)
+    return path
+
+
+def write_report(table: DataFrame, path: str) -> None:
+    """A CSV file with a header, numbers that aren't whole with three places, nulls empty."""
+    cols = [F.format_string("%.3f", F.col(c).cast("double")).alias(c) if t in ("double", "float") else F.col(c) for c, t in table.dtypes]
+    shown = [F.when(F.col(c).isNotNull(), x).alias(c) for c, x in zip(table.columns, cols, strict=True)]
+    table.select(*shown).write.mode("overwrite").option("header", "true").csv(path)
+
+
+def write_by_document(rows: DataFrame, path: str, files: int = 16) -> None:
+    """(qid, docid, ...) as one folder for each topic, with its rows dealt over a number of files by docid, so that a large topic is not one task's work."""
+    rows.repartition("qid", F.pmod(F.xxhash64("docid"), F.lit(files))).sortWithinPartitions("qid", "docid").write.mode("overwrite").partitionBy("qid").parquet(path)
+
+
 def write_by_topic(df: DataFrame, path: str) -> None:
-    """One folder for each topic, in one pass."""
-    df.repartition("qid").write.mode("overwrite").partitionBy("qid").parquet(path)
+    """One folder for each topic, in one pass; a topic is up to eight tasks' work."""
+    df.repartition("qid", F.floor(F.rand(7541) * 8)).write.mode("overwrite").partitionBy("qid").parquet(path)
