@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import hash_filter, in_bitmap, key_bitmap, write_shared
+from .common import in_bitmap, key_bitmap, write_shared
 from .streams import sorted_runs
 
 #: Runs of a task whose first places are found at once.
-HELD = 1_000_000
+HELD = 250_000
 #: Bytes of a word that count as one word more: a text without blanks has its words, too.
 LONG_WORD = 16
 #: The place of a null doc_id.
@@ -185,8 +185,21 @@ def remove_repeats(docs: DataFrame, words: int = 30) -> DataFrame:
     first = write_shared(_first_places(source, words), "first")
     marks = _later(source, first, words).groupBy("doc", "tid").agg(F.collect_list(F.struct("at", "n")).alias("marks"))
     marks = write_shared(marks, "marks")
-    source = source.withColumn("marked", hash_filter(marks, "tid")(F.col("tid")))
+    shared, mask = key_bitmap(marks, "tid")
+    shape = "doc_id bigint, text string, n_sentences bigint, n_removed bigint"
+
+    # the test is made where the texts are cut: one in the plan would cost each task a second Python process
+    def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(~in_bitmap(shared.value, b["tid"].to_numpy() & mask)))
+            none = pa.nulls(b.num_rows, pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())])))
+            yield from _cut(iter([pa.RecordBatch.from_arrays([b["doc_id"], b["text"], none], names=["doc_id", "text", "marks"])]))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_bitmap(shared.value, b["tid"].to_numpy() & mask)))
+
     # texts without a mark, all but few of them, are not shuffled
-    clean = source.filter(~F.col("marked")).select("doc_id", "text", F.lit(None).cast(marks.schema["marks"].dataType).alias("marks"))
-    hit = source.filter("marked").join(marks, ["doc", "tid"], "left").select("doc_id", "text", "marks")
-    return clean.union(hit).mapInArrow(_cut, "doc_id bigint, text string, n_sentences bigint, n_removed bigint")
+    clean = source.select("doc_id", "tid", "text").mapInArrow(unmarked, shape)
+    hit = source.mapInArrow(marked, source.schema).join(marks, ["doc", "tid"], "left").select("doc_id", "text", "marks")
+    return clean.union(hit.mapInArrow(_cut, shape))
