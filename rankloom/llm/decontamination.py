@@ -31,6 +31,8 @@ INDEX_BYTES = 32 << 20
 #: 16 for an item, and 16 in the n-grams of question and answer.
 TEXT_FACTOR = 32
 _PIECE = 256 << 10
+#: Passages whose blocks are bounded at once.
+PORTION = 500
 #: Words of the n-grams that an answer is compared by; a shorter answer is compared whole.
 ANSWER_GRAM = 3
 _PUNCTUATION = np.zeros(256, bool)
@@ -45,6 +47,8 @@ class Index:
     terms: np.ndarray
     top: np.ndarray
     block_keys: np.ndarray
+    block_first: np.ndarray
+    block_of: np.ndarray
     block_max: np.ndarray
     item_keys: np.ndarray
     impact: np.ndarray
@@ -58,15 +62,20 @@ class Index:
 
     @property
     def nbytes(self) -> int:
-        return sum(x.nbytes for x in (self.terms, self.top, self.block_keys, self.block_max, self.item_keys, self.impact, *self.question, *self.answer))
+        return sum(x.nbytes for x in (self.terms, self.top, self.block_keys, self.block_first, self.block_of, self.block_max, self.item_keys, self.impact, *self.question, *self.answer))
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words without punctuation around them, and the number of words before each row."""
     starts, ends, before = H.word_spans(data, offsets)
+    some = np.arange(len(starts))
     for _ in range(3):
-        ends = ends - (_PUNCTUATION[data[ends - 1]] & (ends - starts > 1))
-        starts = starts + (_PUNCTUATION[data[starts]] & (ends - starts > 1))
+        some = some[_PUNCTUATION[data[ends[some] - 1]] & (ends[some] - starts[some] > 1)]
+        ends[some] -= 1
+    some = np.arange(len(starts))
+    for _ in range(3):
+        some = some[_PUNCTUATION[data[starts[some]]] & (ends[some] - starts[some] > 1)]
+        starts[some] += 1
     return H.word_hashes(data, starts, ends), before
 
 
@@ -126,10 +135,17 @@ def build(items: list[tuple[int, str]], stats: tuple[int, float, dict[int, int]]
     impact = np.concatenate([x for _, x in rows]) if rows else none.astype(float)
     order = np.lexsort((item, at))
     at, item, impact = at[order], item[order], impact[order]
-    keys = at * -(-len(rows) // BLOCK) + item // BLOCK
+    blocks = max(-(-len(rows) // BLOCK), 1)
+    keys = at * blocks + item // BLOCK
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else none
     top = np.maximum.reduceat(impact, np.searchsorted(at, np.arange(len(terms)))) if len(terms) else impact
-    return Index(ids, terms, top, keys[first], np.maximum.reduceat(impact, first) if len(first) else impact, at * len(rows) + item, impact, questions, answers, most)
+    block_first = np.searchsorted(keys[first], np.arange(len(terms) + 1) * blocks)
+    return Index(ids, terms, top, keys[first], block_first, (keys[first] % blocks).astype(np.int32), np.maximum.reduceat(impact, first) if len(first) else impact, at * len(rows) + item, impact, questions, answers, most)
+
+
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of ranges given by their starts and sizes, one after another."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes - first, sizes)
 
 
 def _summed(keys: np.ndarray, values: np.ndarray, terms: np.ndarray, size: int, which: np.ndarray) -> np.ndarray:
@@ -163,22 +179,47 @@ def retrieve(index: Index, words: np.ndarray, starts: np.ndarray, stops: np.ndar
     # most passages end here: all their terms together can't reach the threshold in any item
     low = threshold - 1e-9
     open_ = np.add.reduceat(index.top[term], first) >= low
+    keep = np.repeat(open_, last - first)
+    owner, term = owner[keep], term[keep]
+    starts_at = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
+    for i in range(0, len(starts_at), PORTION):
+        part = slice(starts_at[i], starts_at[i + PORTION] if i + PORTION < len(starts_at) else len(owner))
+        yield from _portion(index, owner[part], term[part], low)
+
+
+def _portion(index: Index, owner: np.ndarray, term: np.ndarray, low: float) -> Iterator[tuple[int, int, float]]:
+    """retrieve for some passages at once: owner is the passage of each of the distinct terms, ascending."""
     blocks = index.blocks
-    for a, b in zip(first[open_], last[open_], strict=True):
-        own = term[a:b]
-        own = own[np.argsort(index.top[own], kind="stable")]
-        pivot = int(np.searchsorted(np.cumsum(index.top[own]), low))
-        lists = [index.block_keys[slice(*np.searchsorted(index.block_keys, (t * blocks, (t + 1) * blocks)))] - t * blocks for t in own[pivot:]]
-        near = np.unique(np.concatenate(lists))
-        bound = _summed(index.block_keys, index.block_max, own, blocks, near)
-        near = near[bound >= low]
-        if not len(near):
-            continue
-        items = (near[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+    top = index.top[term]
+    order = np.lexsort((top, owner))
+    owner, term, top = owner[order], term[order], top[order]
+    first = np.concatenate(([True], owner[1:] != owner[:-1]))
+    number = np.cumsum(first) - 1
+    sums = np.cumsum(top)
+    sums -= (sums - top)[first][number]
+    sizes = index.block_first[term + 1] - index.block_first[term]
+    # from the pivot on: a block without any of these terms can't reach the threshold
+    rare = sums >= low
+    near = np.unique(np.repeat(number[rare], sizes[rare]) * blocks + index.block_of[_ranges(index.block_first[term[rare]], sizes[rare])])
+    lists = _ranges(index.block_first[term], sizes)
+    keys = np.repeat(number, sizes) * blocks + index.block_of[lists]
+    if (number[-1] + 1) * blocks <= 1 << 22:
+        bound = np.bincount(keys, index.block_max[lists], (number[-1] + 1) * blocks)[near]
+    else:
+        at = np.minimum(np.searchsorted(near, keys), len(near) - 1)
+        hit = near[at] == keys
+        bound = np.bincount(at[hit], index.block_max[lists[hit]], len(near))
+    near = near[bound >= low]
+    begin = np.flatnonzero(first)
+    end = np.append(begin[1:], len(owner))
+    passages = near // blocks
+    for n in np.unique(passages):
+        own = term[begin[n] : end[n]]
+        items = ((near[passages == n] % blocks)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         items = items[items < len(index.ids)]
         score = _summed(index.item_keys, index.impact, own, len(index.ids), items)
         for i in np.flatnonzero(score >= low):
-            yield int(owner[a]), int(items[i]), float(score[i])
+            yield int(owner[begin[n]]), int(items[i]), float(score[i])
 
 
 def _share(part: np.ndarray, grams: np.ndarray) -> float:
