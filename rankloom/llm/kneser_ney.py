@@ -1,185 +1,258 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
+"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of the words of trusted text.
 
-The model is one of characters: texts are mapped to an alphabet of 64 signs, and n-grams of up to four are counted over all
-trusted texts. Counts, continuation counts, discounts and context totals are hash-sharded tables, made and joined by Spark. What is
-known of n-grams of four signs can't exceed 64 ** 4 entries however large the corpus, so that is the bound on what scoring broadcasts. Documents are
-scored whole; a document is rejected when its perplexity is beyond its language's quantile of trusted ones, each scored by a model that wasn't trained on it.
+Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, known by 64-bit hashes. Counts, continuation counts, context totals and probabilities are tables
+sharded by hash, made and joined by Spark, and grow with the trusted text. The logarithm of a text's probability is a sum over keys of its words:
+
+* for each word ln P(w), above that of a word never seen,
+* for each context that was seen ln gamma, the weight of the next lower order,
+* for each n-gram that was seen ln P(w | context) less ln gamma and the lower order's ln P(w).
+
+What is not in the model adds nothing, so scoring is one join of (text, key, count) with the model's (key, value). The HOT most used keys, a fixed
+number, are broadcast and added up in the scan, so that no key is hot in the join; a bounded bitmap keeps most keys that the model lacks out of it.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_filter, write_shared
-from .hashing import mix
+from . import hashing as H
+from .common import id_filter, in_bitmap, key_bitmap, write_shared
 
-ORDER = 4
+ORDER = 2
+#: Most keys whose values are broadcast (12 MB), whatever the size of the model.
+HOT = 1 << 20
 #: Languages whose thresholds are broadcast at most; with more, they are joined by language.
 MAX_LANGUAGES = 10_000
-SIGNS = 64
-#: The alphabet. Letters of either case are one sign; 0 is any other sign, 1 white space, and digits of any script are one sign.
-LETTERS = "abcdefghijklmnopqrstuvwxyzéèêëàâäáçñóòôöúùûüíìîïßœ"
-MARKS = ".,;:!?'\"-()"
-
-
-#: Code points that have a row in the table of signs; all beyond are letters.
-TABLED = 0x20000
-
-
-@lru_cache(maxsize=1)
-def _signs() -> np.ndarray:
-    """The sign of each code point. Letters outside LETTERS, of any script, share the letters' signs by a hash: their texts stay told apart."""
-    table = np.zeros(TABLED + 1, np.uint8)
-    hashed = 2 + (mix(np.arange(TABLED + 1, dtype=np.uint64)) % np.uint64(len(LETTERS))).astype(np.uint8)
-    for i in range(TABLED):
-        kind = unicodedata.category(chr(i))
-        if kind[0] in "LM":
-            table[i] = hashed[ord(low) if len(low := chr(i).lower()) == 1 and ord(low) < TABLED else i]
-        elif kind[0] == "Z" or i in (9, 10, 11, 12, 13):
-            table[i] = 1
-        elif kind[0] == "N":
-            table[i] = len(LETTERS) + 2
-    for i, c in enumerate(LETTERS):
-        table[ord(c)] = i + 2
-        if len(c.upper()) == 1:
-            table[ord(c.upper())] = i + 2
-    for i, c in enumerate(MARKS):
-        table[ord(c)] = min(len(LETTERS) + 3 + i, SIGNS - 1)
-    return table
-
-
-def signs(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    far = 2 + (mix(points.astype(np.uint64)) % np.uint64(len(LETTERS))).astype(np.uint8) if len(points) and points.max() >= TABLED else 0
-    return np.where(points < TABLED, _signs()[np.minimum(points, TABLED)], far).astype(np.int32)
-
-
-def grams(text: str) -> np.ndarray:
-    """Codes of all runs of ORDER signs, the text led in by spaces."""
-    s = np.concatenate((np.ones(ORDER - 1, np.int32), signs(text)))
-    code = np.zeros(len(s) - ORDER + 1, np.int32)
-    for j in range(ORDER):
-        code = (code << 6) | s[j : len(s) - ORDER + 1 + j]
-    return code
-
-
-def count(texts: DataFrame) -> DataFrame:
-    """(gram, c) of all texts; each task adds up before the shuffle."""
+#: N-grams of a task that are counted at once.
+HELD = 2_000_000
+#: The word that stands in front of every text.
+START = np.uint64(0x5EED)
+#: Parts of the documents. Each is scored by a model of the trusted texts of all others, so no text by a model that was trained on it.
+FOLDS = 2
+#: Keys of the i-th model are changed by i times this number.
+APART = np.uint64(0x9E3779B97F4A7C15)
+
+# The primes of XXH64 and the seed of Spark's xxhash64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_SEED = np.uint64(42)
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def keys(*columns: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 gives for bigint columns, as unsigned numbers."""
+    out = np.full(len(columns[0]), _SEED, np.uint64)
+    for c in columns:
+        out = out + _P5 + np.uint64(8)
+        out ^= _turned(c * _P2, 31) * _P1
+        out = _turned(out, 27) * _P1 + _P4
+        out ^= out >> np.uint64(33)
+        out *= _P2
+        out ^= out >> np.uint64(29)
+        out *= _P3
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def _windows(column: pa.Array, order: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(row, the order words up to and with it) of every word, by portions; START stands before a text's first word."""
+    for row0, data, offsets in H.chunks(column):
+        starts, ends, before = H.word_spans(data, offsets)
+        if not len(starts):
+            continue
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(before))
+        at = np.arange(len(starts)) + (row + 1) * (order - 1)
+        line = np.full(len(starts) + (len(offsets) - 1) * (order - 1), START, np.uint64)
+        line[at] = H.word_hashes(data, starts, ends)
+        yield row + row0, [line[at - j] for j in range(order - 1, -1, -1)]
+
+
+def _names(order: int) -> list[str]:
+    return [f"w{j}" for j in range(1, order + 1)]
+
+
+def count(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(w1 .. wn, c) of all texts; each task adds up before the shuffle."""
+    names = _names(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIGNS**ORDER, np.int64)
-        for b in batches:
-            for text in b["text"].to_pylist():
-                if text:
-                    code, n = np.unique(grams(text), return_counts=True)
-                    total[code] += n
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["gram", "c"])
-
-    return texts.select("text").mapInArrow(run, "gram int, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
-
-
-def _order(table: DataFrame) -> DataFrame:
-    """(gram, plus, context, gamma): the discounted share of each n-gram in its context, and the context's weight of the lower order."""
-    seen = table.agg(*(F.sum(F.when(F.col("c") == i, 1).otherwise(0)).alias(f"n{i}") for i in (1, 2, 3, 4))).first()
-    n1, n2, n3, n4 = (x or 0 for x in seen)
-    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    d = [
-        min(max(v, 0.05), i)
-        for i, v in ((1, 1 - 2 * y * n2 / n1 if n1 else 0.5), (2, 2 - 3 * y * n3 / n2 if n2 else 0.75), (3, 3 - 4 * y * n4 / n3 if n3 else 0.9))
-    ]
-    discount = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-    rows = table.withColumn("context", F.shiftright("gram", 6)).withColumn("d", discount)
-    contexts = rows.groupBy("context").agg(F.sum("c").alias("total"), F.sum("d").alias("held"))
-    return rows.join(contexts, "context").select("gram", ((F.col("c") - F.col("d")) / F.col("total")).alias("plus"), "context", (F.col("held") / F.col("total")).alias("gamma"))
-
-
-def train(texts: DataFrame) -> list[tuple[np.ndarray, ...]]:
-    """The model of (text) rows."""
-    return modelled(write_shared(count(texts), "grams"))
-
+        held, n = [], 0
 
-def modelled(table: DataFrame) -> list[tuple[np.ndarray, ...]]:
-    """For orders 1 to ORDER: (gram, plus, context, gamma) of counts (gram, c), by continuation counts below the highest; at most 64 ** 4 entries."""
-    out = []
-    for k in range(ORDER, 0, -1):
-        t = _order(table).toArrow()
-        context, first = np.unique(t["context"].to_numpy(), return_index=True)
-        out.append((t["gram"].to_numpy(), t["plus"].to_numpy().astype(np.float32), context, t["gamma"].to_numpy()[first].astype(np.float32)))
-        if k > 1:
-            # in how many contexts, one sign longer to the left, does it stand
-            table = table.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 6 * (k - 1)) - 1)).alias("gram")).agg(F.count("*").alias("c"))
-    return out[::-1]
+        def flush():
+            words = [np.concatenate(x) for x in zip(*held, strict=True)]
+            _, first, c = np.unique(keys(*words), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(w[first].view(np.int64)) for w in words), pa.array(c)], names=[*names, "c"])
 
+        for b in batches:
+            for _, words in _windows(b["text"], order):
+                held.append(words)
+                n += len(words[0])
+                if n > HELD:
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
 
-_DENSE: dict[int, np.ndarray] = {}
-
+    return texts.select("text").mapInArrow(run, ", ".join(f"{x} bigint" for x in names) + ", c bigint").groupBy(*names).agg(F.sum("c").alias("c"))
 
-def dense(model: list[tuple[np.ndarray, ...]]) -> np.ndarray:
-    """ln P of all 64 ** 4 n-grams."""
-    p = np.full(SIGNS, 1 / SIGNS, np.float32)  # under the lowest order: all signs alike
-    for k, (gram, plus, context, gamma) in enumerate(model):
-        weight = np.ones(SIGNS**k, np.float32)  # an unseen context leaves all to the lower order
-        weight[context] = gamma
-        # of context w1..wk and sign w, the lower order knows w2..wk w
-        lower = p.reshape(1, -1) if k == 0 else np.tile(p, SIGNS).reshape(-1, SIGNS)
-        p = (weight[:, None] * lower).ravel()
-        p[gram] += plus
-    return np.log(p)
 
+def discounts(table: DataFrame) -> list[float]:
+    """The three discounts of a table of counts c, from its counts of counts; fixed ones where these are missing."""
+    n1, n2, n3, n4 = (x or 0 for x in table.agg(*(F.count_if(F.col("c") == i) for i in (1, 2, 3, 4))).first())
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    found = (1, 1 - 2 * y * n2 / n1 if n1 else 0.5), (2, 2 - 3 * y * n3 / n2 if n2 else 0.75), (3, 3 - 4 * y * n4 / n3 if n3 else 0.9)
+    return [min(max(v, 0.05), i) for i, v in found]
 
-def _dense(key: int, variable) -> np.ndarray:
-    """Made once in each worker."""
-    if key not in _DENSE:
-        _DENSE.clear()
-        _DENSE[key] = dense(variable.value)
-    return _DENSE[key]
 
+def _discount(d: list[float]) -> Column:
+    return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
 
-def perplexities(docs: DataFrame, model: list[tuple[np.ndarray, ...]]) -> DataFrame:
-    """(doc_id, lang, n_signs, perplexity) of every row; null or empty texts have no perplexity."""
 
-    variable = docs.sparkSession.sparkContext.broadcast(model)
-    key = int(np.random.default_rng().integers(1 << 62))
+def train(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
+    """The model of (text) rows: a table (key, value, uses), written to the shared folder, and ln P of a word never seen.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ln = _dense(key, variable)
+    Of texts without any word, or no texts, the table is empty and ln P is 0.
+    """
+    names = _names(order)
+    counts = {order: write_shared(count(texts, order), "grams")}
+    for k in range(order - 1, 0, -1):
+        # in how many contexts, one word longer to the left, does it stand
+        lower = counts[k + 1].groupBy(*(F.col(names[j]).alias(names[j - 1]) for j in range(1, k + 1))).agg(F.count("*").alias("c"))
+        counts[k] = write_shared(lower, "grams")
+    d = discounts(counts[1])
+    types, total, held = counts[1].agg(F.count("*"), F.sum("c"), F.sum(_discount(d))).first()
+    unseen = held / total / (types + 1) if types else 1.0  # the lowest order: all words known, and one unknown, alike
+    p = counts[1].select("w1", "c", ((F.col("c") - _discount(d)) / F.lit(float(total or 1)) + F.lit(unseen)).alias("p"))
+    parts = [p.select(F.xxhash64("w1").alias("key"), F.log(F.col("p") / F.lit(unseen)).alias("value"), F.col("c").alias("uses"))]
+    for k in range(2, order + 1):
+        d = discounts(counts[k])
+        context = names[: k - 1]
+        contexts = write_shared(counts[k].groupBy(*context).agg(F.sum("c").alias("total"), (F.sum(_discount(d)) / F.sum("c")).alias("gamma")), "contexts")
+        shorter = p.select(*(F.col(names[j - 1]).alias(names[j]) for j in range(1, k)), F.col("p").alias("q"))
+        rows = counts[k].join(contexts, context).join(shorter, names[1:k])
+        p = rows.select(*names[:k], "c", "gamma", "q", ((F.col("c") - _discount(d)) / F.col("total") + F.col("gamma") * F.col("q")).alias("p"))
+        if k < order:
+            p = write_shared(p, "probabilities")
+        parts.append(p.select(F.xxhash64(*names[:k]), F.log(F.col("p") / F.col("gamma") / F.col("q")), "c"))
+        parts.append(contexts.select(F.xxhash64(F.lit(-1).cast("bigint"), *context), F.log("gamma"), "total"))
+    model = parts[0]
+    for part in parts[1:]:
+        model = model.union(part)
+    return write_shared(model.select("key", F.col("value").cast("float").alias("value"), "uses"), "model"), float(np.log(unseen))
+
+
+def _heat(uses: Column) -> Column:
+    return F.floor(F.log2(uses) * 8).cast("int")
+
+
+def _hot(model: DataFrame, most: int) -> int:
+    """The lowest heat from which on the model has at most so many keys. There are some 500 heats, whatever its size."""
+    known, cut = 0, None
+    for heat, n in sorted(((r[0], r[1]) for r in model.groupBy(_heat(F.col("uses"))).count().collect()), reverse=True):
+        if known + n > most:
+            break
+        known, cut = known + n, heat
+    return cut if cut is not None else 1 << 20
+
+
+def _salt(fold: int) -> int:
+    return int((np.array([fold], np.uint64) * APART).view(np.int64)[0])
+
+
+def perplexities(docs: DataFrame, models: list[tuple[DataFrame, float]], order: int = ORDER, most_hot: int = HOT) -> DataFrame:
+    """(doc_id, lang, n_words, perplexity) of every row of docs (doc_id, lang, text, fold) under the model of number fold.
+
+    Texts without a word have no perplexity. Scores belong to texts (of a fold), told apart by 64-bit hashes: rows of one text share theirs, be
+    their doc_id null, equal or different.
+    """
+    table = None
+    for fold, (one, _) in enumerate(models):
+        one = one.withColumn("key", F.col("key").bitwiseXOR(F.lit(_salt(fold))))
+        table = one if table is None else table.union(one)
+    cut = _hot(table, most_hot)
+    hot = table.filter(_heat(F.col("uses")) >= cut).select("key", "value").toArrow()
+    cold = table.filter(_heat(F.col("uses")) < cut).select("key", "value")
+    ranks = np.argsort(hot["key"].to_numpy().view(np.uint64))
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast((hot["key"].to_numpy().view(np.uint64)[ranks], hot["value"].to_numpy().astype(np.float32)[ranks]))
+    bitmap, mask = key_bitmap(cold, "key")
+    least = np.array([unseen for _, unseen in models])
+
+    def split(batch):
+        """(first row, number of words, sum of the hot keys' values) and the (row, key) of the others that the model may have."""
+        known, values = shared.value
+        bits, fold = bitmap.value, batch["fold"].to_numpy()
+        for row, words in _windows(batch["text"], order):
+            low = row[0]
+            n = np.bincount(row - low)
+            local, rows, rest = n * least[fold[low : low + len(n)]], [], []
+            salt = fold[row].astype(np.uint64) * APART
+            ahead = [np.full(len(row), -1, np.int64).view(np.uint64)]
+            asked = [keys(*words[order - k :]) for k in range(1, order + 1)] + [keys(*ahead, *words[order - k : order - 1]) for k in range(2, order + 1)]
+            for key in asked:
+                key = key ^ salt
+                at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+                hit = known[at] == key if len(known) else np.zeros(len(key), bool)
+                local += np.bincount(row[hit] - low, weights=values[at[hit]], minlength=len(n))
+                maybe = ~hit & in_bitmap(bits, key.view(np.int64) & mask)
+                rows.append(row[maybe])
+                rest.append(key[maybe])
+            yield low, n, local, np.concatenate(rows), np.concatenate(rest)
+
+    def whole(batches):
         for b in batches:
-            n, ppl = [], []
-            for text in b["text"].to_pylist():
-                code = grams(text) if text else ()
-                n.append(len(code))
-                ppl.append(float(np.exp(-ln[code].mean(dtype=np.float64))) if len(code) else None)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["lang"], pa.array(n, pa.int64()), pa.array(ppl, pa.float64())], names=["doc_id", "lang", "n_signs", "perplexity"])
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "doc_id bigint, lang string, n_signs bigint, perplexity double")
-
+            n, local = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            for low, m, s, _, _ in split(b):
+                n[low : low + len(m)] += m
+                local[low : low + len(m)] += s
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["lang"], b["tid"], pa.array(n), pa.array(local)], names=["doc_id", "lang", "tid", "n_words", "local"])
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 30) -> DataFrame:
-    """(doc_id, lang, n_signs, perplexity, threshold, kept) for every row of docs (doc_id, text, lang).
-
-    Trusted are all documents with quality 1 and not toxic on each of their rows of labels; the model is trained on all of them. For the thresholds they are
-    parted in two halves by a hash of the doc_id, and each half is scored by a model of the other one: a language's threshold is the quantile of these
-    perplexities. Languages with fewer than `least` trusted documents, and null ones, take the largest of the quantile of all and those of the languages that
-    have one. Without any trusted document all with a text are kept. Ties with the threshold are kept. Null and empty texts have no perplexity and are not
+    def asked(batches):
+        for b in batches:
+            tids = b["tid"].to_numpy()
+            for _, _, _, row, key in split(b):
+                order_ = np.lexsort((key, row))
+                row, key = row[order_], key[order_]
+                first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])))) if len(row) else np.zeros(0, np.int64)
+                c = np.diff(np.append(first, len(row)))
+                yield pa.RecordBatch.from_arrays([pa.array(tids[row[first]]), pa.array(key[first].view(np.int64)), pa.array(c.astype(np.int32))], names=["tid", "key", "c"])
+
+    fold = F.col("fold").cast("int")
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text", fold).alias("tid"), "text", fold.alias("fold"))
+    rows = source.mapInArrow(whole, "doc_id bigint, lang string, tid bigint, n_words bigint, local double")
+    found = source.select("tid", "text", "fold").mapInArrow(asked, "tid bigint, key bigint, c int").join(cold, "key")
+    found = found.groupBy("tid").agg(F.sum(F.col("c") * F.col("value").cast("double")).alias("joined"))
+    times = rows.groupBy("tid").agg(F.count("*").alias("times"))  # each row of a text has added its keys to the sum
+    found = found.join(times, "tid").select("tid", (F.col("joined") / F.col("times")).alias("joined"))
+    ln = F.col("local") + F.coalesce("joined", F.lit(0.0))
+    return rows.join(found, "tid", "left").select("doc_id", "lang", "n_words", F.when(F.col("n_words") > 0, F.exp(-ln / F.col("n_words"))).alias("perplexity"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 30, order: int = ORDER) -> DataFrame:
+    """(doc_id, lang, n_words, perplexity, threshold, kept) for every row of docs (doc_id, text, lang).
+
+    Trusted are all documents with quality 1 and not toxic on each of their rows of labels. All documents are parted in two folds by a hash of the doc_id,
+    and each fold is scored by the model of all trusted texts of the other one. A language's threshold is the quantile of its trusted documents'
+    perplexities. Languages with fewer than `least` trusted documents, and null ones, take the largest of the quantile of all and those of the languages
+    that have one. Without any trusted document all with a word are kept. Ties with the threshold are kept. Null and empty texts have no perplexity and are not
     kept. Repeated rows are judged each; other columns are ignored; an empty table gives an empty one.
     """
     good = labels.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null")
-    good = write_shared(good.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half")), "trusted")
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
+    good = write_shared(good.select("doc_id"), "trusted")
+    fold = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(FOLDS)).cast("int")
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").withColumn("fold", fold)
     present = id_filter(good, "doc_id")
     trusted = write_shared(source.filter(present(F.col("doc_id"))).join(good, "doc_id"), "trusted-texts")
-    counts = [write_shared(count(trusted.filter(F.col("half") == h)), "grams") for h in (0, 1)]
-    unseen = [perplexities(trusted.filter(F.col("half") == h), modelled(counts[1 - h])) for h in (0, 1)]
-    unseen = write_shared(unseen[0].union(unseen[1]).filter("perplexity is not null").select("lang", "perplexity"), "unseen")
-    model = modelled(write_shared(counts[0].union(counts[1]).groupBy("gram").agg(F.sum("c").alias("c")), "grams"))
+    models = [train(trusted.filter(F.col("fold") != i), order) for i in range(FOLDS)]
+    scores = write_shared(perplexities(source, models, order), "scores")
+    unseen = scores.filter("perplexity is not null").join(good, "doc_id")
     cuts = unseen.rollup("lang").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("threshold"), F.count("*").alias("n"), F.grouping("lang").alias("whole"))
     # a row for each language at most; the number is checked before they are sent to all
     cuts = write_shared(cuts.filter((F.col("whole") == 1) | (F.col("n") >= least) & F.col("lang").isNotNull()).select("lang", "threshold", "whole"), "cuts")
@@ -187,5 +260,4 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least:
     by_lang = cuts.filter("whole = 0").select("lang", "threshold")
     by_lang = F.broadcast(by_lang) if by_lang.count() <= MAX_LANGUAGES else by_lang
     threshold = F.coalesce("threshold", F.lit(overall if overall is not None else float("inf")))
-    scores = perplexities(source, model)
-    return scores.join(by_lang, "lang", "left").select("doc_id", "lang", "n_signs", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(False)).alias("kept"))
+    return scores.join(by_lang, "lang", "left").select("doc_id", "lang", "n_words", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(False)).alias("kept"))

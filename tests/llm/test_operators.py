@@ -479,19 +479,9 @@ def test_sentence_spans_catch_planted_passages(spark):
     assert sum(found[2 * k + 1] > 0 for k in range(40)) >= 38 and not any(found[2 * k] for k in range(40))
 
 
-def test_kneser_ney(spark):
-    texts = spark.createDataFrame([(r.text,) for r in small(spark).limit(80).collect()], "text string")
-    model = kneser_ney.train(texts)
-    ln = kneser_ney.dense(model)
-    mass = np.exp(ln.astype(float)).reshape(-1, kneser_ney.SIGNS).sum(axis=1)
-    assert np.allclose(mass, 1, atol=1e-3)  # every context's probabilities add up to one
-    counts = collections.Counter(g for r in texts.collect() for g in kneser_ney.grams(r.text).tolist())
-    assert {r.gram: r.c for r in kneser_ney.count(texts).collect()} == counts
-
-
 def kneser_ney_by_brute_force(texts, order):
-    """P(sign | context) of an interpolated modified Kneser-Ney model, from dictionaries of tuples."""
-    pad = lambda t: (1,) * (order - 1) + tuple(kneser_ney.signs(t).tolist())
+    """P(word | context) of an interpolated modified Kneser-Ney model, from dictionaries of tuples; tables[k] has the counts of order k."""
+    pad = lambda t: (0,) * (order - 1) + tuple(WORD.findall(lower(t)))
     counts = collections.Counter(g for t in texts for p in [pad(t)] for g in zip(*(p[i:] for i in range(order)), strict=False))
     tables = {order: counts}
     for k in range(order - 1, 0, -1):
@@ -509,29 +499,57 @@ def kneser_ney_by_brute_force(texts, order):
     def p(g):
         k = len(g)
         if not k:
-            return 1 / kneser_ney.SIGNS
-        lower = p(g[1:])
+            return 1 / (len(tables[1]) + 1)
+        shorter = p(g[1:])
         if not (total := totals[k][g[:-1]]):
-            return lower
+            return shorter
         d = discounts[k]
         gamma = sum(d[i] * m for i, m in kinds[k][g[:-1]].items()) / total
         c = tables[k][g]
-        return max(c - d[min(c, 3)], 0) / total + gamma * lower
+        return max(c - d[min(c, 3)], 0) / total + gamma * shorter
+
+    def perplexity(t):
+        words = pad(t)
+        n = len(words) - order + 1
+        return math.exp(-sum(math.log(p(words[i : i + order])) for i in range(n)) / n) if n else None
+
+    return p, tables, perplexity
 
-    return lambda t: math.exp(-sum(math.log(p(pad(t)[i : i + order])) for i in range(len(t))) / len(t))
+
+def test_kneser_ney_keys(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(-(1 << 62), 1 << 62, (2, 50))
+    rows = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "a bigint, b bigint").selectExpr("xxhash64(a, b) h", "xxhash64(a) k").collect()
+    assert [r.h for r in rows] == kneser_ney.keys(a.view(np.uint64), b.view(np.uint64)).view(np.int64).tolist()
+    assert [r.k for r in rows] == kneser_ney.keys(a.view(np.uint64)).view(np.int64).tolist()
 
 
-def test_perplexity_against_brute_force(spark):
+@pytest.mark.parametrize(("order", "most_hot"), [(2, 1 << 20), (2, 150), (3, 0)])
+def test_perplexity_against_brute_force(spark, order, most_hot):
     texts = [r.text for r in small(spark).limit(60).collect() if r.text]
-    expected = kneser_ney_by_brute_force(texts, kneser_ney.ORDER)
-    model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    asked = [*texts[:15], "жили-были старик со старухой", "いろはにほへと 散りぬるを", "q", "!!! ### 123", *(r.text for r in small(spark).filter("doc_id > 100").limit(15).collect() if r.text)]
-    found = kneser_ney.perplexities(frame(spark, list(enumerate(asked))), model).collect()
-    assert len(found) == len(asked)
+    p, tables, expected = kneser_ney_by_brute_force(texts, order)
+    known = [g[0] for g in tables[1]]
+    for context in [g[:-1] for g in list(tables[order])[::2000]]:  # every context's probabilities add up to one
+        assert sum(p((*context, w)) for w in [*known, None]) == pytest.approx(1)
+    learnt = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = kneser_ney.count(learnt, order).groupBy("c").count().collect()
+    assert {r["c"]: r["count"] for r in counts} == collections.Counter(tables[order].values())
+    model = kneser_ney.train(learnt, order)
+    asked = [*texts[:15], texts[0], texts[0].upper(), "жили-были старик со старухой", "q", "!!! ### 123", "word " * 50_000, "", None, " \n", *(r.text for r in small(spark).filter("doc_id > 100").limit(15).collect() if r.text)]
+    docs = frame(spark, list(enumerate(asked))).repartition(3)
+    other = kneser_ney.train(learnt.limit(5), order)
+    found = kneser_ney.perplexities(docs.selectExpr("*", "1 as fold"), [other, model], order, most_hot).collect()
+    assert sorted(r.doc_id for r in found) == list(range(len(asked)))
     for r in found:
-        assert r.perplexity == pytest.approx(expected(asked[r.doc_id]), rel=2e-4)
-    assert len(set(kneser_ney.signs("жили были старик").tolist())) > 6  # letters of any script are told apart
-    assert len(set(kneser_ney.signs("散りぬるを我が世誰ぞ").tolist())) > 5 and kneser_ney.signs("Ж")[0] == kneser_ney.signs("ж")[0]
+        n = len(WORD.findall(asked[r.doc_id] or ""))
+        assert r.n_words == n
+        assert r.perplexity is None if not n else r.perplexity == pytest.approx(expected(asked[r.doc_id]), rel=1e-4)
+
+
+def test_kneser_ney_without_trusted_text(spark):
+    model = kneser_ney.train(spark.createDataFrame([(None,), ("",)], "text string"))
+    assert model[1] == 0 and model[0].count() == 0
+    assert [r.perplexity for r in kneser_ney.perplexities(frame(spark, [(1, "a b"), (2, None)]).selectExpr("*", "0 as fold"), [model]).orderBy("doc_id").collect()] == [1, None]
 
 
 def test_classifier_on_held_out(spark):
