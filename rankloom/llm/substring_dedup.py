@@ -9,7 +9,8 @@ An anchor stands for the run of consecutive windows that choose it. The rounds:
 2. the span of all the anchor's windows (200 to 368 bytes), ranked within the name: where it occurs twice, all its windows repeat; one anchor of each such span goes on to stand for it, if the name has other spans.
 3. 200 bytes: the windows of the anchors that are left are ranked within the name, and those that are not unique repeat.
 
-Names are 64-bit hashes, compared within 64-bit classes. Each text takes part once, however many rows have it.
+Names are 64-bit hashes, compared within 64-bit classes. Each text takes part once, however many rows have it. Whether rows have one text is
+told by their SHA-256, so no two texts are taken for copies; their number in the rounds, tid, is a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -242,7 +243,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
     rows = write_shared(source.select("doc_id", "tid", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "rows")
-    chosen = rows.filter(F.col("n_bytes") >= length).groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    chosen = rows.filter(F.col("n_bytes") >= length).groupBy("tid", "sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     texts = source.filter(F.octet_length("text") >= length)
     marks = write_shared(_ranked_spans(texts.select("tid", "text"), length), "marks")
     windows = _ranked_windows(texts, chosen.select("tid", "doc_id"), marks.filter("kind > 1"), length)
@@ -252,7 +253,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 
     def remove(batches):
         for b in batches:
-            tids, removed, spans, shas, lists = [], [], [], [], []
+            tids, texts_, removed, spans, shas, lists = [], [], [], [], [], []
             for tid, text, ranges in zip(b["tid"].to_pylist(), b["text"], b["ranges"].to_pylist(), strict=True):
                 raw, kept, at, merged = memoryview(text.as_buffer()), hashlib.sha256(), 0, []
                 for r in ranges:
@@ -265,19 +266,20 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
                     at = stop
                 kept.update(raw[at:])
                 tids.append(tid)
+                texts_.append(hashlib.sha256(raw).hexdigest())
                 removed.append(sum(y - x for x, y in merged))
                 spans.append(len(merged))
                 shas.append(kept.hexdigest())
                 lists.append([{"start": x, "stop": y} for x, y in merged])
-            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string()), pa.array(lists, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], names=["tid", "n_removed", "n_spans", "kept_sha", "removed"])
+            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(texts_, pa.string()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string()), pa.array(lists, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], names=["tid", "sha", "n_removed", "n_spans", "kept_sha", "removed"])
 
-    shape = "tid bigint, n_removed bigint, n_spans bigint, kept_sha string, removed array<struct<start:int,stop:int>>"
-    partly = _texts_of(texts, chosen.select("tid", "doc_id"), ranges).select("tid", "text", "ranges").mapInArrow(remove, shape).dropDuplicates(["tid"])
+    shape = "tid bigint, sha string, n_removed bigint, n_spans bigint, kept_sha string, removed array<struct<start:int,stop:int>>"
+    partly = _texts_of(texts, chosen.select("tid", "doc_id"), ranges).select("tid", "text", "ranges").mapInArrow(remove, shape).dropDuplicates(["tid", "sha"])
     whole = F.col("copies") > 1
     nothing = hashlib.sha256(b"").hexdigest()
     return (
-        rows.join(chosen.filter("copies > 1").select("tid", "copies"), "tid", "left")
-        .join(partly, "tid", "left")
+        rows.join(chosen.filter("copies > 1").select("tid", "sha", "copies"), ["tid", "sha"], "left")
+        .join(partly, ["tid", "sha"], "left")
         .select(
             "doc_id", "n_bytes",
             F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
