@@ -26,6 +26,8 @@ from .common import id_filter, in_bitmap, key_bitmap, write_shared
 ORDER = 2
 #: Most keys whose values are broadcast (12 MB), whatever the size of the model.
 HOT = 1 << 20
+#: Most rows of a table of words or contexts that are broadcast in training, the most used first; the others are joined.
+MOST_USED = 1 << 19
 #: Languages whose thresholds are broadcast at most; with more, they are joined by language.
 MAX_LANGUAGES = 10_000
 #: N-grams of a task that are counted at once.
@@ -88,6 +90,8 @@ def count(texts: DataFrame, order: int = ORDER) -> DataFrame:
         def flush():
             words = [np.concatenate(x) for x in zip(*held, strict=True)]
             _, first, c = np.unique(keys(*words), return_index=True, return_counts=True)
+            order_ = np.argsort(words[0][first], kind="stable")  # equal words side by side take less in the shuffle's files
+            first, c = first[order_], c[order_]
             return pa.RecordBatch.from_arrays([*(pa.array(w[first].view(np.int64)) for w in words), pa.array(c)], names=[*names, "c"])
 
         for b in batches:
@@ -115,7 +119,33 @@ def _discount(d: list[float]) -> Column:
     return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
 
 
-def train(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
+def _heat(uses: Column) -> Column:
+    return F.floor(F.log2(uses) * 8).cast("int")
+
+
+def _hot(model: DataFrame, most: int) -> int:
+    """The lowest heat from which on the model has at most so many keys. There are some 500 heats, whatever its size."""
+    known, cut = 0, None
+    for heat, n in sorted(((r[0], r[1]) for r in model.groupBy(_heat(F.col("uses"))).count().collect()), reverse=True):
+        if known + n > most:
+            break
+        known, cut = known + n, heat
+    return cut if cut is not None else 1 << 20
+
+
+def _looked_up(rows: DataFrame, side: DataFrame, on: list[str], most: int) -> DataFrame:
+    """rows joined with side, which has one row for each value of on and how much it is used.
+
+    The most used rows of side, of a bounded number, are broadcast; only what they miss is shuffled, so no key is hot. rows is read twice.
+    """
+    cut = _hot(side, most)
+    heat, plain = _heat(F.col("uses")), side.drop("uses")
+    hot = F.broadcast(side.filter(heat >= cut).drop("uses"))
+    rest = rows.join(hot.select(*on), on, "left_anti")
+    return rows.join(hot, on).unionByName(rest.join(side.filter(heat < cut).select(*plain.columns), on))
+
+
+def train(texts: DataFrame, order: int = ORDER, most_used: int = MOST_USED) -> tuple[DataFrame, float]:
     """The model of (text) rows: a table (key, value, uses), written to the shared folder, and ln P of a word never seen.
 
     Of texts without any word, or no texts, the table is empty and ln P is 0.
@@ -129,18 +159,19 @@ def train(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
     d = discounts(counts[1])
     types, total, held = counts[1].agg(F.count("*"), F.sum("c"), F.sum(_discount(d))).first()
     unseen = held / total / (types + 1) if types else 1.0  # the lowest order: all words known, and one unknown, alike
-    p = counts[1].select("w1", "c", ((F.col("c") - _discount(d)) / F.lit(float(total or 1)) + F.lit(unseen)).alias("p"))
-    parts = [p.select(F.xxhash64("w1").alias("key"), F.log(F.col("p") / F.lit(unseen)).alias("value"), F.col("c").alias("uses"))]
+    p = counts[1].select("w1", F.col("c").alias("uses"), ((F.col("c") - _discount(d)) / F.lit(float(total or 1)) + F.lit(unseen)).alias("p"))
+    parts = [p.select(F.xxhash64("w1").alias("key"), F.log(F.col("p") / F.lit(unseen)).alias("value"), "uses")]
     for k in range(2, order + 1):
         d = discounts(counts[k])
         context = names[: k - 1]
         contexts = write_shared(counts[k].groupBy(*context).agg(F.sum("c").alias("total"), (F.sum(_discount(d)) / F.sum("c")).alias("gamma")), "contexts")
-        shorter = p.select(*(F.col(names[j - 1]).alias(names[j]) for j in range(1, k)), F.col("p").alias("q"))
-        rows = counts[k].join(contexts, context).join(shorter, names[1:k])
-        p = rows.select(*names[:k], "c", "gamma", "q", ((F.col("c") - _discount(d)) / F.col("total") + F.col("gamma") * F.col("q")).alias("p"))
+        shorter = p.select(*(F.col(names[j - 1]).alias(names[j]) for j in range(1, k)), F.col("p").alias("q"), "uses")
+        rows = _looked_up(counts[k], contexts.withColumn("uses", F.col("total")), context, most_used)
+        rows = _looked_up(rows, shorter, names[1:k], most_used)
+        p = rows.select(*names[:k], F.col("c").alias("uses"), "gamma", "q", ((F.col("c") - _discount(d)) / F.col("total") + F.col("gamma") * F.col("q")).alias("p"))
         if k < order:
             p = write_shared(p, "probabilities")
-        parts.append(p.select(F.xxhash64(*names[:k]), F.log(F.col("p") / F.col("gamma") / F.col("q")), "c"))
+        parts.append(p.select(F.xxhash64(*names[:k]), F.log(F.col("p") / F.col("gamma") / F.col("q")), "uses"))
         parts.append(contexts.select(F.xxhash64(F.lit(-1).cast("bigint"), *context), F.log("gamma"), "total"))
     model = parts[0]
     for part in parts[1:]:
@@ -148,20 +179,6 @@ def train(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
     return write_shared(model.select("key", F.col("value").cast("float").alias("value"), "uses"), "model"), float(np.log(unseen))
 
 
-def _heat(uses: Column) -> Column:
-    return F.floor(F.log2(uses) * 8).cast("int")
-
-
-def _hot(model: DataFrame, most: int) -> int:
-    """The lowest heat from which on the model has at most so many keys. There are some 500 heats, whatever its size."""
-    known, cut = 0, None
-    for heat, n in sorted(((r[0], r[1]) for r in model.groupBy(_heat(F.col("uses"))).count().collect()), reverse=True):
-        if known + n > most:
-            break
-        known, cut = known + n, heat
-    return cut if cut is not None else 1 << 20
-
-
 def _salt(fold: int) -> int:
     return int((np.array([fold], np.uint64) * APART).view(np.int64)[0])
 

@@ -534,7 +534,7 @@ def test_perplexity_against_brute_force(spark, order, most_hot):
     learnt = spark.createDataFrame([(t,) for t in texts], "text string")
     counts = kneser_ney.count(learnt, order).groupBy("c").count().collect()
     assert {r["c"]: r["count"] for r in counts} == collections.Counter(tables[order].values())
-    model = kneser_ney.train(learnt, order)
+    model = kneser_ney.train(learnt, order, most_used=most_hot)
     asked = [*texts[:15], texts[0], texts[0].upper(), "жили-были старик со старухой", "q", "!!! ### 123", "word " * 50_000, "", None, " \n", *(r.text for r in small(spark).filter("doc_id > 100").limit(15).collect() if r.text)]
     docs = frame(spark, list(enumerate(asked))).repartition(3)
     other = kneser_ney.train(learnt.limit(5), order)
