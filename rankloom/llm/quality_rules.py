@@ -22,6 +22,8 @@ from .common import write_shared
 GAP = r"[\x20\x09-\x0D]+"
 #: Up to so many repeated windows are found by membership.
 FEW = 48
+#: Values of the hashes that thin out the rows graded for the holdout; so many are broadcast at most (8 MB).
+SLOTS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -150,17 +152,33 @@ def stratum(risk: Risk) -> Column:
     return F.when(F.col("lang").isin(*risk.strata), F.col("lang")).otherwise(F.lit("other"))
 
 
+def _maybe_in(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in ids, and few or, past some SLOTS ids, many others: a semi-join by hashes of SLOTS values, so what is broadcast is bounded."""
+    slot = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(SLOTS))
+    return rows.withColumn("slot", slot).join(F.broadcast(ids.select(slot.alias("slot")).distinct()), "slot", "left_semi").drop("slot")
+
+
+def _graded(docs: DataFrame, risk: Risk, carry: bool = False) -> DataFrame:
+    """Base columns, stratum and first_step, which is null just where the base fails."""
+    return base_columns(docs, carry).withColumn("stratum", stratum(risk)).withColumn("first_step", F.when(~F.col("base_failed"), F.expr(risk.first_step())))
+
+
 def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), carry: bool = False) -> DataFrame:  # noqa: B008
     """Base columns of every row of docs (doc_id, text, lang), the struct `row` of all columns of docs if carry, and kept: false if base_failed, else whether no rule of its stratum rejects it.
 
     labels (doc_id, quality, toxic): documents with quality 1 and not toxic (on each of their rows) that pass the base are the
     holdout. Languages outside risk.strata and null ones share the stratum "other". Null or empty texts fail the base. Repeated rows are judged each by
     itself. Without labels only the base decides. Other columns of either table are ignored.
+
+    The holdout is graded first, by a scan of its own that writes numbers only. All rows are then graded and judged in one scan, so no text is
+    shuffled or written.
     """
-    base = write_shared(base_columns(docs, carry).withColumn("stratum", stratum(risk)).withColumn("first_step", F.when(~F.col("base_failed"), F.expr(risk.first_step()))), "base")
     trusted = labels.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
-    taken = steps_taken(base.filter("not base_failed").select("doc_id", "stratum", "text_id", "first_step").join(trusted, "doc_id", "left_semi"), risk)
+    maybe = _maybe_in(trusted, docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang"))
+    holdout = write_shared(_graded(maybe, risk).select("doc_id", "stratum", "text_id", "first_step"), "holdout")
+    taken = write_shared(steps_taken(holdout.filter("first_step is not null").join(trusted, "doc_id", "left_semi"), risk), "taken")
     # at most len(risk.strata) + 1 rows are broadcast
-    rows = base.join(F.broadcast(taken), "stratum", "left")
-    kept = ~F.col("base_failed") & (F.coalesce("first_step", F.lit(0)) >= F.coalesce("taken", F.lit(0)))
+    rows = _graded(docs, risk, carry).join(F.broadcast(taken), "stratum", "left")
+    # one comparison of both sides: a test of base_failed alone would be pushed down and evaluated twice
+    kept = F.coalesce("first_step", F.lit(-1)) >= F.coalesce("taken", F.lit(0))
     return rows.select("doc_id", *["row"] * carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
