@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 
 #: Bits of the largest id bitmap that is ever broadcast (8 MB); past it the bitmap only lets more rows through.
 MAX_FILTER_BITS = 1 << 26
+#: Bytes of texts that a task hands to Python at once, or one longer row: the executor holds a batch several times over, outside the heap.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of an Arrow batch to BATCH_BYTES; a lower one stays."""
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -35,12 +44,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def write_shared(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: later stages don't depend on earlier shuffles."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
