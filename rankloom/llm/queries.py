@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_density, kneser_ney, oracles, packing, quality_rules, secrets, sentence_spans, set_join, substring_dedup, warc_archive
+from . import decontamination, html_density, kneser_ney, merkle, oracles, packing, prefix_trie, quality_rules, secrets, sentence_spans, set_join, substring_dedup, url_templates, warc_archive
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,10 +52,30 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_packing, op2_html_density, op3_jaccard_join, op4_kneser_ney, op5_decontamination, op6_sentence_spans, op7_quality_rules, op8_secret_scan, op9_warc, op10_substring_dedup)
+    found = (
+        op1_packing, op2_html_density, op3_jaccard_join, op4_kneser_ney, op5_decontamination, op6_sentence_spans, op7_quality_rules, op8_secret_scan, op9_warc, op10_substring_dedup,
+        op11_prefix_trie, op12_merkle_manifest, op13_url_filters,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": oracles.quality_rules_sql()}
+    return {
+        "op7_quality_rules": oracles.quality_rules_sql(),
+        "op11_prefix_trie": oracles.prefix_trie_sql(),
+        "op12_merkle_manifest": oracles.merkle_sql(),
+        "op13_url_filters": oracles.url_filters_sql(),
+    }
