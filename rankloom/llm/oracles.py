@@ -120,4 +120,4 @@ hs as (select host, sum(labelled)::double as l, sum(bad)::double as b from a gro
 t0 as (select host, segs, pages, labelled, bad, '' as node, (hs.b + {U.WEIGHT}::double * overall) / (hs.l + {U.WEIGHT}::double) as share from a join hs using (host) cross join g),
 {",".join(ctes)},
 j as (select page_id, host, path, case {" ".join(fits)} end as rule, node, share from u join t{levels} using (host, segs))
-select page_id, host, path, rule, coalesce(case rule {" ".join(verdict)} end, case when share >= {U.REJECT}::double then 'block' else 'allow' end) as verdict, node as template from j"""
+select page_id, host, path, rule, coalesce(case rule {" ".join(verdict)} end, case when share > {U.REJECT}::double then 'block' else 'allow' end) as verdict, node as template from j"""

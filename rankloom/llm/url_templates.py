@@ -3,7 +3,7 @@
 Runs of digits and long hexadecimal runs in a segment become #. Then the tree grows a level at a time, from each host's root down: under each node a
 branch stays by itself only if it has enough pages and its labelled pages differ from its siblings' by a chi-squared test; all others are merged into
 the wildcard *. So what varies from page to page, and what differs without a difference in labels, is one template. A node's share of bad pages is
-smoothed towards its parent's, the host's towards that of all pages; templates whose share reaches the threshold are rejected.
+smoothed towards its parent's, the host's towards that of all pages; templates whose share is above the threshold are rejected.
 
 Everything is counted over all pages. The tables of the tree have a row for each different (host, segments), pre-aggregated in the scan.
 """
@@ -23,7 +23,7 @@ DEPTH = 6
 SUPPORT = 20
 #: Chi-squared value (one degree of freedom, 1 %) from which a branch differs from its siblings.
 DIFFERENT = 6.634897
-#: Labelled pages that the parent's share counts as, and the share of bad ones from which a template is rejected.
+#: Labelled pages that the parent's share counts as, and the share of bad ones above which a template is rejected; without any label all stay at 0.5.
 WEIGHT = 4.0
 REJECT = 0.5
 #: What ends a template whose pages end there, and one whose pages go on below the tree. No segment is empty or has a slash.
@@ -108,4 +108,4 @@ def judge(pages: DataFrame, labels: DataFrame, rules: dict[str, str] | None = No
     for r, v in rules.items():
         fixed = F.when(F.col("rule") == r, F.lit(v)).otherwise(fixed)
     found = urls.join(tree, ["host", "segs"]).withColumn("rule", rule)
-    return found.select("page_id", "host", "path", "rule", F.coalesce(fixed, F.when(F.col("share") >= REJECT, "block").otherwise("allow")).alias("verdict"), F.col("node").alias("template"))
+    return found.select("page_id", "host", "path", "rule", F.coalesce(fixed, F.when(F.col("share") > REJECT, "block").otherwise("allow")).alias("verdict"), F.col("node").alias("template"))
