@@ -103,9 +103,10 @@ def url_filters_sql(levels: int = U.DEPTH + 1) -> str:
 h{k} as (select *, segs[{k + 1}] as seg from t{k} where len(segs) > {k}),
 b{k} as (select host, node, seg, sum(pages) as n, sum(labelled)::double as l, sum(bad)::double as b from h{k} group by all),
 w{k} as (select *, sum(l) over (partition by host, node) as tl, sum(b) over (partition by host, node) as tb from b{k}),
-c{k} as (select host, node, seg, l, b, case when seg in ('{U.END}', '{U.DEEPER}') or (n >= {U.SUPPORT} and l * (tl - l) * tb * (tl - tb) > 0
- and (b * (tl - l) - (tb - b) * l) * (b * (tl - l) - (tb - b) * l) * tl / (l * (tl - l) * tb * (tl - tb)) >= {U.DIFFERENT}::double) then seg else '*' end as name from w{k}),
-n{k} as (select host, node, seg, name, sum(l) over (partition by host, node, name) as l, sum(b) over (partition by host, node, name) as b from c{k}),
+x{k} as (select *, n >= {U.SUPPORT} and l * (tl - l) * tb * (tl - tb) > 0 and (b * (tl - l) - (tb - b) * l) * (b * (tl - l) - (tb - b) * l) * tl / (l * (tl - l) * tb * (tl - tb)) >= {U.DIFFERENT}::double as far from w{k}),
+c{k} as (select host, node, seg, l, b, case when seg in ('{U.END}', '{U.DEEPER}') then '=' || seg when far and b * (tl - l) > (tb - b) * l then '+' when far then '-' else '' end as kind from x{k}),
+m{k} as (select host, node, seg, kind, sum(l) over q as l, sum(b) over q as b, count(*) over q as branches, min(seg) over q as one from c{k} window q as (partition by host, node, kind)),
+n{k} as (select *, case when starts_with(kind, '=') or (kind in ('+', '-') and branches = 1 and not starts_with(one, '*')) then one else '*' || kind end as name from m{k}),
 t{k + 1} as (select host, segs, pages, labelled, bad, node || '/' || name as node, (n{k}.b + {U.WEIGHT}::double * share) / (n{k}.l + {U.WEIGHT}::double) as share from h{k} join n{k} using (host, node, seg)
  union all select * from t{k} where len(segs) <= {k})""")
     return f"""

@@ -1,8 +1,8 @@
 """URL filters: fixed rules on hosts and paths, and for all other urls a tree of path templates for each host.
 
-Runs of digits and long hexadecimal runs in a segment become #. Then the tree grows a level at a time, from each host's root down: under each node a
-branch stays by itself only if it has enough pages and its labelled pages differ from its siblings' by a chi-squared test; all others are merged into
-the wildcard *. So what varies from page to page, and what differs without a difference in labels, is one template. A node's share of bad pages is
+Runs of digits and long hexadecimal runs in a segment become #. Then the tree grows a level at a time, from each host's root down: under each node the
+branches with more bad pages than their siblings by a chi-squared test are merged into one wildcard *+ (a single one keeps its name), those with fewer into *-, and all others, rare
+ones among them, into *. So what varies from page to page, and what differs without a difference in labels, is one template. A node's share of bad pages is
 smoothed towards its parent's, the host's towards that of all pages; templates whose share is above the threshold are rejected.
 
 Everything is counted over all pages. The tables of the tree have a row for each different (host, segments), pre-aggregated in the scan.
@@ -67,11 +67,14 @@ def _grown(rows: DataFrame, level: int) -> DataFrame:
     cross = b * (tl - l) - (tb - b) * l
     below = l * (tl - l) * tb * (tl - tb)
     differs = F.when(below > 0, cross * cross * tl / below >= DIFFERENT).otherwise(False)
-    end = F.col("seg").isin(END, DEEPER)
-    decided = branch.join(total, ["host", "node"]).select("host", "node", "seg", F.when(end | ((F.col("n") >= SUPPORT) & differs), F.col("seg")).otherwise(F.lit("*")).alias("name"), "l", "b")
-    stats = decided.groupBy("host", "node", "name").agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
-    names = decided.select("host", "node", "seg", "name").join(stats, ["host", "node", "name"])
-    moved = here.join(names, ["host", "node", "seg"]).select(
+    end, differs = F.col("seg").isin(END, DEEPER), (F.col("n") >= SUPPORT) & differs
+    kind = F.when(end, F.concat(F.lit("="), "seg")).when(differs & (cross > 0), "+").when(differs, "-").otherwise("")
+    decided = branch.join(total, ["host", "node"]).select("host", "node", "seg", kind.alias("kind"), "l", "b")
+    stats = decided.groupBy("host", "node", "kind").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.count("*").alias("branches"), F.min("seg").alias("one"))
+    alone = F.col("kind").isin("+", "-") & (F.col("branches") == 1) & ~F.startswith("one", F.lit("*"))
+    name = F.when(F.startswith("kind", F.lit("=")) | alone, F.col("one")).otherwise(F.concat(F.lit("*"), "kind"))
+    names = decided.select("host", "node", "seg", "kind").join(stats.withColumn("name", name), ["host", "node", "kind"])
+    moved = here.join(names.select("host", "node", "seg", "name", "l", "b"), ["host", "node", "seg"]).select(
         "host", "segs", "pages", "labelled", "bad", F.concat("node", F.lit("/"), "name").alias("node"), ((F.col("b") + WEIGHT * F.col("share")) / (F.col("l") + WEIGHT)).alias("share")
     )
     return moved.union(rows.filter(F.size("segs") <= level))
