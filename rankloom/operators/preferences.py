@@ -2,14 +2,21 @@
 
 Documents that are judged anywhere in the topic get dense places: retrieved ones by rank, from 0, then the others by docno. A group with
 one sub-group holds equivalence classes of levels; one with several holds a partial order, which is closed transitively.
+
+Preferences hold between classes of documents, so the closure is one of classes, and measures come from counts of inversions: a running count by class over
+the places, not from pairs of documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranked import rank_run
+from .shared import stored
 
 
 def places(run: DataFrame, prefs: DataFrame) -> DataFrame:
@@ -21,39 +28,100 @@ def places(run: DataFrame, prefs: DataFrame) -> DataFrame:
     return rows.select("qid", "docno", (F.row_number().over(w.orderBy(F.asc_nulls_last("rank"), "docno")) - 1).alias("place"), F.count("rank").over(w).alias("k"))
 
 
-def edges(prefs: DataFrame, max_rounds: int = 32) -> DataFrame:
-    """(qid, jg, better, worse) of every group: level by level within a sub-group, then closed over sub-groups.
+def judged(prefs: DataFrame) -> DataFrame:
+    """(qid, jg, docno, cls, levels, level, subs): a row for each document of a group. cls names its class, the documents with the same levels in the same sub-groups, which no
+    preference tells apart; subs is the group's number of sub-groups. Two levels in one sub-group are an error."""
+    levels = F.sort_array(F.collect_set(F.struct("jsg", "level")))
+    docs = prefs.groupBy("qid", "jg", "docno").agg(levels.alias("levels"), F.countDistinct("jsg").alias("own"), F.max("level").alias("level"))
+    twice = F.raise_error(F.concat(F.lit("two levels in one sub-group: "), "docno")).cast("string")
+    docs = docs.withColumn("cls", F.when(F.size("levels") > F.col("own"), twice).otherwise(F.to_json("levels"))).drop("own")
+    return docs.join(prefs.groupBy("qid", "jg").agg(F.countDistinct("jsg").alias("subs")), ["qid", "jg"])
+
 
-    A cycle is an error. Closing doubles path lengths in each round, so it takes as many rounds as the longest chain has binary digits.
+def relation(docs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(qid, jg, better, worse) over classes of judged documents: level by level within a sub-group, then closed over sub-groups. A cycle is an error.
+
+    The closure is semi-naive: each round extends only the pairs that the round before found, by one direct preference. Rounds are cut by tables in the shared folder.
     """
-    a, b = prefs.alias("a"), prefs.alias("b")
+    classes = docs.select("qid", "jg", "cls", "levels", "subs").distinct().select("qid", "jg", "cls", "subs", F.inline("levels"))
+    a, b = classes.alias("a"), classes.alias("b")
     on = (F.col("a.qid") == F.col("b.qid")) & (F.col("a.jg") == F.col("b.jg")) & (F.col("a.jsg") == F.col("b.jsg")) & (F.col("a.level") > F.col("b.level"))
-    direct = a.join(b, on).select("a.qid", "a.jg", F.col("a.docno").alias("better"), F.col("b.docno").alias("worse")).distinct()
-    several = prefs.groupBy("qid", "jg").agg(F.countDistinct("jsg").alias("n")).filter("n > 1").select("qid", "jg")
-    simple, closed = direct.join(several, ["qid", "jg"], "left_anti"), direct.join(several, ["qid", "jg"], "left_semi").persist()
-    n, held = closed.count(), closed
-    for _ in range(max_rounds if n else 0):
-        step = closed.select("qid", "jg", "better", F.col("worse").alias("mid")).join(closed.select("qid", "jg", F.col("better").alias("mid"), "worse"), ["qid", "jg", "mid"])
-        closed = closed.union(step.select("qid", "jg", "better", "worse")).distinct().persist()
-        before, n = n, closed.count()
-        held.unpersist()
-        held = closed
-        if n == before:
+    direct = a.join(b, on).select("a.qid", "a.jg", F.col("a.cls").alias("better"), F.col("b.cls").alias("worse"), "a.subs").distinct()
+    direct = stored(direct, "preferences")
+    simple, several = direct.filter("subs = 1").drop("subs"), direct.filter("subs > 1").drop("subs")
+    keys, known, new = ["qid", "jg", "better", "worse"], several, several
+    onward = several.select("qid", "jg", F.col("better").alias("mid"), F.col("worse").alias("next"))
+    for _ in range(max_rounds):
+        found = new.withColumnRenamed("worse", "mid").join(onward, ["qid", "jg", "mid"]).select("qid", "jg", "better", F.col("next").alias("worse")).distinct()
+        new = stored(found.join(known, keys, "left_anti"), "preferences-delta")
+        if new.isEmpty():
             break
-    if n and not closed.filter("better = worse").isEmpty():
-        raise ValueError("preferences contradict each other: a document is preferred to itself")
-    return simple.union(closed)
-
-
-def areas(run: DataFrame, prefs: DataFrame) -> DataFrame:
-    """edges with ful and area: ret (both retrieved), imp (one retrieved) or none, and both places."""
-    p = places(run, prefs)
-    better = p.select("qid", F.col("docno").alias("better"), F.col("place").alias("i"), "k")
-    worse = p.select("qid", F.col("docno").alias("worse"), F.col("place").alias("j"))
-    rows = edges(prefs).join(better, ["qid", "better"]).join(worse, ["qid", "worse"])
-    low, high = F.least("i", "j"), F.greatest("i", "j")
-    area = F.when(high < F.col("k"), "ret").when(low < F.col("k"), "imp").otherwise("none")
-    return rows.withColumn("area", area).withColumn("ful", ((F.col("i") < F.col("j")) & (F.col("i") < F.col("k"))).cast("int"))
+        known = known.unionByName(new)
+        if not new.filter("better = worse").isEmpty():
+            raise ValueError("preferences contradict each other: a document is preferred to itself")
+    return simple.unionByName(known)
+
+
+def edges(prefs: DataFrame) -> DataFrame:
+    """(qid, jg, better, worse) of the documents of every group, by their classes. The measures don't need these pairs."""
+    docs = judged(prefs)
+    pairs = relation(docs)
+    better = docs.select("qid", "jg", F.col("cls").alias("better"), F.col("docno").alias("x"))
+    worse = docs.select("qid", "jg", F.col("cls").alias("worse"), F.col("docno").alias("y"))
+    return pairs.join(better, ["qid", "jg", "better"]).join(worse, ["qid", "jg", "worse"]).select("qid", "jg", F.col("x").alias("better"), F.col("y").alias("worse"))
+
+
+def _inversions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(qid, jg, a, b, n): how many pairs of a group's documents, which come in the order of places, have one of kind a before one of kind b. What is held is a count for each kind and each pair of kinds."""
+    names, held, seen, pairs, out = ["qid", "jg", "a", "b", "n"], None, {}, {}, []
+
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(*(b[c].to_pylist() for c in ("qid", "jg", "kind")), strict=True)
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in list(zip(*out, strict=True))[:4]), pa.array([r[4] for r in out], pa.int64())], names=names)
+
+    for qid, jg, kind in rows():
+        if held != (qid, jg):
+            if held is not None:
+                out.extend((*held, *ab, n) for ab, n in pairs.items())
+                if len(out) >= 20_000:
+                    yield batch()
+                    out = []
+            held, seen, pairs = (qid, jg), {}, {}
+        for other, n in seen.items():
+            if other != kind:
+                pairs[other, kind] = pairs.get((other, kind), 0) + n
+        seen[kind] = seen.get(kind, 0) + 1
+    if held is not None:
+        out.extend((*held, *ab, n) for ab, n in pairs.items())
+    if out:
+        yield batch()
+
+
+def pair_counts(docs: DataFrame, pairs: DataFrame, kind: str = "cls") -> DataFrame:
+    """(qid, jg, a, b, area, n, ful): how many pairs of documents of kinds a and b their group prefers one of, and whether the order of places has it so (1 or 0).
+
+    docs has (qid, jg, cls, place, k) and kind, which decides cls; pairs is the relation of the classes. area is ret (both retrieved; a stands before b), imp (a is, b isn't) or none.
+    No pair of documents is made: retrieved ones are counted in the order of places against what came before by kind, the others by the sizes of kinds.
+    """
+    rows = docs.select("qid", "jg", F.col(kind).alias("kind"), "cls", "place", (F.col("place") < F.col("k")).alias("seen"))
+    shape = f"qid {dict(docs.dtypes)['qid']}, jg {dict(docs.dtypes)['jg']}, a string, b string, n bigint"
+    ret = rows.filter("seen").select("qid", "jg", "kind", "place").repartition("qid", "jg").sortWithinPartitions("qid", "jg", "place").select("qid", "jg", "kind").mapInArrow(_inversions, shape)
+    sizes = rows.groupBy("qid", "jg", "kind").agg(F.min("cls").alias("cls"), F.count_if("seen").alias("ret"), F.count_if(~F.col("seen")).alias("rest"))
+    a = sizes.select("qid", "jg", F.col("kind").alias("a"), F.col("cls").alias("ca"), F.col("ret").alias("ret_a"), F.col("rest").alias("rest_a"))
+    b = sizes.select("qid", "jg", F.col("kind").alias("b"), F.col("cls").alias("cb"), F.col("rest").alias("rest_b"))
+    both = a.join(b.filter("rest_b > 0"), ["qid", "jg"]).filter("a <> b")
+    other = both.select("qid", "jg", "a", "b", "ca", "cb", F.inline(F.array(F.struct(F.lit("imp").alias("area"), (F.col("ret_a") * F.col("rest_b")).alias("n")), F.struct(F.lit("none").alias("area"), F.when(F.col("a") < F.col("b"), F.col("rest_a") * F.col("rest_b")).otherwise(0).alias("n")))))
+    ret = ret.withColumn("area", F.lit("ret"))
+    if kind == "cls":
+        ret = ret.withColumns({"ca": F.col("a"), "cb": F.col("b")})
+    else:
+        ret = ret.join(a.select("qid", "jg", "a", "ca"), ["qid", "jg", "a"]).join(b.select("qid", "jg", "b", "cb"), ["qid", "jg", "b"])
+    counts = ret.unionByName(other).filter("n > 0")
+    ordered = pairs.select("qid", "jg", F.inline(F.array(F.struct(F.col("better").alias("ca"), F.col("worse").alias("cb"), F.lit(1).alias("first")), F.struct(F.col("worse").alias("ca"), F.col("better").alias("cb"), F.lit(0).alias("first")))))
+    return counts.join(ordered, ["qid", "jg", "ca", "cb"]).select("qid", "jg", "a", "b", "area", "n", F.when(F.col("area") == "none", 0).otherwise(F.col("first")).alias("ful"))
 
 
 _IN = {"": "true", "_ret": "area = 'ret'", "_imp": "area <> 'none'"}
@@ -63,52 +131,63 @@ def _ratio(x: str, y: str) -> str:
     return f"coalesce({x} / nullif(cast({y} as double), 0), 0)"
 
 
+def _count(condition: str, what: str = "n") -> str:
+    return f"coalesce(sum(case when {condition} then {what} end), 0)"
+
+
 def preference_measures(run: DataFrame, prefs: DataFrame) -> DataFrame:
     """(qid, prefs_num_prefs_*, prefs_simp*, prefs_avgjg*, prefs_pair*) of the topics in both inputs."""
-    rows = areas(run, prefs).persist()
+    docs = judged(prefs).join(places(run, prefs), ["qid", "docno"])
+    # documents that all groups of the topic put into the same classes are of one kind
+    kinds = docs.groupBy("qid", "docno").agg(F.to_json(F.sort_array(F.collect_list(F.struct("jg", "cls")))).alias("kind"))
+    docs = stored(docs.join(kinds, ["qid", "docno"]).drop("level", "docno"), "preference-classes")
+    rows = stored(pair_counts(docs, relation(docs), "kind"), "preference-counts")
     groups = prefs.join(run.select("qid").distinct(), "qid", "left_semi").groupBy("qid").agg(F.countDistinct("jg").alias("jgs"))
-    total = [F.expr(f"count(*) as prefs_num_prefs_poss"), F.expr("sum(case when area <> 'none' then ful else 0 end) as prefs_num_prefs_ful"), F.expr("sum(case when area = 'ret' then ful else 0 end) as prefs_num_prefs_ful_ret")]
-    simp = [F.expr(f"{_ratio(f'sum(case when {c} then ful end)', f'count(case when {c} then 1 end)')} as prefs_simp{s}") for s, c in _IN.items()]
-    per_group = rows.groupBy("qid", "jg").agg(*(F.expr(f"{_ratio(f'sum(case when {c} then ful end)', f'count(case when {c} then 1 end)')} as r{s}") for s, c in _IN.items()))
+    total = [F.expr("sum(n) as prefs_num_prefs_poss"), F.expr("sum(n * ful) as prefs_num_prefs_ful"), F.expr(f"{_count('area = \'ret\'', 'n * ful')} as prefs_num_prefs_ful_ret")]
+    simp = [F.expr(f"{_ratio(_count(c, 'n * ful'), _count(c))} as prefs_simp{s}") for s, c in _IN.items()]
+    per_group = rows.groupBy("qid", "jg").agg(*(F.expr(f"{_ratio(_count(c, 'n * ful'), _count(c))} as r{s}") for s, c in _IN.items()))
     avgjg = per_group.groupBy("qid").agg(*(F.sum(f"r{s}").alias(f"g{s}") for s in _IN))
-    pair = rows.groupBy("qid", F.least("better", "worse").alias("x"), F.greatest("better", "worse").alias("y"), "area").agg((F.sum("ful") / F.count("*")).alias("share"))
-    pairs = pair.groupBy("qid").agg(*(F.expr(f"{_ratio(f'sum(case when {c} then share end)', f'count(case when {c} then 1 end)')} as prefs_pair{s}") for s, c in _IN.items()))
+    pair = rows.groupBy("qid", "a", "b", "area").agg(F.max("n").alias("n"), (F.max("n") * F.sum("ful") / F.count("*")).alias("share"))
+    pairs = pair.groupBy("qid").agg(*(F.expr(f"{_ratio(_count(c, 'share'), _count(c))} as prefs_pair{s}") for s, c in _IN.items()))
     out = groups.join(rows.groupBy("qid").agg(*total, *simp), "qid", "left").join(avgjg, "qid", "left").join(pairs, "qid", "left")
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in (f"prefs_num_prefs_{x}" for x in ("poss", "ful", "ful_ret"))]
     shares = [F.coalesce(c, F.lit(0.0)).alias(c) for c in (*(f"prefs_simp{s}" for s in _IN), *(f"prefs_pair{s}" for s in _IN))]
     return out.select("qid", *counts, *shares, *((F.coalesce(f"g{s}", F.lit(0.0)) / F.col("jgs")).alias(f"prefs_avgjg{s}") for s in _IN))
 
 
-def balanced(run: DataFrame, prefs: DataFrame, retrieved: bool = False, pairs: DataFrame | None = None) -> DataFrame:
+def placed(run: DataFrame, prefs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Judged documents with their places, and the relation of their classes, as stored tables."""
+    docs = stored(judged(prefs).join(places(run, prefs), ["qid", "docno"]), "preference-classes")
+    return docs, relation(docs)
+
+
+def balanced(run: DataFrame, prefs: DataFrame, retrieved: bool = False, given: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(qid, prefs_avgjg_Rnonrel): per group as if it had as many non-relevant documents as relevant ones, R; with retrieved, (qid, prefs_avgjg_Rnonrel_ret), where only
     retrieved documents count on either side.
 
     With R or fewer non-relevant ones, the missing count as fulfilled for every retrieved relevant document. With more, only the first R by place count;
     in groups of equivalence classes each document of the group, the non-relevant ones and themselves included, is then set against these. (Groups with a partial
-    order take the first as many as the group has relevant ones, retrieved or not.) pairs: areas(run, prefs), where they are at hand.
+    order take the first as many as the group has relevant ones, retrieved or not.) given: placed(run, prefs), where they are at hand.
     """
-    p = places(run, prefs)
-    docs = prefs.groupBy("qid", "jg", "docno").agg(F.max("level").alias("level")).join(p, ["qid", "docno"])
-    shape = prefs.groupBy("qid", "jg").agg(F.countDistinct("jsg").alias("subs"))
-    ordinal = F.row_number().over(Window.partitionBy("qid", "jg", (F.col("level") > 0)).orderBy("place"))
-    docs = docs.withColumn("ordinal", F.when(F.col("level") <= 0, ordinal))
+    docs, order = placed(run, prefs) if given is None else given
     seen = F.col("place") < F.col("k")
-    counted_docs = seen if retrieved else F.lit(True)
-    stats = docs.groupBy("qid", "jg").agg(
-        F.count_if(F.col("level") > 0).alias("every"), F.count_if((F.col("level") > 0) & counted_docs).alias("r"), F.count_if((F.col("level") <= 0) & counted_docs).alias("n"), F.count_if((F.col("level") > 0) & seen).alias("rret")
-    ).join(shape, ["qid", "jg"])
-    pairs = areas(run, prefs) if pairs is None else pairs
-    rows = (pairs.filter("area = 'ret'") if retrieved else pairs).join(stats, ["qid", "jg"])
-    at = docs.select("qid", "jg", F.col("docno").alias("worse"), "level", "ordinal")
-    up = docs.select("qid", "jg", F.col("docno").alias("better"), F.col("ordinal").alias("up"))
-    rows = rows.join(at, ["qid", "jg", "worse"]).join(up, ["qid", "jg", "better"])
+    counted = seen if retrieved else F.lit(True)
+    relevant = F.col("level") > 0
+    by_place = Window.partitionBy("qid", "jg", relevant).orderBy("place")
+    docs = docs.withColumn("ordinal", F.when(~relevant, F.row_number().over(by_place)))
+    stats = docs.groupBy("qid", "jg", "subs").agg(
+        F.count_if(relevant).alias("every"), F.count_if(relevant & counted).alias("r"), F.count_if(~relevant & counted).alias("n"), F.count_if(relevant & seen).alias("rret"), F.count_if(counted).alias("size"), F.count_if(seen).alias("sret")
+    )
+    rows = docs.join(stats.drop("subs"), ["qid", "jg"])
     enough, classes = F.col("r") >= F.col("n"), F.col("subs") == 1
-    kept = enough | (classes & (F.col("level") > 0)) | (~classes & (F.coalesce("ordinal", F.lit(0)) <= F.col("every")) & (F.coalesce("up", F.lit(0)) <= F.col("every")))
-    counted = rows.filter(kept).select("qid", "jg", F.when(enough, (F.col("area") != "none").cast("int") * F.col("ful")).otherwise(F.col("ful")).alias("ful"))
-    x = docs.filter(counted_docs).alias("x").join(stats, ["qid", "jg"]).filter("r < n and subs = 1").select("qid", "jg", "r", "k", F.col("place").alias("i"))
-    y = docs.filter(counted_docs).filter("level <= 0").select("qid", "jg", F.col("place").alias("j"), F.col("ordinal").alias("o"))
-    against = x.join(y, ["qid", "jg"]).filter("o <= r").select("qid", "jg", ((F.col("i") < F.col("j")) & (F.col("i") < F.col("k"))).cast("int").alias("ful"))
-    sums = counted.union(against).groupBy("qid", "jg").agg(F.sum("ful").alias("ful"), F.count("*").alias("poss"))
+    kept = rows.filter(enough | (classes & relevant) | (~classes & (F.coalesce("ordinal", F.lit(0)) <= F.col("every"))))
+    counts = pair_counts((kept.filter(seen) if retrieved else kept).select("qid", "jg", "cls", "place", "k"), order)
+    sums = counts.groupBy("qid", "jg").agg(F.sum(F.col("n") * F.col("ful")).alias("ful"), F.sum("n").alias("poss"))
+    # each document of the group against the first r non-relevant ones: before one stand as many as its number in the group says, of the retrieved ones at most
+    number = F.row_number().over(Window.partitionBy("qid", "jg").orderBy("place")) - 1
+    first = rows.filter(counted).withColumn("before", F.least(number, F.col("sret"))).filter(~enough & classes & ~relevant & (F.col("ordinal") <= F.col("r")))
+    against = first.groupBy("qid", "jg").agg(F.sum("before").alias("ful"), F.sum("size").alias("poss"))
+    sums = sums.unionByName(against).groupBy("qid", "jg").agg(F.sum("ful").alias("ful"), F.sum("poss").alias("poss"))
     missing = F.col("r") - F.col("n")
     per = stats.join(sums, ["qid", "jg"], "left").select(
         "qid", (F.coalesce("ful", F.lit(0)) + F.when(enough, F.col("rret") * missing).otherwise(0)).alias("ful"), (F.coalesce("poss", F.lit(0)) + F.when(enough, F.col("every") * missing).otherwise(0)).alias("poss")

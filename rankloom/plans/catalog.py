@@ -297,8 +297,8 @@ def _preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("preferences_balanced")
 def _balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     run, prefs = view(spark, sf_dir, "prun"), view(spark, sf_dir, "prefs")
-    pairs = preferences.areas(run, prefs).persist()
-    return rounded(preferences.balanced(run, prefs, pairs=pairs).join(preferences.balanced(run, prefs, retrieved=True, pairs=pairs), "qid"), "qid")
+    given = preferences.placed(run, prefs)
+    return rounded(preferences.balanced(run, prefs, given=given).join(preferences.balanced(run, prefs, retrieved=True, given=given), "qid"), "qid")
 
 
 # --- experiment analytics ------------------------------------------------------------------------------------------------------
