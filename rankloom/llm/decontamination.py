@@ -2,7 +2,8 @@
 
 Items are the indexed documents, in blocks of similar ids; for each term the index keeps its impact in each item and the largest impact in each block
 that has it, both as sorted (term, item) and (term, block) keys. Impacts are divided by the item's score against itself, so one threshold fits all items.
-Passages are overlapping windows of each text, long enough that an item fits into one whole. Retrieval is block-max WAND: a passage's terms are ordered by
+Passages are overlapping windows of each text, long enough that an item fits into one whole. Items are indexed in classes of length, each with windows of its own
+width, so what is found of an item depends neither on the other items nor on how they are sharded. Retrieval is block-max WAND: a passage's terms are ordered by
 their largest impact anywhere; up to the pivot they can't reach the threshold together, so only blocks with a term from the pivot on are looked at. Of
 these the sum of block maxima bounds the score of any item inside, blocks under the threshold are skipped, and the items of the others are scored. All items
 above the threshold are retrieved; each is then verified by the share of its question's and its answer's word n-grams that the passage holds.
@@ -27,9 +28,10 @@ K1, B = 1.2, 0.75
 BLOCK = 8
 #: Bytes of an index that is broadcast at once; a larger benchmark is indexed in shards of that size, one after another.
 INDEX_BYTES = 32 << 20
-#: Bytes of index for each byte of text, at most: words of one letter take 2 bytes of text, and 8 for the term, 8 for its largest impact, 16 for a block and
-#: 16 for an item, and 16 in the n-grams of question and answer.
-TEXT_FACTOR = 32
+#: Bytes of index for each word of an item, at most: 8 for the term, 8 for its largest impact, 8 for where its blocks begin, 20 for a block, 16 for an item, and 8 for the n-grams of question or answer.
+WORD_BYTES = 68
+#: Least width of a class of lengths, in words.
+LEAST_WIDTH = 16
 _PIECE = 256 << 10
 #: Passages whose blocks are bounded at once.
 PORTION = 500
@@ -143,6 +145,20 @@ def build(items: list[tuple[int, str]], stats: tuple[int, float, dict[int, int]]
     return Index(ids, terms, top, keys[first], block_first, (keys[first] % blocks).astype(np.int32), np.maximum.reduceat(impact, first) if len(first) else impact, at * len(rows) + item, impact, questions, answers, most)
 
 
+def width(words: int) -> int:
+    """The class of an item by its number of words: the next power of two. Its windows are twice as wide and begin at every multiple of it, so each place that the item may take lies in one."""
+    return max(LEAST_WIDTH, 1 << max(words - 1, 0).bit_length())
+
+
+def build_classes(items: list[tuple[int, str]], stats: tuple[int, float, dict[int, int]], n: int) -> list[tuple[int, Index]]:
+    """(width, index) of each class of lengths in a shard of items."""
+    classes: dict[int, list[tuple[int, str]]] = {}
+    for item in items:
+        if words := len(_hashes(item[1])):
+            classes.setdefault(width(words), []).append(item)
+    return [(w, build(classes[w], stats, n)) for w in sorted(classes)]
+
+
 def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places of ranges given by their starts and sizes, one after another."""
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes - first, sizes)
@@ -239,10 +255,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     shape = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id is not null and trim(text) <> ''").distinct()
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    counted = items.agg(F.count("*"), F.sum(F.octet_length("text")), F.avg(words)).first()
+    counted = items.agg(F.count("*"), F.sum(words), F.avg(words)).first()
     if not counted[0]:
         return spark.createDataFrame([], shape)
-    shards = max(1, -(-counted[1] * TEXT_FACTOR // INDEX_BYTES))
+    shards = max(1, -(-counted[1] * WORD_BYTES // INDEX_BYTES))
     items = write_shared(items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))), "items")
     df = write_shared(frequencies(items), "frequencies") if shards > 1 else frequencies(items)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -250,7 +266,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     for s in range(shards):  # the driver holds one shard's items and their terms' frequencies at a time
         part = items.filter(F.col("shard") == s)
         own = {np.uint64(t & (2**64 - 1)).item(): n for t, n in (df if shards == 1 else df.join(frequencies(part).select("term"), "term", "left_semi")).collect()}
-        shared = spark.sparkContext.broadcast(build([tuple(r) for r in part.select("item_id", "text").orderBy("item_id", "text").collect()], (counted[0], counted[2], own), n))
+        shared = spark.sparkContext.broadcast(build_classes([tuple(r) for r in part.select("item_id", "text").orderBy("item_id", "text").collect()], (counted[0], counted[2], own), n))
         found = texts.mapInArrow(_searcher(shared, threshold, n, overlap), shape)
         if shards > 1:
             found = write_shared(found, "found")
@@ -259,10 +275,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     return out
 
 
+def _leaks(index: Index, step: int, words: np.ndarray, before: np.ndarray, threshold: float, n: int, overlap: float) -> Iterator[tuple[int, int, float, float, float]]:
+    """(row, item, score, overlaps) of what the rows of words leak of an index, by their windows [i * step, (i + 2) * step); the best window of each."""
+    count = np.diff(before)
+    windows = np.where(count > 0, np.maximum(1, -(-(count - step) // step)), 0)
+    owner = np.repeat(np.arange(len(count)), windows)
+    i = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    starts = before[owner] + i * step
+    stops = np.minimum(starts + 2 * step, before[owner + 1])
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    held, grams = -1, None
+    for p, item, score in retrieve(index, words, starts, stops, threshold):
+        if p != held:
+            held, window = p, words[starts[p] : stops[p]]
+            grams = np.concatenate([H.runs_hash(window, k) for k in range(1, n + 1) if k <= len(window)])
+        q, a = _share(index.question[item], grams), _share(index.answer[item], grams)
+        key = (int(owner[p]), item)
+        if q >= overlap and a >= overlap and (score, q, a) > best.get(key, (0.0, 0.0, 0.0)):
+            best[key] = (score, q, a)
+    for (row, item), found in best.items():
+        yield row, index.ids[item], *found
+
+
 def _searcher(shared, threshold: float, n: int, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        step = max(index.words, 16)
         for b in batches:
             rows = []
             ids = b["doc_id"].to_pylist()
@@ -270,23 +306,8 @@ def _searcher(shared, threshold: float, n: int, overlap: float):
                 words, before = _words(data, offsets)
                 if not len(words):
                     continue
-                count = np.diff(before)
-                windows = np.where(count > 0, np.maximum(1, -(-(count - step) // step)), 0)  # [i * step, (i + 2) * step)
-                owner = np.repeat(np.arange(len(count)), windows)
-                i = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-                starts = before[owner] + i * step
-                stops = np.minimum(starts + 2 * step, before[owner + 1])
-                best: dict[tuple[int, int], tuple[float, float, float]] = {}
-                held, grams = -1, None
-                for p, item, score in retrieve(index, words, starts, stops, threshold):
-                    if p != held:
-                        held, window = p, words[starts[p] : stops[p]]
-                        grams = np.concatenate([H.runs_hash(window, k) for k in range(1, n + 1) if k <= len(window)])
-                    q, a = _share(index.question[item], grams), _share(index.answer[item], grams)
-                    key = (int(owner[p]), item)
-                    if q >= overlap and a >= overlap and (score, q, a) > best.get(key, (0.0, 0.0, 0.0)):
-                        best[key] = (score, q, a)
-                rows += [(ids[row0 + r], index.ids[item], *x) for (r, item), x in sorted(best.items())]
+                found = [x for step, index in shared.value for x in _leaks(index, step, words, before, threshold, n, overlap)]
+                rows += [(ids[row0 + r], *x) for r, *x in sorted(found)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.float64()] * 3), strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 

@@ -59,13 +59,13 @@ def pack(docs: DataFrame, buckets: int = 8, max_tokens: int = 2048, token_budget
 
     Piece i of a text has its tokens from i * max_tokens on. A batch is named by (bucket_tokens, shard, batch) and holds at most
     token_budget tokens with padding (one piece if a boundary exceeds that); slot numbers its pieces. tokens turns the text column into a count; words by default. Null, empty
-    and blank texts have no tokens and give no piece. Repeated rows are packed each; null ids are packed like id 0. Other columns
-    are ignored. No piece is dropped.
+    and blank texts have no tokens and give no piece. Repeated rows are packed each. Shards are dealt by a hash of id, piece and text, so neither ids
+    in steps nor many rows without an id fill one. Other columns are ignored. No piece is dropped.
     """
-    counted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), tokens(F.coalesce("text", F.lit(""))).alias("total")).filter("total > 0")
+    counted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), tokens(F.coalesce("text", F.lit(""))).alias("total"), F.xxhash64("text").alias("salt")).filter("total > 0")
     pieces = write_shared(
-        counted.select("doc_id", "total", F.explode(F.sequence(F.lit(0), F.expr(f"cast((total - 1) div {max_tokens} as int)"))).alias("piece")).select(
-            "doc_id", F.col("piece").cast("bigint").alias("piece"), (F.col("piece") * F.lit(max_tokens).cast("bigint")).alias("first_token"), F.least(F.col("total") - F.col("piece") * max_tokens, F.lit(max_tokens)).cast("bigint").alias("n_tokens")
+        counted.select("doc_id", "total", "salt", F.explode(F.sequence(F.lit(0), F.expr(f"cast((total - 1) div {max_tokens} as int)"))).alias("piece")).select(
+            "doc_id", "salt", F.col("piece").cast("bigint").alias("piece"), (F.col("piece") * F.lit(max_tokens).cast("bigint")).alias("first_token"), F.least(F.col("total") - F.col("piece") * max_tokens, F.lit(max_tokens)).cast("bigint").alias("n_tokens")
         ),
         "pieces",
     )
@@ -79,8 +79,8 @@ def pack(docs: DataFrame, buckets: int = 8, max_tokens: int = 2048, token_budget
         bucket = F.when(inside, F.lit(b).cast("bigint")).otherwise(bucket)
         shards = F.when(inside, F.lit(-(-n // SHARD)).cast("bigint")).otherwise(shards)
         size = F.when(inside, F.lit(max(1, token_budget // b)).cast("bigint")).otherwise(size)
-    placed = pieces.select("*", bucket.alias("bucket_tokens"), size.alias("size"), F.pmod(F.coalesce("doc_id", F.lit(0)) + F.col("piece") + F.col("n_tokens"), shards).alias("shard"))
-    order = Window.partitionBy("bucket_tokens", "shard").orderBy("doc_id", "piece", "n_tokens")
+    placed = pieces.select("*", bucket.alias("bucket_tokens"), size.alias("size"), F.pmod(F.xxhash64("doc_id", "piece", "salt"), shards).alias("shard"))
+    order = Window.partitionBy("bucket_tokens", "shard").orderBy("doc_id", "piece", "salt")
     return placed.withColumn("at", F.row_number().over(order) - 1).select(
         "doc_id", "piece", "first_token", "n_tokens", "bucket_tokens", "shard", F.expr("cast(at div size as bigint)").alias("batch"), (F.col("at") % F.col("size")).cast("bigint").alias("slot")
     )

@@ -384,8 +384,8 @@ def test_decontamination_in_shards(spark, monkeypatch):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     docs = small(spark)
     one = {tuple(r) for r in decontamination.contaminated(docs, bench).collect()}
-    size = sum(len(r.text.encode()) for r in bench.select("text").distinct().collect() if r.text)
-    monkeypatch.setattr(decontamination, "INDEX_BYTES", size * decontamination.TEXT_FACTOR // 3 + 1)
+    size = sum(len(WORD.findall(r.text)) for r in bench.select("text").distinct().collect() if r.text)
+    monkeypatch.setattr(decontamination, "INDEX_BYTES", size * decontamination.WORD_BYTES // 3 + 1)
     assert {(a, b, round(x, 9), y, z) for a, b, x, y, z in map(tuple, decontamination.contaminated(docs, bench).collect())} == {(a, b, round(x, 9), y, z) for a, b, x, y, z in one}
 
 
@@ -394,7 +394,7 @@ def test_index_stays_small():
     items = [(i, " ".join("abcdefghijklmnopqrstuvwxyz"[j] for j in rng.integers(0, 26, 6)) + f" q{i}") for i in range(20_000)]
     df = collections.Counter(t for _, text in items for t in set(decontamination._hashes(text).tolist()))
     index = decontamination.build(items, (len(items), 7.0, df), 5)
-    assert index.nbytes <= decontamination.TEXT_FACTOR * sum(len(t) for _, t in items)
+    assert index.nbytes <= decontamination.WORD_BYTES * sum(len(WORD.findall(t)) for _, t in items) + 8
 
 
 def test_wand_finds_all_above_threshold(spark):

@@ -217,3 +217,40 @@ def test_verdicts_do_not_depend_on_order(spark, seed):
     a = url_templates.judge(pages, labels).collect()
     b = url_templates.judge(pages.repartition(3 + seed, "url"), labels.repartition(2)).collect()
     assert sorted(a, key=str) == sorted(b, key=str)
+
+
+# --- decontamination by classes of length, packing by hashed shards --------------------------------------------------------
+
+
+def test_leaks_do_not_depend_on_other_items_or_shards(spark, monkeypatch):
+    """A short item's windows are its own: neither a long item in its shard nor the size of shards changes what is found of it."""
+    from rankloom.llm import decontamination
+
+    def unrelated(n, tag):
+        return " ".join(f"{tag}{i}" for i in range(n))
+
+    question, answer = "which of the seven rivers of Old Marrow runs past the mill of the glass makers", "Zanvoria"
+    item = (1, f"{question}? {answer}")
+    docs = [
+        (1, f"{unrelated(200, 'a')} {question} {unrelated(1200, 'b')} {answer} {unrelated(50, 'c')}"),
+        (2, f"{unrelated(200, 'a')} {question}? {answer} {unrelated(50, 'c')}"),
+        (3, unrelated(300, "d")),
+        (4, None),
+    ]
+    texts = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], DOCS)
+    long = [(2, f"{unrelated(1500, 'e')}. the end"), (3, f"{unrelated(700, 'f')}. so it ends")]
+    found = []
+    for items, size in (([item], 32 << 20), ([item, *long], 32 << 20), ([item, *long], 20_000)):
+        monkeypatch.setattr(decontamination, "INDEX_BYTES", size)
+        got = decontamination.contaminated(texts, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+        found.append(sorted((r.doc_id, r.item_id) for r in got))
+    assert found == [[(2, 1)]] * 3
+
+
+def test_shards_are_even_whatever_the_ids(spark, monkeypatch):
+    from rankloom.llm import packing
+
+    monkeypatch.setattr(packing, "SHARD", 100)
+    rows = [(i * 40 if i % 3 else None, f"w{i} x y", "en", "s", 1) for i in range(4000)]
+    sizes = [r[0] for r in packing.pack(spark.createDataFrame(rows, DOCS)).groupBy("shard").count().select("count").collect()]
+    assert len(sizes) == 40 and sum(sizes) == 4000 and max(sizes) < 200
