@@ -9,6 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stored
+
+#: Buckets that topics are dealt into where shares are summed up, and the most cells that [0, 1) is cut into for draws.
+BUCKETS = 1024
+MAX_CELLS = 1 << 22
+
 
 def representatives(points: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
     """(grp, step, id, gain) of points (grp, id, vec): in each group the point that adds most to the sum of best similarities is
@@ -48,12 +54,20 @@ def training_pairs(labels: DataFrame, n: int, seed: int = 7541) -> DataFrame:
     levels = labels.groupBy("qid", "label").agg(F.count("*").alias("m"))
     lower = levels.alias("p").join(levels.alias("l"), (F.col("p.qid") == F.col("l.qid")) & (F.col("l.label") < F.col("p.label")))
     lower = lower.groupBy("p.qid", "p.label").agg(F.max(F.struct("l.label", "l.m")).alias("x")).select("qid", "label", F.col("x.label").alias("low"), F.col("x.m").alias("lows"))
-    # the groups' shares side by side on [0, 1): a row for each topic and label
-    order = Window.orderBy("label", "qid").rowsBetween(Window.unboundedPreceding, 0)
-    shares = levels.filter("label > 0").withColumn("upto", F.sum("m").over(order)).withColumn("total", F.sum("m").over(Window.partitionBy()))
-    shares = shares.select("qid", "label", "m", ((F.col("upto") - F.col("m")) / F.col("total")).alias("a"), (F.col("upto") / F.col("total")).alias("b"))
-    draws = labels.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("u", _uniform("draw", seed))
-    drawn = draws.join(F.broadcast(shares), (F.col("u") >= F.col("a")) & (F.col("u") < F.col("b"))).join(lower, ["qid", "label"])
+    # the groups' shares side by side on [0, 1), a row for each topic and label; only sums by label and bucket of topics are ordered in one place
+    positives = levels.filter("label > 0").withColumn("bucket", F.pmod(F.xxhash64("qid"), F.lit(BUCKETS)))
+    sums = positives.groupBy("label", "bucket").agg(F.sum("m").alias("of"))
+    order = Window.orderBy("label", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("label", "bucket", F.coalesce(F.sum("of").over(order), F.lit(0)).alias("before"), F.sum("of").over(Window.partitionBy()).alias("total"))
+    within = Window.partitionBy("label", "bucket").orderBy("qid").rowsBetween(Window.unboundedPreceding, 0)
+    shares = positives.join(sums, ["label", "bucket"]).withColumn("upto", F.col("before") + F.sum("m").over(within))
+    shares = stored(shares.select("qid", "label", "m", ((F.col("upto") - F.col("m")) / F.col("total")).alias("a"), (F.col("upto") / F.col("total")).alias("b")), "shares")
+    # a draw meets only the shares that reach into its cell of [0, 1), about one
+    cells = min(max(shares.count(), 1), MAX_CELLS)
+    reach = F.sequence(F.floor(F.col("a") * cells), F.least(F.floor(F.col("b") * cells), F.lit(cells - 1)))
+    shares = shares.withColumn("cell", F.explode(reach))
+    draws = labels.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("u", _uniform("draw", seed)).withColumn("cell", F.floor(F.col("u") * cells))
+    drawn = draws.join(shares, "cell").filter((F.col("u") >= F.col("a")) & (F.col("u") < F.col("b"))).drop("cell").join(lower, ["qid", "label"])
     drawn = drawn.withColumn("pick", F.floor(_uniform("draw", seed + 1) * F.col("m")) + 1).withColumn("low_pick", F.floor(_uniform("draw", seed + 2) * F.col("lows")) + 1)
     numbered = labels.withColumn("pick", F.row_number().over(Window.partitionBy("qid", "label").orderBy("docno")).cast("bigint"))
     positive = numbered.select("qid", "label", "pick", F.col("docno").alias("positive"))

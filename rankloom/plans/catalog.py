@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import stem as S
 from ..functions import text as T
-from ..operators import analytics, extraction, graded, measures, preferences, report, representatives
+from ..operators import analytics, extraction, graded, measures, preferences, report, representatives, scorer
 from ..operators.ranked import ranked
 from ..sources import run_files
 from ..streaming import monitor
@@ -620,6 +620,31 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return representatives.score(pairs, representatives.scorer_weights())
 
 
+def _matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 4 x 16 matrices of ten topics; a vector is relevant to the topic of its label."""
+    rows = [F.transform(F.slice("embedding", 1 + 16 * i, 16), lambda v: v.cast("float")) for i in range(4)]
+    weights = F.transform(F.slice("embedding", 1, 4), lambda v: F.abs(v.cast("double")))
+    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 10).alias("qid"), F.concat(F.lit("V"), "vec_id").alias("docno"), F.array(*rows).alias("matrix"), weights.alias("idf"), (F.col("label") == F.col("vec_id") % 10).cast("int").alias("rel"))
+    return e.withColumn("context", F.transform("matrix", lambda r: F.transform(r, lambda v: v * v)))
+
+
+_SCORER = scorer.Shape(rows=4, columns=16, winlen=3, extra="1x5", filters=8, kmax=3, prefixes=(25, 50), context=True, combine=16)
+
+
+@_register("scored_cascade")
+def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scorer.score(_matrices(spark, sf_dir), _SCORER.weights(), _SCORER)
+
+
+@_register("trained_scorer")
+def _trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on as many draws as there are vectors, in ten steps; all vectors scored with the weights."""
+    pairs = _matrices(spark, sf_dir)
+    drawn = representatives.training_pairs(pairs.select("qid", "docno", F.col("rel").alias("label")), pairs.count())
+    weights, _ = scorer.train(scorer.examples(drawn, pairs, context=True), _SCORER, steps=10, rate=0.01, shuffle=True)
+    return scorer.score(pairs, weights, _SCORER)
+
+
 @_register("training_pairs")
 def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return representatives.training_pairs(view(spark, sf_dir, "qrels").filter("rel >= 0").select("qid", "docno", analytics.remap(F.col("rel")).alias("label")), 2048)
