@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import stem as S
 from ..functions import text as T
-from ..operators import analytics, extraction, graded, measures, preferences, report, representatives, scorer
+from ..operators import analytics, extraction, graded, measures, preferences, report, representatives, scorer, word_vectors
 from ..operators.ranked import ranked
 from ..sources import run_files
 from ..streaming import monitor
@@ -645,6 +645,13 @@ def _trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorer.score(pairs, weights, _SCORER)
 
 
+@_register("word_vectors")
+def _word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on the words of all conversations, in two passes."""
+    tokens = F.filter(F.split(F.lower("text"), r"[^\\p{L}]+"), lambda t: t != "")
+    return word_vectors.word_vectors(table(spark, sf_dir, "conversations").select(tokens.alias("tokens")), dim=16, window=5, passes=2)
+
+
 @_register("training_pairs")
 def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return representatives.training_pairs(view(spark, sf_dir, "qrels").filter("rel >= 0").select("qid", "docno", analytics.remap(F.col("rel")).alias("label")), 2048)

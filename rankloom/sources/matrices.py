@@ -43,6 +43,13 @@ def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(f[0].alias("word"), F.transform(F.slice(f, F.lit(2), F.size(f) - 1), lambda x: x.cast("float")).alias("vector"))
 
 
+def read_token_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(docno, tokens) of lines `docno token token ...` in the part files below path; a line without a token is left out."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "part*").text(path)
+    f = F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "")
+    return rows.select(f.alias("f")).filter("size(f) > 1").select(F.col("f")[0].alias("docno"), F.slice("f", F.lit(2), F.size("f") - 1).alias("tokens"))
+
+
 def doc_rows(docmap: Column, docno: Column) -> Column:
     """A document's place in a JSON docmap {docno: place}."""
     return F.from_json(docmap, "map<string,int>")[docno]
