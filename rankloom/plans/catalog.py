@@ -648,7 +648,7 @@ def _trained(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("word_vectors")
 def _word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained on the words of all conversations, in two passes."""
-    tokens = F.filter(F.split(F.lower("text"), r"[^\\p{L}]+"), lambda t: t != "")
+    tokens = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda t: t != "")
     return word_vectors.word_vectors(table(spark, sf_dir, "conversations").select(tokens.alias("tokens")), dim=16, window=5, passes=2)
 
 
