@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .graded import DEPTH, graded_measures
+from .shared import stored
+
 #: Judgment labels by name, names by label and year, and what training makes of labels.
 GRADES = {"Nav": 4, "HRel": 2, "Rel": 1, "NRel": 0, "Junk": -2}
 _LATER = {4: "Nav", 3: "HRel", 2: "HRel", 1: "Rel", 0: "NRel", -2: "Junk"}
@@ -56,17 +60,23 @@ def rescore(run: DataFrame, predictions: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "docno")).cast("bigint")).select("qid", "docno", "rank", "sim")
 
 
-def rank_of_runs(means: DataFrame, reranked: DataFrame) -> DataFrame:
-    """(run, mean, rank, rr_mean, rr_rank) of (run, mean) tables: each re-ranked mean takes its run's place among all others, one at a time.
+def rank_of_runs(means: DataFrame, reranked: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., run, mean, rank, rr_mean, rr_rank) of (by..., run, mean) tables: each re-ranked mean takes its run's place among all others, one at a time.
 
-    Ranks come from a sort of the means; a re-ranked mean's is one more than the number of other runs above it (ties by name).
+    A rank is one more than the number of other runs above, ties by name; a missing mean is below all others. Both lists are sorted together, by ranges: the originals
+    above a row are those of the ranges before its own, a sum over one row for each range, and those before it in its range. No run is set against another.
     """
-    w = Window.orderBy(F.desc("mean"), "run")
-    ranked = means.withColumn("rank", F.row_number().over(w).cast("bigint"))  # a row for each run of a campaign
-    both = ranked.join(reranked.select("run", F.col("mean").alias("rr_mean")), "run")
-    o = ranked.select(F.col("run").alias("other"), F.col("mean").alias("om"))
-    above = both.join(o, (F.col("other") != F.col("run")) & ((F.col("om") > F.col("rr_mean")) | ((F.col("om") == F.col("rr_mean")) & (F.col("other") < F.col("run")))), "left")
-    return above.groupBy("run", "mean", "rank", "rr_mean").agg((F.count("other") + 1).alias("rr_rank"))
+    both = means.select(*by, "run", "mean", F.lit(1).alias("own")).union(reranked.select(*by, "run", "mean", F.lit(0).alias("own")))
+    order = [F.desc_nulls_last("mean"), "run", "own"]
+    dealt = stored(both.repartitionByRange(*by, *order).withColumn("part", F.spark_partition_id()), "run-ranges")
+    parts = dealt.groupBy(*by, "part").agg(F.sum("own").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    here = F.coalesce(F.sum("own").over(Window.partitionBy(*by, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = dealt.join(parts.select(*by, "part", before.alias("before")), [*by, "part"]).withColumn("above", F.col("before") + here)
+    own = rows.filter("own = 1").select(*by, "run", "mean", (F.col("above") + 1).alias("rank"))
+    other = rows.filter("own = 0").select(*by, "run", F.col("mean").alias("rr_mean"), "above")
+    itself = F.col("mean").isNotNull() & (F.col("rr_mean").isNull() | (F.col("mean") > F.col("rr_mean")))
+    return own.join(other, [*by, "run"]).select(*by, "run", "mean", "rank", "rr_mean", (F.col("above") + 1 - itself.cast("int")).alias("rr_rank"))
 
 
 def document_pairs(labels: DataFrame, scores: DataFrame, known: tuple[int, ...] = (0, 1, 2, 3, 4)) -> DataFrame:
@@ -106,6 +116,72 @@ def epoch_measures(predictions: DataFrame, qrels: DataFrame, families: tuple[str
     return values.select("qid.epoch", "qid.qid", *(c for c in values.columns if c != "qid"))
 
 
+def graded_by(runs: DataFrame, qrels: DataFrame, by: tuple[str, ...], depth: int = DEPTH) -> DataFrame:
+    """(by..., qid, ndcg, err) of (by..., qid, docno, sim): graded measures of every run against the same judgments, by one ranked list keyed by run and topic."""
+    key = F.struct(*by, "qid").alias("qid")
+    judged = qrels.filter("rel > 0").join(runs.select(*by, "qid").distinct(), "qid")
+    values = graded_measures(runs.select(key, "docno", "sim"), judged.select(key, "docno", "rel"), depth)
+    return values.select("qid.*", "ndcg", "err")
+
+
+def epoch_report(predictions: DataFrame, qrels: DataFrame, by: tuple[str, ...] = ("epoch",), depth: int = DEPTH) -> DataFrame:
+    """(by..., ndcg, err, map): what a checkpoint is judged by, graded nDCG and ERR at depth and average precision, each a mean over its topics with a positive judgment (for
+    map: with any judgment), 0 where there are none."""
+    from .measures import average, evaluate
+
+    key = F.struct(*by, "qid").alias("qid")
+    judged = qrels.join(predictions.select(*by, "qid").distinct(), "qid")
+    ap = evaluate(predictions.select(key, "docno", "sim"), judged.select(key, "docno", "rel"), exprs={"map": average(1)["map"]}).select("qid.*", "map")
+    ap = ap.groupBy(*by).agg(F.avg("map").alias("map"))
+    each = graded_by(predictions, qrels, by, depth).groupBy(*by).agg(F.avg("ndcg").alias("ndcg"), F.avg("err").alias("err"))
+    out = predictions.select(*by).distinct().join(each, list(by), "left").join(ap, list(by), "left")
+    return out.select(*by, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("ndcg", "err", "map")))
+
+
+def finished_epochs(spark: SparkSession, path: str) -> DataFrame | None:
+    """The manifest at path: (setting, epoch, ndcg, err, map), or None if there is none yet."""
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return found.select("setting", "epoch", "ndcg", "err", "map")
+
+
+def pending_epochs(predictions: DataFrame, path: str) -> DataFrame:
+    """The predictions (setting, epoch, ...) of epochs that the manifest at path hasn't got.
+
+    Finished ones go by a filter on setting and epoch alone, so that a table partitioned by them isn't read there. The driver gets a row for each finished epoch.
+    """
+    done = finished_epochs(predictions.sparkSession, path)
+    if done is None:
+        return predictions
+    epochs = {r.setting: r.epochs for r in done.groupBy("setting").agg(F.collect_set("epoch").alias("epochs")).collect()}
+    for setting, found in epochs.items():
+        predictions = predictions.filter(~(F.col("setting").eqNullSafe(F.lit(setting)) & F.col("epoch").isin(found)))
+    return predictions
+
+
+def resume_epochs(predictions: DataFrame, qrels: DataFrame, path: str, depth: int = DEPTH) -> DataFrame:
+    """The manifest after all epochs of predictions (setting, epoch, qid, docno, sim) are in it; only those that it hasn't got are evaluated.
+
+    An epoch is one row in a folder of its own, which a job that ends writes whole. One that is killed leaves some epochs finished, or none, and the next call repeats only the
+    others; writing an epoch again replaces it. Null settings or epochs are an error.
+    """
+    todo = pending_epochs(predictions, path)
+    named = F.when(F.col("setting").isNotNull() & F.col("epoch").isNotNull(), F.lit(True)).otherwise(F.raise_error(F.lit("a prediction without setting or epoch")).cast("boolean"))
+    todo = todo.filter(named)
+    if not todo.isEmpty():
+        rows = epoch_report(todo, qrels, ("setting", "epoch"), depth)
+        rows.repartition("setting", "epoch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("setting", "epoch").parquet(path)
+    done = finished_epochs(predictions.sparkSession, path)
+    if done is None:
+        shape = "setting int, epoch int, ndcg double, err double, map double"
+        return predictions.sparkSession.createDataFrame([], shape)
+    return done
+
+
 def unique_best_epoch(validation: DataFrame, test: DataFrame) -> DataFrame:
     """(epoch, err_val, err_test) of (epoch, err) tables of one setting: of the epochs that both have, the one with the largest err on validation; the first on ties."""
     both = validation.select("epoch", F.col("err").alias("err_val")).join(test.select("epoch", F.col("err").alias("err_test")), "epoch")
@@ -165,9 +241,26 @@ def t_probability(t: float | None, n: int) -> float | None:
     return None if t is None or n < 2 else _beta((n - 1) / 2, 0.5, (n - 1) / (n - 1 + t * t))
 
 
-def paired_t(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
-    """(n, mean_difference, t, p) of a column over the topics of both tables. The sums are Spark's; one number is turned into p on the driver's side of a UDF."""
-    d = a.select("qid", F.col(column).alias("x")).join(b.select("qid", F.col(column).alias("y")), "qid").select((F.col("x") - F.col("y")).alias("d"))
-    s = d.agg(F.count("*").alias("n"), F.avg("d").alias("mean_difference"), F.stddev_samp("d").alias("s"))
+def paired_t(a: DataFrame, b: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., n, mean_difference, t, p) of a column over the topics of both tables, for each value of by. The sums are Spark's; a UDF turns one number a row into p."""
+    d = a.select(*by, "qid", F.col(column).alias("x")).join(b.select(*by, "qid", F.col(column).alias("y")), [*by, "qid"]).select(*by, (F.col("x") - F.col("y")).alias("d"))
+    s = d.groupBy(*by).agg(F.count("*").alias("n"), F.avg("d").alias("mean_difference"), F.stddev_samp("d").alias("s"))
     s = s.withColumn("t", F.col("mean_difference") / F.expr("nullif(s / sqrt(n), 0)"))
-    return s.select("n", "mean_difference", "t", F.udf(t_probability, "double")("t", "n").alias("p"))
+    return s.select(*by, "n", "mean_difference", "t", F.udf(t_probability, "double")("t", "n").alias("p"))
+
+
+def comparison_table(original: DataFrame, reranked: DataFrame, measures: tuple[str, ...] = ("err", "ndcg")) -> DataFrame:
+    """(run, measure, score, rank, rr_score, rr_rank, change, p) of (run, qid, measures...): a run's mean and its rank among all runs before re-ranking, both after it alone was
+    re-ranked, the change in percent (null from 0), and the paired t-test's p over the topics of both. A mean is over the topics that its run has; a run that only one of the tables has is left out.
+    """
+    key = ("measure", "run")
+
+    def long(df: DataFrame) -> DataFrame:
+        return df.select("run", "qid", F.inline(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures))))
+
+    a, b = long(original), long(reranked)
+    means = [x.groupBy(*key).agg(F.avg("value").alias("mean")) for x in (a, b)]
+    ranks = rank_of_runs(*means, by=("measure",))
+    change = (F.col("rr_mean") - F.col("mean")) / F.expr("nullif(mean, 0)") * 100
+    p = paired_t(a, b, "value", by=key).select(*key, "p")
+    return ranks.join(p, list(key), "left").select("run", "measure", F.col("mean").alias("score"), "rank", F.col("rr_mean").alias("rr_score"), "rr_rank", change.alias("change"), "p")

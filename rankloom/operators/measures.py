@@ -179,13 +179,15 @@ def relevance_string(run: DataFrame, qrels: DataFrame, n: int = 10, level: int =
     return first.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["code"]), "").alias("relstring"))
 
 
-def by_group(run: DataFrame, qrels_jg: DataFrame, families: Iterable[str] = ("average", "cutoffs", "multiples"), level: int = 1) -> DataFrame:
-    """Each measure per judgment group, averaged over a topic's groups. The topic and group make up one key, so nothing is joined across groups."""
+def by_group(
+    run: DataFrame, qrels_jg: DataFrame, families: Iterable[str] = ("average", "cutoffs", "multiples"), level: int = 1, exprs: dict[str, str] | None = None, suffix: str = "_avgjg", **options
+) -> DataFrame:
+    """Each measure per judgment group, averaged over a topic's groups. The topic and group make up one key, so nothing is joined across groups. exprs and options as of evaluate."""
     groups = qrels_jg.select("qid", "jg").distinct()
     key = F.struct("qid", "jg").alias("qid")
     spread = run.join(groups, "qid").select(key, "docno", "sim")
-    values = evaluate(spread, qrels_jg.select(key, "docno", "rel"), families, level)
-    return values.withColumn("qid", F.col("qid.qid")).groupBy("qid").agg(*(F.avg(c).alias(f"{c}_avgjg") for c in values.columns if c != "qid"))
+    values = evaluate(spread, qrels_jg.select(key, "docno", "rel"), families, level, exprs=exprs, **options)
+    return values.withColumn("qid", F.col("qid.qid")).groupBy("qid").agg(*(F.avg(c).alias(f"{c}{suffix}") for c in values.columns if c != "qid"))
 
 
 def z_scores(values: DataFrame, reference: DataFrame) -> DataFrame:

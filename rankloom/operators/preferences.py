@@ -9,7 +9,7 @@ the places, not from pairs of documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -73,14 +73,15 @@ def edges(prefs: DataFrame) -> DataFrame:
 
 def _inversions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(qid, jg, a, b, n): how many pairs of a group's documents, which come in the order of places, have one of kind a before one of kind b. What is held is a count for each kind and each pair of kinds."""
-    names, held, seen, pairs, out = ["qid", "jg", "a", "b", "n"], None, {}, {}, []
+    names, types, held, seen, pairs, out = ["qid", "jg", "a", "b", "n"], [], None, {}, {}, []
 
     def rows() -> Iterator[tuple]:
         for b in batches:
+            types[:] = [b.schema.field(c).type for c in ("qid", "jg", "kind", "kind")]
             yield from zip(*(b[c].to_pylist() for c in ("qid", "jg", "kind")), strict=True)
 
     def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in list(zip(*out, strict=True))[:4]), pa.array([r[4] for r in out], pa.int64())], names=names)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*(r[:4] for r in out), strict=True), types, strict=True)), pa.array([r[4] for r in out], pa.int64())], names=names)
 
     for qid, jg, kind in rows():
         if held != (qid, jg):
@@ -125,6 +126,8 @@ def pair_counts(docs: DataFrame, pairs: DataFrame, kind: str = "cls") -> DataFra
 
 
 _IN = {"": "true", "_ret": "area = 'ret'", "_imp": "area <> 'none'"}
+_BALANCED = {"prefs_avgjg_Rnonrel": False, "prefs_avgjg_Rnonrel_ret": True}
+NAMES = frozenset([*(f"prefs_num_prefs_{x}" for x in ("poss", "ful", "ful_ret")), *(f"prefs_{x}{s}" for x in ("simp", "pair", "avgjg") for s in _IN), *_BALANCED])
 
 
 def _ratio(x: str, y: str) -> str:
@@ -135,13 +138,13 @@ def _count(condition: str, what: str = "n") -> str:
     return f"coalesce(sum(case when {condition} then {what} end), 0)"
 
 
-def preference_measures(run: DataFrame, prefs: DataFrame) -> DataFrame:
-    """(qid, prefs_num_prefs_*, prefs_simp*, prefs_avgjg*, prefs_pair*) of the topics in both inputs."""
-    docs = judged(prefs).join(places(run, prefs), ["qid", "docno"])
+def preference_measures(run: DataFrame, prefs: DataFrame, given: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(qid, prefs_num_prefs_*, prefs_simp*, prefs_avgjg*, prefs_pair*) of the topics in both inputs. given: placed(run, prefs), where they are at hand."""
+    docs, order = (judged(prefs).join(places(run, prefs), ["qid", "docno"]), None) if given is None else given
     # documents that all groups of the topic put into the same classes are of one kind
     kinds = docs.groupBy("qid", "docno").agg(F.to_json(F.sort_array(F.collect_list(F.struct("jg", "cls")))).alias("kind"))
     docs = stored(docs.join(kinds, ["qid", "docno"]).drop("level", "docno"), "preference-classes")
-    rows = stored(pair_counts(docs, relation(docs), "kind"), "preference-counts")
+    rows = stored(pair_counts(docs, relation(docs) if order is None else order, "kind"), "preference-counts")
     groups = prefs.join(run.select("qid").distinct(), "qid", "left_semi").groupBy("qid").agg(F.countDistinct("jg").alias("jgs"))
     total = [F.expr("sum(n) as prefs_num_prefs_poss"), F.expr("sum(n * ful) as prefs_num_prefs_ful"), F.expr(f"{_count('area = \'ret\'', 'n * ful')} as prefs_num_prefs_ful_ret")]
     simp = [F.expr(f"{_ratio(_count(c, 'n * ful'), _count(c))} as prefs_simp{s}") for s, c in _IN.items()]
@@ -194,3 +197,21 @@ def balanced(run: DataFrame, prefs: DataFrame, retrieved: bool = False, given: t
     )
     # one group without a possible pair makes the sum undefined, and the topic 0
     return per.groupBy("qid").agg(F.when(F.min("poss") > 0, F.avg(F.expr("ful / nullif(cast(poss as double), 0)"))).otherwise(0.0).alias(f"prefs_avgjg_Rnonrel{'_ret' if retrieved else ''}"))
+
+
+def by_name(run: DataFrame, prefs: DataFrame, names: Iterable[str], top: int | None = None, complete: bool = False) -> DataFrame:
+    """(qid, names...) of the topics in both inputs. Places and closure are made once for all of them. top: only so many documents of a topic are looked at; complete adds topics that the run misses, with zeros."""
+    names = list(names)
+    if unknown := set(names) - NAMES:
+        raise ValueError(f"no such measure: {min(unknown)}")
+    run = rank_run(run, ties="asc", top=top).select("qid", "docno", "sim") if top else run
+    given = placed(run, prefs)
+    parts = [balanced(run, prefs, retrieved=r, given=given) for n, r in _BALANCED.items() if n in names]
+    if not _BALANCED.keys() >= set(names):
+        parts.append(preference_measures(run, prefs, given))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, "qid", "outer")
+    if complete:
+        out = prefs.select("qid").distinct().join(out, "qid", "left")
+    return out.select("qid", *(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names))

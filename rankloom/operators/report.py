@@ -1,4 +1,4 @@
-"""Measures by name, as an evaluation prints them: `map`, `P.5,10`, `ndcg.1=3,2=9`, or a nickname for several."""
+"""Measures by name, as an evaluation prints them: `map`, `P.5,10`, `ndcg.1=3,2=9`, `prefs_simp`, `P_avgjg.5`, or a nickname for several."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.settings import cutoffs, gain_pairs
 from . import measures as M
+from . import preferences
 
 #: What the nicknames stand for, in order.
 NICKNAMES = {
@@ -19,7 +20,16 @@ NICKNAMES = {
         "runid num_q num_ret num_rel num_rel_ret map gm_map Rprec bpref recip_rank iprec_at_recall P relstring recall infAP gm_bpref utility 11pt_avg ndcg relative_P Rprec_mult success "
         "map_cut ndcg_cut ndcg_rel Rndcg binG G set_P set_recall set_relative_P set_map set_F num_nonrel_judged_ret"
     ).split(),
+    "prefs": "runid num_q prefs_num_prefs_poss prefs_num_prefs_ful prefs_num_prefs_ful_ret prefs_simp prefs_pair prefs_avgjg".split(),
+    "all_prefs": (
+        "runid num_q prefs_num_prefs_poss prefs_num_prefs_ful prefs_num_prefs_ful_ret prefs_simp prefs_pair prefs_avgjg prefs_avgjg_Rnonrel "
+        "prefs_simp_ret prefs_pair_ret prefs_avgjg_ret prefs_avgjg_Rnonrel_ret prefs_simp_imp prefs_pair_imp prefs_avgjg_imp"
+    ).split(),
+    "qrels_jg": "runid num_q map_avgjg P_avgjg Rprec_mult_avgjg".split(),
 }
+#: The measures that are averaged over a topic's judgment groups.
+BY_GROUP = {"map_avgjg": "map", "P_avgjg": "P", "Rprec_mult_avgjg": "Rprec_mult"}
+SUMMED = M.SUMMED | {f"prefs_num_prefs_{x}" for x in ("poss", "ful", "ful_ret")}
 SUCCESS = (1, 5, 10)
 
 
@@ -73,7 +83,9 @@ def parse(texts: Iterable[str]) -> list[tuple[str, str]]:
     for text in texts:
         for t in NICKNAMES.get(text, [text]):
             name, _, params = t.partition(".")
-            if name not in ("runid", "num_q", "relstring"):
+            if name in BY_GROUP:
+                expressions(BY_GROUP[name], params, 1)
+            elif name not in ("runid", "num_q", "relstring", *preferences.NAMES):
                 expressions(name, "" if "=" in params else params, 1)  # fails on what isn't known
             found[name] = params
     return list(found.items())
@@ -85,41 +97,68 @@ def gain_of(rel: Column, gains: dict[int, float]) -> Column:
     return F.when(rel < 0, rel.cast("double")).otherwise(F.coalesce(table[rel], rel.cast("double")))
 
 
-def evaluation(run: DataFrame, qrels: DataFrame, texts: Iterable[str] = ("official",), runid: str = "run", level: int = 1, per_topic: bool = False, only: str | None = None, **options) -> DataFrame:
+def evaluation(
+    run: DataFrame, qrels: DataFrame | None, texts: Iterable[str] = ("official",), runid: str = "run", level: int = 1, per_topic: bool = False, only: str | None = None, prefs: DataFrame | None = None, qrels_jg: DataFrame | None = None, **options
+) -> DataFrame:
     """(place, measure, qid, text, value): what an evaluation prints, topic by topic if asked and for all topics, in the order of the measures named.
 
-    only: a single topic to look at. value is null for runid and relstring. options as of measures.evaluate.
+    only: a single topic to look at. value is null for runid and relstring. options as of measures.evaluate. prefs_ measures are of prefs, _avgjg measures of
+    qrels_jg, all others of qrels; a measure whose judgments aren't given is an error. num_q counts the topics that any of the judgments in use shares with the run.
     """
     if only is not None:
         run = run.filter(F.col("qid").cast("string") == only)
     asked = parse(texts)
     places = {name: i for i, (name, _) in enumerate(asked)}
     groups: dict[str, dict[str, str]] = {}
+    of_groups: dict[str, str] = {}
+    of_prefs: list[str] = []
     where: dict[str, tuple[int, int]] = {}
     for name, params in asked:
-        if name not in ("runid", "num_q", "relstring"):
+        if name in preferences.NAMES:
+            of_prefs.append(name)
+            where[name] = (places[name], 0)
+        elif name in BY_GROUP:
+            for i, (label, x) in enumerate(expressions(BY_GROUP[name], params, level).items()):
+                label = name + label.removeprefix(BY_GROUP[name])
+                of_groups[label] = x
+                where[label] = (places[name], i)
+        elif name not in ("runid", "num_q", "relstring"):
             gains = params if "=" in params else ""
             for i, (label, x) in enumerate(expressions(name, "" if gains else params, level).items()):
                 groups.setdefault(gains, {})[label] = x
                 where[label] = (places[name], i)
+    for needed, given, what in ((groups or "relstring" in places, qrels, "qrels"), (of_groups, qrels_jg, "qrels_jg"), (of_prefs, prefs, "prefs")):
+        if needed and given is None:
+            raise ValueError(f"measures of {what} are named, but {what} isn't given")
+
+    def named(values: DataFrame, labels: Iterable[str]) -> DataFrame:
+        names = F.create_map(*(F.lit(x) for i, label in enumerate(labels) for x in (f"m{i}", label)))
+        return M.long_form(values).withColumn("measure", names[F.col("measure")])
+
     parts = []
     for gains, exprs in groups.items():
         judged = qrels.withColumn("rel", gain_of(F.col("rel"), gain_pairs(gains))) if gains else qrels
-        columns = {f"m{i}": x for i, x in enumerate(exprs.values())}
-        values = M.evaluate(run, judged, level=level, exprs=columns, **options)
-        names = F.create_map(*(F.lit(x) for c, label in zip(columns, exprs, strict=True) for x in (c, label)))
-        parts.append(M.long_form(values).withColumn("measure", names[F.col("measure")]))
-    topics = reduce(DataFrame.union, parts)
-    order = F.create_map(*(F.lit(x) for label, (i, j) in where.items() for x in (label, i * 1000 + j)))
-    whole = F.col("measure").startswith("num_")
-    kind = F.when(F.col("measure").startswith("gm_"), F.exp(F.avg("value"))).when(F.col("measure").isin(*M.SUMMED), F.sum("value")).otherwise(F.avg("value"))
+        parts.append(named(M.evaluate(run, judged, level=level, exprs={f"m{i}": x for i, x in enumerate(exprs.values())}, **options), exprs))
+    if of_groups:
+        parts.append(named(M.by_group(run, qrels_jg, level=level, exprs={f"m{i}": x for i, x in enumerate(of_groups.values())}, suffix="", **options), of_groups))
+    if of_prefs:
+        parts.append(M.long_form(preferences.by_name(run, prefs, of_prefs, top=options.get("top"), complete=options.get("complete", False))))
+    if not parts:  # only runid, num_q or relstring
+        both = next(x for x in (qrels, prefs, qrels_jg) if x is not None).select("qid").distinct().join(run.select("qid").distinct(), "qid")
+        parts.append(both.select(F.lit(None).cast("string").alias("measure"), F.col("qid").cast("string").alias("qid"), F.lit(None).cast("double").alias("value")))
+    every = reduce(DataFrame.union, parts)
+    topics = every.filter("measure is not null")
+    order = F.create_map(*(F.lit(x) for label, (i, j) in where.items() for x in (label, i * 1000 + j))) if where else F.create_map(F.lit(""), F.lit(0))
+    whole = F.col("measure").rlike("^(prefs_)?num_")
+    kind = F.when(F.col("measure").startswith("gm_"), F.exp(F.avg("value"))).when(F.col("measure").isin(*SUMMED), F.sum("value")).otherwise(F.avg("value"))
     total = topics.groupBy("measure").agg(kind.alias("value")).select("measure", F.lit("all").alias("qid"), "value")
     rows = (topics.union(total) if per_topic else total).withColumn("place", order[F.col("measure")])
     shown = F.when(whole, F.format_string("%d", F.col("value").cast("bigint"))).otherwise(F.format_string("%6.4f", F.col("value")))
     out = rows.select("place", "measure", "qid", shown.alias("text"), "value")
     none = F.lit(None).cast("double")
     if "num_q" in places:
-        n = parts[0].agg(F.countDistinct("qid").alias("n"))
+        kinds = [*parts[: 1 if groups else 0], *parts[len(groups) :]]  # gain tables share their topics
+        n = reduce(DataFrame.union, kinds).agg(F.countDistinct("qid").alias("n"))
         out = out.union(n.select(F.lit(places["num_q"] * 1000), F.lit("num_q"), F.lit("all"), F.col("n").cast("string"), F.col("n").cast("double")))
     if "runid" in places:
         out = out.union(run.sparkSession.range(1).select(F.lit(places["runid"] * 1000), F.lit("runid"), F.lit("all"), F.lit(runid), none))

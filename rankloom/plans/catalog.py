@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ..functions import stem as S
 from ..functions import text as T
 from ..operators import analytics, extraction, graded, measures, preferences, report, representatives, scorer, word_vectors
 from ..operators.ranked import ranked
+from ..operators.shared import shared_folder
 from ..sources import run_files
 from ..streaming import monitor
 from .views import semantic, table, view, with_views
@@ -227,6 +229,24 @@ def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.filter("qid <> 'all'").select("measure", "qid", "value"), "measure", "qid")
 
 
+_GROUP_SQL = """k as (select qid, docno, row_number() over (partition by qid order by sim desc, docno desc) as i from run),
+n as (select qid, jg, count(*) filter (where rel >= 1) as r from qrels_jg where qid in (select qid from run) group by qid, jg),
+h as (select qid, jg, i, row_number() over (partition by qid, jg order by i) as j from k join qrels_jg using (qid, docno) where rel >= 1),
+ap as (select n.qid, n.jg, coalesce(sum(h.j / h.i) / nullif(any_value(n.r), 0), 0) as v from n left join h on h.qid = n.qid and h.jg = n.jg group by n.qid, n.jg),
+xs as (select qid, jg, unnest([5, 10, 15, 20, 30, 100, 200, 500, 1000]) as x from n),
+p as (select xs.qid, xs.jg, xs.x, count(h.i) / xs.x as v from xs left join h on h.qid = xs.qid and h.jg = xs.jg and h.i <= xs.x group by xs.qid, xs.jg, xs.x),
+rm as (select qid, jg, m.x, floor(m.x * r + 0.9) as t from n, (select unnest([0.2, 0.4, 0.6, 0.8, 1.0, 1.2, 1.4, 1.6, 1.8, 2.0]) as x) m),
+rp as (select rm.qid, rm.jg, rm.x, coalesce(count(h.i) / nullif(any_value(rm.t), 0), 0) as v from rm left join h on h.qid = rm.qid and h.jg = rm.jg and h.i <= rm.t group by rm.qid, rm.jg, rm.x),
+w as (select 'map_avgjg' as measure, qid, avg(v) as v from ap group by qid union all select concat('P_avgjg_', x), qid, avg(v) from p group by qid, x union all select concat('Rprec_mult_avgjg_', printf('%.2f', x)), qid, avg(v) from rp group by qid, x)
+select measure, qid::varchar as qid, round(v::double, 6) as value from w union all select measure, 'all', round(avg(v), 6) from w group by measure union all select 'num_q', 'all', count(distinct qid) from n"""
+
+
+@_register("group_report", with_views(_GROUP_SQL, "run", "qrels_jg"))
+def _group_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = report.evaluation(view(spark, sf_dir, "run"), None, ["qrels_jg"], per_topic=True, qrels_jg=view(spark, sf_dir, "qrels_jg"))
+    return rounded(out.filter("value is not null").select("measure", "qid", "value"), "measure", "qid")
+
+
 # --- graded evaluation ---------------------------------------------------------------------------------------------------------
 
 
@@ -270,11 +290,9 @@ ar as (select e.*, x.place as i, y.place as j, x.k, case when greatest(x.place,
  from e join pl x on e.qid = x.qid and e.better = x.docno join pl y on e.qid = y.qid and e.worse = y.docno)"""
 
 
-@_register(
-    "preferences",
-    with_views(
-        _PREF_SQL
-        + """,
+_PREF_TABLE = with_views(
+    _PREF_SQL
+    + """,
 t as (select qid, count(*)::double as prefs_num_prefs_poss, sum(case when area <> 'none' then ful else 0 end)::double as prefs_num_prefs_ful, sum(case when area = 'ret' then ful else 0 end)::double as prefs_num_prefs_ful_ret,
  coalesce(sum(ful) / count(*), 0) as prefs_simp, coalesce(sum(ful) filter (where area = 'ret') / nullif(count(*) filter (where area = 'ret'), 0), 0) as prefs_simp_ret, coalesce(sum(ful) filter (where area <> 'none') / nullif(count(*) filter (where area <> 'none'), 0), 0) as prefs_simp_imp from ar group by qid),
 p0 as (select qid, least(better, worse) as x, greatest(better, worse) as y, area, avg(ful) as s from ar group by all),
@@ -287,9 +305,11 @@ select n.qid, coalesce(prefs_num_prefs_poss, 0) as prefs_num_prefs_poss, coalesc
  round(coalesce(prefs_pair, 0), 6) as prefs_pair, round(coalesce(prefs_pair_ret, 0), 6) as prefs_pair_ret, round(coalesce(prefs_pair_imp, 0), 6) as prefs_pair_imp,
  round(coalesce(a, 0) / jgs, 6) as prefs_avgjg, round(coalesce(r, 0) / jgs, 6) as prefs_avgjg_ret, round(coalesce(i, 0) / jgs, 6) as prefs_avgjg_imp
 from n left join t on n.qid = t.qid left join p on n.qid = p.qid left join g on n.qid = g.qid""",
-        "prun", "prefs",
-    ).replace("e as (select * from d0)", "e as (with recursive c as (select * from d0 union select c.qid, c.jg, c.better, d.worse from c join d0 d on c.qid = d.qid and c.jg = d.jg and c.worse = d.better) select * from c)"),
-)
+    "prun", "prefs",
+).replace("e as (select * from d0)", "e as (with recursive c as (select * from d0 union select c.qid, c.jg, c.better, d.worse from c join d0 d on c.qid = d.qid and c.jg = d.jg and c.worse = d.better) select * from c)")
+
+
+@_register("preferences", _PREF_TABLE)
 def _preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(preferences.preference_measures(view(spark, sf_dir, "prun"), view(spark, sf_dir, "prefs")), "qid")
 
@@ -301,6 +321,19 @@ def _balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(preferences.balanced(run, prefs, given=given).join(preferences.balanced(run, prefs, retrieved=True, given=given), "qid"), "qid")
 
 
+_PREF_NAMES = ("prefs", *(f"prefs_{x}_{s}" for x in ("simp", "pair", "avgjg") for s in ("ret", "imp")))
+_PREF_REPORT_SQL = f"""with v as ({_PREF_TABLE}),
+w as (unpivot v on columns(* exclude (qid)) into name measure value value)
+select measure, qid::varchar as qid, value from w union all select measure, 'all', round(case when measure like 'prefs_num_%' then sum(value) else avg(value) end, 4) from w group by measure union all select 'num_q', 'all', count(*) from v"""
+
+
+@_register("preference_report", _PREF_REPORT_SQL)
+def _preference_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = report.evaluation(view(spark, sf_dir, "prun"), None, _PREF_NAMES, per_topic=True, prefs=view(spark, sf_dir, "prefs")).filter("value is not null")
+    # the SQL averages values that are rounded already
+    return out.select("measure", "qid", F.when(F.col("qid") == "all", F.round("value", 4)).otherwise(F.round("value", 6)).alias("value"))
+
+
 # --- experiment analytics ------------------------------------------------------------------------------------------------------
 
 _EPOCHS = "select user_id % 5 as setting, dayofmonth(ts) as epoch, round(avg(value), 9) as err from events where user_id % 2 = {0} group by all"
@@ -343,6 +376,64 @@ def _epoch_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "epoch", "qid")
 
 
+def _graded_by_sql(run: str, p: str) -> str:
+    """CTEs {p}v (e, qid, ndcg, err) of a table (e, qid, docno, sim)."""
+    return (
+        _graded_sql(run, p).replace("(select qid, docno, row_number() over (partition by qid order by sim", "(select e, qid, docno, row_number() over (partition by e, qid order by sim")
+        .replace("select qid, rank, rel,", "select e, qid, rank, rel,").replace("over (partition by qid order by rank rows", "over (partition by e, qid order by rank rows")
+        .replace(f"{p}v as (select qid,", f"{p}v as (select e, qid,").replace(f"{p}b using (qid) group by qid)", f"{p}b using (qid) group by e, qid)")
+    )
+
+
+_EPOCH_REPORT = f"""r as (select okey % 4 as e, qid, docno, sim2 as sim from pairs),
+{_graded_by_sql('r', 'g')},
+k as (select e, qid, docno, row_number() over (partition by e, qid order by sim desc, docno desc) as i from r where qid in (select qid from qrels)),
+h as (select e, qid, i, row_number() over (partition by e, qid order by i) as j from k join qrels using (qid, docno) where rel >= 1),
+n as (select qid, count(*) as r from qrels where rel >= 1 group by qid),
+a as (select t.e, t.qid, coalesce(sum(h.j / h.i) / nullif(any_value(n.r), 0), 0) as ap from (select distinct e, qid from k) t left join h on h.e = t.e and h.qid = t.qid left join n on n.qid = t.qid group by t.e, t.qid)
+select x.e::int as epoch, round(ndcg, 6) as ndcg, round(err, 6) as err, round(ap, 6) as map from (select e, avg(ndcg) as ndcg, avg(err) as err from gv group by e) x join (select e, avg(ap) as ap from a group by e) y on x.e = y.e"""
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "pairs").select((F.col("okey") % 4).cast("int").alias("epoch"), "qid", "docno", F.col("sim2").alias("sim"))
+
+
+@_register("epoch_report", with_views(_EPOCH_REPORT, "qrels"))
+def _epoch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(analytics.epoch_report(_predictions(spark, sf_dir), view(spark, sf_dir, "qrels")), "epoch")
+
+
+@_register("epochs_resumed", with_views(_EPOCH_REPORT, "qrels"))
+def _epochs_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two calls: the first has half of the epochs, the second all of them and evaluates the others."""
+    path = f"{shared_folder(spark)}/rankloom-epochs-{uuid.uuid4().hex[:12]}"
+    predictions, qrels = _predictions(spark, sf_dir).withColumn("setting", F.lit(0)), view(spark, sf_dir, "qrels")
+    analytics.resume_epochs(predictions.filter("epoch < 2"), qrels, path)
+    return rounded(analytics.resume_epochs(predictions, qrels, path).drop("setting"), "epoch")
+
+
+_COMPARISON_SQL = f"""r1 as (select okey % 4 as e, qid, docno, sim from pairs), r2 as (select okey % 4 as e, qid, docno, sim2 as sim from pairs),
+{_graded_by_sql('r1', 'ga')},
+{_graded_by_sql('r2', 'gb')},
+l as (select 'err' as measure, gav.e, gav.qid, gav.err as x, gbv.err as y from gav join gbv on gav.e = gbv.e and gav.qid = gbv.qid union all select 'ndcg', gav.e, gav.qid, gav.ndcg, gbv.ndcg from gav join gbv on gav.e = gbv.e and gav.qid = gbv.qid),
+m as (select measure, e, avg(x) as mean, avg(y) as rr_mean, count(*)::double as n, avg(x - y) / (stddev_samp(x - y) / sqrt(count(*))) as t from l group by measure, e),
+h as (select measure, e, n, t, abs(t) / 20000 as h from m),
+i as (select *, unnest(range(0, 20001)) as i from h),
+f as (select measure, e, n, sum((case when i = 0 or i = 20000 then 1 when i % 2 = 1 then 4 else 2 end) * pow(1 + (i * h) * (i * h) / (n - 1), -n / 2)) * max(h) / 3 as area from i group by measure, e, n)
+select concat('run', m.e) as run, m.measure, round(mean, 6) as score, (1 + (select count(*) from m o where o.measure = m.measure and o.mean > m.mean))::bigint as rank, round(rr_mean, 6) as rr_score,
+ (1 + (select count(*) from m o where o.measure = m.measure and o.e <> m.e and o.mean > m.rr_mean))::bigint as rr_rank, round((rr_mean - mean) / mean * 100, 3) as change,
+ round(1 - 2 * area * exp(lgamma(m.n / 2) - lgamma((m.n - 1) / 2)) / sqrt((m.n - 1) * pi()), 4) as p from m join f on m.measure = f.measure and m.e = f.e"""
+
+
+@_register("comparison_table", with_views(_COMPARISON_SQL, "qrels"))
+def _comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, qrels = view(spark, sf_dir, "pairs"), view(spark, sf_dir, "qrels")
+    runs = [pairs.select(F.concat(F.lit("run"), F.col("okey") % 4).alias("run"), "qid", "docno", F.col(c).alias("sim")) for c in ("sim", "sim2")]
+    out = analytics.comparison_table(*(analytics.graded_by(r, qrels, ("run",)) for r in runs))
+    places = {"score": 6, "rr_score": 6, "change": 3, "p": 4}
+    return out.withColumns({c: F.round(c, n) for c, n in places.items()})
+
+
 @_register("unique_best_epoch", f"with val as ({_EPOCHS.format(0)}), test as ({_EPOCHS.format(1)}) select v.epoch::bigint as epoch, round(v.err, 6) as err_val, round(t.err, 6) as err_test from val v join test t on v.epoch = t.epoch and v.setting = 1 and t.setting = 1 order by v.err desc, v.epoch limit 1")
 def _unique_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").filter("user_id % 5 = 1")

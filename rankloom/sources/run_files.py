@@ -12,8 +12,12 @@ def _fields(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _exactly(df: DataFrame, n: int, what: str) -> DataFrame:
-    checked = F.when(F.size("f") == n, F.col("f")).otherwise(F.raise_error(F.concat(F.lit(f"malformed {what} line: "), F.col("value"))).cast("array<string>"))
-    return df.withColumn("f", checked)
+    return _checked(df, F.size("f") == n, F.concat(F.lit(f"malformed {what} line: "), F.col("value")))
+
+
+def _checked(df: DataFrame, good: Column, message: Column) -> DataFrame:
+    """df, an error where a row isn't good. A filter, so that it holds whichever columns are read later."""
+    return df.filter(F.when(good, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
@@ -27,7 +31,7 @@ def read_qrels_jg(spark: SparkSession, path: str) -> DataFrame:
     f = F.col("f")
     rows = _exactly(_fields(spark, path), 4, "qrels").select(f[0].alias("qid"), f[1].alias("jg"), f[2].alias("docno"), f[3].cast("int").alias("rel"))
     n = F.count("*").over(Window.partitionBy("qid", "jg", "docno"))
-    return rows.withColumn("n", n).withColumn("rel", F.when(F.col("n") == 1, F.col("rel")).otherwise(F.raise_error(F.lit("a document is judged twice in one group")).cast("int"))).drop("n")
+    return _checked(rows.withColumn("n", n), F.col("n") == 1, F.lit("a document is judged twice in one group")).drop("n")
 
 
 def read_prefs(spark: SparkSession, path: str) -> DataFrame:
@@ -52,18 +56,18 @@ def read_run(spark: SparkSession, path: str) -> DataFrame:
 def read_graded_qrels(spark: SparkSession, path: str, most: int = 4) -> DataFrame:
     """Positive judgments; a prefix before the topic number goes, the second field must be 0 and grades at most `most`."""
     f = F.col("f")
-    bad = (f[1] != "0") | (f[3].cast("int") > most)
-    rel = F.when(bad, F.raise_error(F.lit("malformed graded judgment")).cast("int")).otherwise(f[3].cast("int"))
-    return _exactly(_fields(spark, path), 4, "qrels").select(F.regexp_replace(f[0], "^.*-", "").alias("qid"), f[2].alias("docno"), rel.alias("rel")).filter("rel > 0")
+    rows = _checked(_exactly(_fields(spark, path), 4, "qrels"), (f[1] == "0") & (f[3].cast("int") <= most), F.lit("malformed graded judgment"))
+    return rows.select(F.regexp_replace(f[0], "^.*-", "").alias("qid"), f[2].alias("docno"), f[3].cast("int").alias("rel")).filter("rel > 0")
 
 
 def read_graded_run(spark: SparkSession, path: str) -> DataFrame:
     """(qid, docno, sim, run_id): six fields a line, the second Q0, the rank a whole number from 0 on and the score a number, else an error; a document twice in a topic is an error."""
     f = F.col("f")
-    bad = (f[1] != "Q0") | ~f[3].rlike(r"^\d+$") | f[4].try_cast("double").isNull()
-    rows = _exactly(_fields(spark, path), 6, "run").select(F.regexp_replace(f[0], "^.*-", "").alias("qid"), f[2].alias("docno"), F.when(bad, F.raise_error(F.concat(F.lit("malformed run line: "), F.col("value"))).cast("double")).otherwise(f[4].cast("double")).alias("sim"), f[5].alias("run_id"))
-    again = F.count("*").over(Window.partitionBy("qid", "docno")) > 1
-    return rows.withColumn("again", again).withColumn("sim", F.when(F.col("again"), F.raise_error(F.lit("a document is retrieved twice")).cast("double")).otherwise(F.col("sim"))).drop("again")
+    good = (f[1] == "Q0") & f[3].rlike(r"^\d+$") & f[4].try_cast("double").isNotNull()
+    rows = _checked(_exactly(_fields(spark, path), 6, "run"), good, F.concat(F.lit("malformed run line: "), F.col("value")))
+    rows = rows.select(F.regexp_replace(f[0], "^.*-", "").alias("qid"), f[2].alias("docno"), f[4].try_cast("double").alias("sim"), f[5].alias("run_id"))
+    n = F.count("*").over(Window.partitionBy("qid", "docno"))
+    return _checked(rows.withColumn("n", n), F.col("n") == 1, F.lit("a document is retrieved twice")).drop("n")
 
 
 def read_labels(spark: SparkSession, path: str, qids: list[int], include_spam: bool = False) -> DataFrame:
@@ -124,7 +128,7 @@ def write_run(run: DataFrame, path: str, runid: str, digits: int = 10) -> None:
 def measure_lines(values: DataFrame, z: bool = False) -> DataFrame:
     """Lines of (measure, qid, value): counts as whole numbers, the rest with four places."""
     name = F.concat(F.lit("Z" if z else ""), F.col("measure"))
-    whole = F.col("measure").startswith("num_")
+    whole = F.col("measure").rlike("^(prefs_)?num_")
     return values.select(F.when(whole, F.format_string("%-22s\t%s\t%d", name, "qid", F.col("value").cast("bigint"))).otherwise(F.format_string("%-22s\t%s\t%6.4f", name, "qid", F.col("value"))).alias("value"))
 
 
@@ -156,5 +160,5 @@ def write_by_document(rows: DataFrame, path: str, files: int = 16) -> None:
 
 
 def write_by_topic(df: DataFrame, path: str) -> None:
-    """One folder for each topic, in one pass; a topic is up to eight tasks' work."""
-    df.repartition("qid", F.floor(F.rand(7541) * 8)).write.mode("overwrite").partitionBy("qid").parquet(path)
+    """One folder for each topic, in one pass; a topic is up to eight tasks' work, dealt by a hash of the row, so that a task that runs again writes the same rows."""
+    df.repartition("qid", F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("overwrite").partitionBy("qid").parquet(path)
