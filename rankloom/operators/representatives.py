@@ -49,7 +49,7 @@ def training_pairs(labels: DataFrame, n: int, seed: int = 7541) -> DataFrame:
     """n draws (draw, qid, label, positive, negative) with replacement from labels (qid, docno, label >= 0); fewer only if positives have no negative.
 
     A positive is drawn with its label's share of all positives, over the topics by their share of the label, evenly within; its negative is drawn evenly
-    from the topic's next lower label that has documents. Draws whose topic has none give nothing. The same seed gives the same pairs.
+    from the topic's next lower label that has documents. Draws whose topic has none give nothing. The same seed gives the same pairs, in the order of draws.
     """
     levels = labels.groupBy("qid", "label").agg(F.count("*").alias("m"))
     lower = levels.alias("p").join(levels.alias("l"), (F.col("p.qid") == F.col("l.qid")) & (F.col("l.label") < F.col("p.label")))
@@ -72,7 +72,7 @@ def training_pairs(labels: DataFrame, n: int, seed: int = 7541) -> DataFrame:
     numbered = labels.withColumn("pick", F.row_number().over(Window.partitionBy("qid", "label").orderBy("docno")).cast("bigint"))
     positive = numbered.select("qid", "label", "pick", F.col("docno").alias("positive"))
     negative = numbered.select("qid", F.col("label").alias("low"), F.col("pick").alias("low_pick"), F.col("docno").alias("negative"))
-    return drawn.join(positive, ["qid", "label", "pick"]).join(negative, ["qid", "low", "low_pick"]).select("draw", "qid", "label", "positive", "negative")
+    return drawn.join(positive, ["qid", "label", "pick"]).join(negative, ["qid", "low", "low_pick"]).select("draw", "qid", "label", "positive", "negative").orderBy("draw")
 
 
 def scorer_weights(grams: int = 3, filters: int = 4, kmax: int = 3, dense: int = 8, rows: int = 4, seed: int = 7541) -> dict:
