@@ -4,7 +4,7 @@ Each text is scanned as it stands. Then its encoded layers (percent encoding, Un
 are unwrapped one after another until nothing new comes up; every layer is scanned again, and what is found is mapped back to
 the code points of the original text that encode it. A layer that was seen before at the same place is not opened twice, so cycles end;
 equal layers at several places are each mapped. Compressed data is read whole, all its members, in pieces; base64 that is wrapped over lines is
-joined first.
+joined first. A run that as a whole is no text is decoded from each of its first four characters, for text behind other letters or bytes, and in UTF-16.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from html.entities import html5
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,14 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|%u([0-9A-Fa-f]{4})|&([A-Za-z][A-Za-z0-9]{1,31};)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: base64 over several lines; each line is a _RUN.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)++={0,2}")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Stretches of bytes that may hold a secret, the shortest of which has 12 characters: ASCII, or UTF-16 of either byte order.
+_STRETCH = re.compile(rb"[\t\n\r -~]{12,}|(?:[\t\n\r -~]\0){12,}|(?:\0[\t\n\r -~]){12,}")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
 #: Behind these no match and no encoded run goes on: a character that none of them has, or a blank between two words.
 _CUT = re.compile(r"[^A-Za-z0-9+/_.=:\"'%\\&#;{}\s-]|(?<=[A-Za-z0-9.]) (?=[A-Za-z])")
 #: Inflated text without such a place is held back up to so many characters, then parted with an overlap of _OVERLAP.
@@ -163,10 +167,14 @@ def _unpercent(layer: Layer, limit: int) -> Iterator[Layer]:
 
 
 def _unescape(layer: Layer) -> Iterator[Layer]:
-    if "\\" not in layer.text and "&#" not in layer.text:
+    if not any(mark in layer.text for mark in ("\\", "&", "%u")):
         return
     pieces = []
     for m in _ESCAPE.finditer(layer.text):
+        if m[8]:
+            if m[8] in html5:
+                pieces.append((m.start(), m.end(), html5[m[8]]))
+            continue
         code = int(m[6]) if m[6] else int(next(g for g in m.groups() if g), 16)
         if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000:
             pieces.append((m.start(), m.end(), chr(code)))
@@ -206,7 +214,8 @@ def _unbase64(layer: Layer, limit: int) -> Iterator[Layer]:
             continue
         s, e = (np.concatenate(x) for x in zip(*(layer.ranges(a, b) for a, b in lines), strict=True))
         if _opener(data) is None:
-            yield from _plain(data, s, e)
+            text = _plain(data, s, e)
+            yield from [text] if text else _stretches(data, s, e)
             continue
         first = True
         for inner in _whole(layer, lines[0][0], lines[-1][1], data, limit):
@@ -221,14 +230,42 @@ def _unbase64(layer: Layer, limit: int) -> Iterator[Layer]:
             at += 1
         if at < len(inside) and inside[at][0] <= m.start():  # a line of compressed data is no layer by itself
             continue
-        if (data := _bytes(m[0])) is None:
-            continue
+        if (data := _bytes(m[0])) is not None:
+            opened = False
+            for inner in _whole(layer, m.start(), m.end(), data, limit):
+                opened = True
+                yield inner
+            if opened:
+                continue
+            if text := _plain(data, *layer.ranges(m.start(), m.end())):
+                yield text
+                continue
+        yield from _realigned(layer, m.start(), m.end(), limit)
+
+
+def _realigned(layer: Layer, a: int, b: int, limit: int) -> Iterator[Layer]:
+    """The run from a to b decoded from each of its first four characters, since what stands before the encoded part may be of the same letters."""
+    for k in range(a, min(a + 4, b)):
+        run = layer.text[k:b].rstrip("=")
+        data = _bytes(run[: len(run) - (len(run) % 4 == 1)])
         opened = False
-        for inner in _whole(layer, m.start(), m.end(), data, limit):
-            opened = True
-            yield inner
+        for m in _MAGIC.finditer(data):
+            for inner in _whole(layer, k + m.start() * 4 // 3, b, data[m.start() :], limit):
+                opened = True
+                yield inner
+            if opened:  # the streams behind it are read with it
+                break
         if not opened:
-            yield from _plain(data, *layer.ranges(m.start(), m.end()))
+            yield from _stretches(data, *layer.ranges(k, b))
+
+
+def _stretches(data: bytes, s: np.ndarray, e: np.ndarray) -> Iterator[Layer]:
+    """The stretches of ASCII or UTF-16 in bytes that as a whole are no text; s and e are the places of the base64 characters."""
+    for m in _STRETCH.finditer(data):
+        wide = 0 in m[0][:2]
+        at = np.arange(m.start(), m.end() + 1, 1 + wide)
+        last = np.minimum(-(-at[1:] * 4 // 3), len(s)) - 1
+        yield Layer(m[0].replace(b"\0", b"").decode("ascii"), s[at[:-1] * 4 // 3], e[last])
 
 
 def _bytes(run: str) -> bytes | None:
@@ -236,18 +273,18 @@ def _bytes(run: str) -> bytes | None:
     return None if len(body) % 4 == 1 else base64.b64decode(body + "=" * (-len(body) % 4))
 
 
-def _plain(data: bytes, s: np.ndarray, e: np.ndarray) -> Iterator[Layer]:
+def _plain(data: bytes, s: np.ndarray, e: np.ndarray) -> Layer | None:
     """Decoded base64 as a text, if it is one; s and e are the places of the base64 characters."""
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
-        return
-    if sum(c.isprintable() or c in "\t\r\n" for c in text) < 0.9 * len(text):
-        return
+        return None
+    if not text or sum(c.isprintable() or c in "\t\r\n" for c in text) < 0.9 * len(text):
+        return None
     at = np.concatenate(([0], np.cumsum([len(c.encode()) for c in text]))) if not text.isascii() else np.arange(len(text) + 1)
     first = at[:-1] * 4 // 3
     last = np.minimum(-(-at[1:] * 4 // 3), len(s)) - 1
-    yield Layer(text, s[first], e[last])
+    return Layer(text, s[first], e[last])
 
 
 def _layers(layer: Layer, limit: int) -> Iterator[Layer]:

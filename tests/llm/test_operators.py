@@ -10,6 +10,7 @@ import itertools
 import lzma
 import math
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -233,6 +234,28 @@ def test_secrets_at_every_place():
     assert len(secrets.find(f"{nested} {nested}")[1]) == 4
 
 
+def test_secrets_behind_other_letters_and_bytes():
+    secret = "password=hunter22 "
+    plain, packed = (base64.b64encode(x).decode().rstrip("=") for x in (secret.encode(), gzip.compress(secret.encode(), mtime=0)))
+    for before in ("", "a/", "x-", "ab_", "a", "abc", "path/to/", "v1-x_y/"):
+        for block in (plain, packed):
+            text = f"see {before}{block} there"
+            spans = secrets.find(text)[1]
+            assert spans, text
+            at = 4 + len(before)
+            assert all(4 <= a < at + 4 and b > at for a, _, b in spans), (text, spans)
+            if block == plain and before:
+                assert plain not in secrets.redacted(text, spans)
+    for data in (b"\x00\xff\x80" + secret.encode(), secret.encode("utf-16"), secret.encode("utf-16-be"), secret.encode() + b"\xfe\x01" * 40):
+        text = f"see {base64.b64encode(data).decode()} there"
+        assert [k for _, k, _ in secrets.find(text)[1]] == [0], data
+    lines = "\n".join(textwrap.wrap(base64.b64encode(b"\x00\xff\x80" + b"word " * 30 + secret.encode()).decode(), 64))
+    assert len(secrets.find(f"{lines}\n")[1]) == 1
+    for text in ("%u0070assword=hunter22", "password&equals;hunter22", "password&colon;&quot;hunter22&quot;", "token&NotEqualTilde;&equals;hunter22"):
+        assert len(secrets.find(text)[1]) == ("NotEqual" not in text), text
+    assert secrets.find("the internationalisation/of-interoperability_of long/paths/of/words and R&D; &unknown;")[1] == []
+
+
 def test_secrets_in_whole_streams():
     rng = np.random.default_rng(3)
     filler = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 3000))
