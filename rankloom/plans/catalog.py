@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..operators import analytics, extraction, graded, measures, preferences, report, representatives, scorer, word_vectors
 from ..operators.ranked import ranked
 from ..operators.shared import shared_folder
-from ..sources import run_files
+from ..sources import run_files, sequence
 from ..streaming import monitor
 from .views import semantic, table, view, with_views
 
@@ -637,6 +637,15 @@ def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", T.sparse_vector(entries).alias("vector"))
 
 
+@_register("sequence_documents", "select doc_id, octet_length(encode(coalesce(text, '')))::bigint as n_bytes, sha256(coalesce(text, '')) as sha256 from documents")
+def _sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as SequenceFiles of compressed blocks and read back in ranges."""
+    path = f"{shared_folder(spark)}/rankloom-sequence-{uuid.uuid4().hex[:12]}"
+    sequence.write_sequence(table(spark, sf_dir, "documents"), path, "doc_id", "text")
+    rows = sequence.read_sequence(spark, path, split_bytes=4 << 20)
+    return rows.select(F.expr("try_cast(key as bigint)").alias("doc_id"), F.octet_length("value").cast("bigint").alias("n_bytes"), F.sha2("value", 256).alias("sha256"))
+
+
 # --- arrays and matrices -------------------------------------------------------------------------------------------------------
 
 

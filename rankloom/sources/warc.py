@@ -9,7 +9,7 @@ from __future__ import annotations
 import io
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -189,6 +189,17 @@ def read_warc(spark: SparkSession, path: str, glob: str = "*.warc*", split_bytes
     return found.repartition(tasks).mapInArrow(run, SCHEMA)
 
 
+def file_ranges(path: str, step: int, wanted: Callable[[str], bool]) -> list[tuple[str, int, int]]:
+    """(path, start, stop) of a file, or of all files below a folder whose names are wanted."""
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    info = store.get_file_info(name)
+    files = [info] if info.is_file else [x for x in store.get_file_info(fs.FileSelector(name, recursive=True)) if x.is_file and wanted(x.base_name)]
+    scheme = path.split("://")[0] + "://" if "://" in path else "file://"
+    return [(f"{scheme}{x.path}", a, min(a + step, x.size)) for x in files for a in range(0, x.size, step)]
+
+
 def register(spark: SparkSession) -> None:
     """Makes spark.read.format("warc").option("splitBytes", n).load(path) read the files that pyarrow's file systems find under path."""
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -198,13 +209,9 @@ def register(spark: SparkSession) -> None:
             self.path, self.step = options["path"], int(options.get("splitBytes", 64 << 20))
 
         def partitions(self):
-            from pyarrow import fs
+            from rankloom.sources import warc
 
-            store, name = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
-            info = store.get_file_info(name)
-            files = [info] if info.is_file else [x for x in store.get_file_info(fs.FileSelector(name, recursive=True)) if x.is_file and ".warc" in x.base_name]
-            scheme = self.path.split("://")[0] + "://" if "://" in self.path else "file://"
-            return [InputPartition((f"{scheme}{x.path}", a, min(a + self.step, x.size))) for x in files for a in range(0, x.size, self.step)]
+            return [InputPartition(r) for r in warc.file_ranges(self.path, self.step, lambda name: ".warc" in name)]
 
         def read(self, partition):
             from rankloom.sources import warc
