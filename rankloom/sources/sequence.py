@@ -7,8 +7,11 @@ So a file's size decides how many tasks read it, and a task holds one record, or
 from __future__ import annotations
 
 import bz2
+import gzip
 import io
+import itertools
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -187,19 +190,62 @@ def read_sequence(spark: SparkSession, path: str, glob: str = "*", split_bytes:
     return found.repartition(tasks).mapInArrow(run, SCHEMA)
 
 
-def write_sequence(df: DataFrame, path: str, key: str | Column, value: str | Column, codec: str | None = "org.apache.hadoop.io.compress.DefaultCodec", blocks: bool = True) -> None:
-    """Writes keys as Text and values as BytesWritable, a file for each partition; a null key or value becomes empty. Without a codec nothing is compressed."""
+#: Codecs that are written, by the names of Hadoop's classes.
+_PACK: dict[str, tuple[str, Callable[[bytes], bytes]]] = {"zlib": ("DefaultCodec", zlib.compress), "gzip": ("GzipCodec", gzip.compress), "bzip2": ("BZip2Codec", bz2.compress)}
+#: Bytes of keys and values that a block of records is closed at.
+BLOCK_BYTES = 1 << 20
+
+
+def _vint(n: int) -> bytes:
+    if n <= 127:
+        return bytes([n])
+    digits = n.to_bytes((n.bit_length() + 7) // 8, "big")
+    return struct.pack("b", -112 - len(digits)) + digits
+
+
+def _write(out, rows: Iterator[tuple[bytes, bytes]], codec: str, mark: bytes) -> None:
+    """A file of compressed blocks, keys as Text and values as BytesWritable."""
+    name, pack = _PACK[codec]
+
+    def text(s: str) -> bytes:
+        return _vint(len(s)) + s.encode()
+
+    hadoop = "org.apache.hadoop.io."
+    out.write(b"SEQ\x06" + text(f"{hadoop}Text") + text(f"{hadoop}BytesWritable") + b"\x01\x01" + text(f"{hadoop}compress.{name}") + bytes(4) + mark)
+    keys, values, held = [], [], 0
+
+    def close() -> None:
+        parts = (b"".join(_vint(len(x)) for x in keys), b"".join(keys), b"".join(_vint(len(x)) for x in values), b"".join(values))
+        out.write(_ESCAPE + mark + _vint(len(keys)))
+        for part in map(pack, parts):
+            out.write(_vint(len(part)) + part)
+
+    for key, value in rows:
+        keys.append(_vint(len(key)) + key)
+        values.append(struct.pack(">i", len(value)) + value)
+        held += len(key) + len(value)
+        if held >= BLOCK_BYTES:
+            close()
+            keys, values, held = [], [], 0
+    if keys:
+        close()
+
+
+def write_sequence(df: DataFrame, path: str, key: str | Column, value: str | Column, codec: str = "zlib") -> None:
+    """Writes keys as Text and values as BytesWritable in compressed blocks (zlib, gzip or bzip2), a file for each partition that has rows; a null key or value becomes empty.
+
+    Attempts write below a hidden folder, and only files of tasks that succeeded are moved into path, so a retried or lost task leaves no row twice.
+    """
+    register(df.sparkSession)
     key, value = (F.col(c) if isinstance(c, str) else c for c in (key, value))
-    rows = df.select(F.coalesce(key.cast("string"), F.lit("")), F.coalesce(value.cast("binary"), F.lit("").cast("binary")))
-    prefix = "mapreduce.output.fileoutputformat.compress"
-    conf = {prefix: str(codec is not None).lower(), f"{prefix}.type": "BLOCK" if blocks else "RECORD"} | ({f"{prefix}.codec": codec} if codec else {})
-    hadoop = "org.apache.hadoop."
-    rows.rdd.map(lambda r: (r[0], bytearray(r[1]))).saveAsNewAPIHadoopFile(path, f"{hadoop}mapreduce.lib.output.SequenceFileOutputFormat", f"{hadoop}io.Text", f"{hadoop}io.BytesWritable", conf=conf)
+    rows = df.select(F.coalesce(key.cast("string"), F.lit("")).alias("key"), F.coalesce(value.cast("binary"), F.lit("").cast("binary")).alias("value"))
+    rows.write.format("sequencefile").mode("append").option("codec", codec).save(path)
 
 
 def register(spark: SparkSession) -> None:
-    """Makes spark.read.format("sequencefile").option("splitBytes", n).load(path) read the files that pyarrow's file systems find under path."""
-    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+    """Makes spark.read.format("sequencefile").option("splitBytes", n).load(path) read the files that pyarrow's file systems find under path, and
+    df.write.format("sequencefile").mode("append").option("codec", c).save(path) add (key, value) rows to them."""
+    from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
     class Reader(DataSourceReader):
         def __init__(self, options):
@@ -215,6 +261,51 @@ def register(spark: SparkSession) -> None:
 
             yield from sequence._batches(sequence.records(*partition.value))
 
+    @dataclass
+    class Written(WriterCommitMessage):
+        name: str | None
+
+    class Writer(DataSourceArrowWriter):
+        def __init__(self, options):
+            self.path, self.codec = options["path"].rstrip("/"), options.get("codec", "zlib")
+            self.job = uuid.uuid4().hex[:12]
+            if self.codec not in _PACK:
+                raise ValueError(f"codec {self.codec} isn't written; one of {', '.join(_PACK)} is")
+
+        def _folder(self):
+            from rankloom.sources import warc
+
+            store, name = warc.file_system(self.path)
+            return store, name, f"{name}/_writing-{self.job}"
+
+        def write(self, iterator):
+            from rankloom.sources import sequence
+
+            rows = ((k.encode(), v) for b in iterator for k, v in zip(b["key"].to_pylist(), b["value"].to_pylist(), strict=True))
+            if (first := next(rows, None)) is None:
+                return Written(None)
+            store, _, hidden = self._folder()
+            store.create_dir(hidden, recursive=True)
+            mark = uuid.uuid4()
+            with store.open_output_stream(f"{hidden}/{mark.hex}") as out:
+                sequence._write(out, itertools.chain([first], rows), self.codec, mark.bytes)
+            return Written(mark.hex)
+
+        def commit(self, messages):
+            store, name, hidden = self._folder()
+            store.create_dir(hidden, recursive=True)
+            for i, m in enumerate(messages):
+                if m is not None and m.name:
+                    store.move(f"{hidden}/{m.name}", f"{name}/part-{i:06d}-{m.name}.seq")
+            store.delete_dir(hidden)
+
+        def abort(self, messages):
+            from pyarrow import fs
+
+            store, _, hidden = self._folder()
+            if store.get_file_info(hidden).type == fs.FileType.Directory:
+                store.delete_dir(hidden)
+
     class Source(DataSource):
         @classmethod
         def name(cls):
@@ -226,4 +317,9 @@ def register(spark: SparkSession) -> None:
         def reader(self, schema):
             return Reader(self.options)
 
+        def writer(self, schema, overwrite):
+            if overwrite:
+                raise ValueError("SequenceFiles are added to a folder (mode append), never replaced")
+            return Writer(self.options)
+
     spark.dataSource.register(Source)

@@ -83,10 +83,15 @@ class _Plain(io.RawIOBase):
         return len(data)
 
 
-def _open(path: str):
+def file_system(path: str):
+    """The file system of a path or URI, and the path's name there."""
     from pyarrow import fs
 
-    store, name = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if re.match(r"[\w+.-]+:/", path) else f"file://{path}")
+
+
+def _open(path: str):
+    store, name = file_system(path)
     return store.open_input_file(name)
 
 
@@ -193,7 +198,7 @@ def file_ranges(path: str, step: int, wanted: Callable[[str], bool]) -> list[tup
     """(path, start, stop) of a file, or of all files below a folder whose names are wanted."""
     from pyarrow import fs
 
-    store, name = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    store, name = file_system(path)
     info = store.get_file_info(name)
     files = [info] if info.is_file else [x for x in store.get_file_info(fs.FileSelector(name, recursive=True)) if x.is_file and wanted(x.base_name)]
     scheme = path.split("://")[0] + "://" if "://" in path else "file://"
