@@ -361,16 +361,18 @@ def scan(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with secrets replaced in text, and n_chars (if there is one) to match; the other columns and all rows stay."""
+    """docs with secrets replaced in text, and n_chars (if there is one) to match; the other columns, whatever their names, and all rows stay."""
+    names = docs.columns
+    place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text in b["text"].to_pylist():
+            for text in b.column(place).to_pylist():
                 found = find(text)[1] if text else []
                 texts.append(redacted(text, found) if found else text)
-            out = dict(zip(b.schema.names, b.columns, strict=True)) | {"text": pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+            yield pa.RecordBatch.from_arrays([*b.columns[:place], pa.array(texts, pa.string()), *b.columns[place + 1 :]], names=names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    # mapInArrow looks columns up by name, which fails for names with a dot
+    out = docs.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
