@@ -20,22 +20,38 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each group of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles."""
+    """One row for each group of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles.
+
+    The smallest doc_id stays, a null id only where the group has no other; ties go by a hash of the row. Rows that repeat both id and text are one.
+    Null, empty and blank texts have no shingles, link with nothing and stay. Columns of any name are passed on. An empty table stays empty.
+    """
     return set_join.one_per_component(docs, k=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that leak no benchmark item."""
+    """The documents that leak no benchmark item.
+
+    A row is told by its whole text alone: equal texts stay or go together, whatever their ids, and null, empty and blank texts stay. Items without
+    words leak nowhere; with an empty benchmark all rows stay. Columns of any name are passed on. An empty table stays empty.
+    """
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts replaced."""
+    """All documents, with the secrets in their texts replaced, and n_chars to match.
+
+    Every row stays as often as it is there, null ids too; null texts stay null and empty ones empty. Columns of any name are passed on. An empty table
+    stays empty.
+    """
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's pieces with their bucket, batch and slot."""
+    """Each document's pieces with their bucket, batch and slot, in place of the columns of documents.
+
+    Texts of any length are cut into pieces, none is dropped. Null, empty and blank texts give no piece, repeated rows and null ids their own. Other columns
+    are left out. An empty table gives no piece.
+    """
     return packing.pack(docs)
 
 
