@@ -6,6 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x as a double with so many places, halves away from 0; a negative x that becomes 0 keeps its sign, as -0.0, which F.round drops."""
+    x = x.cast("double")
+    r = F.round(x, places)
+    return F.when(r == 0, F.signum(x) * 0.0).otherwise(r)
+
+
 def column_max(matrix: Column) -> Column:
     """The largest value of each column."""
     return F.aggregate(F.slice(matrix, F.lit(2), F.greatest(F.size(matrix) - 1, F.lit(0))), matrix[0], lambda a, r: F.zip_with(a, r, lambda x, y: F.greatest(x, y)))
