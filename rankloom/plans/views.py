@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: One row for each (topic, document): the line items of a supplier group, aggregated since their keys repeat.
 PAIRS = """select l_suppkey % 50 as qid, concat('D', cast(l_orderkey as varchar(20)), '-', cast(l_partkey as varchar(20))) as docno, l_orderkey as okey, l_partkey as pkey,
@@ -52,15 +51,3 @@ def with_views(sql: str, *names: str) -> str:
     """sql behind the CTEs of the views it needs; sql may begin with further CTEs, each ended by a comma."""
     ctes = [f"{n} as ({VIEWS[n]})" for n in ("pairs", "ordered", *names)]
     return "with " + ",\n".join(ctes) + ",\n" + sql
-
-
-def semantic(spark: SparkSession, sf_dir: str, block: int = 256) -> tuple[DataFrame, DataFrame]:
-    """A run and judgments from embeddings: vectors whose id is divisible by 100 are topics, set against all others in blocks of topics; similarity is the dot
-    product, relevant is an equal label."""
-    e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("ql"), F.expr(f"vec_id div {100 * block}").alias("block"))
-    blocks = q.select("block").distinct()
-    pairs = e.withColumn("blocks", F.lit([r[0] for r in blocks.collect()])).withColumn("block", F.explode("blocks")).join(q, "block").filter("vec_id <> qid")
-    dot = F.expr("aggregate(zip_with(embedding, q, (x, y) -> cast(x as double) * cast(y as double)), cast(0 as double), (a, x) -> a + x)")
-    rows = pairs.select("qid", F.concat(F.lit("V"), F.col("vec_id")).alias("docno"), dot.alias("sim"), (F.col("label") == F.col("ql")).cast("int").alias("rel"))
-    return rows.select("qid", "docno", "sim"), rows.select("qid", "docno", "rel")
