@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.shared import stored
+
 #: One row for each (topic, document): the line items of a supplier group, aggregated since their keys repeat.
 PAIRS = """select l_suppkey % 50 as qid, concat('D', cast(l_orderkey as varchar(20)), '-', cast(l_partkey as varchar(20))) as docno, l_orderkey as okey, l_partkey as pkey,
  cast(max(l_extendedprice) as float) as sim, cast(max(l_discount) as float) as sim2, max(l_linenumber) as line, max(l_linenumber) % 3 as jgn, max(l_quantity) as qty, max(l_tax) as tax
@@ -43,6 +47,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return sql(_PREFS_ONCE if name == "prefs" else VIEWS[name], **{base: sql(VIEWS[base], lineitem=lineitem)})
 
 
+def views(spark: SparkSession, sf_dir: str, *names: str, more: tuple[str, ...] = ()) -> list[DataFrame]:
+    """Views of pairs by name (pairs itself: qid, docno and the columns in more), for what reads them several times: the line items are aggregated once, into a stored table of the columns in use."""
+    used = " ".join([*(VIEWS[n] for n in names if n != "pairs"), "qid docno", *more])
+    pairs = view(spark, sf_dir, "pairs")
+    pairs = stored(pairs.select(*(c for c in pairs.columns if re.search(rf"\b{c}\b", used))), "pairs")
+    return [pairs if n == "pairs" else spark.sql(VIEWS[n].replace("from pairs", "from {pairs}"), pairs=pairs) for n in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
