@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranked import ideal, ranked
+from .ranked import ideal, ranked, running
 
 LN2 = "ln(cast(2 as double))"
 CUTOFFS = (5, 10, 15, 20, 30, 100, 200, 500, 1000)
@@ -120,17 +120,14 @@ def with_ideal(rows: DataFrame, qrels: DataFrame, ks: Iterable[int] = CUTOFFS) -
 
 def with_positions(rows: DataFrame, qrels: DataFrame) -> DataFrame:
     """The ideal list beside the actual one, position by position; late: sum of 1 / ideal DCG over boundaries behind the last rank."""
-    from pyspark.sql import Window
-
     best = ideal(qrels)
     n = rows.groupBy("qid").agg(F.max("num_ret").alias("n"))
     edge = F.col("ideal") != F.col("ideal_next")
     total = best.join(n, "qid").groupBy("qid").agg(
         F.max("ideal_dcg").alias("ideal_total"), F.max("ideal_cost").alias("all_cost"), F.sum("ideal").alias("ideal_gain"), F.max("pos").alias("last"), F.count_if(edge).alias("edges"), F.sum(F.when(edge & (F.col("pos") > F.col("n")), 1 / F.col("ideal_dcg"))).alias("late")
     )
-    w = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("gain", F.greatest(F.col("rel"), F.lit(0)).cast("double"))
-    rows = rows.withColumn("dcg", F.sum(F.col("gain") * F.ln(F.lit(2.0)) / F.ln(F.col("rank") + 1.0)).over(w)).withColumn("cumgain", F.sum("gain").over(w))
+    rows = running(rows, dcg=F.col("gain") * F.ln(F.lit(2.0)) / F.ln(F.col("rank") + 1.0), cumgain=F.col("gain"))
     return (
         rows.join(best.withColumnRenamed("pos", "rank"), ["qid", "rank"], "left")
         .join(total, "qid", "left")
@@ -142,13 +139,14 @@ def with_positions(rows: DataFrame, qrels: DataFrame) -> DataFrame:
 def evaluate(run: DataFrame, qrels: DataFrame, families: Iterable[str] = ("counts", "average", "cutoffs"), level: int = 1, judged_only: bool = False, top: int | None = None, complete: bool = False, exprs: dict[str, str] | None = None) -> DataFrame:
     """(qid, measure...) for the topics in both inputs; complete adds topics that the run misses, with zeros. exprs: expressions by name in place of families."""
     families = list(families) if exprs is None else []
-    rows = ranked(run, qrels, level, judged_only, top)
     exprs = {k: v for f in families for k, v in FAMILIES[f](level).items()} if exprs is None else exprs
     used = " ".join(exprs.values())
+    by_position = "idcg" in used or "cumgain" in used  # of all other expressions, documents outside the pool change nothing
+    rows = ranked(run, qrels, level, judged_only, top, docs=False, pooled=not by_position)
     cuts = sorted({int(k) for k in re.findall(r"ideal_(\d+)", used)})
     if "ideal_total" in used or cuts:
         rows = with_ideal(rows, qrels, cuts)
-    if "idcg" in used or "cumgain" in used:
+    if by_position:
         rows = with_positions(rows.drop("ideal_total"), qrels)  # it brings its own
     keys = ["qid", "num_ret", "num_rel", "num_nonrel", "num_gain"]
     out = rows.groupBy(*keys).agg(*(F.expr(f"coalesce({v}, 0)").alias(f"m_{k}") for k, v in exprs.items() if v not in keys))
