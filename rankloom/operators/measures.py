@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranked import ideal, ranked, running
+from .ranked import ideal, ranked, ranked_groups, running
 
 LN2 = "ln(cast(2 as double))"
 CUTOFFS = (5, 10, 15, 20, 30, 100, 200, 500, 1000)
@@ -148,7 +148,11 @@ def evaluate(run: DataFrame, qrels: DataFrame, families: Iterable[str] = ("count
         rows = with_ideal(rows, qrels, cuts)
     if by_position:
         rows = with_positions(rows.drop("ideal_total"), qrels)  # it brings its own
-    keys = ["qid", "num_ret", "num_rel", "num_nonrel", "num_gain"]
+    return _values(rows, qrels, exprs, complete)
+
+
+def _values(rows: DataFrame, qrels: DataFrame, exprs: dict[str, str], complete: bool) -> DataFrame:
+    keys = [k for k in ("qid", "num_ret", "num_rel", "num_nonrel", "num_gain") if k in rows.columns]
     out = rows.groupBy(*keys).agg(*(F.expr(f"coalesce({v}, 0)").alias(f"m_{k}") for k, v in exprs.items() if v not in keys))
     out = out.select("qid", *(F.col(v if v in keys else f"m_{k}").alias(k) for k, v in exprs.items()))
     if complete:
@@ -180,11 +184,18 @@ def relevance_string(run: DataFrame, qrels: DataFrame, n: int = 10, level: int =
 def by_group(
     run: DataFrame, qrels_jg: DataFrame, families: Iterable[str] = ("average", "cutoffs", "multiples"), level: int = 1, exprs: dict[str, str] | None = None, suffix: str = "_avgjg", **options
 ) -> DataFrame:
-    """Each measure per judgment group, averaged over a topic's groups. The topic and group make up one key, so nothing is joined across groups. exprs and options as of evaluate."""
-    groups = qrels_jg.select("qid", "jg").distinct()
+    """Each measure per judgment group, averaged over a topic's groups. The topic and group make up one key, so nothing is joined across groups. exprs and options as of evaluate.
+
+    The run is ranked once for all groups. Where a measure needs more than the documents in a group's pool, it is repeated for each group.
+    """
+    exprs = {k: v for f in families for k, v in FAMILIES[f](level).items()} if exprs is None else exprs
     key = F.struct("qid", "jg").alias("qid")
-    spread = run.join(groups, "qid").select(key, "docno", "sim")
-    values = evaluate(spread, qrels_jg.select(key, "docno", "rel"), families, level, exprs=exprs, **options)
+    judged = qrels_jg.select(key, "docno", "rel")
+    if options.get("judged_only") or re.search("num_ret|ideal|cumgain|idcg", " ".join(exprs.values())):
+        groups = qrels_jg.select("qid", "jg").distinct()
+        values = evaluate(run.join(groups, "qid").select(key, "docno", "sim"), judged, level=level, exprs=exprs, **options)
+    else:
+        values = _values(ranked_groups(run, qrels_jg, level, options.get("top")), judged, exprs, options.get("complete", False))
     return values.withColumn("qid", F.col("qid.qid")).groupBy("qid").agg(*(F.avg(c).alias(f"{c}{suffix}") for c in values.columns if c != "qid"))
 
 

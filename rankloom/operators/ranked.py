@@ -15,6 +15,8 @@ from .shared import stored
 BLOCK_BITS = 16
 #: Lists of up to so many rows a topic are cut while they are sorted, in one window a topic.
 SHORT = 1000
+#: A block behind all others.
+LAST = 1 << 62
 
 
 def _numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -74,6 +76,11 @@ def ideal(qrels: DataFrame) -> DataFrame:
     )
 
 
+def _counted(level: int) -> dict[str, Column]:
+    found = {"cumrel": F.col("rel") >= level, "cumnonrel": (F.col("rel") >= 0) & (F.col("rel") < level), "cumunj": F.col("rel") == -2}
+    return {k: v.cast("bigint") for k, v in found.items()}
+
+
 def ranked(run: DataFrame, qrels: DataFrame, level: int = 1, judged_only: bool = False, top: int | None = None, docs: bool = True, pooled: bool = False) -> DataFrame:
     """(qid, docno, rank, rel, num_ret, cumrel, cumnonrel, cumunj, num_rel, num_nonrel, num_gain, block) of the topics in both inputs.
 
@@ -83,9 +90,23 @@ def ranked(run: DataFrame, qrels: DataFrame, level: int = 1, judged_only: bool =
     columns = ["qid", "docno"] if docs else ["qid"]
     rows = _places(run.select("qid", "docno", "sim"), "desc", top).join(qrels.select("qid", "docno", "rel"), ["qid", "docno"], "left")
     rows = stored(rows.select(*columns, "block", "rank", rel.alias("rel")), "ranked")
-    counted = {"cumrel": F.col("rel") >= level, "cumnonrel": (F.col("rel") >= 0) & (F.col("rel") < level), "cumunj": F.col("rel") == -2}
-    counted = {k: v.cast("bigint") for k, v in counted.items()}
+    counted = _counted(level)
     keep = "rel <> -1 or rank = all_ret" if pooled and not judged_only else None
     rows = running(rows.filter("rel >= 0") if judged_only else rows, keep, ret=F.lit(1).cast("bigint"), **counted)
     rows = rows.select(*columns, F.col("ret" if judged_only else "rank").alias("rank"), "rel", F.col("all_ret").alias("num_ret"), *counted, "block")
     return rows.join(topic_stats(qrels, level), "qid")
+
+
+def ranked_groups(run: DataFrame, qrels_jg: DataFrame, level: int = 1, top: int | None = None) -> DataFrame:
+    """(qid, rank, rel, cumrel, cumnonrel, cumunj, num_rel, num_nonrel, num_gain) with (qid, jg) as qid: what ranked(pooled=True) gives for each judgment group against the whole run, but
+    for num_ret. The run is ranked once for all groups; each group has the documents in its pool and a row at the last rank."""
+    key = F.struct("qid", "jg").alias("qid")
+    places = _places(run.select("qid", "docno", "sim"), "desc", top)
+    judged = places.join(qrels_jg.select("qid", "jg", "docno", "rel"), ["qid", "docno"])
+    rel = F.when(F.col("rel").isNull(), -1).when(F.col("rel") < 0, -2).otherwise(F.col("rel"))
+    ends = qrels_jg.select("qid", "jg").distinct().join(places.groupBy("qid").agg(F.max("rank").alias("rank")), "qid")
+    ends = ends.select(key, F.lit(LAST).alias("block"), "rank", F.lit(-1).alias("rel"))
+    rows = stored(judged.select(key, "block", "rank", rel.alias("rel")).union(ends), "ranked")
+    counted = _counted(level)
+    rows = running(rows, **counted).select("qid", "rank", "rel", *counted)
+    return rows.join(topic_stats(qrels_jg.select(key, "rel"), level), "qid")

@@ -81,3 +81,22 @@ def test_first_documents_and_grades(spark):
         for i, g in enumerate(gains, 1):
             err, left = err + g / 16 * left / i, left * (1 - g / 16)
         assert got[r, q] == pytest.approx((dcg(gains) / dcg(best), err))
+
+
+@pytest.mark.parametrize("top", [None, 100])
+def test_groups_share_one_ranking(spark, small_blocks, top):
+    _, judged, run, _ = made(spark)
+    rng = random.Random(8)
+    rows = [(q, f"g{g}", d, x) for q, d, x in judged for g in range(3) if rng.random() < 0.4] + [("1", "g4", "nowhere", 1), ("3", "g1", "d001", 1)]
+    qrels_jg = spark.createDataFrame(rows, "qid string, jg string, docno string, rel int")
+    families = ["average", "cutoffs", "multiples", "interpolated"]
+    got = {r.qid: r.asDict() for r in measures.by_group(run, qrels_jg, families, top=top).collect()}
+    each = {}
+    for g in sorted({r[1] for r in rows}):
+        for r in measures.evaluate(run, qrels_jg.filter(f"jg = '{g}'").select("qid", "docno", "rel"), families, top=top).collect():
+            each.setdefault(r.qid, []).append(r.asDict())
+    assert got.keys() == each.keys() == {"1", "2"} and len(each["1"]) == 4
+    for q, values in each.items():
+        assert got[q] == pytest.approx({"qid": q} | {f"{k}_avgjg": sum(v[k] for v in values) / len(values) for k in values[0] if k != "qid"})
+    plan = R.ranked_groups(run, qrels_jg)
+    assert plan.filter("rel = -1").count() == 7  # only the rows that close a group
