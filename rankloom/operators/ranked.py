@@ -26,7 +26,7 @@ def _numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     parts = dealt.groupBy(F.col("qid").alias("of"), F.col("block").alias("number")).agg(F.min("place").alias("first"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("of").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("of", "number", (before - F.col("first") + 1).alias("shift"))
-    out = dealt.join(parts, F.col("qid").eqNullSafe(F.col("of")) & (F.col("block") == F.col("number")))
+    out = dealt.join(parts, F.col("qid").eqNullSafe(F.col("of")) & (F.col("block") == F.col("number")), "left")  # only the small side can be broadcast, however well rows pack
     return out.select(*rows.columns, (F.col("place") + F.col("shift")).alias("rank"), "block")
 
 
@@ -37,7 +37,7 @@ def running(rows: DataFrame, keep: str | None = None, **sums: Column) -> DataFra
     earlier = topic.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("qid", "block", *(F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"before_{k}") for k in sums), *(F.sum(k).over(topic).alias(f"all_{k}") for k in sums))
     here = Window.partitionBy("qid", "block").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.join(parts, ["qid", "block"])
+    out = rows.join(parts, ["qid", "block"], "left")  # only the small side can be broadcast, however well rows pack
     out = out.filter(keep) if keep else out
     return out.select(*rows.columns, *((F.col(f"before_{k}") + F.sum(v).over(here)).alias(k) for k, v in sums.items()), *(f"all_{k}" for k in sums))
 
@@ -71,7 +71,7 @@ def ideal(qrels: DataFrame) -> DataFrame:
     starts = starts.select("qid", "block", F.lead("start").over(Window.partitionBy("qid").orderBy("block")).alias("behind"))
     rows = running(rows, ideal_dcg=F.col("rel") * F.ln(F.lit(2.0)) / F.ln(F.col("rank") + 1.0), ideal_cost=F.greatest(F.col("rel"), F.lit(1)))
     following = F.lead("rel").over(Window.partitionBy("qid", "block").orderBy("rank"))
-    return rows.join(starts, ["qid", "block"]).select(
+    return rows.join(starts, ["qid", "block"], "left").select(
         "qid", F.col("rank").alias("pos"), F.col("rel").cast("double").alias("ideal"), F.coalesce(following, "behind", F.lit(0)).cast("double").alias("ideal_next"), "ideal_dcg", "ideal_cost"
     )
 
