@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,9 @@ MAX_FILTER_BITS = 1 << 26
 #: Bytes of texts that a task hands to Python at once, or one longer row: the executor holds a batch several times over, outside the heap.
 BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: 64-bit words of a bitmap that travel in one row.
+_PIECE = 1 << 14
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -41,20 +47,49 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/rankloom-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: later stages don't depend on earlier shuffles."""
+def write_shared(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Writes df as a table in the shared folder, or in a folder of scratch(), and reads it back: later stages don't depend on earlier shuffles."""
     spark = df.sparkSession
     bound_batches(spark)
-    path = shared_path(spark, name)
+    path = shared_path(spark, name) if folder is None else f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder in the shared one for tables that nothing reads after the block, which deletes them."""
+    path = shared_path(spark, "scratch")
+    try:
+        yield path
+    finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run inside are deleted as soon as its result is there, not when the driver next collects garbage."""
+    before = spark.conf.get(_RELEASE, None)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_RELEASE)
+        else:
+            spark.conf.set(_RELEASE, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _bitmap_bits(n: int) -> int:
+    return 1 << int(np.clip(np.ceil(np.log2(max(n, 1) * 16)), 10, np.log2(MAX_FILTER_BITS)))
+
+
 def key_bitmap(keys: DataFrame, column: str) -> tuple[Broadcast, np.int64]:
     """A broadcast bitmap of 64-bit words with the bits of all values in keys set, and the mask that makes a value its bit's number.
 
@@ -63,7 +98,7 @@ def key_bitmap(keys: DataFrame, column: str) -> tuple[Broadcast, np.int64]:
     """
     spark = keys.sparkSession
     n = keys.count()
-    bits = 1 << int(np.clip(np.ceil(np.log2(max(n, 1) * 16)), 10, np.log2(MAX_FILTER_BITS)))
+    bits = _bitmap_bits(n)
     words = (
         keys.select(F.col(column).bitwiseAND(F.lit(bits - 1)).alias("slot"))
         .groupBy(F.shiftright("slot", 6).alias("word"))
@@ -76,6 +111,45 @@ def key_bitmap(keys: DataFrame, column: str) -> tuple[Broadcast, np.int64]:
     return spark.sparkContext.broadcast(bitmap), np.int64(bits - 1)
 
 
+def dense_bitmap(keys: DataFrame, column: str) -> tuple[Broadcast, np.int64]:
+    """key_bitmap, for many keys: each task sets the bits of its own in a bitmap of bounded size, and compressed pieces of these are shuffled, not keys."""
+    spark = keys.sparkSession
+    bits = _bitmap_bits(keys.count())
+    piece = min(_PIECE, bits // 64)
+
+    def rows(pieces):
+        at, packed = zip(*pieces, strict=True) if pieces else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(packed, pa.binary())], names=["piece", "packed"])
+
+    def own(batches):
+        found = np.zeros(bits // 64, np.uint64)
+        for b in batches:
+            slots = np.sort(b["slot"].to_numpy().view(np.uint64))
+            if len(slots):
+                words = slots >> np.uint64(6)
+                first = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+                found[words[first]] |= np.bitwise_or.reduceat(np.uint64(1) << (slots & np.uint64(63)), first)
+        for i, part in enumerate(found.reshape(-1, piece)):
+            if part.any():
+                yield rows([(i, zlib.compress(part.tobytes(), 1))])
+
+    def merged(batches):
+        held = {}
+        for b in batches:
+            for i, packed in zip(b["piece"].to_pylist(), b["packed"].to_pylist(), strict=True):
+                part = np.frombuffer(zlib.decompress(packed), np.uint64)
+                held[i] = held[i] | part if i in held else part
+        yield rows([(i, zlib.compress(part.tobytes(), 1)) for i, part in held.items()])
+
+    schema = "piece int, packed binary"
+    slots = keys.select(F.col(column).bitwiseAND(F.lit(bits - 1)).alias("slot"))
+    found = slots.mapInArrow(own, schema).repartition("piece").mapInArrow(merged, schema).toArrow()
+    bitmap = np.zeros((bits // 64 // piece, piece), np.int64)
+    for i, packed in zip(found["piece"].to_pylist(), found["packed"].to_pylist(), strict=True):
+        bitmap[i] = np.frombuffer(zlib.decompress(packed), np.int64)
+    return spark.sparkContext.broadcast(bitmap.reshape(-1)), np.int64(bits - 1)
+
+
 def id_bitmap(ids: DataFrame, column: str) -> tuple[Broadcast, Callable[[Column], Column]]:
     """key_bitmap of the hashes of any bigint column, and the expression of a value's bit."""
     shared, mask = key_bitmap(ids.select(F.xxhash64(F.col(column).cast("bigint")).alias("slot")), "slot")

@@ -11,13 +11,16 @@ import lzma
 import math
 import re
 import textwrap
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from rankloom.llm import decontamination, graph, hashing, html_density, kneser_ney, oracles, packing, quality_rules, secrets, sentence_spans, set_join, substring_dedup, warc_archive
+from rankloom.llm import common, decontamination, graph, hashing, html_density, kneser_ney, oracles, packing, quality_rules, secrets, sentence_spans, set_join, substring_dedup, warc_archive
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -587,6 +590,42 @@ def test_classifier_on_held_out(spark):
     assert all(r.kept == (r.perplexity is not None) for r in rows)
 
 
+def test_classifier_frees_its_disk(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    root = Path(common.shared_root(spark).removeprefix("file:"))
+    listed = lambda: {p for p in root.iterdir() if p.name.startswith("rankloom-")} if root.exists() else set()
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {name for name in manager.getAllBlocks().mkString(",").split(",") if name.startswith("shuffle_")}
+    before, had, setting = listed(), shuffles(), spark.conf.get(common._RELEASE, None)
+    judged = kneser_ney.classify(docs, labels)
+    for _ in range(50):  # executors delete files a moment later
+        if not shuffles() - had:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - had
+    assert {p.name.split("-")[1] for p in listed() - before} == {"scores", "cuts"}
+    assert spark.conf.get(common._RELEASE, None) == setting
+    assert judged.count() == judged.count() == docs.count()
+
+
+@pytest.mark.parametrize("n", [0, 1, 3000, 300_000])
+def test_dense_bitmap(spark, n):
+    keys = spark.range(n, numPartitions=5).select(F.xxhash64("id").alias("key"))
+    (plain, mask), (dense, other) = common.key_bitmap(keys, "key"), common.dense_bitmap(keys, "key")
+    assert mask == other and (plain.value == dense.value).all()
+    assert common.in_bitmap(dense.value, np.array([r.key for r in keys.limit(1000).collect()], np.int64) & mask).all()
+
+
+def test_found_keys():
+    rng = np.random.default_rng(3)
+    known = np.unique(rng.integers(0, 1 << 20, 3000).astype(np.uint64) << np.uint64(3))  # crowded: an eighth of the places
+    known = known[np.argsort(known & np.uint64(kneser_ney._slots(len(known)) - 1), kind="stable")]
+    asked = np.concatenate((known, known + np.uint64(1), rng.integers(0, 1 << 23, 3000).astype(np.uint64)))
+    place = {k: i for i, k in enumerate(known.tolist())}
+    assert kneser_ney._finder(known)(asked).tolist() == [place.get(k, -1) for k in asked.tolist()]
+    assert kneser_ney._finder(known[:0])(asked[:5]).tolist() == [-1] * 5
+
+
 def test_hashes_agree_with_words():
     texts = ["Ab  cd\tEF gh ij", "", None, "ab cd ef gh", "x"]
     sets = dict(hashing.shingle_sets(pa.array(texts), 4))
