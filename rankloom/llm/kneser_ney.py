@@ -9,7 +9,8 @@ sharded by hash, made and joined by Spark, and grow with the trusted text. The l
 
 What is not in the model adds nothing, so scoring is one join of (text, key, count) with the model's (key, value). The HOT most used keys, a fixed
 number, are broadcast and added up in the scan, so that no key is hot in the join; a bounded bitmap keeps most keys that the model lacks out of it.
-Fold by fold a model is trained, its texts are scored and what it took on disk is deleted, so that one fold's tables and shuffles lie there at a time.
+Fold by fold a model is trained, its texts are scored in SLICES parts, and what a step took on disk is deleted, so that the tables of one fold and the
+shuffles of one step lie there at a time.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ HELD = 2_000_000
 START = np.uint64(0x5EED)
 #: Parts of the documents. Each is scored by a model of the trusted texts of all others, so no text by a model that was trained on it.
 FOLDS = 2
+#: Parts of a fold's texts that are scored one after the other: all are, but the keys of one part only are on disk at a time.
+SLICES = 2
 
 # The primes of XXH64 and the seed of Spark's xxhash64.
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -211,14 +214,14 @@ def _slots(n: int) -> int:
     return 1 << max(2 * n - 1, 1).bit_length()
 
 
-def _scored(docs: DataFrame, model: DataFrame, least: float, order: int, most_hot: int) -> tuple[DataFrame, list[Broadcast]]:
-    """(doc_id, lang, n_words, perplexity) of every row of docs (doc_id, lang, text) under one model, and what is broadcast for it."""
+def _scorer(model: DataFrame, least: float, order: int, most_hot: int) -> tuple[Callable[[DataFrame], DataFrame], list[Broadcast]]:
+    """What makes (tid, n_words, ln), a row for each text with the logarithm of its probability, of rows (tid, text), and what is broadcast for it."""
     cut = _hot(model, most_hot)
     hot = model.filter(_heat(F.col("uses")) >= cut).select("key", "value").toArrow()
     cold = model.filter(_heat(F.col("uses")) < cut).select("key", "value")
     known = hot["key"].to_numpy().view(np.uint64)
     ranks = np.argsort(known & np.uint64(_slots(len(known)) - 1), kind="stable")
-    shared = docs.sparkSession.sparkContext.broadcast((known[ranks], hot["value"].to_numpy().astype(np.float32)[ranks]))
+    shared = model.sparkSession.sparkContext.broadcast((known[ranks], hot["value"].to_numpy().astype(np.float32)[ranks]))
     bitmap, mask = dense_bitmap(cold, "key")
 
     def asked(batches):
@@ -254,14 +257,16 @@ def _scored(docs: DataFrame, model: DataFrame, least: float, order: int, most_ho
             yield pa.RecordBatch.from_arrays([pa.array(tids), pa.array(apart.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(local)], names=names)
 
     names = ["tid", "key", "c", "local"]
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("tid"), "text")
-    found = source.select("tid", "text").mapInArrow(asked, "tid bigint, key bigint, c int, local double").join(cold, "key", "left")
-    own = F.col("local").isNotNull()
-    joined = F.sum(F.when(~own, F.col("c") * F.col("value").cast("double")))
-    # each row of a text has added its keys to the sum
-    found = found.groupBy("tid").agg((F.coalesce(joined, F.lit(0.0)) / F.count("local") + F.max("local")).alias("ln"), F.max(F.when(own, F.col("c").cast("bigint"))).alias("n_words"))
-    scores = source.select("doc_id", "lang", "tid").join(found, "tid")
-    return scores.select("doc_id", "lang", "n_words", F.when(F.col("n_words") > 0, F.exp(-F.col("ln") / F.col("n_words"))).alias("perplexity")), [shared, bitmap]
+
+    def score(texts: DataFrame) -> DataFrame:
+        found = texts.mapInArrow(asked, "tid bigint, key bigint, c int, local double").join(cold, "key", "left")
+        own = F.col("local").isNotNull()
+        joined = F.sum(F.when(~own, F.col("c") * F.col("value").cast("double")))
+        # each row of a text has added its keys to the sum
+        ln = F.coalesce(joined, F.lit(0.0)) / F.count("local") + F.max("local")
+        return found.groupBy("tid").agg(F.max(F.when(own, F.col("c").cast("bigint"))).alias("n_words"), ln.alias("ln"))
+
+    return score, [shared, bitmap]
 
 
 def perplexities(docs: DataFrame, models: list[tuple[DataFrame, float]], order: int = ORDER, most_hot: int = HOT) -> DataFrame:
@@ -274,8 +279,13 @@ def perplexities(docs: DataFrame, models: list[tuple[DataFrame, float]], order:
 
 
 def _fold_scores(docs: DataFrame, model: tuple[DataFrame, float], order: int, most_hot: int = HOT) -> DataFrame:
-    with released_shuffles(docs.sparkSession):
-        scores, held = _scored(docs, *model, order, most_hot)
+    """perplexities of all docs under one model."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("tid"), "text")
+    with released_shuffles(docs.sparkSession), scratch(docs.sparkSession) as own:
+        score, held = _scorer(*model, order, most_hot)
+        texts = rows.select("tid", "text")
+        found = _all(write_shared(score(texts.filter(F.pmod("tid", F.lit(SLICES)) == i)), "sums", own) for i in range(SLICES))
+        scores = rows.drop("text").join(found, "tid").select("doc_id", "lang", "n_words", F.when(F.col("n_words") > 0, F.exp(-F.col("ln") / F.col("n_words"))).alias("perplexity"))
         scores = write_shared(scores, "scores")
     for broadcast in held:
         broadcast.destroy()
@@ -311,11 +321,12 @@ def _judged(docs: DataFrame, labels: DataFrame, quantile: float, least: int, ord
     fold = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(FOLDS)).cast("int")
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").withColumn("fold", fold)
     present = id_filter(good, "doc_id")
-    trusted = write_shared(source.filter(present(F.col("doc_id"))).join(good, "doc_id"), "trusted-texts", folder)
     parts = []
     for i in range(FOLDS):
         with scratch(docs.sparkSession) as own:
-            model = train(trusted.filter(F.col("fold") != i), order, folder=own)
+            with scratch(docs.sparkSession) as texts:
+                others = source.filter(F.col("fold") != i).filter(present(F.col("doc_id"))).join(good, "doc_id")
+                model = train(write_shared(others.select("text"), "trusted-texts", texts), order, folder=own)
             parts.append(_fold_scores(source.filter(F.col("fold") == i), model, order))
     scores = _all(parts)
     unseen = scores.filter("perplexity is not null").join(good, "doc_id")
