@@ -596,7 +596,8 @@ def test_classifier_frees_its_disk(spark):
     listed = lambda: {p for p in root.iterdir() if p.name.startswith("rankloom-")} if root.exists() else set()
     manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     shuffles = lambda: {name for name in manager.getAllBlocks().mkString(",").split(",") if name.startswith("shuffle_")}
-    before, had, setting = listed(), shuffles(), spark.conf.get(common._RELEASE, None)
+    release = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, had, setting = listed(), shuffles(), spark.conf.get(release, None)
     judged = kneser_ney.classify(docs, labels)
     for _ in range(50):  # executors delete files a moment later
         if not shuffles() - had:
@@ -604,7 +605,7 @@ def test_classifier_frees_its_disk(spark):
         time.sleep(0.2)
     assert not shuffles() - had
     assert {p.name.split("-")[1] for p in listed() - before} == {"scores", "cuts"}
-    assert spark.conf.get(common._RELEASE, None) == setting
+    assert spark.conf.get(release, None) == setting
     assert judged.count() == judged.count() == docs.count()
 
 
